@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import contamination, topn
+from heddle.llm import contamination, secrets, topn
 from heddle.session import table
 
 TOP = 5
@@ -18,6 +18,14 @@ def p1_top_scores(spark: SparkSession, sf: str) -> DataFrame:
     return topn.top_n_per_group(table(spark, sf, "server_scores"), "server_id", "score", ["computed_at", "id"], "id", TOP)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.cases(secrets.scan_configs(table(spark, sf, "server_configs")))
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan_configs(table(spark, sf, "server_configs")).select("config_id", "env", "command", "raw", "found")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items, names = (table(spark, sf, t) for t in ("documents", "eval_items", "given_names"))
     return contamination.leaked_items(contamination.template_matches(docs, items, names))
@@ -31,6 +39,8 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_scores": p1_top_scores,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
 }
