@@ -2,8 +2,9 @@
 
 Every entity's observations become one sorted struct array that a higher-order function
 folds, keeping an element only where the value changes; kept elements are exploded as
-versions with their end. The fold is an index-aware ``filter``: an ``aggregate`` that
-concatenates copies its accumulator for every kept element, which is quadratic.
+versions with their end. The fold pairs each element with its predecessor (``zip_with``)
+and filters: an ``aggregate`` that concatenates copies its accumulator for every kept
+element, which is quadratic.
 
 No array grows with a hot entity. Entities with more than ``segment_rows`` observations are
 reduced to one row per instant and cut along time into segments of about that many rows;
@@ -52,16 +53,21 @@ def _slice() -> Column:
 
 
 def _fold(obs: DataFrame) -> DataFrame:
-    """(e, seg, versions): array of (t, v) at which the value changes within the segment."""
-    arr = F.array_sort(F.collect_list(F.struct("t", "o", "v")))
-    grouped = obs.groupBy("e", "seg").agg(arr.alias("a"))
+    """(e, seg, a): array of (t, o, v) at which the value changes within the segment.
+
+    Neighbours are paired by ``zip_with``: a lambda that indexes the array it runs over would
+    read the whole array again for every element.
+    """
+    grouped = obs.groupBy("e", "seg").agg(F.array_sort(F.collect_list(F.struct("t", "o", "v"))).alias("a"))
     # Of one instant the last (greatest order key) holds.
-    one = grouped.select("e", "seg", F.filter("a", lambda x, i: F.get(F.col("a"), i + 1).isNull() | (F.get(F.col("a"), i + 1)["t"] != x["t"])).alias("a"))
-    return one.select(
-        "e",
-        "seg",
-        F.filter("a", lambda x, i: (i == 0) | ~F.get(F.col("a"), i - 1)["v"].eqNullSafe(x["v"])).alias("a"),
+    held = F.filter(
+        F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.when(~x["t"].eqNullSafe(y["t"]), x)), lambda x: x.isNotNull()
+    )
+    one = grouped.select("e", "seg", held.alias("a"))
+    changed = F.filter(
+        F.zip_with(F.slice("a", F.lit(2), F.size("a")), "a", lambda x, before: F.when(x.isNotNull() & (x["v"] != before["v"]), x)), lambda x: x.isNotNull()
     )
+    return one.select("e", "seg", F.concat(F.slice("a", 1, 1), changed).alias("a"))
 
 
 def version_history(
