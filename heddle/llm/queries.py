@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import contamination, secrets, topn
+from heddle.llm import contamination, packing, pii, secrets, topn
 from heddle.session import table
 
 TOP = 5
@@ -26,6 +26,14 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.scan_configs(table(spark, sf, "server_configs")).select("config_id", "env", "command", "raw", "found")
 
 
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_containers(table(spark, sf, "documents"), table(spark, sf, "context_windows"))
+
+
+def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_summary(p7_containers(spark, sf), table(spark, sf, "context_windows"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, items, names = (table(spark, sf, t) for t in ("documents", "eval_items", "given_names"))
     return contamination.leaked_items(contamination.template_matches(docs, items, names))
@@ -36,13 +44,25 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.reparameterised(docs, items, names)
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.cases(pii.scan_texts(table(spark, sf, "documents"), table(spark, sf, "given_names")))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan_texts(table(spark, sf, "documents"), table(spark, sf, "given_names")).select("doc_id", "redacted")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_top_scores": p1_top_scores,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 ORACLE_SQL = {
