@@ -9,11 +9,17 @@ slot's word recurs, it is a re-parameterised copy.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Test windows up to this many are broadcast (about 40 bytes each); more are joined by a shuffle.
+#: Test windows up to this many are broadcast (about 40 bytes each) and their hashes and words
+#: sift document windows before the join; with more, all windows are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Units of measure as words of texts.
 UNITS = (
@@ -54,18 +60,104 @@ def _windows(df: DataFrame, key: str, text: str, names: list[str], size: int) ->
     return hashed.select("key", F.inline(each))
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+class _Sift:
+    """Template and verbatim hashes of windows, for windows made of the tests' words only.
+
+    A word that is no placeholder and in no test can't be part of a match, so it only ends
+    the run of windows before it. Hashes are multilinear over random 64-bit words.
+    """
+
+    def __init__(self, texts: list[str], names: list[str], size: int):
+        self.size, self.names, self.units = size, frozenset(names), frozenset(UNITS)
+        rng = np.random.default_rng(13)
+        self.weight = rng.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.ids: dict[str, tuple[int, int]] = {}
+        seen = sorted({w for t in texts for w in _WORD.findall(t.lower())})
+        for k, w in enumerate(seen):
+            self.ids[w] = (self._slot(w) or 4 + k, 4 + k)
+        self.value = rng.integers(1, 2**63, 4 + len(seen), dtype=np.uint64)
+        self.known = np.empty(0, np.uint64)
+
+    def _slot(self, w: str) -> int:
+        return 1 if w.isnumeric() else 2 if w in self.units else 3 if w in self.names else 0
+
+    def windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text's number, position from one, template hash, verbatim hash) of candidate windows."""
+        get, slot = self.ids.get, self._slot
+        template: list[int] = []
+        exact: list[int] = []
+        starts = [0]
+        for t in texts:
+            for w in _WORD.findall(t.lower()):
+                x = get(w)
+                if x is None:  # a slot word that no test has: its verbatim value is never met
+                    k = slot(w)
+                    x = (k, 0) if k else (0, 0)
+                template.append(x[0])
+                exact.append(x[1])
+            template.append(0)
+            exact.append(0)
+            starts.append(len(template))
+        t, e = np.array(template, np.int64), np.array(exact, np.int64)
+        n = len(t) - self.size + 1
+        if n <= 0:
+            return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.uint64, np.uint64))
+        gaps = np.concatenate([[0], np.cumsum(t == 0)])
+        at = np.flatnonzero(gaps[self.size :] == gaps[:-self.size])
+        th, eh = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for k in range(self.size):
+            th += self.value[t[at + k]] * self.weight[k]
+            eh += self.value[e[at + k]] * self.weight[k]
+        if len(self.known):
+            hit = np.isin(th, self.known)
+            at, th, eh = at[hit], th[hit], eh[hit]
+        first = np.array(starts)
+        text = np.searchsorted(first, at, "right") - 1
+        return text, at - first[text] + 1, th, eh
+
+
+def _sifted(df: DataFrame, key: str, text: str, sift: _Sift) -> DataFrame:
+    """(key, pos, th, eh) as ``_windows``, of windows whose template hash some test has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for start in range(0, len(texts), 2000):
+                row, pos, th, eh = sift.windows(texts[start : start + 2000])
+                keys = b.column(0).take(pa.array(row + start))
+                yield pa.record_batch([keys, pa.array(pos.astype(np.int32)), pa.array(th.view(np.int64)), pa.array(eh.view(np.int64))], names=["key", "pos", "th", "eh"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL AND text IS NOT NULL").mapInArrow(
+        run, f"key {kind}, pos int, th long, eh long"
+    )
+
+
 def template_matches(docs: DataFrame, items: DataFrame, names: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", name: str = "given_name", size: int = WINDOW) -> DataFrame:
     """(doc_key, doc_pos, item_key, item_pos, verbatim): windows with equal templates.
 
     ``names`` is a small fixed lexicon; it becomes part of the expression. Positions count
     words from one. Null, empty and shorter texts and null keys give nothing. An item
-    without ``size`` words can't be found.
+    without ``size`` words can't be found. Repeated keys and rows give repeated windows.
     """
     lexicon = sorted({r[0].lower() for r in names.select(name).where(F.col(name).isNotNull()).collect()})
-    tests = _windows(items, item_key, item_text, lexicon, size).select(F.col("key").alias(item_key), F.col("pos").alias("item_pos"), "th", F.col("eh").alias("item_eh"))
-    if tests.count() <= BROADCAST_WINDOWS:
-        tests = F.broadcast(tests)
-    found = _windows(docs, doc_key, text, lexicon, size).join(tests, "th")
+    known = items.select(item_key, item_text).where(F.col(item_text).isNotNull())
+    count = known.select(F.sum(F.size(words(F.col(item_text))))).first()[0] or 0
+    if count <= BROADCAST_WINDOWS:
+        texts = [r[item_text] for r in known.collect()]
+        sift = _Sift(texts, lexicon, size)
+        tests = _sifted(items, item_key, item_text, sift)
+        sift_docs = _Sift(texts, lexicon, size)
+        sift_docs.known = np.unique(sift.windows(texts)[2])
+        there = _sifted(docs, doc_key, text, sift_docs)
+        hint = F.broadcast
+    else:
+        tests, there, hint = _windows(items, item_key, item_text, lexicon, size), _windows(docs, doc_key, text, lexicon, size), lambda d: d
+    tests = tests.select(F.col("key").alias(item_key), F.col("pos").alias("item_pos"), "th", F.col("eh").alias("item_eh"))
+    found = there.join(hint(tests), "th")
     return found.select(F.col("key").alias(doc_key), F.col("pos").alias("doc_pos"), item_key, "item_pos", (F.col("eh") == F.col("item_eh")).alias("verbatim"))
 
 
