@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heddle.llm import contamination, packing, pii, secrets, topn
 from heddle.session import table
@@ -15,7 +16,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_top_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return topn.top_n_per_group(table(spark, sf, "server_scores"), "server_id", "score", ["computed_at", "id"], "id", TOP)
+    top = topn.top_n_per_group(table(spark, sf, "server_scores"), "server_id", "score", ["computed_at", "id"], "id", TOP)
+    return top.select("server_id", "id", "score", F.unix_micros("computed_at").alias("computed_us"), "rank")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,8 +74,14 @@ SELECT server_id, id FROM (
   FROM (SELECT DISTINCT server_id, id, computed_at, score FROM server_scores WHERE score IS NOT NULL)
 ) WHERE r <= 5""",
     "p1_top_scores": """
-SELECT server_id, id, score, computed_at, CAST(r AS INTEGER) AS rank FROM (
+SELECT server_id, id, score, epoch_us(computed_at) AS computed_us, CAST(r AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY score DESC, computed_at DESC, id DESC) AS r
   FROM (SELECT DISTINCT server_id, id, computed_at, score FROM server_scores WHERE score IS NOT NULL)
 ) WHERE r <= 5""",
+    "p8_found": """
+WITH dw AS (SELECT doc_id, array_to_string(ws[i:i + 12], ' ') AS k FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL))),
+ iw AS (SELECT item_id, array_to_string(ws[i:i + 12], ' ') AS k FROM (
+  SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (k)""",
 }
