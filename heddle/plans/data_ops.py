@@ -86,4 +86,38 @@ QUERIES = {
     **{f"p6_{r}": _p6(r) for r in ("packages", "remotes", "runtime_args", "package_args", "env", "choices", "headers")},
 }
 
-ORACLE_SQL = {}
+_PERIODS = """SELECT entity_id, valid_from_us, lead(valid_from_us) OVER (PARTITION BY entity_id ORDER BY valid_from_us) AS valid_to_us, value FROM (
+  SELECT *, lag(value) OVER w AS before, row_number() OVER w AS r FROM (
+    SELECT {e} AS entity_id, epoch_us({t}) AS valid_from_us, arg_max({v}, id) AS value FROM {table} WHERE {where} GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY entity_id ORDER BY valid_from_us)) WHERE r = 1 OR value <> before"""
+_SCORES = _PERIODS.format(e="server_id", t="computed_at", v="score", table="server_scores", where="score IS NOT NULL")
+_HASHES = _PERIODS.format(e="version_id", t="observed_at", v="lower(sha256)", table="hashes", where="sha256 <> ''")
+_P6 = """WITH decoded AS (
+  SELECT entry_id AS id, CASE WHEN json_type(raw_json) = 'VARCHAR' THEN raw_json ->> '$' ELSE raw_json END AS d FROM registry_entries WHERE json_valid(raw_json)),
+ ok AS (SELECT id, d FROM decoded WHERE json_valid(d)),
+ lists AS (SELECT id, 'packages' AS relation, json_extract(d, '$.server.packages') AS l FROM ok UNION ALL SELECT id, 'remotes', json_extract(d, '$.server.remotes') FROM ok),
+ tops AS (SELECT id, relation, i, json_extract(l, '$[' || i || ']') AS x FROM (SELECT id, relation, l, unnest(range(json_array_length(l)::BIGINT)) AS i FROM lists WHERE json_type(l) = 'ARRAY')),
+ top AS (SELECT * FROM tops WHERE json_type(x) <> 'NULL'),
+ arg_lists AS (SELECT id, i, 'runtime_args' AS relation, json_extract(x, '$.runtimeArguments') AS l FROM top WHERE relation = 'packages' UNION ALL SELECT id, i, 'package_args', json_extract(x, '$.packageArguments') FROM top WHERE relation = 'packages'),
+ args AS (SELECT id, i, relation, j, json_extract(l, '$[' || j || ']') AS a FROM (SELECT *, unnest(range(json_array_length(l)::BIGINT)) AS j FROM arg_lists WHERE json_type(l) = 'ARRAY')),
+ decoded_v AS (SELECT id, CASE WHEN json_type(environment_variables) = 'VARCHAR' THEN environment_variables ->> '$' ELSE environment_variables END AS d FROM versions WHERE json_valid(environment_variables)),
+ named AS (SELECT 'registry_entries' AS origin, 'env' AS relation, id, i AS pos, json_extract(x, '$.environmentVariables') AS l FROM top WHERE relation = 'packages'
+   UNION ALL SELECT 'registry_entries', 'headers', id, i, json_extract(x, '$.headers') FROM top WHERE relation = 'remotes'
+   UNION ALL SELECT 'versions', 'env', id, -1, json_extract(d, '$') FROM decoded_v WHERE json_valid(d)),
+ maps AS (SELECT origin, relation, id, pos, unnest(json_keys(l)) AS k FROM named WHERE json_type(l) = 'OBJECT'),
+ items AS (SELECT origin, relation, id, pos, json_extract(l, '$[' || j || ']') AS o FROM (SELECT *, unnest(range(json_array_length(l)::BIGINT)) AS j FROM named WHERE json_type(l) = 'ARRAY')),
+ objs AS (SELECT *, o ->> '$.name' AS n, json_extract(o, '$.choices') AS c FROM items WHERE json_type(o) = 'OBJECT' AND json_type(o, '$.name') = 'VARCHAR' AND o ->> '$.name' <> ''),
+ picks AS (SELECT origin, id, pos, n, q, json_extract(c, '$[' || q || ']') AS z FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS q FROM objs WHERE relation = 'env' AND json_type(c) = 'ARRAY'))
+SELECT DISTINCT origin, record_id, relation, CAST(parent_pos AS BIGINT) AS parent_pos, item_key FROM (
+ SELECT 'registry_entries' AS origin, id AS record_id, relation, -1 AS parent_pos, CAST(i AS VARCHAR) AS item_key FROM top
+ UNION ALL SELECT 'registry_entries', id, relation, i, CAST(j AS VARCHAR) FROM args WHERE json_type(a) = 'VARCHAR' OR (json_type(a) = 'OBJECT' AND (coalesce(a ->> '$.name', '') <> '' OR a ->> '$.value' IS NOT NULL))
+ UNION ALL SELECT origin, id, relation, pos, k FROM maps
+ UNION ALL SELECT origin, id, relation, pos, n FROM objs
+ UNION ALL SELECT origin, id, 'choices', pos, n || '/' || q FROM picks WHERE json_type(z) <> 'NULL')"""
+
+ORACLE_SQL = {
+    "p4_found": f"SELECT 'score' AS entity, entity_id, valid_from_us FROM ({_SCORES}) UNION ALL SELECT 'hash', entity_id, valid_from_us FROM ({_HASHES})",
+    "p4_score_history": _SCORES,
+    "p4_hash_history": _HASHES,
+    "p6_found": _P6,
+}
