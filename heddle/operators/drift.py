@@ -153,10 +153,11 @@ def promoted(bits: int) -> str:
 def unified_table(lines: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
     """All JSON-object lines as one table with one column and type per field.
 
-    Columns: feed, file_id, exported_at, line_no, then the union's fields in name order,
-    those clashing with the first four as ``field_<name>``. A value that its file's type
-    does not let cast becomes null only if it is null itself: the lattice's join of all
-    types seen holds every value. ``rename`` maps old names to the names kept.
+    Columns: feed, file_id, exported_at, line_no, then the union's fields in name order;
+    those clashing with an earlier column, in any case, as ``field_<name>``. The lattice's
+    join of all types seen holds every value, so none is lost by the cast; a value is null
+    where it was null or absent. ``rename`` maps old names to the names kept. Repeated lines
+    stay; an empty table has only the first four columns.
     """
     rename = rename or {}
     found = members(lines)
@@ -169,9 +170,13 @@ def unified_table(lines: DataFrame, rename: dict[str, str] | None = None) -> Dat
         kinds[name] = kinds.get(name, 0) | r["bits"]
     sources: dict[str, list[str]] = {n: [r["field"] for r in rows if rename.get(r["field"], r["field"]) == n] for n in kinds}
     parsed = _objects(lines)
-    cols = []
+    cols, used = [], {"feed", "file_id", "exported_at", "line_no"}
     for name in sorted(kinds):
         # Names may hold any character: paths quote them.
         got = [F.variant_get("p", "$[" + "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "']", promoted(kinds[name])) for s in sorted(sources[name], key=lambda s: (s != name, s))]
-        cols.append((got[0] if len(got) == 1 else F.coalesce(*got)).alias(name if name not in ("feed", "file_id", "exported_at", "line_no") else f"field_{name}"))
+        column = name
+        while column.lower() in used:  # names that differ in case only are one column name to Spark
+            column = f"field_{column}"
+        used.add(column.lower())
+        cols.append((got[0] if len(got) == 1 else F.coalesce(*got)).alias(column))
     return parsed.select("feed", "file_id", "exported_at", "line_no", *cols)
