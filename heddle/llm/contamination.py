@@ -173,6 +173,7 @@ def reparameterised(docs: DataFrame, items: DataFrame, names: DataFrame, size: i
     some window's slots are replaced consistently: equal slot words of the item are equal in
     the document, and different ones differ. Pairs with neither are not reported.
     """
+    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     matches = template_matches(docs, items, names, size=size)
     other = matches.where("NOT verbatim")
     # Slot words are looked up only in the few texts with such windows.
