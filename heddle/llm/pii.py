@@ -33,6 +33,8 @@ _UP = r"A-ZÀ-ÖØ-ÞŒŠŽ"
 _AT = r"(?:@|\s?\[\s?at\s?\]\s?|\s?\(\s?at\s?\)\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?\[\s?dot\s?\]\s?|\s?\(\s?dot\s?\)\s?|\s(?:DOT|dot)\s)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9_%+'-]|\.(?=[A-Za-z0-9]))*{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9-]*[A-Za-z0-9@])", re.I)
+_ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]|\s(?:AT|at)\s", re.I)
+_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9_%+'.-]*\s?$")
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,6})?"
 PHONE = re.compile(
     r"(?<![\w+./:(-])(?:"
@@ -119,9 +121,11 @@ def _spans(pattern: re.Pattern, text: str, group: int = 0) -> list[tuple[int, in
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidates (type, start, end), generous on purpose."""
     out: list[tuple[str, int, int]] = []
-    low = text.lower()
-    if "@" in text or "at" in low:
-        out += [("email", *s) for s in _spans(EMAIL, text)]
+    for anchor in _ANCHOR.finditer(text):  # the pattern only where something stands for an at sign
+        local = _LOCAL.search(text, max(0, anchor.start() - 128), anchor.start())
+        whole = local and EMAIL.match(text, local.start())
+        if whole and whole.end() > anchor.start():
+            out.append(("email", *whole.span()))
     out += [("phone", *s) for s in _spans(PHONE, text)]
     out += [("id_number", *s) for s in _spans(ID_NUMBER, text)]
     out += [("address", *s) for s in _spans(ADDRESS, text)]
