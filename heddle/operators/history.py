@@ -52,17 +52,16 @@ def _slice() -> Column:
     return F.least(F.floor((F.col("t") - F.col("lo")).cast("double") / F.col("span") * F.col("slices")), F.col("slices") - 1).cast("long")
 
 
-def _fold(obs: DataFrame) -> DataFrame:
+def _fold(obs: DataFrame, per_instant: bool = True) -> DataFrame:
     """(e, seg, a): array of (t, o, v) at which the value changes within the segment.
 
     Neighbours are paired by ``zip_with``: a lambda that indexes the array it runs over would
     read the whole array again for every element.
     """
     grouped = obs.groupBy("e", "seg").agg(F.array_sort(F.collect_list(F.struct("t", "o", "v"))).alias("a"))
-    # Of one instant the last (greatest order key) holds.
-    held = F.filter(
-        F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.when(~x["t"].eqNullSafe(y["t"]), x)), lambda x: x.isNotNull()
-    )
+    # Of one instant (or one row delivered again) the last holds.
+    same = lambda x, y: x["t"].eqNullSafe(y["t"]) & (F.lit(per_instant) | x["o"].eqNullSafe(y["o"]))
+    held = F.filter(F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.when(~same(x, y), x)), lambda x: x.isNotNull())
     one = grouped.select("e", "seg", held.alias("a"))
     changed = F.filter(
         F.zip_with(F.slice("a", F.lit(2), F.size("a")), "a", lambda x, before: F.when(x.isNotNull() & (x["v"] != before["v"]), x)), lambda x: x.isNotNull()
@@ -71,12 +70,13 @@ def _fold(obs: DataFrame) -> DataFrame:
 
 
 def version_history(
-    df: DataFrame, entity: str, at: str, value: Column, order: str, segment_rows: int = SEGMENT_ROWS
+    df: DataFrame, entity: str, at: str, value: Column, order: str, segment_rows: int = SEGMENT_ROWS, per_instant: bool = True
 ) -> DataFrame:
-    """(entity, valid_from_us, valid_to_us, value): one row per period of an unchanged value.
+    """(entity_id, valid_from_us, valid_to_us, value, order_key): a row per period of an unchanged value.
 
     ``at`` is a timestamp, ``value`` the (normalised) observed value, ``order`` breaks ties of
-    one instant: the greatest holds. Rows with a null entity, instant or value are no
+    one instant: the greatest holds (unless not ``per_instant``: then all count, in that
+    order). order_key is that of the period's first row. Rows with a null entity, instant or value are no
     observation. Repeated rows change nothing. The latest period has a null end. An empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
@@ -85,7 +85,7 @@ def version_history(
     ).where(F.col("e").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull())
     segments = _hot_segments(obs, segment_rows)
     if segments is None:
-        whole = _fold(obs.withColumn("seg", F.lit(0).cast("long")))
+        whole = _fold(obs.withColumn("seg", F.lit(0).cast("long")), per_instant)
         return _explode(whole.withColumn("seg_end", F.lit(None).cast("long")))
 
     hint = F.broadcast if segments.count() <= BROADCAST_ROWS else (lambda d: d)
@@ -95,11 +95,11 @@ def version_history(
         obs.join(hint(hot_ids), "e")
         .withColumn("slice", _slice())
         .join(hint(segments.select("e", "slice", "seg")), ["e", "slice"])
-        .groupBy("e", "seg", "t")
-        .agg(F.max(F.struct("o", "v")).alias("m"))
-        .select("e", "seg", "t", "m.o", "m.v")
+        .groupBy("e", "seg", "t", *([] if per_instant else ["o"]))
+        .agg(F.max(F.struct("o", "v") if per_instant else F.struct("v")).alias("m"))
+        .select("e", "seg", "t", *(["m.o"] if per_instant else ["o"]), "m.v")
     )
-    folded = materialise(_fold(hot))
+    folded = materialise(_fold(hot, per_instant))
     # Stitch: a segment's first version is none if the segment before ends in the same value.
     w = Window.partitionBy("e").orderBy("seg")
     first, second, last = F.get("a", F.lit(0)), F.get("a", F.lit(1)), F.element_at("a", -1)
@@ -113,7 +113,7 @@ def version_history(
     stitched = folded.join(edges, ["e", "seg"]).select(
         "e", F.when(F.col("same"), F.slice("a", F.lit(2), F.size("a"))).otherwise(F.col("a")).alias("a"), "seg_end"
     )
-    plain = _fold(cold).select("e", "a", F.lit(None).cast("long").alias("seg_end"))
+    plain = _fold(cold, per_instant).select("e", "a", F.lit(None).cast("long").alias("seg_end"))
     return _explode(plain).unionByName(_explode(stitched))
 
 
@@ -126,5 +126,6 @@ def _explode(folded: DataFrame) -> DataFrame:
             F.col("z.x.t").alias("valid_from_us"),
             F.coalesce(F.col("z.y.t"), F.col("seg_end")).alias("valid_to_us"),
             F.col("z.x.v").alias("value"),
+            F.col("z.x.o").alias("order_key"),
         )
     )

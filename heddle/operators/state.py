@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.history import version_history
+
 
 def upsert(state: DataFrame, poll: DataFrame, keys: list[str], attributes: list[str], run_at: Column) -> DataFrame:
     """Next state: keys, attributes, first_seen_at, last_seen_at, delisted_at, change.
@@ -47,14 +49,14 @@ def latest(df: DataFrame, key: str, at: str, order: str, columns: list[str]) ->
 
 
 def change_ledger(observations: DataFrame, key: str, at: str, order: str, value: str) -> DataFrame:
-    """Rows that differ from the one before of their key: what an append-on-change ledger keeps.
+    """(key, at_us, order, value): rows that differ from the one before of their key, which is
+    what an append-on-change ledger keeps.
 
-    Exact repeats of a row count once; null values are values.
+    Exact repeats of a row count once; null values are no observation. Keys of any size:
+    the history operator cuts hot ones along time.
     """
-    w = Window.partitionBy(key).orderBy(at, order)
-    rows = observations.select(key, at, order, value).distinct()
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("changed", first | ~F.lag(value).over(w).eqNullSafe(F.col(value))).where("changed").drop("changed")
+    h = version_history(observations, key, at, F.col(f"`{value}`"), order, per_instant=False)
+    return h.select(F.col("entity_id").alias(key), F.col("valid_from_us").alias("at_us"), F.col("order_key").alias(order), F.col("value").alias(value))
 
 
 def needs_rescan(versions: DataFrame, scans: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -73,8 +75,9 @@ def score_pairs(scores: DataFrame) -> DataFrame:
     """(server_id, score, previous_score, finding_count, computed_at): the latest of each server
     beside the one before it."""
     w = Window.partitionBy("server_id").orderBy(F.desc("computed_at"), F.desc("id"))
-    rows = scores.where("score IS NOT NULL").select("server_id", "id", "computed_at", "score", "finding_count").distinct()
-    top = rows.withColumn("r", F.row_number().over(w)).where("r <= 2")
+    # A dense rank counts repeated rows once, and its limit prunes each task before the shuffle.
+    rows = scores.where("score IS NOT NULL").select("server_id", "id", "computed_at", "score", "finding_count")
+    top = rows.withColumn("r", F.dense_rank().over(w)).where("r <= 2")
     last = lambda c: F.max(F.when(F.col("r") == 1, F.col(c))).alias(c)
     return top.groupBy("server_id").agg(last("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("previous_score"), last("finding_count"), last("computed_at"))
 

@@ -32,12 +32,12 @@ def p2_index_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _score_history(spark: SparkSession, sf: str) -> DataFrame:
-    return history.version_history(table(spark, sf, "server_scores"), "server_id", "computed_at", F.col("score"), "id")
+    return history.version_history(table(spark, sf, "server_scores"), "server_id", "computed_at", F.col("score"), "id").drop("order_key")
 
 
 def _hash_history(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.nullif(F.lower("sha256"), F.lit(""))
-    return history.version_history(table(spark, sf, "hashes"), "version_id", "observed_at", digest, "id")
+    return history.version_history(table(spark, sf, "hashes"), "version_id", "observed_at", digest, "id").drop("order_key")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,7 +112,7 @@ ORACLE_SQL = {
       SELECT x.identifier AS a, y.identifier AS b, CAST(levenshtein(x.identifier, y.identifier) AS INTEGER) AS distance FROM n x JOIN n y ON x.identifier < y.identifier AND abs(length(x.identifier) - length(y.identifier)) <= 1 AND levenshtein(x.identifier, y.identifier) = 1""",
     "latest_hash": "SELECT version_id, sha256, epoch_us(observed_at) AS observed_us FROM hashes QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY observed_at DESC, id DESC) = 1",
     "latest_score": "SELECT server_id, score, finding_count, id FROM server_scores QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY computed_at DESC, id DESC) = 1",
-    "hash_change_ledger": """SELECT version_id, id, sha256 FROM (SELECT *, lag(sha256) OVER w AS b, row_number() OVER w AS r FROM (SELECT DISTINCT version_id, id, sha256, observed_at FROM hashes)
+    "hash_change_ledger": """SELECT version_id, id, sha256 FROM (SELECT *, lag(sha256) OVER w AS b, row_number() OVER w AS r FROM (SELECT DISTINCT version_id, id, sha256, observed_at FROM hashes WHERE sha256 IS NOT NULL)
       WINDOW w AS (PARTITION BY version_id ORDER BY observed_at, id)) WHERE r = 1 OR b IS DISTINCT FROM sha256""",
     "needs_rescan": """WITH sc AS (SELECT server_id, max(computed_at) AS a FROM server_scores GROUP BY 1), h AS (SELECT version_id, max(observed_at) AS b FROM hashes GROUP BY 1)
       SELECT v.id AS version_id FROM versions v LEFT JOIN sc ON sc.server_id = v.server_id LEFT JOIN h ON h.version_id = v.id WHERE v.is_latest AND v.delisted_at IS NULL AND (a IS NULL OR b > a)""",
