@@ -13,6 +13,7 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.gbdt import Boosted, threshold
+from heddle.session import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled sentences the models are fitted on: a fixed number, whatever the data.
@@ -267,6 +269,12 @@ def _made(rng: random.Random, names: list[str]) -> list[tuple[str, list[tuple[st
     return [(f"{a[0]} {b[0]}", a[1] + b[1]) for a, b in zip(out, rng.sample(out, len(out)), strict=True)]
 
 
+@lru_cache(maxsize=8)
+def detector_of(names: tuple[str, ...]) -> Detector:
+    """The detector of a lexicon; training is deterministic, so a process does it once."""
+    return Detector(list(names))
+
+
 class Detector:
     """Trained models and thresholds of all types; plain arrays, sent to workers once."""
 
@@ -366,7 +374,7 @@ def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str
     rows = names.select(name).where(F.col(name).isNotNull()).distinct().limit(MAX_NAMES + 1).collect()
     if len(rows) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} given names")
-    detector = Detector([r[0] for r in rows])
+    detector = detector_of(tuple(sorted(r[0] for r in rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,7 +391,7 @@ def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str
                     schema=_OUT,
                 )
 
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def cases(scanned: DataFrame) -> DataFrame:
