@@ -6,9 +6,9 @@ rules run in one pass over the rows; hits come out as an array that is exploded
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from hashlib import sha256
-import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ RULES = (
     Rule("MCP-STATIC-004", "Package version not pinned at launch", "AST04", "medium", "medium", "command",
          r"\b(?:npx|uvx|uv\s+run)\s+(?:-y\s+|--from\s+|--with\s+)?(?<pkg>@?[\w][\w./-]*)(?!\S*@\d)", also="oci_pin"),
     Rule("MCP-STATIC-005", "Injection markers in the entry", "LLM01", "critical", "medium", "raw",
-         "([​‌‍﻿⁠]|<!--[\\s\\S]*?-->|ignore\\s+(?:all\\s+)?previous\\s+instructions|do\\s+not\\s+tell\\s+the\\s+user|without\\s+(?:informing|telling)\\s+the\\s+user|send\\s+(?:this|it|the\\s+\\w+)\\s+to\\s+)"),
+         r"([\u200b\u200c\u200d\ufeff\u2060]|<!--[\s\S]*?-->|ignore\s+(?:all\s+)?previous\s+instructions|do\s+not\s+tell\s+the\s+user|without\s+(?:informing|telling)\s+the\s+user|send\s+(?:this|it|the\s+\w+)\s+to\s+)"),
     Rule("MCP-STATIC-006", "Package name close to a known one", "AST04", "high", "medium", check="typosquat"),
     Rule("MCP-STATIC-007", "Package without a source repository", "AST04", "medium", "low", check="provenance", network=True),
     Rule("MCP-STATIC-008", "Install script pipes a download into a shell", "AST04", "high", "medium", check="install_script", network=True),

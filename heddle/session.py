@@ -40,10 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` for a CPU-bound stage: an input in fewer splits than cores is dealt out to all.
 
     Such an input is small (at most a split per core), so the shuffle is too; inputs with
-    enough splits are left as they are.
+    enough splits, and those that only a shuffle makes, are left as they are.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # asking it for partitions would run it
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
