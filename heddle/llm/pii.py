@@ -25,7 +25,7 @@ from heddle.session import spread
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled sentences the models are fitted on: a fixed number, whatever the data.
-TRAINING_SENTENCES = 8000
+TRAINING_SENTENCES = 10_000
 #: Given names are held by every worker: larger lexicons are refused.
 MAX_NAMES = 200_000
 
@@ -106,14 +106,16 @@ class Lexicon:
 
     def __init__(self, names: list[str]):
         self.names = frozenset(names)
-        self.heads = frozenset(n[:3].lower() for n in names if len(n) >= 3)
-        self.tails = frozenset(n[-2:].lower() for n in names if len(n) >= 3)
+        low = [n.lower() for n in names if len(n) >= 2]
+        self.heads = {k: frozenset(n[:k] for n in low) for k in (2, 3)}
+        self.tails = {k: frozenset(n[-k:] for n in low) for k in (1, 2)}
 
     def likeness(self, word: str) -> float:
+        """3 for a known name, else up to 2.5 by the beginnings and ends of known ones."""
         if word in self.names:
             return 3.0
         w = word.lower()
-        return float(w[:3] in self.heads) + float(w[-2:] in self.tails)
+        return 0.5 * (w[:2] in self.heads[2]) + (w[:3] in self.heads[3]) + 0.25 * (w[-1:] in self.tails[1]) + 0.75 * (w[-2:] in self.tails[2])
 
 
 def _spans(pattern: re.Pattern, text: str, group: int = 0) -> list[tuple[int, int]]:
@@ -179,6 +181,9 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
         return [*common, float(bool(re.search(r"\d{5}|[A-Z]{1,2}\d \d[A-Z]{2}", s))), float(s.count(",")), float(bool(re.search(_STREET, s))), float(bool(re.match(r"Calle|C/|Av|Plaza|Paseo|Camino", s))), float(bool(re.search(r"straße|strasse|str\.|weg|allee|platz|gasse", s))), float(bool(re.search(r"\b(?:rue|avenue|boulevard|chemin|impasse)\b", s)))]
     inverted = ", " in s
     parts = s.replace(",", "").split()
+    # The word right before, if it could be a name that this span cuts off.
+    lead = re.search(rf"([{_UP}][{_W}'’-]+)[  ]$", left)
+    cut = 0.0 if not lead or lead[1].lower() in STOP else 1.0 + lexicon.likeness(lead[1])
     given, sur = (parts[1], parts[0]) if inverted else (parts[0], parts[-1])
     initial = given.endswith(".")
     tail = sur.split("-")[-1].lower()
@@ -186,7 +191,7 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
         *common, float(inverted), float(initial), 1.5 if initial else lexicon.likeness(given), lexicon.likeness(sur.capitalize()),
         float(given.lower().strip(".") in STOP and not initial), float(sur.lower() in STOP), float(tail.endswith(SURNAME_ENDS)), float(len(sur)), float(len(given)), float(sur.isupper()),
         float(given.isupper() and not initial), float(len(parts)), float("-" in sur), float(bool(after) and after[0] in _AFTER_PERSON), float(bool(after) and after[0] in _AFTER_PRODUCT),
-        float(bool(re.match(r"\s*\d", right))), float(bool(re.search(r"[.!?:;|>\"\n]\s*$|^\s*$", left))), float(bool(re.search(_STREET + "$", s))), float(prev == '"' or nxt == '"'),
+        float(bool(re.match(r"\s*\d", right))), float(bool(re.search(r"[.!?:;|>\"\n]\s*$|^\s*$", left))), float(bool(re.search(_STREET + "$", s))), float(prev == '"' or nxt == '"'), cut,
     ]
 
 
@@ -199,7 +204,7 @@ def _made(rng: random.Random, names: list[str]) -> list[tuple[str, list[tuple[st
     stems = ("Alder", "Bram", "Corv", "Dans", "Eber", "Fal", "Grend", "Holm", "Isen", "Kest", "Lorim", "Mavel", "Nord", "Orsk", "Pellan", "Quorn", "Rund", "Strell", "Thorv", "Ulm", "Varn", "Wess", "Yarr", "Zell", "Vree", "Marqu", "Sven", "Imb", "Jess", "Oka", "Dun")
     places = ("Altmere", "Brunnau", "Corvais", "Dornby", "Ellow", "Fontrac", "Grünbach", "Hexley", "Lindau", "Montrel", "Née", "Valbonne")
     streets = ("Amber", "Birch", "Cedar", "Dove", "Elm", "Fern", "Granite", "Hazel", "Iris", "Juniper")
-    alike = sorted({n[: max(3, len(n) - 2)] + rng.choice(names)[-2:] for n in names})
+    alike = sorted({n[: rng.randint(2, max(2, len(n) - 1))] + rng.choice(names)[-rng.randint(1, 3) :] for n in names for _ in range(3)} - set(names))
 
     def surname() -> str:
         s = rng.choice(stems) + rng.choice(SURNAME_ENDS)
