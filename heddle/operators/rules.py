@@ -122,17 +122,22 @@ def evaluate(configs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, know
     One row per rule that hits a configuration; rules needing metadata are left to
     ``evaluate_metadata``. Null fields have nothing to match. Extra columns are ignored.
     """
-    known = typosquat.KNOWN_SERVERS if known is None else known
-    local = [r for r in rules if not r.network and r.phase == "static"]
-    hits = F.array(*[_finding(r, _hit(r, known, max_distance)) for r in local])
     at = F.concat(F.coalesce("source", F.lit("")), F.lit(" :: "), F.coalesce("name", F.lit("")))
     return (
-        configs.select(F.col(key), at.alias("location"), hits.alias("h"))
-        .select(key, "location", F.inline(F.filter("h", lambda h: h["detail"].isNotNull())))
+        configs.select(F.col(key), at.alias("location"), hits(rules, known, max_distance).alias("h"))
+        .select(key, "location", F.inline("h"))
         .select(key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail"))
     )
 
 
+def hits(rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> Column:
+    """Array of a row's findings by the local rules, over columns command, url, env and raw."""
+    known = typosquat.KNOWN_SERVERS if known is None else known
+    local = [r for r in rules if not r.network and r.phase == "static"]
+    each = F.array(*[_finding(r, _hit(r, known, max_distance)) for r in local])
+    return F.filter(each, lambda h: h["detail"].isNotNull())
+
+
 def _finding(r: Rule, hit: Column) -> Column:
     return F.struct(
         F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators.rules import CONFIDENCE_RANK, SEVERITY_RANK, rank
+from heddle.operators.rules import CONFIDENCE_RANK, SEVERITY_RANK, hits, rank
 
 # ---- fixed values: weights ----
 SEVERITY_WEIGHT = {"critical": 0.55, "high": 0.35, "medium": 0.15, "low": 0.05}
@@ -36,7 +36,8 @@ def score(findings: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     The product runs in rule order, so that its rounding is the same in any plan; halves
     round to even.
     """
-    one = dedupe_findings(findings, key)
+    # Only what the score needs is shuffled.
+    one = dedupe_findings(findings.select(key, "rule_id", "severity", "confidence"), key)
     mults = F.array_sort(F.collect_list(F.struct("rule_id", multiplier(F.col("severity"), F.col("confidence")).alias("m"))))
     left = F.aggregate(mults, F.lit(100.0), lambda a, x: a * x["m"])
     scored = one.groupBy(key).agg(left.alias("left"), F.count("*").alias("finding_count"))
@@ -45,6 +46,19 @@ def score(findings: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     )
 
 
+def score_rows(configs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with score and finding_count of each row by the local rules.
+
+    For rows that are a server each: a rule gives at most one finding per row, so nothing
+    has to be brought together and nothing is shuffled.
+    """
+    found = hits()
+    left = F.aggregate(found, F.lit(100.0), lambda a, x: a * multiplier(x["severity"], x["confidence"]))
+    return configs.select(*keep, F.struct(left.alias("left"), F.size(found).alias("n")).alias("f")).select(
+        *keep, F.least(F.greatest(F.rint("f.left"), F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"), F.col("f.n").alias("finding_count")
+    )
+
+
 def cascade(findings: DataFrame, key: str) -> DataFrame:
     """(key, step, rule_id, multiplier, before, after): worst severity and confidence first."""
     worst = F.struct(

@@ -111,8 +111,13 @@ def secret_rule_env(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def launch_score_board(spark: SparkSession, sf: str) -> DataFrame:
-    c = _launches(spark, sf)
-    return scoring.score(_findings(spark, sf), c, "server_id").join(c.select("server_id", "name"), "server_id")
+    return scoring.score_rows(_launches(spark, sf), ["server_id", "name"])
+
+
+def brand_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of brands over the findings of all their launches (few hot groups)."""
+    all_ = _launches(spark, sf).select("server_id", "brand")
+    return scoring.score(_findings(spark, sf).join(all_, "server_id"), all_, "brand")
 
 
 def score_cascade(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,7 +346,7 @@ def policy_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = """config_normalise registry_targets registry_type_union version_launch env_lines launch_identity config_findings rule_findings rule_details
-rule_totals secret_rule_env launch_score_board score_cascade dedupe_max_severity severity_rollup package_age provenance_findings
+rule_totals secret_rule_env launch_score_board brand_scores score_cascade dedupe_max_severity severity_rollup package_age provenance_findings
 typosquat_nearest typosquat_clusters lookalike_pairs lookalike_diffs latest_hash latest_score hash_change_ledger needs_rescan
 score_history_pairs newly_flagged snapshot_upsert poll_summary flagged_leaderboard browse_pages search_top20 server_slugs slug_collisions
 fnv_shards search_index feed_json feed_rss sitemap badges server_documents sarif text_report stratified_review allowlist_init

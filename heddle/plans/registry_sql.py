@@ -93,6 +93,8 @@ ORACLE_SQL = {
       SELECT config_id, hit FROM walk WHERE hit IS NOT NULL""",
     "launch_score_board": f"""WITH {_F}, s AS (SELECT server_id, 100.0::DOUBLE * product(m) AS p, count(*) AS n FROM weighed GROUP BY 1)
       SELECT l.server_id, l.name, CAST(round_even(CAST(coalesce(s.p, 100.0) AS DOUBLE), 0) AS INTEGER) AS score, CAST(coalesce(s.n, 0) AS INTEGER) AS finding_count FROM launches l LEFT JOIN s ON l.server_id = s.server_id""",
+    "brand_scores": f"""WITH {_F}, one AS (SELECT brand, rule_id, max(1 - m) AS d FROM weighed GROUP BY 1, 2), s AS (SELECT brand, 100.0::DOUBLE * product(1 - d) AS p, count(*) AS n FROM one GROUP BY 1)
+      SELECT b.brand, CAST(round_even(CAST(coalesce(s.p, 100.0) AS DOUBLE), 0) AS INTEGER) AS score, CAST(coalesce(s.n, 0) AS INTEGER) AS finding_count FROM (SELECT DISTINCT brand FROM launches) b LEFT JOIN s ON b.brand = s.brand""",
     "score_cascade": f"""WITH {_F}, o AS (SELECT *, row_number() OVER w AS step, 100.0::DOUBLE * product(m) OVER w AS after_ FROM weighed
        WINDOW w AS (PARTITION BY server_id ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, CASE confidence WHEN 'high' THEN 1 ELSE 2 END, rule_id ROWS UNBOUNDED PRECEDING))
       SELECT server_id, CAST(step AS INTEGER) AS step, rule_id, round(m, 6) AS multiplier, round(after_ / m, 6) AS before, round(after_, 6) AS after FROM o""",
