@@ -16,16 +16,18 @@ from heddle.session import materialise
 TYPES = ("boolean", "integer", "decimal", "string", "array", "object")
 #: The union schema is made by the driver from one row per field; wider feeds are refused.
 MAX_FIELDS = 10_000
+#: Files whose lines are read again are found by a broadcast up to this many, else by a shuffle.
+BROADCAST_FILES = 200_000
 
 
 def members(lines: DataFrame) -> DataFrame:
-    """(feed, file_id, exported_at, line_no, field, v, bit): top-level members of JSON objects.
+    """(feed, file_id, line_no, field, bit): top-level members of JSON objects.
 
-    v is the member as a VARIANT, bit its type's bit or 0 for null. Lines that are no JSON
+    bit is the bit of the member's type, 0 for null. Lines that are no JSON
     objects (broken, empty, null, other values) give nothing.
     """
     exploded = lines.sparkSession.tvf.variant_explode(F.col("p").outer())
-    out = _objects(lines).lateralJoin(exploded).select("feed", "file_id", "exported_at", "line_no", F.col("key").alias("field"), F.col("value").alias("v"))
+    out = _objects(lines).lateralJoin(exploded).select("feed", "file_id", "line_no", F.col("key").alias("field"), F.col("value").alias("v"))
     kind = F.schema_of_variant("v")
     bit = (
         F.when(kind == "VOID", 0)
@@ -36,7 +38,7 @@ def members(lines: DataFrame) -> DataFrame:
         .when(kind.startswith("ARRAY"), 16)
         .otherwise(32)
     )
-    return out.withColumn("bit", bit)
+    return out.select("feed", "file_id", "line_no", "field", bit.alias("bit"))
 
 
 def _objects(lines: DataFrame) -> DataFrame:
@@ -67,13 +69,9 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
     pairs would fit, the first in name order of each is taken, so that no field is used
     twice. Repeated lines change nothing.
     """
-    # Lines repeat and records are wide: members are parsed once, for schemas and values.
-    found = materialise(
-        members(lines).withColumn("hash", F.when(F.col("bit") > 0, F.xxhash64(F.to_json("v"), F.col("bit")))).withColumn("v", F.when(F.col("field") == key_field, F.col("v").cast("string")))
-    )
     w = Window.partitionBy("feed").orderBy("at", "file_id")
     pairs = materialise(
-        file_schemas(lines, found)
+        file_schemas(lines, members(lines))
         .withColumn("before", F.lag("fields").over(w))
         .withColumn("before_id", F.lag("file_id").over(w))
         .where("before_id IS NOT NULL")
@@ -83,7 +81,7 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
             F.array_except(F.map_keys("fields"), F.map_keys("before")).alias("came"),
         )
     )
-    renamed = _renames(found, pairs, key_field)
+    renamed = _renames(lines, pairs, key_field)
     out = pairs.join(renamed, ["feed", "file_id"], "left").withColumn("renames", F.coalesce("renames", F.array().cast("array<struct<a:string,b:string>>")))
     ren = F.transform("renames", lambda r: F.struct(F.lit("renamed").alias("kind"), r["a"].alias("a"), r["b"].alias("b")))
     gone = F.transform(F.array_except("gone", F.transform("renames", lambda r: r["a"])), lambda x: F.struct(F.lit("removed").alias("kind"), x.alias("a"), F.lit("").alias("b")))
@@ -100,24 +98,30 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
     )
 
 
-def _renames(found: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame:
+def _renames(lines: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame:
     """(feed, file_id, renames): for the later file of a pair its (a, b) renames.
 
-    Only values of fields that went or came are joined, by record.
+    Only lines of files in which fields went and came are read again, and only those fields'
+    values are kept, as hashes by record.
     """
-    keys = found.where((F.col("field") == key_field) & F.col("v").isNotNull()).select("feed", "file_id", "line_no", F.xxhash64("v").alias("k"))
-    values = found.where("hash IS NOT NULL").select("feed", "file_id", "line_no", "field", "hash")
     candidates = pairs.where("size(gone) > 0 AND size(came) > 0")
-
-    def side(file: str, fields: str, name: str) -> DataFrame:
-        wanted = candidates.select("feed", F.col("file_id").alias("later"), F.col(file).alias("file_id"), F.explode(fields).alias("field"))
-        got = values.join(wanted, ["feed", "file_id", "field"]).join(keys, ["feed", "file_id", "line_no"])
-        # Of several values of one record and field in a file, the last line's holds.
-        return got.groupBy("feed", "later", "k", "field").agg(F.max(F.struct("line_no", "hash"))["hash"].alias(f"h_{name}")).withColumnRenamed("field", name)
-
+    wanted = candidates.select("feed", F.col("before_id").alias("file_id"), F.col("file_id").alias("later"), F.lit(0).alias("side"), F.col("gone").alias("wanted")).unionByName(
+        candidates.select("feed", "file_id", F.col("file_id").alias("later"), F.lit(1).alias("side"), F.col("came").alias("wanted"))
+    )
+    hint = F.broadcast if 2 * candidates.count() <= BROADCAST_FILES else (lambda d: d)
+    # Variants of the same value print alike: members sorted, spacing and escapes gone.
+    texts = lines.where(F.col("payload").rlike(r"^\s*\{")).join(hint(wanted), ["feed", "file_id"])
+    record = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$['"), key_field, F.lit("']")))
+    rows = texts.select("feed", "later", "side", "wanted", "line_no", record.alias("r"), F.try_parse_json("payload").alias("p")).where("p IS NOT NULL AND r IS NOT NULL")
+    rows = rows.withColumn("k", F.xxhash64("r")).drop("r")
+    exploded = rows.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("p").outer())).where(F.array_contains("wanted", F.col("key")) & ~F.is_variant_null("value"))
+    values = exploded.select("feed", "later", "side", "line_no", "k", F.col("key").alias("field"), F.xxhash64(F.to_json("value"), F.schema_of_variant("value") == "STRING").alias("hash"))
+    # Of several values of one record and field in a file, the last line's holds.
+    held = values.groupBy("feed", "later", "side", "k", "field").agg(F.max(F.struct("line_no", "hash"))["hash"].alias("hash"))
+    side = lambda i, name: held.where(F.col("side") == i).select("feed", "later", "k", F.col("field").alias(name), F.col("hash").alias(f"h_{name}"))
     agree = (
-        side("before_id", "gone", "a")
-        .join(side("file_id", "came", "b"), ["feed", "later", "k"])
+        side(0, "a")
+        .join(side(1, "b"), ["feed", "later", "k"])
         .groupBy("feed", "later", "a", "b")
         .agg(F.min(F.col("h_a") == F.col("h_b")).alias("same"))
         .where("same")
