@@ -115,7 +115,35 @@ SELECT DISTINCT origin, record_id, relation, CAST(parent_pos AS BIGINT) AS paren
  UNION ALL SELECT origin, id, relation, pos, n FROM objs
  UNION ALL SELECT origin, id, 'choices', pos, n || '/' || q FROM picks WHERE json_type(z) <> 'NULL')"""
 
+_P2 = """WITH objs AS (SELECT feed, file_id, exported_at, line_no, payload AS p, payload ->> CASE WHEN feed LIKE '%/packages' THEN '$.identifier' ELSE '$.name' END AS rec FROM export_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ mem AS (SELECT o.feed, o.file_id, o.line_no, o.rec, e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 8 WHEN 'BOOLEAN' THEN 1 WHEN 'DOUBLE' THEN 4 WHEN 'ARRAY' THEN 16 WHEN 'OBJECT' THEN 32 WHEN 'NULL' THEN 0 ELSE 2 END AS bit, e.value AS value FROM objs o, json_each(o.p) e),
+ fields AS (SELECT feed, file_id, field, bit_or(bit) AS bits FROM mem GROUP BY 1, 2, 3),
+ files AS (SELECT feed, file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY at_, file_id) AS prev FROM (SELECT feed, file_id, max(exported_at) AS at_ FROM export_lines GROUP BY 1, 2)),
+ steps AS (SELECT * FROM files WHERE prev IS NOT NULL),
+ a AS (SELECT s.feed, s.file_id, f.field, f.bits FROM steps s JOIN fields f ON f.feed = s.feed AND f.file_id = s.prev),
+ b AS (SELECT s.feed, s.file_id, f.field, f.bits FROM steps s JOIN fields f ON f.feed = s.feed AND f.file_id = s.file_id),
+ gone AS (SELECT feed, file_id, field FROM a ANTI JOIN b USING (feed, file_id, field)), came AS (SELECT feed, file_id, field FROM b ANTI JOIN a USING (feed, file_id, field)),
+ vals AS (SELECT m.feed, m.file_id, m.rec, m.field, arg_max(m.bit || ' ' || (SELECT string_agg(t.fullkey || coalesce(CAST(t.atom AS VARCHAR), t.type), chr(10) ORDER BY t.fullkey) FROM json_tree(m.value) t), m.line_no) AS v
+   FROM mem m WHERE m.bit > 0 AND m.rec IS NOT NULL GROUP BY 1, 2, 3, 4),
+ fits AS (SELECT g.feed, g.file_id, g.field AS x, c.field AS y FROM gone g JOIN steps s USING (feed, file_id) JOIN came c USING (feed, file_id)
+   JOIN vals va ON va.feed = g.feed AND va.file_id = s.prev AND va.field = g.field JOIN vals vb ON vb.feed = g.feed AND vb.file_id = s.file_id AND vb.field = c.field AND vb.rec = va.rec
+   GROUP BY 1, 2, 3, 4 HAVING bool_and(va.v = vb.v)),
+ ren AS (SELECT * FROM fits)
+SELECT feed, file_id, 'renamed' AS change_kind, x AS field_before, y AS field_after FROM ren
+UNION ALL SELECT feed, file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (FROM ren r WHERE r.feed = g.feed AND r.file_id = g.file_id AND r.x = g.field)
+UNION ALL SELECT feed, file_id, 'added', '', field FROM came c WHERE NOT EXISTS (FROM ren r WHERE r.feed = c.feed AND r.file_id = c.file_id AND r.y = c.field)
+UNION ALL SELECT feed, file_id, 'retyped', field, field FROM a JOIN b USING (feed, file_id, field) WHERE a.bits <> b.bits"""
+_P5 = """WITH held AS (SELECT snapshot_no AS s, name, row_no, delisted_at, raw_json FROM server_snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_no, name ORDER BY row_no DESC) = 1),
+ leaves AS (SELECT h.s, h.name, string_agg(t.fullkey || ' ' || t.type || ' ' || coalesce(CAST(t.atom AS VARCHAR), ''), chr(10) ORDER BY t.fullkey) AS v FROM held h, json_tree(h.raw_json) t WHERE json_valid(h.raw_json) GROUP BY 1, 2),
+ state AS (SELECT h.s, h.name, h.delisted_at, CASE WHEN h.raw_json IS NULL THEN NULL ELSE coalesce(l.v, 'text ' || h.raw_json) END AS v FROM held h LEFT JOIN leaves l ON l.s = h.s AND l.name = h.name),
+ steps AS (SELECT s AS cur, lag(s) OVER (ORDER BY s) AS prev FROM (SELECT DISTINCT s FROM held)),
+ a AS (SELECT st.cur, x.* FROM steps st JOIN state x ON x.s = st.prev), b AS (SELECT st.cur, x.* FROM steps st JOIN state x ON x.s = st.cur WHERE st.prev IS NOT NULL)
+SELECT coalesce(a.cur, b.cur) AS snapshot_no, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM a FULL JOIN b ON a.cur = b.cur AND a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.delisted_at IS DISTINCT FROM b.delisted_at OR a.v IS DISTINCT FROM b.v"""
+
 ORACLE_SQL = {
+    "p2_found": _P2,
+    "p5_found": _P5,
     "p4_found": f"SELECT 'score' AS entity, entity_id, valid_from_us FROM ({_SCORES}) UNION ALL SELECT 'hash', entity_id, valid_from_us FROM ({_HASHES})",
     "p4_score_history": _SCORES,
     "p4_hash_history": _HASHES,
