@@ -126,9 +126,8 @@ def _sifted(df: DataFrame, key: str, text: str, sift: _Sift) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for start in range(0, len(texts), 2000):
-                row, pos, th, eh = sift.windows(texts[start : start + 2000])
+            for start in range(0, b.num_rows, 1000):  # few whole texts at a time
+                row, pos, th, eh = sift.windows(b.column(1).slice(start, 1000).to_pylist())
                 keys = b.column(0).take(pa.array(row + start))
                 yield pa.record_batch([keys, pa.array(pos.astype(np.int32)), pa.array(th.view(np.int64)), pa.array(eh.view(np.int64))], names=["key", "pos", "th", "eh"])
 

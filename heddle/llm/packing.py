@@ -51,7 +51,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
         encode = _encoder(tokenizer).encode_ordinary
         for b in batches:
             # Lone surrogates can't occur in Arrow's UTF-8.
-            sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
+            parts = (b.column(1).slice(k, 500).to_pylist() for k in range(0, b.num_rows, 500))
+            sizes = [len(encode(t)) if t else 0 for part in parts for t in part]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
     return spread(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long")

@@ -383,13 +383,12 @@ def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for start in range(0, len(texts), 500):
-                part = texts[start : start + 500]
+            for start in range(0, b.num_rows, 500):  # few whole texts at a time
+                ids, part = b.column(0).slice(start, 500), b.column(1).slice(start, 500).to_pylist()
                 spans = detector.detect(part)
                 yield pa.record_batch(
                     [
-                        ids.slice(start, len(part)).cast(pa.int64()),
+                        ids.cast(pa.int64()),
                         pa.array([t if not s else redact(t, s) for t, s in zip(part, spans, strict=True)], pa.string()),
                         pa.array([[{"pii_type": k, "pii_value": t[a:z], "start": a, "stop": z} for k, a, z in s] for t, s in zip(part, spans, strict=True)], _FOUND),
                     ],
