@@ -41,13 +41,16 @@ def package_spec(command: Column) -> Column:
     return F.when(at > 0, F.get(F.filter(tail, lambda x: ~x.startswith("-")), F.lit(0)))
 
 
-def package_name(command: Column) -> Column:
+def package_name_of(spec: Column) -> Column:
     """The spec without its version; a leading scope's @ is part of the name."""
-    return F.nullif(F.regexp_extract(package_spec(command), r"^(@[^/]*$|@[^/]*/[^@]*|[^@]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(spec, r"^(@[^/]*$|@[^/]*/[^@]*|[^@]*)", 1), F.lit(""))
+
+
+def package_name(command: Column) -> Column:
+    return package_name_of(package_spec(command))
 
 
-def package_version(command: Column) -> Column:
-    spec, name = package_spec(command), package_name(command)
+def package_version_of(spec: Column, name: Column) -> Column:
     return F.nullif(F.substr(spec, F.length(name) + 2), F.lit(""))
 
 
@@ -83,11 +86,11 @@ def oci_digest(ref: Column) -> Column:
     return F.when(F.contains(ref, F.lit("@sha256:")), F.concat(F.lit("sha256:"), F.substr(ref, F.instr(ref, "@sha256:") + 8)))
 
 
-def identity(name: Column, transport: Column, command: Column, url: Column, source: Column) -> Column:
+def identity_of(package: Column, image: Column, name: Column, transport: Column, url: Column, source: Column) -> Column:
     """Package, else image, else an http server's host, else the name, else the source."""
     host = F.when(transport == "http", F.lower(F.try_parse_url(url, F.lit("HOST"))))
     empty = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(package_name(command), oci_image_name(oci_image_ref(command)), empty(host), empty(name), source)
+    return F.coalesce(package, oci_image_name(image), empty(host), empty(name), source)
 
 
 def argument_tokens(text: Column) -> Column:

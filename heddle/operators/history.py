@@ -81,7 +81,7 @@ def version_history(
     table gives an empty result; other columns are ignored, whatever their names.
     """
     obs = df.select(
-        F.col(f"`{entity}`").alias("e"), F.unix_micros(F.col(f"`{at}`")).alias("t"), F.col(f"`{order}`").alias("o"), value.alias("v")
+        F.col(f"`{entity}`").alias("e"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")).alias("t"), F.col(f"`{order}`").alias("o"), value.alias("v")
     ).where(F.col("e").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull())
     segments = _hot_segments(obs, segment_rows)
     if segments is None:

@@ -13,13 +13,18 @@ COLUMNS = ("kind", "server", "rule_id", "severity", "detail")
 
 
 def identified(configs: DataFrame) -> DataFrame:
-    """configs with identity, resolved_version and resolved_digest."""
-    c = F.col
-    return configs.select(
-        "*",
-        launch.identity(c("name"), c("transport"), c("command"), c("url"), c("source")).alias("identity"),
-        launch.package_version(c("command")).alias("resolved_version"),
-        launch.oci_digest(launch.oci_image_ref(c("command"))).alias("resolved_digest"),
+    """configs with identity, resolved_version, resolved_digest, package and image_ref."""
+    c, kept = F.col, configs.columns
+    # Each part is a column of its own projection, computed once however often it is read.
+    parts = configs.select("*", launch.package_spec(c("command")).alias("i__spec"), launch.oci_image_ref(c("command")).alias("i__image"))
+    parts = parts.withColumn("i__package", launch.package_name_of(c("i__spec")))
+    return parts.select(
+        *kept,
+        launch.identity_of(c("i__package"), c("i__image"), c("name"), c("transport"), c("url"), c("source")).alias("identity"),
+        launch.package_version_of(c("i__spec"), c("i__package")).alias("resolved_version"),
+        launch.oci_digest(c("i__image")).alias("resolved_digest"),
+        c("i__package").alias("package"),
+        c("i__image").alias("image_ref"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import launch
 from heddle.operators import typosquat
+from heddle.session import spread
 
 
 @dataclass(frozen=True)
@@ -93,9 +94,8 @@ def _advance(state: Column, match: Column, text: Column, allow_if: str) -> Colum
     return F.struct((at + F.length(match)).cast("int").alias("at"), F.when(ok, match).otherwise(state["hit"]).alias("hit"))
 
 
-def oci_pin(command: Column) -> Column:
+def oci_pin(ref: Column) -> Column:
     """Detail of an image that is neither pinned by digest nor by a version tag; else null."""
-    ref = launch.oci_image_ref(command)
     tag = launch.oci_tag(ref)
     return F.when(
         ref.isNotNull() & ~F.contains(ref, F.lit("@sha256:")),
@@ -105,15 +105,33 @@ def oci_pin(command: Column) -> Column:
     )
 
 
-def _hit(rule: Rule, known: list[str], max_distance: int) -> Column:
-    command = F.col("command")
+def _hit(rule: Rule) -> Column:
     if rule.check == "typosquat":
-        name = launch.package_name(command)
-        near = typosquat.nearest_known(name, known, max_distance)
-        return F.when(near.isNotNull(), F.format_string('package "%s" is %d edit(s) from "%s"', name, near["distance"], near["known"]))
-    text = {"command": launch.command_text(command), "url": F.coalesce("url", F.lit("")), "env": launch.env_text(F.col("env")), "raw": launch.raw_text(F.col("raw"))}[rule.target]
-    hit = first_allowed_match(text, rule.pattern, rule.allow_if)
-    return F.coalesce(hit, oci_pin(command)) if rule.also == "oci_pin" else hit
+        near = F.col("t__near")
+        return F.when(near.isNotNull(), F.format_string('package "%s" is %d edit(s) from "%s"', F.col("t__package"), near["distance"], near["known"]))
+    hit = first_allowed_match(F.col(f"t__{rule.target}"), rule.pattern, rule.allow_if)
+    return F.coalesce(hit, oci_pin(F.col("t__image"))) if rule.also == "oci_pin" else hit
+
+
+def with_hits(configs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> DataFrame:
+    """``keep`` and hits: an array of a finding per local rule, with a null detail where it is silent.
+
+    Texts, package and image are columns of a projection below, so that each is computed
+    once per row however many rules read it. A CPU-bound stage without any exchange.
+    """
+    known = typosquat.KNOWN_SERVERS if known is None else known
+    local = [r for r in rules if not r.network and r.phase == "static"]
+    c = F.col
+    base = spread(configs).select(
+        *keep, launch.command_text(c("command")).alias("t__command"), F.coalesce("url", F.lit("")).alias("t__url"), launch.env_text(c("env")).alias("t__env"), launch.raw_text(c("raw")).alias("t__raw"),
+        launch.package_name(c("command")).alias("t__package"), launch.oci_image_ref(c("command")).alias("t__image"),
+    ).withColumn("t__near", typosquat.nearest_known(c("t__package"), known, max_distance))
+    each = F.array(*[_finding(r, _hit(r)) for r in local])
+    return base.select(*keep, each.alias("hits"))
+
+
+def fired(hits: Column) -> Column:
+    return F.filter(hits, lambda h: h["detail"].isNotNull())
 
 
 def evaluate(configs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> DataFrame:
@@ -123,21 +141,13 @@ def evaluate(configs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, know
     ``evaluate_metadata``. Null fields have nothing to match. Extra columns are ignored.
     """
     at = F.concat(F.coalesce("source", F.lit("")), F.lit(" :: "), F.coalesce("name", F.lit("")))
-    return (
-        configs.select(F.col(key), at.alias("location"), hits(rules, known, max_distance).alias("h"))
-        .select(key, "location", F.inline("h"))
-        .select(key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail"))
+    found = with_hits(configs.withColumn("t__at", at), [key, "t__at"], rules, known, max_distance)
+    # Exploding a plain column would add a filter on its size that runs all rules once more.
+    return found.select(key, F.col("t__at").alias("location"), F.inline(fired(F.col("hits")))).select(
+        key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail")
     )
 
 
-def hits(rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> Column:
-    """Array of a row's findings by the local rules, over columns command, url, env and raw."""
-    known = typosquat.KNOWN_SERVERS if known is None else known
-    local = [r for r in rules if not r.network and r.phase == "static"]
-    each = F.array(*[_finding(r, _hit(r, known, max_distance)) for r in local])
-    return F.filter(each, lambda h: h["detail"].isNotNull())
-
-
 def _finding(r: Rule, hit: Column) -> Column:
     return F.struct(
         F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
@@ -180,9 +190,9 @@ def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Co
     days = F.floor((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp("created_at"))) / 86_400_000_000)
     age = F.when(days <= max_age_days, F.format_string('package "%s" was first published %d day(s) ago', F.col("pkg"), days))
     by_check = {"provenance": provenance, "install_script": install, "registry_age": age}
-    hits = F.array(*[_finding(r, by_check[r.check]) for r in RULES if r.network])
+    found = F.array(*[_finding(r, by_check[r.check]) for r in RULES if r.network])
     at = F.concat(F.coalesce("source", F.lit("")), F.lit(" :: "), F.coalesce("name", F.lit("")))
-    return rows.select(key, at.alias("location"), F.inline(F.filter(hits, lambda h: h["detail"].isNotNull()))).select(
+    return rows.select(key, at.alias("location"), F.inline(fired(found))).select(
         key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail")
     )
 

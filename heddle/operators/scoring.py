@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators.rules import CONFIDENCE_RANK, SEVERITY_RANK, hits, rank
+from heddle.operators.rules import CONFIDENCE_RANK, SEVERITY_RANK, fired, rank, with_hits
 
 # ---- fixed values: weights ----
 SEVERITY_WEIGHT = {"critical": 0.55, "high": 0.35, "medium": 0.15, "low": 0.05}
@@ -52,10 +52,9 @@ def score_rows(configs: DataFrame, keep: list[str]) -> DataFrame:
     For rows that are a server each: a rule gives at most one finding per row, so nothing
     has to be brought together and nothing is shuffled.
     """
-    found = hits()
-    left = F.aggregate(found, F.lit(100.0), lambda a, x: a * multiplier(x["severity"], x["confidence"]))
-    return configs.select(*keep, F.struct(left.alias("left"), F.size(found).alias("n")).alias("f")).select(
-        *keep, F.least(F.greatest(F.rint("f.left"), F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"), F.col("f.n").alias("finding_count")
+    left = F.aggregate("hits", F.lit(100.0), lambda a, x: a * multiplier(x["severity"], x["confidence"]))
+    return with_hits(configs, keep).select(*keep, fired(F.col("hits")).alias("hits")).select(
+        *keep, F.least(F.greatest(F.rint(left), F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"), F.size("hits").alias("finding_count")
     )
 
 

@@ -64,10 +64,8 @@ def env_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def launch_identity(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col
     rows = policy.identified(_configs(spark, sf))
-    ref = launch.oci_image_ref(c("command"))
-    return rows.select("config_id", launch.package_name(c("command")).alias("package"), "resolved_version", ref.alias("image_ref"), launch.oci_image_name(ref).alias("image"), "resolved_digest", "identity")
+    return rows.select("config_id", "package", "resolved_version", "image_ref", launch.oci_image_name(F.col("image_ref")).alias("image"), "resolved_digest", "identity")
 
 
 # ------------------------------------------------------------------ rules, findings, scores
@@ -200,6 +198,21 @@ def hash_change_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return state.change_ledger(table(spark, sf, "hashes"), "version_id", "observed_at", "id", "sha256").select("version_id", "id", "sha256")
 
 
+def latest_event_per_user(spark: SparkSession, sf: str) -> DataFrame:
+    return state.latest(table(spark, sf, "events"), "user_id", "ts", "event_id", ["event_id", "event_type", "value"])
+
+
+def latest_ok_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as scans: the latest of each user that is no error."""
+    return state.latest(table(spark, sf, "events").where("event_type <> 'error'"), "user_id", "ts", "event_id", ["event_id", "event_type"])
+
+
+def event_change_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as observations of a digest: appended only where it differs from the last."""
+    e = table(spark, sf, "events").withColumn("sha", F.concat(F.lit("h"), (F.get_json_object("props", "$.k").cast("long") % 3).cast("string")))
+    return state.change_ledger(e, "user_id", "ts", "event_id", "sha").select("user_id", "event_id", "sha")
+
+
 def needs_rescan(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "versions").where("is_latest AND delisted_at IS NULL").select(F.col("id").alias("version_id"), "server_id")
     scans = v.join(table(spark, sf, "server_scores").groupBy("server_id").agg(F.max("computed_at").alias("scanned_at")), "server_id").select("version_id", "scanned_at")
@@ -347,7 +360,7 @@ def policy_report(spark: SparkSession, sf: str) -> DataFrame:
 
 _NAMES = """config_normalise registry_targets registry_type_union version_launch env_lines launch_identity config_findings rule_findings rule_details
 rule_totals secret_rule_env launch_score_board brand_scores score_cascade dedupe_max_severity severity_rollup package_age provenance_findings
-typosquat_nearest typosquat_clusters lookalike_pairs lookalike_diffs latest_hash latest_score hash_change_ledger needs_rescan
+typosquat_nearest typosquat_clusters lookalike_pairs lookalike_diffs latest_hash latest_score latest_event_per_user latest_ok_scan event_change_ledger hash_change_ledger needs_rescan
 score_history_pairs newly_flagged snapshot_upsert poll_summary flagged_leaderboard browse_pages search_top20 server_slugs slug_collisions
 fnv_shards search_index feed_json feed_rss sitemap badges server_documents sarif text_report stratified_review allowlist_init
 allowlist_unlisted version_drift blocked_registry baseline_new_findings policy_report""".split()

@@ -116,6 +116,10 @@ ORACLE_SQL = {
     "latest_score": "SELECT server_id, score, finding_count, id FROM server_scores QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY computed_at DESC, id DESC) = 1",
     "hash_change_ledger": """SELECT version_id, id, sha256 FROM (SELECT *, lag(sha256) OVER w AS b, row_number() OVER w AS r FROM (SELECT DISTINCT version_id, id, sha256, observed_at FROM hashes WHERE sha256 IS NOT NULL)
       WINDOW w AS (PARTITION BY version_id ORDER BY observed_at, id)) WHERE r = 1 OR b IS DISTINCT FROM sha256""",
+    "latest_event_per_user": "SELECT user_id, event_id, event_type, value FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "latest_ok_scan": "SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "event_change_ledger": """SELECT user_id, event_id, sha FROM (SELECT *, lag(sha) OVER w AS b, row_number() OVER w AS r FROM (SELECT user_id, event_id, ts, 'h' || (CAST(props ->> '$.k' AS BIGINT) % 3) AS sha FROM events WHERE props ->> '$.k' IS NOT NULL)
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r = 1 OR b <> sha""",
     "needs_rescan": """WITH sc AS (SELECT server_id, max(computed_at) AS a FROM server_scores GROUP BY 1), h AS (SELECT version_id, max(observed_at) AS b FROM hashes GROUP BY 1)
       SELECT v.id AS version_id FROM versions v LEFT JOIN sc ON sc.server_id = v.server_id LEFT JOIN h ON h.version_id = v.id WHERE v.is_latest AND v.delisted_at IS NULL AND (a IS NULL OR b > a)""",
     "score_history_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
