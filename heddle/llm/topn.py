@@ -102,7 +102,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_keys: Sequence[st
 def _number(rows: DataFrame, name: str) -> Column:
     """A monotone number of an integer or time column; other types give null (no second histogram)."""
     kind = dict(rows.dtypes)[name]
-    if kind in ("timestamp", "date"):
+    if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.col(name).cast("double")
