@@ -140,6 +140,33 @@ def _type_text(bits: Column) -> Column:
     return F.coalesce(F.array_join(names, "|"), F.lit(""))
 
 
+def rename_map(lines: DataFrame, key_field: Column) -> dict[str, str]:
+    """Names that mean one field, by the renames seen: {name: name kept}.
+
+    Renames link names into groups; the name kept is that of most files, of equal ones the
+    first. A group of which one file has two names is left apart: they aren't one field
+    everywhere. The driver gets distinct pairs of names only, bounded by MAX_FIELDS.
+    """
+    seen = schema_changes(lines, key_field).where("change_kind = 'renamed'").select("field_before", "field_after").distinct().limit(MAX_FIELDS + 1).collect()
+    if len(seen) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} renames")
+    group: dict[str, set[str]] = {}
+    for a, b in sorted(map(tuple, seen)):
+        both = group.get(a, {a}) | group.get(b, {b})
+        for name in both:
+            group[name] = both
+    if not group:
+        return {}
+    known = members(lines).where(F.col("field").isin(list(group))).select("feed", "file_id", "field").distinct()
+    files = {r["field"]: r["count"] for r in known.groupBy("field").count().collect()}
+    keep = {name: min(both, key=lambda n: (-files.get(n, 0), n)) for name, both in group.items()}
+    # Groups whose names meet in a file.
+    to_kept = F.create_map(*[F.lit(x) for pair in sorted(keep.items()) for x in pair])
+    met = known.groupBy("feed", "file_id", F.element_at(to_kept, F.col("field")).alias("kept")).agg(F.count("*").alias("n"))
+    apart = {r["kept"] for r in met.where("n > 1").select("kept").distinct().collect()}
+    return {name: k for name, k in keep.items() if k not in apart and name != k}
+
+
 def promoted(bits: int) -> str:
     """Least type of the lattice boolean, integer < decimal; all < string that holds ``bits``.
 

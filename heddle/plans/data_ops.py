@@ -23,12 +23,18 @@ def p2_schema_log(spark: SparkSession, sf: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf, "export_lines"), _record_key())
 
 
+def _one_table(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """A kind's lines as one table; a field that mirrors call by several names is one column."""
+    lines = table(spark, sf, "export_lines").where(F.col("feed").endswith("/" + kind))
+    return drift.unified_table(lines, drift.rename_map(lines, _record_key()))
+
+
 def p2_packages_table(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.unified_table(table(spark, sf, "export_lines").where(F.col("feed").endswith("/packages")))
+    return _one_table(spark, sf, "packages")
 
 
 def p2_index_table(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.unified_table(table(spark, sf, "export_lines").where(F.col("feed").endswith("/index")))
+    return _one_table(spark, sf, "index")
 
 
 def _score_history(spark: SparkSession, sf: str) -> DataFrame:

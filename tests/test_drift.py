@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from heddle.operators.drift import promoted, schema_changes, unified_table
+from heddle.operators.drift import promoted, rename_map, schema_changes, unified_table
 
 SCHEMA = "file_id long, feed string, file_name string, exported_at timestamp, line_no int, payload string, field string, v string, bit int"
 DAY = datetime(2024, 1, 1)
@@ -57,3 +57,13 @@ def test_unified_table_promotes_and_keeps_clashing_names(spark):
 
 def test_lattice():
     assert [promoted(b) for b in (0, 1, 2, 4, 6, 8, 3, 16, 32, 10)] == ["string", "boolean", "bigint", "double", "double", "string", "string", "string", "string", "string"]
+
+
+def test_renamed_fields_share_a_column_unless_they_meet_in_a_file(spark):
+    files = [(1, 0, ['{"name":"a","x":1,"u":5}']), (2, 1, ['{"name":"a","y":1,"u":5}']), (3, 2, ['{"name":"a","z":1,"v":5}']), (4, 3, ['{"name":"a","z":2.5,"u":6,"v":5}'])]
+    df = lines(spark, files)
+    names = rename_map(df, F.lit("name"))
+    assert names == {"y": "x", "z": "x"}
+    out = unified_table(df, names)
+    assert [c for c in out.columns if c in "xyzuv"] == ["u", "v", "x"] and sorted(r["x"] for r in out.collect()) == [1.0, 1.0, 1.0, 2.5]
+    assert rename_map(lines(spark, []), F.lit("name")) == {}
