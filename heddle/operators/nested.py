@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import spread
+from heddle.session import python_input
 
 CHUNK_BYTES = 16 << 20
 SCHEMA = "origin string, record_id long, relation string, parent_pos long, item_key string, value string"
@@ -338,7 +338,7 @@ def flatten(df: DataFrame, origin: str, record_id: str, text: str) -> DataFrame:
         for b in batches:
             yield from flatten_batch(origin, b.column(0), b.column(1))
 
-    return spread(df.select(F.col(f"`{record_id}`").cast("long").alias("record_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
+    return python_input(df.select(F.col(f"`{record_id}`").cast("long").alias("record_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def relation_table(flat: DataFrame, relation: str) -> DataFrame:

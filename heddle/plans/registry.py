@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import launch
 from heddle.functions.python_udfs import edit_script
 from heddle.operators import policy, publish, rules, scoring, state, typosquat
-from heddle.session import table
+from heddle.session import ship, table
 from heddle.sources import configs
 
 SITE = "https://registry.example"
@@ -180,6 +180,7 @@ def lookalike_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lookalike_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
     return lookalike_pairs(spark, sf).select("a", "b", edit_script("a", "b").alias("steps"))
 
 

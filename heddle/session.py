@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,5 +53,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per Spark context.
+
+    Executors need not have it on their path: it is zipped into the shared folder of
+    ``spark.checkpoint.dir`` (a temporary one only where that is unset) and added as a Python
+    file. Call it before a Python function is put into a plan.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_heddle_shipped", False):
+        return
+    root, buf = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
+    data = buf.getvalue()
+    name = f"heddle-{hashlib.sha256(data).hexdigest()[:12]}.zip"
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    path = f"{shared.rstrip('/')}/{name}" if shared else f"{tempfile.mkdtemp(prefix='heddle-')}/{name}"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(data))
+    out.close()
+    sc.addPyFile(path)
+    sc._heddle_shipped = True
+
+
+def python_input(df: DataFrame) -> DataFrame:
+    """``df`` as the input of a Python stage: package shipped, few splits dealt out."""
+    ship(df.sparkSession)
+    return spread(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

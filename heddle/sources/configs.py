@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import launch
 from heddle.functions.python_udfs import shell_words
+from heddle.session import ship
 
 # ---- fixed values: where clients keep their configuration ----
 PROJECT_FILES = (".mcp.json", "mcp.json", ".cursor/mcp.json", ".vscode/mcp.json", "opencode.jsonc", "opencode.json")
@@ -30,6 +31,7 @@ def normalise_entries(entries: DataFrame, raw: str = "raw") -> DataFrame:
     command is a list or a shell line, followed by args; env may be called environment and
     its values become strings; entries without a type are remote if they have a url. Entries that are no JSON objects get empty fields.
     """
+    ship(entries.sparkSession)
     get = lambda p: F.get_json_object(raw, f"$.{p}")
     strings = lambda c: F.coalesce(F.from_json(F.when(F.ltrim(c).startswith("["), c), "array<string>"), F.array().cast("array<string>"))
     line = get("command")
