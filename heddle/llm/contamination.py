@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import spread
+from heddle.session import python_input
 
 WINDOW = 13
 #: Test windows up to this many are broadcast (about 40 bytes each) and their hashes and words
@@ -132,7 +132,7 @@ def _sifted(df: DataFrame, key: str, text: str, sift: _Sift) -> DataFrame:
                 yield pa.record_batch([keys, pa.array(pos.astype(np.int32)), pa.array(th.view(np.int64)), pa.array(eh.view(np.int64))], names=["key", "pos", "th", "eh"])
 
     kind = dict(df.dtypes)[key]
-    return spread(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")).mapInArrow(
+    return python_input(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")).mapInArrow(
         run, f"key {kind}, pos int, th long, eh long"
     )
 

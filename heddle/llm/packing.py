@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.session import materialise, spread
+from heddle.session import materialise, python_input
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public word-splitting pattern of that vocabulary.
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
             sizes = [len(encode(t)) if t else 0 for part in parts for t in part]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return spread(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long")
+    return python_input(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 class _Left:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.gbdt import Boosted, threshold
-from heddle.session import spread
+from heddle.session import python_input
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 #: Labelled sentences the models are fitted on: a fixed number, whatever the data.
@@ -395,7 +395,7 @@ def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str
                     schema=_OUT,
                 )
 
-    return spread(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
+    return python_input(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def cases(scanned: DataFrame) -> DataFrame:
