@@ -20,6 +20,9 @@ MAX_FIELDS = 10_000
 BROADCAST_FILES = 200_000
 
 
+_LINE = ("feed", "file_id", "exported_at", "line_no", "payload")
+
+
 def members(lines: DataFrame) -> DataFrame:
     """(feed, file_id, line_no, field, bit): top-level members of JSON objects.
 
@@ -69,6 +72,7 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
     pairs would fit, the first in name order of each is taken, so that no field is used
     twice. Repeated lines change nothing.
     """
+    lines = lines.select(*_LINE)  # whatever other columns are called
     w = Window.partitionBy("feed").orderBy("at", "file_id")
     pairs = materialise(
         file_schemas(lines, members(lines))

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from heddle.operators.drift import promoted, rename_map, schema_changes, unified_table
 
-SCHEMA = "file_id long, feed string, file_name string, exported_at timestamp, line_no int, payload string, field string, v string, bit int"
+SCHEMA = "file_id long, feed string, file_name string, exported_at timestamp, line_no int, payload string, field string, v string, wanted int, later int, side int, at int, key int"
 DAY = datetime(2024, 1, 1)
 
 
 def lines(spark, files):
     rows = []
     for fid, day, payloads in files:
-        rows += [(fid, "m/index", "f", DAY + timedelta(days=day), i, p, "x", "y", 1) for i, p in enumerate(payloads)]
+        rows += [(fid, "m/index", "f", DAY + timedelta(days=day), i, p, "x", "y", 1, 1, 1, 1, 1) for i, p in enumerate(payloads)]
     return spark.createDataFrame(rows, SCHEMA)
 
 

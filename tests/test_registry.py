@@ -192,6 +192,18 @@ def test_slugs_shards_and_links(spark):
     assert [r[0] for r in df.select(launch.href("/s/", F.col("name"))).collect()][3:5] == ["/s/%C3%A9%20x", "/s/@s/p"]
 
 
+def test_sharded_write_and_snapshot_store(spark, tmp_path):
+    from heddle.sources.snapshots import SnapshotStore
+
+    df = spark.createDataFrame([(f"n{i}", "{}") for i in range(300)], "name string, document string")
+    publish.write_sharded(df, "name", str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == 300 and back.where(F.col("shard") != launch.shard(F.col("name"))).count() == 0
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    assert store.version() == 0 and store.current() is None
+    assert store.commit(df) == 1 and store.commit(df.limit(3)) == 2 and store.current().count() == 3
+
+
 def test_upsert_lifecycle(spark):
     t = [datetime(2025, 1, d) for d in (1, 2, 3)]
     poll = lambda *n: spark.createDataFrame([(x, a) for x, a in n], "name string, a string")
