@@ -134,7 +134,7 @@ def severity_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def package_age(spark: SparkSession, sf: str) -> DataFrame:
-    days = F.floor((F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros("published_at")) / 86_400_000_000)
+    days = F.floor((F.unix_micros(F.lit(NOW + "Z").cast("timestamp")) - F.unix_micros("published_at")) / 86_400_000_000)
     return table(spark, sf, "versions").select("id", days.cast("long").alias("age_days")).where("age_days <= 30")
 
 
@@ -149,7 +149,7 @@ def provenance_findings(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.max("repository_url").alias("repository"), F.min("published_at").cast("string").alias("created_at"))
         .select("ecosystem", "package", F.lit(False).alias("unpublished"), "repository", none_map.alias("project_urls"), F.col("repository").alias("home_page"), none_map.alias("scripts"), "created_at")
     )
-    out = rules.evaluate_metadata(c.withColumn("source", F.lit("registry")), "version_id", meta, F.lit(NOW).cast("timestamp"))
+    out = rules.evaluate_metadata(c.withColumn("source", F.lit("registry")), "version_id", meta, F.lit(NOW + "Z").cast("timestamp"))
     return out.select("version_id", "rule_id", "severity")
 
 
@@ -234,7 +234,7 @@ def _upsert(spark: SparkSession, sf: str) -> DataFrame:
         "name", "x.row_no", "x.raw_json", F.col("x.snapshot_at").alias("first_seen_at"), F.col("x.snapshot_at").alias("last_seen_at"), "x.delisted_at"
     )
     poll = snaps.where("snapshot_no = 2").select("name", "row_no", "raw_json")
-    return state.upsert(first, poll, ["name"], ["row_no", "raw_json"], F.lit(NOW).cast("timestamp"))
+    return state.upsert(first, poll, ["name"], ["row_no", "raw_json"], F.lit(NOW + "Z").cast("timestamp"))
 
 
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
