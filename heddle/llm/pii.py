@@ -37,6 +37,7 @@ _DOT = r"(?:\.|\s?\[\s?dot\s?\]\s?|\s?\(\s?dot\s?\)\s?|\s(?:DOT|dot)\s)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9_%+'-]|\.(?=[A-Za-z0-9]))*{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9-]*[A-Za-z0-9@])", re.I)
 _ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]|\s(?:AT|at)\s", re.I)
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9_%+'.-]*\s?$")
+_DIGITS = re.compile(r"(?:\d[ ()./-]{0,3}){6,}")
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,6})?"
 PHONE = re.compile(
     r"(?<![\w+./:(-])(?:"
@@ -53,7 +54,7 @@ ID_NUMBER = re.compile(
     r"|\d{3}([- ])\d{2}\1\d{4}"
     r"|\d{2} \d{3} \d{3} \d{3}|[0-9]{11}"
     r"|[A-Z]{1,2}[0-9]{6,8}|[XYZ]?\d{7,8}-?[A-Z]"
-    r"|\d{4}-\d{4}-\d{2}|[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{5,9}"
+    r"|\d{4}-\d{4}-\d{2}|[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{6,9}"
     r")(?![\w@]|[.-]\d)"
 )
 _STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Close|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Crescent|Gardens|Grove|Mews|Row|Walk|Hill|Parkway|Pkwy)\b\.?"
@@ -130,8 +131,12 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         whole = local and EMAIL.match(text, local.start())
         if whole and whole.end() > anchor.start():
             out.append(("email", *whole.span()))
-    out += [("phone", *s) for s in _spans(PHONE, text)]
-    out += [("id_number", *s) for s in _spans(ID_NUMBER, text)]
+    numbers = set()
+    for zone in _DIGITS.finditer(text):  # numbers only where six digits are close together
+        a, b = max(0, zone.start() - 4), min(len(text), zone.end() + 20)
+        for kind, pattern in (("phone", PHONE), ("id_number", ID_NUMBER)):
+            numbers |= {(kind, *m.span()) for m in pattern.finditer(text, a, b)}
+    out += sorted(numbers, key=lambda n: n[1:])
     out += [("address", *s) for s in _spans(ADDRESS, text)]
     for a, b in _spans(NAME_FORWARD, text, 1):
         out.append(("person", a, b))
