@@ -98,7 +98,7 @@ _PERIODS = """SELECT entity_id, valid_from_us, lead(valid_from_us) OVER (PARTITI
   WINDOW w AS (PARTITION BY entity_id ORDER BY valid_from_us)) WHERE r = 1 OR value <> before"""
 _SCORES = _PERIODS.format(e="server_id", t="computed_at", v="score", table="server_scores", where="score IS NOT NULL")
 _HASHES = _PERIODS.format(e="version_id", t="observed_at", v="lower(sha256)", table="hashes", where="sha256 <> ''")
-_P6 = """WITH decoded AS (
+_P6_WITH = """WITH decoded AS (
   SELECT entry_id AS id, CASE WHEN json_type(raw_json) = 'VARCHAR' THEN raw_json ->> '$' ELSE raw_json END AS d FROM registry_entries WHERE json_valid(raw_json)),
  ok AS (SELECT id, d FROM decoded WHERE json_valid(d)),
  lists AS (SELECT id, 'packages' AS relation, json_extract(d, '$.server.packages') AS l FROM ok UNION ALL SELECT id, 'remotes', json_extract(d, '$.server.remotes') FROM ok),
@@ -113,7 +113,8 @@ _P6 = """WITH decoded AS (
  maps AS (SELECT origin, relation, id, pos, unnest(json_keys(l)) AS k FROM named WHERE json_type(l) = 'OBJECT'),
  items AS (SELECT origin, relation, id, pos, json_extract(l, '$[' || j || ']') AS o FROM (SELECT *, unnest(range(json_array_length(l)::BIGINT)) AS j FROM named WHERE json_type(l) = 'ARRAY')),
  objs AS (SELECT *, o ->> '$.name' AS n, json_extract(o, '$.choices') AS c FROM items WHERE json_type(o) = 'OBJECT' AND json_type(o, '$.name') = 'VARCHAR' AND o ->> '$.name' <> ''),
- picks AS (SELECT origin, id, pos, n, q, json_extract(c, '$[' || q || ']') AS z FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS q FROM objs WHERE relation = 'env' AND json_type(c) = 'ARRAY'))
+ picks AS (SELECT origin, id, pos, n, q, json_extract(c, '$[' || q || ']') AS z FROM (SELECT *, unnest(range(json_array_length(c)::BIGINT)) AS q FROM objs WHERE relation = 'env' AND json_type(c) = 'ARRAY'))"""
+_P6 = _P6_WITH + """
 SELECT DISTINCT origin, record_id, relation, CAST(parent_pos AS BIGINT) AS parent_pos, item_key FROM (
  SELECT 'registry_entries' AS origin, id AS record_id, relation, -1 AS parent_pos, CAST(i AS VARCHAR) AS item_key FROM top
  UNION ALL SELECT 'registry_entries', id, relation, i, CAST(j AS VARCHAR) FROM args WHERE json_type(a) = 'VARCHAR' OR (json_type(a) = 'OBJECT' AND (coalesce(a ->> '$.name', '') <> '' OR a ->> '$.value' IS NOT NULL))
@@ -121,6 +122,17 @@ SELECT DISTINCT origin, record_id, relation, CAST(parent_pos AS BIGINT) AS paren
  UNION ALL SELECT origin, id, relation, pos, n FROM objs
  UNION ALL SELECT origin, id, 'choices', pos, n || '/' || q FROM picks WHERE json_type(z) <> 'NULL')"""
 
+
+def _p6_sql(source: str, where: str, origin: str, pos: str, key: str, x: str, members: tuple[str, ...]) -> str:
+    """One relation as a flat table; a value that is no object stands in scalar."""
+    cols = ", ".join(f"CASE WHEN json_type({x}) = 'OBJECT' THEN {x} ->> '$.{m}' END AS \"{m + '_' if m == 'value' else m}\"" for m in members)
+    return f"{_P6_WITH} SELECT {origin} AS origin, id AS record_id, CAST({pos} AS BIGINT) AS parent_pos, {key} AS item_key, {cols}, CASE WHEN json_type({x}) <> 'OBJECT' THEN {x} ->> '$' END AS scalar FROM {source} WHERE {where}"
+
+
+_TEXT_I, _TEXT_J, _ENTRIES = "CAST(i AS VARCHAR)", "CAST(j AS VARCHAR)", "'registry_entries'"
+_ARG = "relation = '{r}' AND (json_type(a) = 'VARCHAR' OR (json_type(a) = 'OBJECT' AND (coalesce(a ->> '$.name', '') <> '' OR a ->> '$.value' IS NOT NULL)))"
+_MAPPED = "(SELECT m.origin, m.relation, m.id, m.pos, m.k AS n, json_extract(d.l, '$.\"' || m.k || '\"') AS o FROM maps m JOIN named d ON d.origin = m.origin AND d.relation = m.relation AND d.id = m.id AND d.pos = m.pos UNION ALL SELECT origin, relation, id, pos, n, o FROM objs)"
+
 _P2 = """WITH objs AS (SELECT feed, file_id, exported_at, line_no, payload AS p, payload ->> CASE WHEN feed LIKE '%/packages' THEN '$.identifier' ELSE '$.name' END AS rec FROM export_lines WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
  mem AS (SELECT o.feed, o.file_id, o.line_no, o.rec, e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 8 WHEN 'BOOLEAN' THEN 1 WHEN 'DOUBLE' THEN 4 WHEN 'ARRAY' THEN 16 WHEN 'OBJECT' THEN 32 WHEN 'NULL' THEN 0 ELSE 2 END AS bit, e.value AS value FROM objs o, json_each(o.p) e),
  fields AS (SELECT feed, file_id, field, bit_or(bit) AS bits FROM mem GROUP BY 1, 2, 3),
@@ -154,4 +166,11 @@ ORACLE_SQL = {
     "p4_score_history": _SCORES,
     "p4_hash_history": _HASHES,
     "p6_found": _P6,
+    "p6_packages": _p6_sql("top", "relation = 'packages'", _ENTRIES, "-1", _TEXT_I, "x", ("registryType", "identifier", "version", "fileSha256")),
+    "p6_remotes": _p6_sql("top", "relation = 'remotes'", _ENTRIES, "-1", _TEXT_I, "x", ("url", "type")),
+    "p6_runtime_args": _p6_sql("args", _ARG.format(r="runtime_args"), _ENTRIES, "i", _TEXT_J, "a", ("type", "name", "value")),
+    "p6_package_args": _p6_sql("args", _ARG.format(r="package_args"), _ENTRIES, "i", _TEXT_J, "a", ("type", "name", "value")),
+    "p6_env": _p6_sql(_MAPPED, "relation = 'env'", "origin", "pos", "n", "o", ("description", "isRequired", "value")),
+    "p6_headers": _p6_sql(_MAPPED, "relation = 'headers'", "origin", "pos", "n", "o", ("value", "isRequired")),
+    "p6_choices": _p6_sql("picks", "json_type(z) <> 'NULL'", "origin", "pos", "n || '/' || q", "z", ("label", "value")),
 }

@@ -134,6 +134,10 @@ ORACLE_SQL = {
     "slug_collisions": "WITH clash AS (SELECT name FROM servers UNION ALL SELECT upper(name) FROM servers UNION ALL SELECT replace(name, '/', '__') FROM servers), " + _SLUG.format(names="clash"),
     "fnv_shards": """SELECT name, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 64 AS INTEGER) AS shard FROM (SELECT name,
       list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM servers)""",
+    "feed_rss": f"""WITH {_PAIRS} SELECT s.name, '<item><title>' || s.name || '</title><link>{SITE}/servers/' || s.name || '</link><description>score ' || p.score || '</description></item>' AS item
+      FROM pairs p JOIN servers s ON s.id = p.server_id WHERE p.score < 100 AND (p.previous_score IS NULL OR p.previous_score >= 100)""",
+    "text_report": f"""WITH {_F} SELECT '[' || rpad(upper(severity), 8, ' ') || '] ' || rule_id || '  ' || rpad(name, 30, ' ') || '  ' || CASE rule_id WHEN 'MCP-STATIC-002' THEN 'Download piped into a shell at launch'
+      WHEN 'MCP-STATIC-003' THEN 'Host-wide permissions at launch' WHEN 'MCP-STATIC-004' THEN 'Package version not pinned at launch' ELSE 'Package name close to a known one' END AS line FROM findings""",
     "search_index": f"WITH {_SCORED} SELECT name, score FROM scored",
     "sitemap": f"""WITH u AS (SELECT 'server' AS kind, '{SITE}/servers/' || name AS url FROM servers UNION SELECT * FROM (VALUES {_RULE_IDS}, ('page', '{SITE}/'), ('page', '{SITE}/servers')) t)
       SELECT kind, url, row_number() OVER (ORDER BY kind, url) AS ordinal FROM u QUALIFY row_number() OVER (ORDER BY kind, url) <= 49000""",
