@@ -109,8 +109,9 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             only_two = not only_one and (len(few) < 3 or sum(few) > room)
             if k != room and not only_one and not (only_two and k >= _best_pair(left, s, room)):
                 break
-            # The complement of the same size class may be used for all; else one by one as k changes.
-            fixed.append(((s, k), pairs if k == room or only_one else 1))
+            # What the last rule rests on, which sizes are there once, twice or thrice, holds
+            # until few of s or k are left: all but those are fixed at once.
+            fixed.append(((s, k), pairs if k == room or only_one else max(1, pairs - 3)))
             take = fixed[-1][1]
             if k == s:
                 left.take(s, 2 * take)

@@ -50,6 +50,11 @@ def test_reduction_keeps_an_optimum_and_plans_are_whole():
 def test_many_items_of_few_sizes_take_no_time():
     plan, containers, _ = packing.packing_plan({300: 10**9, 212: 10**9, 7: 10**10}, 512)
     assert containers >= (300 * 10**9 + 212 * 10**9 + 7 * 10**10) // 512 and len(plan["size"]) < 100
+    plan, containers, fixed = packing.packing_plan({300: 10**9, 150: 10**9, 75: 10**9}, 512)  # 150 dominates two of 75
+    assert fixed >= 10**9 - 10 and len(plan["size"]) < 100
+    rng = random.Random(1)
+    plan, _, _ = packing.packing_plan({s: rng.randint(1, 10**8) for s in range(1, 8193)}, 8192)
+    assert len(plan["size"]) < 200_000
 
 
 @pytest.mark.parametrize("rank_rows", [3, 100_000])
