@@ -38,6 +38,7 @@ _ID = """ids AS (
   coalesce(package, image, CASE WHEN transport = 'http' THEN nullif(lower(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '') END, nullif(name, ''), source) AS identity FROM named)"""
 _ALLOW = """allow AS (SELECT identity AS name, CASE WHEN max(resolved_digest) IS NULL THEN max(resolved_version) END AS version, max(resolved_digest) AS digest
   FROM servers_ WHERE {where} GROUP BY identity)"""
+_LISTED = "starts_with(source, 'registry:')"
 _ENTRY = """decoded AS (SELECT entry_id, CASE WHEN json_type(raw_json) = 'VARCHAR' THEN raw_json ->> '$' ELSE raw_json END AS d FROM registry_entries WHERE json_valid(raw_json)),
  ok AS (SELECT * FROM decoded WHERE json_valid(d)),
  head AS (SELECT entry_id, d, d ->> '$.server.name' AS name, d ->> '$.server.version' AS version, CAST(d ->> '$._meta."io.modelcontextprotocol.registry/official".isLatest' AS BOOLEAN) AS is_latest,
@@ -105,10 +106,10 @@ ORACLE_SQL = {
       j AS (SELECT v.id, m.repo, m.created FROM versions v JOIN meta m ON m.registry_type = v.registry_type AND m.identifier = v.identifier)
       SELECT id AS version_id, 'MCP-STATIC-007' AS rule_id, 'medium' AS severity FROM j WHERE coalesce(repo, '') = ''
       UNION ALL SELECT id, 'MCP-STATIC-009', 'low' FROM j WHERE floor(({_NOW_US} - epoch_us(created)) / 86400000000) <= 30""",
-    "typosquat_nearest": """WITH n AS (SELECT DISTINCT p_name AS identifier FROM part), k AS (SELECT identifier AS known, row_number() OVER (ORDER BY identifier) AS o FROM n ORDER BY identifier LIMIT 30)
+    "typosquat_nearest": f"""WITH {_F}, n AS (SELECT DISTINCT pkg AS identifier FROM named WHERE pkg <> ''), k AS (SELECT unnest({_LIST}) AS known, unnest(range({len(_KNOWN)})) AS o)
       SELECT identifier, known, CAST(levenshtein(identifier, known) AS INTEGER) AS distance FROM n, k WHERE identifier NOT IN (SELECT known FROM k) AND levenshtein(identifier, known) BETWEEN 1 AND 2
       QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY levenshtein(identifier, known), o) = 1""",
-    "typosquat_clusters": """WITH n AS (SELECT DISTINCT p_name AS identifier FROM part), k AS (SELECT identifier AS known FROM n ORDER BY identifier LIMIT 30)
+    "typosquat_clusters": f"""WITH {_F}, n AS (SELECT DISTINCT pkg AS identifier FROM named WHERE pkg <> ''), k AS (SELECT unnest({_LIST}) AS known)
       SELECT known AS known_name, count(identifier) AS neighbours, coalesce(string_agg(identifier, ',' ORDER BY identifier), '') AS identifiers FROM k LEFT JOIN n ON levenshtein(identifier, known) BETWEEN 1 AND 2 GROUP BY known""",
     "lookalike_pairs": """WITH n AS (SELECT DISTINCT identifier FROM versions WHERE registry_type <> 'remote')
       SELECT x.identifier AS a, y.identifier AS b, CAST(levenshtein(x.identifier, y.identifier) AS INTEGER) AS distance FROM n x JOIN n y ON x.identifier < y.identifier AND abs(length(x.identifier) - length(y.identifier)) <= 1 AND levenshtein(x.identifier, y.identifier) = 1""",
@@ -146,10 +147,10 @@ ORACLE_SQL = {
     "stratified_review": f"""WITH {_SCORED}, st AS (SELECT server_id, CASE WHEN score < 40 THEN 'rare' WHEN score < 100 THEN 'flagged' ELSE 'clean' END AS stratum, (server_id * 2654435761 + 16 * 40503) % 4294967291 AS mixed FROM scored)
       SELECT server_id, stratum FROM st QUALIFY stratum = 'rare' OR row_number() OVER (PARTITION BY stratum ORDER BY mixed, server_id) <= 25""",
     "allowlist_init": f"WITH {_ID}, {_ALLOW.format(where='true')} SELECT * FROM allow",
-    "allowlist_unlisted": f"WITH {_ID}, {_ALLOW.format(where='config_id % 3 <> 0')} SELECT identity AS server, count(*) AS configs FROM servers_ WHERE identity NOT IN (SELECT name FROM allow) GROUP BY 1",
-    "version_drift": f"""WITH {_ID}, {_ALLOW.format(where='config_id % 3 <> 0')}, d AS (SELECT identity, coalesce(digest, version) AS pinned, CASE WHEN digest IS NOT NULL THEN resolved_digest ELSE resolved_version END AS found FROM servers_ s JOIN allow a ON a.name = s.identity)
+    "allowlist_unlisted": f"WITH {_ID}, {_ALLOW.format(where=_LISTED)} SELECT identity AS server, count(*) AS configs FROM servers_ WHERE identity NOT IN (SELECT name FROM allow) GROUP BY 1",
+    "version_drift": f"""WITH {_ID}, {_ALLOW.format(where=_LISTED)}, d AS (SELECT identity, coalesce(digest, version) AS pinned, CASE WHEN digest IS NOT NULL THEN resolved_digest ELSE resolved_version END AS found FROM servers_ s JOIN allow a ON a.name = s.identity)
       SELECT identity AS server, identity || ' is pinned to ' || pinned || ' but resolves to ' || coalesce(found, 'nothing') AS detail, count(*) AS configs FROM d WHERE pinned IS NOT NULL AND found IS DISTINCT FROM pinned GROUP BY 1, 2""",
     "blocked_registry": f"""SELECT 'uses blocked registry ' || list_filter({BLOCKED!r}, lambda b: contains(array_to_string(command, ' ') || ' ' || coalesce(url, ''), b))[1] AS detail, count(*) AS configs FROM server_configs
       WHERE len(list_filter({BLOCKED!r}, lambda b: contains(array_to_string(command, ' ') || ' ' || coalesce(url, ''), b))) > 0 GROUP BY 1""",
-    "baseline_new_findings": f"WITH {_F} SELECT name AS server, rule_id, severity FROM findings WHERE severity IN ('high', 'critical') AND NOT (rule_id <> 'MCP-STATIC-006' AND server_id % 2 = 0)",
+    "baseline_new_findings": f"WITH {_F} SELECT name AS server, rule_id, severity FROM findings WHERE severity IN ('high', 'critical') AND rule_id = 'MCP-STATIC-006'",
 }
