@@ -9,6 +9,9 @@ from heddle.functions import launch
 from heddle.operators.publish import severity_at_least
 from heddle.operators.rules import fingerprint
 
+# ---- fixed values: kinds of violations ----
+UNLISTED, DRIFT, BLOCKED, FINDING = "unlisted_server", "version_drift", "blocked_registry", "finding"
+# ---- end of fixed values ----
 COLUMNS = ("kind", "server", "rule_id", "severity", "detail")
 
 
@@ -31,7 +34,7 @@ def identified(configs: DataFrame) -> DataFrame:
 def unlisted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Servers whose identity is on no list (an anti join)."""
     out = servers.join(allowlist.select(F.col("name").alias("identity")), "identity", "left_anti")
-    return out.select(F.lit("unlisted_server").alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.col("identity"), F.lit(" is not on the allowlist")).alias("detail"))
+    return out.select(F.lit(UNLISTED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.col("identity"), F.lit(" is not on the allowlist")).alias("detail"))
 
 
 def drifted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -41,7 +44,7 @@ def drifted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
         "identity", F.coalesce("p_digest", "p_version").alias("pinned"), F.when(F.col("p_digest").isNotNull(), F.col("resolved_digest")).otherwise(F.col("resolved_version")).alias("found")
     ).where(F.col("pinned").isNotNull() & ~F.col("pinned").eqNullSafe(F.col("found")))
     detail = F.concat(F.col("identity"), F.lit(" is pinned to "), F.col("pinned"), F.lit(" but resolves to "), F.coalesce("found", F.lit("nothing")))
-    return out.select(F.lit("version_drift").alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), detail.alias("detail"))
+    return out.select(F.lit(DRIFT).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), detail.alias("detail"))
 
 
 def blocked(servers: DataFrame, registries: list[str]) -> DataFrame:
@@ -49,7 +52,7 @@ def blocked(servers: DataFrame, registries: list[str]) -> DataFrame:
     text = F.concat(launch.command_text(F.col("command")), F.lit(" "), F.coalesce("url", F.lit("")))
     hit = F.get(F.filter(F.array(*map(F.lit, registries)).cast("array<string>"), lambda b: F.contains(text, b)), F.lit(0))
     return servers.withColumn("hit", hit).where("hit IS NOT NULL").select(
-        F.lit("blocked_registry").alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("critical").alias("severity"), F.concat(F.lit("uses blocked registry "), F.col("hit")).alias("detail")
+        F.lit(BLOCKED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("critical").alias("severity"), F.concat(F.lit("uses blocked registry "), F.col("hit")).alias("detail")
     )
 
 
@@ -59,7 +62,7 @@ def finding_violations(findings: DataFrame, fail_on: str, baseline: DataFrame |
     rows = findings.withColumn("server", server).withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("server"), F.col("location")))
     if baseline is not None:
         rows = rows.join(baseline.select("fingerprint"), "fingerprint", "left_anti")
-    return rows.where(severity_at_least(F.col("severity"), fail_on)).select(F.lit("finding").alias("kind"), "server", "rule_id", "severity", "detail")
+    return rows.where(severity_at_least(F.col("severity"), fail_on)).select(F.lit(FINDING).alias("kind"), "server", "rule_id", "severity", "detail")
 
 
 def violations(configs: DataFrame, findings: DataFrame, allowlist: DataFrame, registries: list[str], fail_on: str, baseline: DataFrame | None = None) -> DataFrame:

@@ -56,6 +56,8 @@ CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 SEMVER_TAG = r"^v?\d+(\.\d+){0,2}$"
 ALLOW_WINDOW = 60
 DETAIL_CHARS = 160
+NO_TAG = 'docker image "%s" has no tag pinned (defaults to ":latest")'
+FLOATING_TAG = 'docker image "%s" uses floating tag ":%s", not a pinned version or digest'
 SOURCE_LABELS = ("source", "repository", "code", "github", "gitlab", "codeberg")
 SOURCE_HOSTS = ("github.com", "gitlab.com", "codeberg.org", "bitbucket.org", "sourcehut.org")
 # ---- end of fixed values ----
@@ -99,8 +101,8 @@ def oci_pin(ref: Column) -> Column:
     tag = launch.oci_tag(ref)
     return F.when(
         ref.isNotNull() & ~F.contains(ref, F.lit("@sha256:")),
-        F.when(tag.isNull(), F.format_string('docker image "%s" has no tag pinned (defaults to ":latest")', ref)).when(
-            ~tag.rlike(SEMVER_TAG), F.format_string('docker image "%s" uses floating tag ":%s", not a pinned version or digest', ref, tag)
+        F.when(tag.isNull(), F.format_string(NO_TAG, ref)).when(
+            ~tag.rlike(SEMVER_TAG), F.format_string(FLOATING_TAG, ref, tag)
         ),
     )
 
