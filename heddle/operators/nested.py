@@ -42,7 +42,7 @@ class Index:
     box (the container's number), pos (place in an array, else -1), k0, k1 (span of the
     quoted key), v0, v1 (span of the value), kind (first byte of the value), own (number of
     the container that the value is, else -1). root: per text its container's number, -1
-    where the text is no complete object or array.
+    where the text is no complete object or array; r0, r1: the text's span without space.
     """
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
@@ -75,7 +75,8 @@ class Index:
         self._solid = solid
         # The whole text must be one container: nothing but space around it.
         has = np.flatnonzero(whole)
-        lo, hi = self._trim(off[:-1][has], off[1:][has])
+        self.r0, self.r1 = self._trim(off[:-1], off[1:])
+        lo, hi = self.r0[has], self.r1[has]
         whole[has] = (tok[first[has]] == lo) & (tok[last[has] - 1] == hi - 1)
         ok = whole[trow]
         tok, trow, step, after = tok[ok], trow[ok], step[ok], after[ok]
@@ -174,17 +175,29 @@ class _Rows:
         self.ix, self.origin, self.ids, self.parts = ix, origin, ids, []
 
     def add(self, relation: str, nodes: np.ndarray, parent: np.ndarray, keys: pa.Array) -> None:
-        if len(nodes):
-            ix = self.ix
+        ix = self.ix
+        self._put(relation, ix.row[nodes], parent, keys, ix.v0[nodes], ix.v1[nodes])
+
+    def roots(self, relation: str) -> np.ndarray:
+        """The texts that are objects, each as a row that is in no list; their containers."""
+        ix = self.ix
+        texts = np.flatnonzero(ix.root >= 0)
+        texts = texts[ix.is_object[ix.root[texts]]]
+        none = np.full(len(texts), -1)
+        self._put(relation, texts, none, pa.array(none).cast(pa.string()), ix.r0[texts], ix.r1[texts])
+        return ix.root[texts]
+
+    def _put(self, relation: str, row: np.ndarray, parent: np.ndarray, keys: pa.Array, lo: np.ndarray, hi: np.ndarray) -> None:
+        if len(row):
             self.parts.append(
                 pa.record_batch(
                     [
-                        pa.array([self.origin]).take(pa.array(np.zeros(len(nodes), int))),
-                        self.ids.take(pa.array(ix.row[nodes])).cast(pa.int64()),
-                        pa.array([relation]).take(pa.array(np.zeros(len(nodes), int))),
+                        pa.array([self.origin]).take(pa.array(np.zeros(len(row), int))),
+                        self.ids.take(pa.array(row)).cast(pa.int64()),
+                        pa.array([relation]).take(pa.array(np.zeros(len(row), int))),
                         pa.array(parent.astype(np.int64)),
                         keys,
-                        ix.texts(ix.v0[nodes], ix.v1[nodes]),
+                        self.ix.texts(lo, hi),
                     ],
                     schema=_OUT,
                 )
@@ -283,7 +296,23 @@ def _environment(rows: _Rows) -> None:
     rows.add("choices", opts, np.full(len(opts), -1), keys)
 
 
-_WALKS = {"registry_entries": _registry, "versions": _environment}
+def _package(rows: _Rows) -> None:
+    """The texts are a package each; its environment is read where it is kept by itself."""
+    ix = rows.ix
+    boxes = rows.roots("packages")
+    for relation, lists in zip(("runtime_args", "package_args"), ix.member(boxes, "runtimeArguments", "packageArguments"), strict=True):
+        lists = lists[ix.of_kind(lists, ARR)]
+        rows.arguments(relation, lists, np.full(len(lists), -1))
+
+
+def _remote(rows: _Rows) -> None:
+    """The texts are a remote each."""
+    boxes = rows.roots("remotes")
+    (headers,) = rows.ix.member(boxes, "headers")
+    rows.named("headers", headers, np.full(len(headers), -1), choices=False)
+
+
+_WALKS = {"registry_entries": _registry, "versions": _environment, "package": _package, "remote": _remote}
 
 
 def _decoded(texts: pa.Array) -> pa.Array:
@@ -302,7 +331,7 @@ def _decoded(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
-def flatten_batch(origin: str, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+def flatten_batch(origin: str, ids: pa.Array, texts: pa.Array, walk: str | None = None) -> Iterator[pa.RecordBatch]:
     """Linked rows of one batch of texts (see ``flatten``)."""
     keep = pc.and_(pc.is_valid(texts), pc.is_valid(ids))
     ids, texts = ids.filter(keep), texts.filter(keep).cast(pa.large_string())
@@ -317,17 +346,19 @@ def flatten_batch(origin: str, ids: pa.Array, texts: pa.Array) -> Iterator[pa.Re
         buf = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.empty(0, np.uint8)
         ix = Index(buf, off - off[0])
         rows = _Rows(ix, origin, ids[start:stop])
-        if len(ix.row):
-            _WALKS[origin](rows)
+        if np.any(ix.root >= 0):
+            _WALKS[walk or origin](rows)
         yield from rows.parts
         start = stop
 
 
-def flatten(df: DataFrame, origin: str, record_id: str, text: str) -> DataFrame:
+def flatten(df: DataFrame, origin: str, record_id: str, text: str, walk: str | None = None) -> DataFrame:
     """Linked flat rows (origin, record_id, relation, parent_pos, item_key, value).
 
     ``origin`` is ``registry_entries`` (a registry page's elements) or ``versions`` (an
-    environment). relation is packages, remotes, runtime_args, package_args, env, choices or
+    environment); ``walk`` ``package`` or ``remote`` reads texts that are one package or remote
+    each, without the environment. Such a row is in no list: its parent_pos and its item_key
+    are -1, and so is its children's parent_pos. relation is packages, remotes, runtime_args, package_args, env, choices or
     headers; (relation's parent, parent_pos) points to the parent row, value is the row's
     JSON text. Null elements count in positions but give no row. Null, empty, cut-off and
     otherwise broken texts and null ids give nothing; texts encoded twice are decoded.
@@ -336,7 +367,7 @@ def flatten(df: DataFrame, origin: str, record_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from flatten_batch(origin, b.column(0), b.column(1))
+            yield from flatten_batch(origin, b.column(0), b.column(1), walk)
 
     return python_input(df.select(F.col(f"`{record_id}`").cast("long").alias("record_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
 

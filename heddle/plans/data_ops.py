@@ -75,8 +75,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(spark, sf).select("origin", "record_id", "relation", "parent_pos", "item_key").distinct()
 
 
+def _whole(spark: SparkSession, sf: str, relation: str) -> DataFrame:
+    """The relation's rows of entries and versions; what a version has besides its environment
+    is in its raw_json, which is one package or one remote."""
+    if relation in ("env", "choices"):
+        return _flat(spark, sf)
+    entries = nested.flatten(table(spark, sf, "registry_entries"), "registry_entries", "entry_id", "raw_json")
+    remote = F.col("registry_type").eqNullSafe("remote")
+    of_remotes = relation in ("remotes", "headers")
+    versions = table(spark, sf, "versions").where(remote if of_remotes else ~remote)
+    return entries.unionByName(nested.flatten(versions, "versions", "id", "raw_json", "remote" if of_remotes else "package"))
+
+
 def _p6(relation: str):
-    return lambda spark, sf: nested.relation_table(_flat(spark, sf), relation)
+    return lambda spark, sf: nested.relation_table(_whole(spark, sf, relation), relation)
 
 
 QUERIES = {

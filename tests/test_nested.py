@@ -109,3 +109,46 @@ def test_table_with_nulls_extra_columns_and_no_rows(spark):
     got = flatten(spark.createDataFrame(rows, SCHEMA), "versions", "id", "raw").collect()
     assert [(r["record_id"], r["relation"], r["parent_pos"], r["item_key"], r["value"]) for r in got] == [(1, "env", -1, "A", "1")] * 2
     assert flatten(spark.createDataFrame([], SCHEMA), "versions", "id", "raw").count() == 0
+
+
+def version_rows(walk, texts):
+    return {(r["record_id"], r["relation"], r["parent_pos"], r["item_key"]) for b in flatten_batch("versions", pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), walk) for r in b.to_pylist()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(package.map(lambda o: o or {}), remote.map(lambda o: o or {}), st.sampled_from(["", " \n"]), st.booleans()), max_size=5))
+def test_random_packages_and_remotes_of_versions_equal_a_json_parser(cases):
+    texts, want = {"package": [], "remote": []}, {"package": set(), "remote": set()}
+    for i, (p, r, space, twice) in enumerate(cases):
+        for walk, o in (("package", p), ("remote", r)):
+            t = space + json.dumps(o) + space
+            texts[walk].append(json.dumps(t) if twice else t)
+            rows = brute_entry(i, {"server": {walk + "s": [o]}})
+            want[walk] |= {(i, rel, -1, "-1" if rel == walk + "s" else k) for i, rel, _, k in rows if rel not in ("env", "choices")}
+    for walk in texts:
+        assert version_rows(walk, texts[walk]) == want[walk]
+
+
+def test_versions_without_members_lists_and_broken_texts():
+    assert version_rows("package", ["{}"]) == {(0, "packages", -1, "-1")} and version_rows("remote", [" {} "]) == {(0, "remotes", -1, "-1")}
+    assert version_rows("package", [None, "", "[{}]", '{"runtimeArguments": ["a"', "5", '{"packageArguments": [null, "x"]}']) == {(5, "packages", -1, "-1"), (5, "package_args", -1, "1")}
+
+
+def test_relation_tables_hold_every_version(spark, sf):
+    from heddle.plans import data_ops
+
+    records = [(r["id"], "remotes" if r["registry_type"] == "remote" else "packages", json.loads(r["raw_json"])) for r in spark.read.parquet(f"{sf}/versions.parquet").select("id", "registry_type", "raw_json").collect()]
+    want = set()
+    for i, rel, o in records:
+        rows = brute_entry(i, {"server": {rel: [o]}})
+        want |= {(i, r, -1, "-1" if r == rel else k) for i, r, _, k in rows if r not in ("env", "choices")}
+    got, ids = set(), {}
+    for rel in ("packages", "remotes", "runtime_args", "package_args", "headers"):
+        rows = data_ops.QUERIES[f"p6_{rel}"](spark, sf).where("origin = 'versions'").collect()
+        got |= {(r["record_id"], rel, r["parent_pos"], r["item_key"]) for r in rows}
+        ids |= {(r["record_id"], rel): r for r in rows if rel in ("packages", "remotes")}
+    assert got == want and len({r for _, r, *_ in want}) == 5
+    for i, rel, o in records:
+        r = ids[i, rel]
+        assert (r["url"], r["type"]) == (o.get("url"), o.get("type")) if rel == "remotes" else (r["registryType"], r["identifier"], r["version"]) == (o["registryType"], o["identifier"], o["version"])
+    assert {r["relation"] for r in data_ops.p6_found(spark, sf).where("origin = 'versions'").select("relation").distinct().collect()} == {"env", "choices"}
