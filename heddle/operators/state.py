@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators.history import version_history
+from heddle.session import materialise
 
 
 def upsert(state: DataFrame, poll: DataFrame, keys: list[str], attributes: list[str], run_at: Column) -> DataFrame:
@@ -37,10 +38,25 @@ def upsert(state: DataFrame, poll: DataFrame, keys: list[str], attributes: list[
     )
 
 
-def poll_summary(upserted: DataFrame) -> DataFrame:
-    """One row of counters over an upsert's result."""
+def replay(first: DataFrame, polls: list[tuple[DataFrame, Column, Column]], keys: list[str], attributes: list[str]) -> list[DataFrame]:
+    """The upserts of (poll, run_at, label) one after the other, each with its label as ``poll_no``.
+
+    Each state is written before the next poll meets it, so no poll is computed twice and plans
+    do not grow with the number of polls.
+    """
+    out, state = [], first
+    for i, (poll, run_at, label) in enumerate(polls):
+        done = upsert(state, poll, keys, attributes, run_at)
+        done = materialise(done) if i < len(polls) - 1 else done
+        out.append(done.withColumn("poll_no", label))
+        state = done.drop("change")
+    return out
+
+
+def poll_summary(upserted: DataFrame, *by: str) -> DataFrame:
+    """One row of counters over an upsert's result, or for each of ``by`` over several."""
     kinds = ("new", "updated", "relisted", "delisted", "absent")
-    return upserted.agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds], F.count_if(F.col("delisted_at").isNull()).alias("listed"))
+    return upserted.groupBy(*by).agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds], F.count_if(F.col("delisted_at").isNull()).alias("listed"))
 
 
 def latest(df: DataFrame, key: str, at: str, order: str, columns: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,21 +226,31 @@ def newly_flagged(spark: SparkSession, sf: str) -> DataFrame:
     return state.newly_flagged(state.score_pairs(table(spark, sf, "server_scores"))).select("server_id", "score", "previous_score")
 
 
-def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+def _upserts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first snapshot as the state, every later one as a poll at its time.
+
+    row_no names a poll's row; its raw_json is in neither result and stays out of the states
+    that are written between the polls.
+    """
     snaps = table(spark, sf, "server_snapshots")
-    first = snaps.where("snapshot_no = 1").groupBy("name").agg(F.max(F.struct("row_no", "raw_json", "delisted_at", "snapshot_at")).alias("x")).select(
-        "name", "x.row_no", "x.raw_json", F.col("x.snapshot_at").alias("first_seen_at"), F.col("x.snapshot_at").alias("last_seen_at"), "x.delisted_at"
+    times = snaps.where("snapshot_no IS NOT NULL").groupBy("snapshot_no").agg(F.unix_micros(F.max("snapshot_at")).alias("us")).orderBy("snapshot_no").collect()
+    of = lambda no: snaps.where(F.col("snapshot_no") == no)
+    first = of(times[0]["snapshot_no"] if times else None).groupBy("name").agg(F.max(F.struct("row_no", "delisted_at", "snapshot_at")).alias("x")).select(
+        "name", "x.row_no", F.col("x.snapshot_at").alias("first_seen_at"), F.col("x.snapshot_at").alias("last_seen_at"), "x.delisted_at"
     )
-    poll = snaps.where("snapshot_no = 2").select("name", "row_no", "raw_json")
-    return state.upsert(first, poll, ["name"], ["row_no", "raw_json"], F.lit(NOW + "Z").cast("timestamp"))
+    polls = [(of(t["snapshot_no"]).select("name", "row_no"), F.timestamp_micros(F.lit(t["us"])), F.lit(t["snapshot_no"])) for t in times[1:]]
+    done = state.replay(first, polls, ["name"], ["row_no"])
+    if not done:  # no poll yet
+        return first.limit(0).withColumns({"change": F.lit(""), "poll_no": F.lit(0)})
+    return reduce(DataFrame.unionByName, done)
 
 
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return _upsert(spark, sf).select("name", "row_no", "change", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), F.unix_micros("delisted_at").alias("delisted_us"))
+    return _upserts(spark, sf).select(F.col("poll_no").alias("snapshot_no"), "name", "row_no", "change", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), F.unix_micros("delisted_at").alias("delisted_us"))
 
 
 def poll_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return state.poll_summary(_upsert(spark, sf))
+    return state.poll_summary(_upserts(spark, sf), "poll_no").withColumnRenamed("poll_no", "snapshot_no")
 
 
 # ------------------------------------------------------------------ publication

@@ -221,6 +221,37 @@ def test_upsert_lifecycle(spark):
     assert tuple(state.poll_summary(out).first()) == (1, 0, 1, 1, 0, 2)
 
 
+def test_every_snapshot_is_a_poll(spark, tmp_path):
+    from heddle.plans import registry
+
+    polls = [["a", "b", "c"], ["a", "b"], ["b", "d"], ["a", "b", "b", "c"], ["b"], ["a", "b", "e"]]
+    at = [datetime(2025, 1, 1) + timedelta(days=7 * i) for i in range(6)]
+    gone = {"c": at[0] - timedelta(days=1)}
+    rows = [(i + 1, at[i], r, n, gone.get(n) if i == 0 else None, "{}") for i, p in enumerate(polls) for r, n in enumerate([*p, None])]
+    df = spark.createDataFrame([(a, b.isoformat(), c, n, g and g.isoformat(), j) for a, b, c, n, g, j in rows], "snapshot_no int, snapshot_at string, row_no long, name string, delisted_at string, raw_json string")
+    df = df.withColumns({c: F.concat(F.col(c), F.lit("Z")).cast("timestamp") for c in ("snapshot_at", "delisted_at")})
+    df.write.parquet(str(tmp_path / "server_snapshots.parquet"))
+    us = lambda t: t and int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    known = {n: [r, at[0], at[0], gone.get(n)] for r, n in enumerate(polls[0])}
+    want, counts = set(), set()
+    for i in range(1, 6):
+        here, change = {n: r for r, n in enumerate(polls[i])}, {}
+        for n in here.keys() | known.keys():
+            old = known.get(n)
+            if n in here:
+                change[n] = "new" if old is None else "relisted" if old[3] else "updated"
+                known[n] = [here[n], old[1] if old else at[i], at[i], None]
+            else:
+                change[n] = "absent" if old[3] else "delisted"
+                known[n] = [old[0], old[1], old[2], old[3] or at[i]]
+        want |= {(i + 1, n, k[0], change[n], us(k[1]), us(k[2]), us(k[3])) for n, k in known.items()}
+        counts.add((i + 1, *[list(change.values()).count(k) for k in ("new", "updated", "relisted", "delisted", "absent")], sum(k[3] is None for k in known.values())))
+    got = [tuple(r) for r in registry.snapshot_upsert(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert (3, "a", "delisted") in {(r[0], r[1], r[3]) for r in got} and (4, "a", "relisted") in {(r[0], r[1], r[3]) for r in got}
+    assert {tuple(r) for r in registry.poll_summary(spark, str(tmp_path)).collect()} == counts
+
+
 def test_ordinals_pages_search_and_sample(spark):
     df = spark.createDataFrame([(f"n{i:03d}", i % 5, i) for i in range(250)], "name string, score int, id long")
     got = sorted((r["ordinal"], r["name"], r["page"]) for r in publish.pages(df).collect())
