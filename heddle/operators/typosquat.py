@@ -62,6 +62,8 @@ def close_pairs(names: DataFrame, name: str, max_distance: int = MAX_DISTANCE) -
     their variants, not their square; every candidate is verified.
     """
     distinct = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
+    # The names are small and their variants are not, so the names are dealt out to all cores.
+    distinct = distinct.repartition(names.sparkSession.sparkContext.defaultParallelism)
     keys = distinct.select("n", F.explode(F.transform(_variants(F.col("n"), max_distance), lambda v: F.xxhash64(v))).alias("k"))
     a, b = keys.select(F.col("n").alias("a"), "k"), keys.select(F.col("n").alias("b"), "k")
     pairs = a.join(b, "k").where("a < b").select("a", "b").distinct()

@@ -174,7 +174,7 @@ def typosquat_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 def lookalike_pairs(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "versions").where("registry_type <> 'remote'")
-    return typosquat.close_pairs(names, "identifier", 1)
+    return typosquat.close_pairs(names, "identifier", typosquat.MAX_DISTANCE)
 
 
 def lookalike_diffs(spark: SparkSession, sf: str) -> DataFrame:

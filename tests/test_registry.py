@@ -169,6 +169,16 @@ def test_close_pairs_equal_brute_force(spark):
         assert got == {(a, b, dist(a, b)) for a in names for b in names if a < b and dist(a, b) <= d}
 
 
+def test_lookalikes_are_two_edits_apart_as_the_rule_says(spark, tmp_path):
+    from heddle.plans import registry
+
+    rows = [("npm", "mcp-files"), ("npm", "mcp-file"), ("pypi", "mpc-files"), ("oci", "mcp-filess"), ("oci", "mcp-filess"), ("npm", "mcp-xyles"), ("npm", "far-away"), ("remote", "mcp-fires"), ("npm", None)]
+    spark.createDataFrame(rows, "registry_type string, identifier string").write.parquet(str(tmp_path / "versions.parquet"))
+    got = {tuple(r) for r in registry.lookalike_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("mcp-file", "mcp-files", 1), ("mcp-file", "mcp-filess", 2), ("mcp-files", "mcp-filess", 1), ("mcp-files", "mpc-files", 2), ("mcp-files", "mcp-xyles", 2)}
+    assert {(r["a"], r["b"]) for r in registry.lookalike_diffs(spark, str(tmp_path)).collect()} == {x[:2] for x in got}
+
+
 def test_edit_steps_rebuild_both_names():
     for a, b in [("context7", "contex7"), ("", "ab"), ("ab", ""), ("abc", "axc"), ("kitten", "sitting")]:
         steps = edit_steps(a, b)
