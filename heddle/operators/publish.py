@@ -127,7 +127,10 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
-    return findings.select(F.format_string("[%-8s] %s  %s  %s", F.upper("severity"), F.col("rule_id"), F.rpad(F.substring_index("location", " :: ", -1), 30, " "), F.col("title")).alias("line"))
+    """(line): one line per finding; names are padded to a column and never cut."""
+    server = F.substring_index("location", " :: ", -1)
+    padded = F.rpad(server, F.greatest(F.lit(30), F.length(server)), " ")
+    return findings.select(F.format_string("[%-8s] %s  %s  %s", F.upper("severity"), F.col("rule_id"), padded, F.col("title")).alias("line"))
 
 
 def markdown_rows(violations: DataFrame) -> DataFrame:

@@ -282,6 +282,12 @@ def test_policy_parts_and_gate(spark):
     assert sorted(r["rule_id"] for r in policy.finding_violations(f, "high", policy.baseline_of(f.where("rule_id = 'r3'"))).collect()) == ["r1", "r4"]
 
 
+def test_text_lines_pad_names_and_never_cut_them(spark):
+    names = ["s", "é😀", "n" * 30, "io.registry.brand/one-and-the-same-long-name-1", "io.registry.brand/one-and-the-same-long-name-2"]
+    df = spark.createDataFrame([("high", "r", f"p.json :: {n}", "T") for n in names], "severity string, rule_id string, location string, title string")
+    assert {r[0] for r in publish.text_lines(df).collect()} == {f"[HIGH    ] r  {n:<30}  T" for n in names}
+
+
 def test_plans_stay_native(spark, sf, capsys):
     from heddle.plans import registry
 
