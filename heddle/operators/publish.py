@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import launch
 from heddle.operators.rules import SEVERITY_RANK
-from heddle.session import materialise
+from heddle.session import with_ordinal
 
 # ---- fixed values ----
 PAGE_ROWS = 100
@@ -30,19 +30,6 @@ def slugs(names: DataFrame) -> DataFrame:
     )
 
 
-def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
-    """Rows with their number from one in a total order, without one task for all rows.
-
-    Rows are range-partitioned, numbered within their partition and shifted by the counts
-    of the partitions before (one row per partition). The order must have no ties.
-    """
-    parted = materialise(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()))
-    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parted.groupBy("part__").count().select("part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift__"))
-    w = Window.partitionBy("part__").orderBy(*order)
-    return parted.join(F.broadcast(shift), "part__").withColumn(name, (F.row_number().over(w) + F.col("shift__")).cast("long")).drop("part__", "shift__")
-
-
 def leaderboard(scored: DataFrame) -> DataFrame:
     """Flagged servers (score below 100) numbered by score, then name."""
     return with_ordinal(scored.where("score < 100").select("name", "score", "finding_count"), [F.col("score"), F.col("name")])
@@ -63,11 +50,12 @@ def search(names: DataFrame, query: str, rows: int = SEARCH_ROWS) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, stratum: Column, sizes: dict[str, int], seed: int) -> DataFrame:
     """A seeded sample of so many rows per stratum, the same in any plan; -1 keeps all.
 
-    Rows are ranked by a seeded hash of the key within each stratum (the partial limit of
-    ranked windows keeps few rows per task before the shuffle).
+    Rows are ranked by a seeded hash of the key, of any type, within each stratum (the
+    partial limit of ranked windows keeps few rows per task before the shuffle). Rows with a
+    null key are sampled last.
     """
-    mixed = F.pmod(F.col(key) * 2654435761 + seed * 40503, F.lit(4294967291))
-    w = Window.partitionBy("stratum").orderBy("mixed", key)
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    w = Window.partitionBy("stratum").orderBy(F.asc_nulls_last("mixed"), key)
     limit = F.coalesce(*[F.when(F.col("stratum") == k, F.lit(v if v >= 0 else 2**31 - 1)) for k, v in sizes.items()], F.lit(0))
     most = max([v for v in sizes.values() if v >= 0], default=0)
     rows = df.withColumn("stratum", stratum).withColumn("mixed", mixed)

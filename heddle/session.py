@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Hints to broadcast are given to sides whose measured size is at most this.
+BROADCAST_BYTES = 64 << 20
+#: Files sent to workers (vocabularies) are refused beyond this.
+SHIP_BYTES = 256 << 20
 
 
 def build_session(app: str = "heddle", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -26,20 +34,51 @@ def build_session(app: str = "heddle", cores: int | str = "*", **conf: str) -> S
     return b.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder all executors share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, named by ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    setting is empty (tests, single machine) a temporary folder is used.
+    Only a local master, whose executor is this process, may do without that setting: it gets
+    a temporary folder that goes with the process. On a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not getattr(sc, "_heddle_folder", None):
+        sc._heddle_folder = tempfile.mkdtemp(prefix="heddle-")
+        atexit.register(shutil.rmtree, sc._heddle_folder, ignore_errors=True)
+    return sc._heddle_folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it from there.
+
+    Its files are removed once no DataFrame refers to them any longer (Spark's own tracking,
+    which is switched on here).
+    """
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heddle-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
+    """Rows with their number from one in a total order, without one task for all rows.
+
+    Rows are range-partitioned, numbered within their partition and shifted by the counts
+    of the partitions before (one row per partition). The order must have no ties.
+    """
+    parted = materialise(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()))
+    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parted.groupBy("part__").count().select("part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift__"))
+    w = Window.partitionBy("part__").orderBy(*order)
+    numbered = parted.join(F.broadcast(shift), "part__").withColumn(name, (F.row_number().over(w) + F.col("shift__")).cast("long"))
+    return numbered.drop("part__", "shift__")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` for a CPU-bound stage: an input in fewer splits than cores is dealt out to all.
 
@@ -56,9 +95,8 @@ def spread(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once per Spark context.
 
-    Executors need not have it on their path: it is zipped into the shared folder of
-    ``spark.checkpoint.dir`` (a temporary one only where that is unset) and added as a Python
-    file. Call it before a Python function is put into a plan.
+    Executors need not have it on their path: it is zipped into the shared folder and added
+    as a Python file. Call it before a Python function is put into a plan.
     """
     sc = spark.sparkContext
     if getattr(sc, "_heddle_shipped", False):
@@ -68,17 +106,42 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
     data = buf.getvalue()
-    name = f"heddle-{hashlib.sha256(data).hexdigest()[:12]}.zip"
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    path = f"{shared.rstrip('/')}/{name}" if shared else f"{tempfile.mkdtemp(prefix='heddle-')}/{name}"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop, True)
-    out.write(bytearray(data))
-    out.close()
-    sc.addPyFile(path)
+    sc.addPyFile(_share(spark, f"heddle-{hashlib.sha256(data).hexdigest()[:12]}.zip", data))
     sc._heddle_shipped = True
 
 
+def _share(spark: SparkSession, name: str, data: bytes) -> str:
+    """Path of ``data`` under the shared folder; the name is its content's, so it is written once."""
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/{name}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(at) or fs.getFileStatus(at).getLen() != len(data):
+        out = fs.create(at, True)
+        out.write(bytearray(data))
+        out.close()
+    return path
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Give the workers a file of the driver's; they open it by the name returned (SparkFiles).
+
+    It goes through the shared folder, once per context, so executors need no copy of their
+    own. Files beyond ``SHIP_BYTES`` are refused.
+    """
+    sc = spark.sparkContext
+    done = sc.__dict__.setdefault("_heddle_files", {})
+    if path not in done:
+        source = Path(path)
+        if source.stat().st_size > SHIP_BYTES:
+            raise ValueError(f"{path} is larger than {SHIP_BYTES} bytes")
+        data = source.read_bytes()
+        name = f"{hashlib.sha256(data).hexdigest()[:12]}-{source.name}"
+        sc.addFile(_share(spark, name, data))
+        done[path] = name
+    return done[path]
+
+
 def python_input(df: DataFrame) -> DataFrame:
     """``df`` as the input of a Python stage: package shipped, few splits dealt out."""
     ship(df.sparkSession)

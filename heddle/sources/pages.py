@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-SCHEMA = "page_no int, position int, raw_json string"
+SCHEMA = "page_no int, next_cursor string, position int, raw_json string"
 TRIES, TIMEOUT, PAUSE = 5, 15.0, 2.0
 
 
@@ -37,8 +37,11 @@ def fetch(url: str, opener: Callable | None = None, pause: float = PAUSE) -> dic
     raise AssertionError("unreachable")
 
 
-def walk(base_url: str, limit: int, opener: Callable | None = None, pause: float = PAUSE) -> Iterator[tuple[int, int, str]]:
-    """Entries of all pages, by the cursor each page gives, until it gives none."""
+def walk(base_url: str, limit: int, opener: Callable | None = None, pause: float = PAUSE) -> Iterator[tuple[int, str | None, int, str | None]]:
+    """(page, next cursor, position, entry) of all pages, by the cursor each page gives.
+
+    The last page is the one without a cursor; a page without entries is one row without one.
+    """
     from urllib.parse import urlencode
 
     cursor, page = None, 0
@@ -46,9 +49,12 @@ def walk(base_url: str, limit: int, opener: Callable | None = None, pause: float
         args = {"limit": limit, "version": "latest", **({"cursor": cursor} if cursor else {})}
         data = fetch(f"{base_url.rstrip('/')}/v0/servers?{urlencode(args)}", opener, pause)
         page += 1
-        for i, entry in enumerate(data.get("servers") or []):
-            yield page, i, json.dumps(entry)
-        cursor = (data.get("metadata") or {}).get("nextCursor")
+        cursor = (data.get("metadata") or {}).get("nextCursor") or None
+        entries = data.get("servers") or []
+        for i, entry in enumerate(entries):
+            yield page, cursor, i, json.dumps(entry)
+        if not entries:
+            yield page, cursor, 0, None
         if not cursor:
             return
 

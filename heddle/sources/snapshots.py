@@ -1,41 +1,68 @@
-"""Table state as numbered snapshot directories with a pointer that is switched last."""
+"""Table state as numbered snapshots, each named by a marker that is written last."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 class SnapshotStore:
-    """Snapshots under ``path`` (any Hadoop file system): v1, v2, ... and the file CURRENT.
+    """Snapshots under ``path`` (any Hadoop file system): data folders and markers.
 
-    A snapshot is written whole before CURRENT names it, so readers see the old or the new
-    state and an aborted write changes nothing. One writer at a time.
+    A snapshot is written whole into a folder of its own before the marker ``commits/<n>``
+    names it. Nothing is deleted or replaced on the way: a run that dies at any point leaves
+    the state as it was, and its folder unnamed. One writer at a time; a second one that
+    commits the same number fails.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+
+    def versions(self) -> list[int]:
+        """Numbers of the snapshots there are, in order."""
+        folder = self._at("commits")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
 
     def version(self) -> int:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        """Number of the latest snapshot; 0 without one."""
+        return max(self.versions(), default=0)
+
+    def read(self, version: int) -> DataFrame:
+        marker = self.spark.read.text(f"{self.path}/commits/{version:010d}").first()[0]
+        return self.spark.read.parquet(f"{self.path}/{marker}")
 
     def current(self) -> DataFrame | None:
         v = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+        return self.read(v) if v else None
 
     def commit(self, df: DataFrame) -> int:
-        """Write the next snapshot and switch to it; returns its number."""
+        """Write the next snapshot and name it; returns its number."""
         v = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        tmp, at = self._path(f"{self.path}/CURRENT.next"), self._path(f"{self.path}/CURRENT")
+        folder = f"data/{v:010d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        tmp, marker = self._at(f"{folder}.marker"), self._at(f"commits/{v:010d}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray(f"{v}\n".encode()))
+        out.write(bytearray(f"{folder}\n".encode()))
         out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(tmp, at)
+        self._fs.mkdirs(self._at("commits"))
+        if self._fs.exists(marker) or not self._fs.rename(tmp, marker):
+            raise RuntimeError(f"snapshot {v} of {self.path} was committed by another writer")
         return v
+
+    def expire(self, keep: int = 2) -> None:
+        """Remove all but the latest ``keep`` snapshots and what aborted runs left."""
+        names = self.versions()
+        for v in names[: max(0, len(names) - keep)]:
+            self._fs.delete(self._at(f"commits/{v:010d}"), False)
+        kept = {self.spark.read.text(f"{self.path}/commits/{v:010d}").first()[0].split("/")[1] for v in names[-keep:]}
+        if self._fs.exists(self._at("data")):
+            for f in self._fs.listStatus(self._at("data")):
+                if f.getPath().getName() not in kept:
+                    self._fs.delete(f.getPath(), True)

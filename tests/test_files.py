@@ -45,7 +45,8 @@ def test_pages_follow_cursors_and_retry():
             raise HTTPError(url, 503, "busy", {}, None)
         return json.dumps(store[url.partition("cursor=")[2] or None])
 
-    assert [(p, i, json.loads(r)["n"]) for p, i, r in pages.walk("http://h", 2, opener, 0)] == [(1, 0, 1), (1, 1, 2), (2, 0, 3)]
+    assert [(p, c, i, json.loads(r)["n"]) for p, c, i, r in pages.walk("http://h", 2, opener, 0)] == [(1, "x y", 0, 1), (1, "x y", 1, 2), (2, None, 0, 3)]
+    assert list(pages.walk("http://h", 2, lambda url: "{}", 0)) == [(1, None, 0, None)]
     assert len(calls) == 4 and all("version=latest" in c for c in calls)
 
     def refused(url):

@@ -212,6 +212,42 @@ def test_sharded_write_and_snapshot_store(spark, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "s"))
     assert store.version() == 0 and store.current() is None
     assert store.commit(df) == 1 and store.commit(df.limit(3)) == 2 and store.current().count() == 3
+    # A run that dies before its marker leaves the state, and the number, as they were.
+    spark.range(9).write.parquet(str(tmp_path / "s/data/0000000003-dead"))
+    assert store.version() == 2 and store.current().count() == 3 and store.commit(df.limit(5)) == 3
+    assert store.current().count() == 5 and store.read(1).count() == 300
+    store.expire(keep=1)
+    assert store.versions() == [3] and store.current().count() == 5 and len(list((tmp_path / "s/data").glob("0*"))) == 1
+
+
+def test_checkpoints_go_with_their_dataframes_and_clusters_need_a_shared_folder(spark, tmp_path):
+    import gc
+    import pathlib
+    import time
+    from types import SimpleNamespace
+
+    from heddle import session
+
+    df = session.materialise(spark.range(1000))
+    where = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(where.glob("rdd-*"))
+    assert before
+    del df
+    for _ in range(40):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if len(set(where.glob("rdd-*")) & before) < len(before):
+            break
+        time.sleep(0.25)
+    assert len(set(where.glob("rdd-*")) & before) < len(before)
+    unset = SimpleNamespace(get=lambda k, d=None: d)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://h:7077", getConf=lambda: unset))
+    with pytest.raises(ValueError):
+        session.shared_folder(cluster)
+    (tmp_path / "v").write_bytes(b"words")
+    from pyspark import SparkFiles
+
+    assert pathlib.Path(SparkFiles.get(session.ship_file(spark, str(tmp_path / "v")))).read_bytes() == b"words"
 
 
 def test_upsert_lifecycle(spark):
@@ -270,6 +306,8 @@ def test_ordinals_pages_search_and_sample(spark):
     sample = publish.stratified_sample(df, "id", F.when(F.col("score") == 0, "rare").otherwise("rest"), {"rare": -1, "rest": 7}, 3)
     assert sorted(r[0] for r in sample.groupBy("stratum").count().select("count").collect()) == [7, 50]
     assert {r["id"] for r in sample.collect()} == {r["id"] for r in sample.repartition(3).collect()}
+    large = df.withColumn("id", F.col("id") + 2**62)  # keys of any size and type
+    assert publish.stratified_sample(large, "id", F.lit("x"), {"x": 9}, 3).count() == 9 and publish.stratified_sample(large, "name", F.lit("x"), {"x": 9}, 3).count() == 9
 
 
 def test_policy_parts_and_gate(spark):
@@ -304,14 +342,32 @@ def test_streams_apply_polls_and_count_changes(spark, tmp_path):
     entry = lambda n: json.dumps({"server": {"name": n, "version": "1", "packages": [{"registryType": "npm", "identifier": n}]}})
     day = datetime(2025, 1, 1)
     store = SnapshotStore(spark, str(tmp_path / "state"))
-    for k, names in enumerate((["a", "b"], ["b", "c"])):
-        rows = [(i, 1, day + timedelta(days=k), entry(n)) for i, n in enumerate(names)]
-        spark.createDataFrame(rows, ingest.PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
-        q = ingest.run_polls(ingest.page_stream(spark, str(tmp_path / "pages")), store, str(tmp_path / "cp"))
+
+    def land(run, k, *pages):
+        """One file, so one batch, per page: (page, cursor, names)."""
+        for no, cursor, names in pages:
+            rows = [(run, no, cursor, day + timedelta(days=k, minutes=no), i, n and entry(n)) for i, n in enumerate(names)]
+            spark.createDataFrame(rows, ingest.PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+
+    def listed():
+        q = ingest.run_polls(ingest.page_stream(spark, str(tmp_path / "pages"), 1), store, str(tmp_path / "cp"))
         q.processAllAvailable()
         q.stop()
-    assert store.version() == 2
-    assert {r["name"]: r["delisted_at"] is not None for r in store.current().collect()} == {"a": True, "b": False, "c": False}
+        return None if store.current() is None else {r["name"]: r["delisted_at"] is None for r in store.current().collect()}
+
+    land("r 1/x", 0, (1, "c1", ["a", "b"]))
+    assert listed() is None  # its last page is not there yet
+    land("r 1/x", 0, (3, None, [None]), (2, "c2", ["c"]))
+    assert listed() == {"a": True, "b": True, "c": True} and store.version() == 1
+    land("r2", 1, (2, None, ["d"]))
+    land("r3", 2, (1, "c", ["a"]))
+    assert listed() == {"a": True, "b": True, "c": True}  # both runs lack a page
+    land("r2", 1, (1, "c", ["b"]))
+    assert listed() == {"a": False, "b": True, "c": False, "d": True} and store.version() == 2
+    land("r3", 2, (2, None, ["d"]))
+    assert listed() == {"a": True, "b": False, "c": False, "d": True}
+    land("r0", -3, (1, None, ["z"]))
+    assert listed() == {"a": True, "b": False, "c": False, "d": True} and store.version() == 3  # older than the state
     obs = spark.createDataFrame([(1, "m", day), (1, "m", day), (2, "m", day + timedelta(hours=1))], "id long, source string, observed_at timestamp")
     obs.coalesce(1).write.parquet(str(tmp_path / "obs"))
     q = ingest.change_counts(spark.readStream.schema(obs.schema).parquet(str(tmp_path / "obs"))).writeStream.outputMode("complete").format("memory").queryName("counts").start()
