@@ -13,42 +13,50 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.session import materialise, python_input
+from heddle.session import materialise, python_input, ship_file
 
+#: Where the driver finds the vocabulary; the workers get it through the shared folder.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public word-splitting pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The driver holds one number per size up to the capacity.
-MAX_CAPACITY = 1 << 20
+#: Windows whose plans one stage of Python workers holds; more take more stages.
+WINDOWS_AT_ONCE = 8
 #: Rows of one size that are ranked by one task.
 RANK_ROWS = 100_000
 
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
+def _encoder(name: str):
+    """Encoder of a shipped vocabulary, read once per worker."""
+    if name not in _ENCODERS:
         import base64
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        _ENCODERS[name] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[name]
 
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null and empty texts have 0 tokens."""
+    """(doc_id, n_tokens) of whole texts; null and empty texts have 0 tokens.
+
+    ``tokenizer`` is a vocabulary file that the driver can read.
+    """
+    vocabulary = ship_file(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(vocabulary).encode_ordinary
         for b in batches:
             # Lone surrogates can't occur in Arrow's UTF-8.
             parts = (b.column(1).slice(k, 500).to_pylist() for k in range(0, b.num_rows, 500))
@@ -107,7 +115,7 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             few = left.smallest(3, s)
             only_one = len(few) < 2 or few[0] + few[1] > room
             only_two = not only_one and (len(few) < 3 or sum(few) > room)
-            if k != room and not only_one and not (only_two and k >= _best_pair(left, s, room)):
+            if k != room and not only_one and not (only_two and not _pair_beats(left, s, room, k)):
                 break
             # What the last rule rests on, which sizes are there once, twice or thrice, holds
             # until few of s or k are left: all but those are fixed at once.
@@ -121,20 +129,29 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
     return fixed, left.n
 
 
-def _best_pair(left: _Left, s: int, room: int) -> int:
-    """Largest sum of two further items within ``room``."""
-    order = [x for x in left.order[: bisect_right(left.order, room)] if x != s or left.n[x] > 1]
-    spare = lambda x: left.n[x] - (x == s) > 1
-    best, i, j = 0, 0, len(order) - 1
+def _pair_beats(left: _Left, s: int, room: int, k: int) -> bool:
+    """Do two further items within ``room`` fill more of it than ``k``?
+
+    Two pointers over the sizes as they stand, and out at the first such pair: where sizes are
+    dense one is met at once, and where they are not there are few.
+    """
+    order, n = left.order, left.n
+    i, j = 0, bisect_right(order, room) - 1
     while i <= j:
-        total = order[i] + order[j]
-        if total > room:
+        x, y = order[i], order[j]
+        if x + y > room:
+            j -= 1
+        elif x + y <= k:
+            i += 1
+        elif x == y:
+            return n[x] - (x == s) > 1
+        elif n[x] == (x == s):  # the item itself, the only one of its size
+            i += 1
+        elif n[y] == (y == s):
             j -= 1
-            continue
-        if i < j or spare(order[i]):
-            best = max(best, total)
-        i += 1
-    return best
+        else:
+            return True
+    return False
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -212,21 +229,37 @@ def fill_containers(docs: DataFrame, windows: DataFrame, tokenizer: str = TOKENI
     container: container_id is null. A null doc_id is assigned like any other. Windows with
     a null or non-positive capacity are left out. Repeated doc_ids are assigned each.
     Other columns are ignored.
+
+    The driver holds one number for each size that occurs. D different sizes take at least
+    D squared / 2 tokens, so there are at most some 7 million in 100 TB of text, whatever the
+    capacity. Windows are planned ``WINDOWS_AT_ONCE`` at a time.
     """
-    sizes = [(r["window_id"], r["capacity_tokens"]) for r in windows.select("window_id", "capacity_tokens").where("capacity_tokens > 0").distinct().limit(1001).collect()]
-    if len(sizes) > 1000 or any(c > MAX_CAPACITY for _, c in sizes):
-        raise ValueError("too many or too large containers")
+    sizes = [(r["window_id"], r["capacity_tokens"]) for r in windows.select("window_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("window_id").collect()]
     counted = materialise(token_counts(docs, tokenizer=tokenizer))
-    caps = F.array(*[F.struct(F.lit(w).alias("window_id"), F.lit(int(c)).cast("long").alias("cap")) for w, c in sizes])
-    caps = caps if sizes else F.array().cast("array<struct<window_id:int,cap:bigint>>")
+    kind = dict(windows.dtypes)["window_id"]
+    groups = [sizes[i : i + WINDOWS_AT_ONCE] for i in range(0, len(sizes), WINDOWS_AT_ONCE)] or [[]]
+    return reduce(DataFrame.unionByName, [_filled(counted, group, kind, rank_rows) for group in groups])
+
+
+def _histogram(pieces: DataFrame, window) -> dict[int, int]:
+    """How many pieces of each size a window has."""
+    rows = pieces.where((F.col("window_id") == F.lit(window)) & (F.col("size") > 0)).groupBy("size").count().toArrow()
+    return dict(zip(rows.column("size").to_pylist(), rows.column("count").to_pylist(), strict=True))
+
+
+def _filled(counted: DataFrame, sizes: list[tuple], kind: str, rank_rows: int) -> DataFrame:
+    """All texts in containers of a few windows."""
+    caps = F.array(*[F.struct(F.lit(w).cast(kind).alias("window_id"), F.lit(int(c)).cast("long").alias("cap")) for w, c in sizes]).cast(f"array<struct<window_id:{kind},cap:bigint>>")
+    last = F.greatest(F.ceil(F.col("n_tokens") / F.col("cap")) - 1, F.lit(0).cast("long"))
     pieces = (
         counted.select("doc_id", "n_tokens", F.inline(caps))
-        .select("doc_id", "window_id", "cap", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n_tokens") / F.col("cap")) - 1, F.lit(0).cast("long")))).alias("piece_no"))
-        .select("window_id", "doc_id", "piece_no", (F.col("piece_no") * F.col("cap")).alias("token_from"), F.least("cap", F.col("n_tokens") - F.col("piece_no") * F.col("cap")).alias("size"))
-    )
-    hist: dict[int, dict[int, int]] = {w: {} for w, _ in sizes}
-    for r in pieces.where("size > 0").groupBy("window_id", "size").count().collect():  # at most the capacities' sum of rows
-        hist[r["window_id"]][r["size"]] = r["count"]
+        .select("doc_id", "window_id", "cap", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece_no"))
+        .select(
+            "window_id", "doc_id", "piece_no", (F.col("piece_no") * F.col("cap")).alias("token_from"),
+            F.least("cap", F.col("n_tokens") - F.col("piece_no") * F.col("cap")).alias("size"),
+        )
+    )
+    hist = {w: _histogram(pieces, w) for w, _ in sizes}
     plans = {w: packing_plan(hist[w], c)[0] for w, c in sizes}
     most = max((n for h in hist.values() for n in h.values()), default=0)
     salts = -(-most // rank_rows) or 1
@@ -236,11 +269,13 @@ def fill_containers(docs: DataFrame, windows: DataFrame, tokenizer: str = TOKENI
     ranked = items.withColumn("r", F.row_number().over(inner).cast("long") - 1)
     if salts > 1:
         before = Window.partitionBy("window_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        starts = items.groupBy("window_id", "size", "salt").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).drop("count")
+        counts = items.groupBy("window_id", "size", "salt").count()
+        starts = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long"))).drop("count")
         ranked = ranked.join(starts, ["window_id", "size", "salt"]).withColumn("r", F.col("r") + F.col("start"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = {w: (p["size"] << 40) + p["first"] for w, p in plans.items()}
+        names = ["window_id", "container_id", "doc_id", "piece_no", "token_from", "n_tokens"]
         for b in batches:
             win, size, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 4, 5))
             out = np.zeros(len(win), np.int64)
@@ -249,12 +284,13 @@ def fill_containers(docs: DataFrame, windows: DataFrame, tokenizer: str = TOKENI
                 if len(at):
                     k = np.searchsorted(keys[w], (size[at].astype(np.int64) << 40) + rank[at], "right") - 1
                     out[at] = p["container"][k] + (rank[at] - p["first"][k]) // p["times"][k]
-            yield pa.record_batch([b.column(0), pa.array(out), *[b.column(i) for i in range(1, 5)]], names=["window_id", "container_id", "doc_id", "piece_no", "token_from", "n_tokens"])
+            yield pa.record_batch([b.column(0), pa.array(out), *[b.column(i) for i in range(1, 5)]], names=names)
 
-    kind = dict(pieces.dtypes)["window_id"]
     schema = f"window_id {kind}, container_id long, doc_id long, piece_no long, token_from long, n_tokens long"
     placed = ranked.select("window_id", "doc_id", "piece_no", "token_from", "size", "r").mapInArrow(place, schema)
-    none = pieces.where("size <= 0").select("window_id", F.lit(None).cast("long").alias("container_id"), "doc_id", "piece_no", "token_from", F.col("size").alias("n_tokens"))
+    none = pieces.where("size <= 0").select(
+        "window_id", F.lit(None).cast("long").alias("container_id"), "doc_id", "piece_no", "token_from", F.col("size").alias("n_tokens")
+    )
     return placed.unionByName(none)
 
 

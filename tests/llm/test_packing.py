@@ -85,3 +85,32 @@ def test_no_texts_or_no_windows(spark):
     windows = spark.createDataFrame([(1, "s", 16)], "window_id int, label string, capacity_tokens int")
     assert packing.fill_containers(df, windows).count() == 0
     assert packing.fill_containers(spark.createDataFrame([(1, "a")], df.schema), windows.limit(0)).count() == 0
+
+
+def test_pairs_that_beat_a_partner_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(3000):
+        counts = {rng.randint(1, 25): rng.randint(1, 3) for _ in range(rng.randint(1, 8))}
+        s, room, k = rng.choice(list(counts)), rng.randint(1, 40), rng.randint(0, 40)
+        items = [x for x, n in counts.items() for _ in range(n)]
+        items.remove(s)
+        want = any(k < items[i] + items[j] <= room for i in range(len(items)) for j in range(i))
+        assert packing._pair_beats(packing._Left(counts), s, room, k) == want, (counts, s, room, k)
+
+
+def test_large_capacities_take_no_quadratic_time():
+    import time
+
+    rng = random.Random(4)
+    capacity, start = 1 << 21, time.perf_counter()
+    counts = {rng.randint(capacity // 3 - 40_000, capacity // 3 + 40_000): rng.randint(1, 3) for _ in range(40_000)}
+    plan, containers, _ = packing.packing_plan(counts, capacity)
+    assert containers >= sum(s * n for s, n in counts.items()) // capacity and time.perf_counter() - start < 20
+
+
+def test_more_windows_than_are_planned_at_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a b c " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    windows = spark.createDataFrame([(w, "x", 5 + w) for w in range(5)], "window_id int, label string, capacity_tokens int")
+    whole = {tuple(r) for r in packing.fill_containers(df, windows).collect()}
+    monkeypatch.setattr(packing, "WINDOWS_AT_ONCE", 2)
+    assert {tuple(r) for r in packing.fill_containers(df, windows).collect()} == whole and len({r[0] for r in whole}) == 5
