@@ -67,13 +67,14 @@ class Boosted:
         return 1 / (1 + np.exp(-margin))
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.99) -> float:
-    """The held-out threshold of best F1 among those of the wanted precision; middle of its gap."""
+def threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.99, slack: float = 0.004, least: float = 0.2) -> float:
+    """A held-out threshold of the wanted precision: the lowest whose F1 is within ``slack`` of
+    the best, as the best one is a matter of few rows, but not below ``least``; in the middle of its gap."""
     order = np.argsort(-p, kind="stable")
     hit, taken = np.cumsum(y[order]), np.arange(1, len(p) + 1)
     f1 = np.where(hit / taken >= precision, 2 * hit / (taken + y.sum()), 0.0)
     if not len(p) or not f1.any():
         return 0.5
-    last = int(f1.argmax())
+    last = int(np.flatnonzero(f1 >= f1.max() - slack)[-1])
     below = p[order[last + 1]] if last + 1 < len(p) else 0.0
-    return float((p[order[last]] + below) / 2)
+    return max(least, float((p[order[last]] + below) / 2))
