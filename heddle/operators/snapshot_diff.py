@@ -1,13 +1,17 @@
 """Differences between consecutive full snapshots by Merkle trees over hash ranges.
 
 Keys fall into hash ranges (leaves); a leaf's digest combines its rows' digests in any
-order, an inner node's digest its children's. Trees of consecutive snapshots are compared
-from the root down, and rows are compared only in leaves whose digests differ.
+order, an inner node's digest its children's. Every pair of consecutive snapshots has one
+tree whose nodes hold both sides' digests. It is built once, from the leaves up, and read
+from the root down: below nodes that agree nothing is looked at, and rows are compared only
+in leaves that differ.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,30 +51,38 @@ def row_digests(df: DataFrame, snapshot: str, key: str, version: str, state: lis
     )
 
 
-def _paired(df: DataFrame, steps: DataFrame) -> DataFrame:
-    """Each row once as the later (cur) and once as the earlier side of a snapshot pair."""
-    later = df.join(F.broadcast(steps), df["s"] == steps["cur"]).withColumn("side", F.lit(1))
-    earlier = df.join(F.broadcast(steps), df["s"] == steps["prev"]).withColumn("side", F.lit(0))
-    return later.unionByName(earlier)
+def _sides(names: tuple[str, ...], fold: Callable[[Column], Column]) -> list[Column]:
+    return [fold(F.when(F.col("side") == i, F.col(c))).alias(f"{c}_{i}") for i in (0, 1) for c in names]
 
 
-def _sides(names: tuple[str, ...]) -> list[Column]:
-    return [F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{c}_{i}") for i in (0, 1) for c in names]
+def _up(nodes: DataFrame, bits: int) -> DataFrame:
+    """The level above: a node's digests are its children's combined."""
+    fold = lambda c: F.sum(c) if c.startswith("n_") else F.bit_xor(c)
+    return nodes.groupBy("cur", F.shiftrightunsigned("node", bits).alias("node")).agg(*[fold(c).alias(c) for c in nodes.columns[2:]])
 
 
-def _differing(nodes: DataFrame, steps: DataFrame, above: DataFrame | None) -> DataFrame:
-    """(cur, node) of a level whose digests differ, looked for only below ``above``'s nodes.
+_DIFFER = "NOT (x1_0 <=> x1_1 AND x2_0 <=> x2_1 AND n_0 <=> n_1)"
 
-    A node that one side lacks differs from any.
+
+def differing_leaves(leaves: DataFrame, bits: int) -> DataFrame:
+    """(cur, node) of the leaves that differ, found from the root down.
+
+    ``leaves`` (written once) has each side's digests per leaf; a side that lacks a leaf
+    differs from any. The levels above are a sixteenth of the one below each; they are
+    aggregated from one another and written as one table before the descent reads them.
     """
-    sides = _paired(nodes, steps)
-    if above is not None:
-        sides = sides.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(
-            above.withColumnRenamed("node", "parent"), ["cur", "parent"], "left_semi"
-        )
-    return sides.groupBy("cur", "node").agg(*_sides(("x1", "x2", "n"))).where(
-        "NOT (x1_0 <=> x1_1 AND x2_0 <=> x2_1 AND n_0 <=> n_1)"
-    ).select("cur", "node")
+    levels, at = [], leaves
+    for level in range(bits - FANOUT_BITS, -1, -FANOUT_BITS):
+        at = _up(at, FANOUT_BITS)
+        levels.append(at.withColumn("level", F.lit(level)))
+    above = materialise(reduce(DataFrame.unionByName, levels))
+    found = above.where("level = 0").where(_DIFFER).select("cur", "node")
+    for level in range(FANOUT_BITS, bits + 1, FANOUT_BITS):
+        nodes = leaves if level == bits else above.where(F.col("level") == level)
+        parents = found.withColumnRenamed("node", "parent")
+        below = nodes.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(parents, ["cur", "parent"], "left_semi")
+        found = below.where(_DIFFER).select("cur", "node")
+    return found
 
 
 def snapshot_changes(digests: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF) -> DataFrame:
@@ -80,25 +92,25 @@ def snapshot_changes(digests: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF) ->
     The trees have at most 2**MAX_LEAF_BITS leaves, whatever the number of rows.
     """
     digests = materialise(digests)
-    sizes = digests.groupBy("s").agg(F.count("*").alias("rows"))
-    # A row per snapshot: the only window without partitions runs over these few rows.
-    steps = materialise(sizes.select(F.col("s").alias("cur"), F.lag("s").over(Window.orderBy("s")).alias("prev"))).where("prev IS NOT NULL")
+    sizes = materialise(digests.groupBy("s").agg(F.count("*").alias("rows")))
     most = sizes.agg(F.max("rows")).first()[0] or 0
     levels = max(1, math.ceil(math.log2(max(2, most / rows_per_leaf)) / FANOUT_BITS))
     bits = min(MAX_LEAF_BITS, FANOUT_BITS * levels)
+    # A snapshot is the later side of its own pair and the earlier side of the next one's. This
+    # is a row per snapshot: the only window without partitions runs over these few rows.
+    order = Window.orderBy("s")
+    later = F.when(F.lag("s").over(order).isNotNull(), F.struct(F.col("s").alias("cur"), F.lit(1).alias("side")))
+    earlier = F.when(F.lead("s").over(order).isNotNull(), F.struct(F.lead("s").over(order).alias("cur"), F.lit(0).alias("side")))
+    pairs = sizes.select("s", F.filter(F.array(later, earlier), lambda p: p.isNotNull()).alias("pairs"))
     # Hash ranges: a leaf is the top bits of the key's hash.
     leafed = digests.withColumn("node", F.shiftrightunsigned("h", 64 - bits))
-    leaves = materialise(
-        leafed.groupBy("s", "node").agg(
-            F.bit_xor(F.xxhash64("h", "d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", "h")).alias("x2"), F.count("*").alias("n")
-        )
+    own = leafed.groupBy("s", "node").agg(
+        F.bit_xor(F.xxhash64("h", "d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", "h")).alias("x2"), F.count("*").alias("n")
     )
-    differing = None
-    for level in range(0, bits + 1, FANOUT_BITS):
-        nodes = leaves.withColumn("node", F.shiftrightunsigned("node", bits - level))
-        nodes = nodes.groupBy("s", "node").agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"), F.sum("n").alias("n"))
-        differing = _differing(nodes, steps, differing)
-    rows = _paired(leafed, steps).join(differing, ["cur", "node"], "left_semi")
+    sided = lambda df: df.join(F.broadcast(pairs), "s").select(*[c for c in df.columns if c != "s"], F.inline("pairs"))
+    # One row of a side per node: the fold only brings the two sides together.
+    leaves = materialise(sided(own).groupBy("cur", "node").agg(*_sides(("x1", "x2", "n"), F.max)))
+    rows = sided(leafed).join(differing_leaves(leaves, bits), ["cur", "node"], "left_semi")
     kind = (
         F.when(F.col("had") == 0, "added")
         .when(F.col("has") == 0, "removed")
@@ -106,7 +118,7 @@ def snapshot_changes(digests: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF) ->
     )
     return (
         rows.groupBy("cur", "k")
-        .agg(F.max(1 - F.col("side")).alias("had"), F.max("side").alias("has"), *_sides(("d1", "d2")))
+        .agg(F.max(1 - F.col("side")).alias("had"), F.max("side").alias("has"), *_sides(("d1", "d2"), F.max))
         .select(F.col("cur").alias("snapshot_no"), F.col("k").alias("name"), kind.alias("change_kind"))
         .where("change_kind IS NOT NULL")
     )
