@@ -7,9 +7,10 @@ and filters: an ``aggregate`` that concatenates copies its accumulator for every
 element, which is quadratic.
 
 No array grows with a hot entity. Entities with more than ``segment_rows`` observations are
-reduced to one row per instant and cut along time into segments of about that many rows;
-each segment is folded on its own and the segments are stitched by their first and last
-values. Only (entity, segment) summaries meet in one window.
+reduced to one row per instant, numbered in order of time by a parallel sort and cut into
+segments of at most that many rows, however unevenly they lie in time; each segment is folded
+on its own and the segments are stitched by their first and last values. Only (entity,
+segment) summaries meet in one window.
 """
 
 from __future__ import annotations
@@ -17,39 +18,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.session import materialise
+from heddle.session import BROADCAST_BYTES, materialise, with_ordinal
 
 SEGMENT_ROWS = 50_000
-#: Hot entities up to this many slice rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Hot entities up to this many become constants of the plan.
+NAMED = 1_000
 
 
-def _hot_segments(obs: DataFrame, segment_rows: int) -> DataFrame | None:
-    """(entity, lo, span, slices, slice, segment) of the entities above ``segment_rows``."""
-    sizes = materialise(
-        obs.groupBy("e").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("n") > segment_rows)
-    )
-    hot = sizes.count()
-    if not hot:
-        return None
-    sizes = sizes.select(
-        "e", "lo", (F.col("hi") - F.col("lo") + 1).alias("span"), (F.ceil(F.col("n") / segment_rows) * 16).alias("slices")
-    )
-    small = F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes
-    w = Window.partitionBy("e").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return materialise(
-        obs.join(small, "e")
-        .withColumn("slice", _slice())
-        .groupBy("e", "lo", "span", "slices", "slice")
-        .agg(F.count("*").alias("n"))
-        .withColumn("seg", F.floor((F.sum("n").over(w) - F.col("n")) / segment_rows).cast("long"))
-        .drop("n")
-    )
+def _split(obs: DataFrame, segment_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of entities up to ``segment_rows``, and those of the hot ones beyond it.
 
-
-def _slice() -> Column:
-    """Position of t in its entity's time span, in 0..slices-1 (exact in doubles' monotone order)."""
-    return F.least(F.floor((F.col("t") - F.col("lo")).cast("double") / F.col("span") * F.col("slices")), F.col("slices") - 1).cast("long")
+    Few hot entities are named in the filter itself. More are joined: broadcast if they take
+    few bytes (64 for each row's place in the table), else by a shuffle.
+    """
+    hot = materialise(obs.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") > segment_rows).select("e"))
+    few = [r["e"] for r in hot.limit(NAMED + 1).collect()]
+    if not few:
+        return obs, None
+    if len(few) <= NAMED:
+        named = F.col("e").isin(few)
+        return obs.where(~named), obs.where(named)
+    size = hot.agg(F.sum(F.octet_length(F.col("e").cast("string")) + 64)).first()[0]
+    ids = F.broadcast(hot) if size <= BROADCAST_BYTES else hot
+    return obs.join(ids, "e", "left_anti"), obs.join(ids, "e", "left_semi")
+
+
+def segmented(single: DataFrame, order: list[str], segment_rows: int) -> DataFrame:
+    """Rows with their segment ``seg``: at most ``segment_rows`` neighbours in the order.
+
+    Ordinals run on from entity to entity, so a segment's number alone bounds its rows.
+    """
+    numbered = with_ordinal(single, [F.col(c) for c in order], "at")
+    return numbered.withColumn("seg", F.floor(F.col("at") / segment_rows).cast("long")).drop("at")
 
 
 def _fold(obs: DataFrame, per_instant: bool = True) -> DataFrame:
@@ -83,23 +83,17 @@ def version_history(
     obs = df.select(
         F.col(f"`{entity}`").alias("e"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")).alias("t"), F.col(f"`{order}`").alias("o"), value.alias("v")
     ).where(F.col("e").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull())
-    segments = _hot_segments(obs, segment_rows)
-    if segments is None:
-        whole = _fold(obs.withColumn("seg", F.lit(0).cast("long")), per_instant)
-        return _explode(whole.withColumn("seg_end", F.lit(None).cast("long")))
-
-    hint = F.broadcast if segments.count() <= BROADCAST_ROWS else (lambda d: d)
-    hot_ids = segments.select("e", "lo", "span", "slices").distinct()
-    cold = obs.join(hint(hot_ids.select("e")), "e", "left_anti").withColumn("seg", F.lit(0).cast("long"))
-    hot = (
-        obs.join(hint(hot_ids), "e")
-        .withColumn("slice", _slice())
-        .join(hint(segments.select("e", "slice", "seg")), ["e", "slice"])
-        .groupBy("e", "seg", "t", *([] if per_instant else ["o"]))
+    few, hot = _split(obs, segment_rows)
+    cold = few.withColumn("seg", F.lit(0).cast("long"))
+    if hot is None:
+        return _explode(_fold(cold, per_instant).withColumn("seg_end", F.lit(None).cast("long")))
+    one = ["e", "t"] if per_instant else ["e", "t", "o"]
+    single = (
+        hot.groupBy(*one)
         .agg(F.max(F.struct("o", "v") if per_instant else F.struct("v")).alias("m"))
-        .select("e", "seg", "t", *(["m.o"] if per_instant else ["o"]), "m.v")
+        .select("e", "t", "m.o" if per_instant else "o", "m.v")
     )
-    folded = materialise(_fold(hot, per_instant))
+    folded = materialise(_fold(segmented(single, one, segment_rows), per_instant))
     # Stitch: a segment's first version is none if the segment before ends in the same value.
     w = Window.partitionBy("e").orderBy("seg")
     first, second, last = F.get("a", F.lit(0)), F.get("a", F.lit(1)), F.element_at("a", -1)

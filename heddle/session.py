@@ -72,11 +72,13 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
     of the partitions before (one row per partition). The order must have no ties.
     """
     parted = materialise(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()))
-    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    shift = parted.groupBy("part__").count().select("part__", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift__"))
+    # One number per partition goes to the driver and comes back as a constant.
+    before, rows = 0, [0] * (1 + (parted.agg(F.max("part__")).first()[0] or 0))
+    for r in parted.groupBy("part__").count().orderBy("part__").collect():
+        rows[r["part__"]], before = before, before + r["count"]
+    shift = F.split(F.lit(",".join(map(str, rows))), ",").cast("array<bigint>")
     w = Window.partitionBy("part__").orderBy(*order)
-    numbered = parted.join(F.broadcast(shift), "part__").withColumn(name, (F.row_number().over(w) + F.col("shift__")).cast("long"))
-    return numbered.drop("part__", "shift__")
+    return parted.withColumn(name, F.row_number().over(w) + F.get(shift, F.col("part__"))).drop("part__")
 
 
 def spread(df: DataFrame) -> DataFrame:

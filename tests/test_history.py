@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators.history import version_history
+from heddle.operators.history import segmented, version_history
 
 SCHEMA = "id long, who long, at timestamp, v int, e string, t string"
 
@@ -77,3 +77,27 @@ def test_ledger_of_all_rows_in_order(spark, segment):
             want.add((who, micros(at), i, v))
         last[who] = v
     assert {(r["entity_id"], r["valid_from_us"], r["order_key"], r["value"]) for r in out.collect()} == want
+
+
+def test_bursts_are_cut_like_anything_else(spark):
+    """Most of an entity's rows in one hour, one row long before: no array holds more than a segment."""
+    start = datetime(2024, 5, 1)
+    rows = [(i, 1, start + timedelta(milliseconds=180 * i), i // 3, "", "") for i in range(20_000)] + [(99_999, 1, datetime(1990, 1, 1), 0, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = df.select(F.col("who").alias("e"), F.unix_micros(F.col("at")).alias("t"))
+    sizes = [r["count"] for r in segmented(plain, ["e", "t"], 1000).groupBy("e", "seg").count().collect()]
+    assert max(sizes) <= 1000 and sum(sizes) == 20_001
+    got = version_history(df, "who", "at", F.col("v"), "id", segment_rows=1000)
+    assert {tuple(r)[:4] for r in got.collect()} == {(w, micros(a), micros(b), v) for w, a, b, v in brute(rows)}
+
+
+def test_text_keys_and_shuffled_hot_keys(spark, monkeypatch):
+    from heddle.operators import history
+
+    rows = made(250, 5)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("who", F.concat(F.lit("é"), F.col("who").cast("string")))
+    want = {(f"é{w}", micros(a), micros(b), v) for w, a, b, v in brute(rows)}
+    for named, limit in ((1000, 0), (0, history.BROADCAST_BYTES), (0, 0)):
+        monkeypatch.setattr(history, "NAMED", named)
+        monkeypatch.setattr(history, "BROADCAST_BYTES", limit)
+        assert {tuple(r)[:4] for r in version_history(df, "who", "at", F.col("v"), "id", segment_rows=20).collect()} == want
