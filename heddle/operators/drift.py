@@ -7,19 +7,17 @@ the union schema, and consecutive files of a feed are compared for an ordered lo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import materialise
+from heddle.session import BROADCAST_BYTES, materialise, with_ordinal
 
 #: JSON types as bits of a file's type set for a field.
 TYPES = ("boolean", "integer", "decimal", "string", "array", "object")
-#: The union schema is made by the driver from one row per field; wider feeds are refused.
-MAX_FIELDS = 10_000
-#: Files whose lines are read again are found by a broadcast up to this many, else by a shuffle.
-BROADCAST_FILES = 200_000
-
-
+#: Digits of the widest decimal column; wider numbers are kept as text.
+MAX_DIGITS = 38
+#: Type of a whole number that takes more than 64 bits (a smaller one is a BIGINT).
+BIG_INTEGER = r"^DECIMAL\((?:19|[23]\d),0\)$"
 _LINE = ("feed", "file_id", "exported_at", "line_no", "payload")
 
 
@@ -27,21 +25,24 @@ def members(lines: DataFrame) -> DataFrame:
     """(feed, file_id, line_no, field, bit): top-level members of JSON objects.
 
     bit is the bit of the member's type, 0 for null. Lines that are no JSON
-    objects (broken, empty, null, other values) give nothing.
+    objects (broken, empty, null, other values) give nothing. Whole numbers are integers
+    whatever their size; beyond 38 digits, or with an exponent, a number is a decimal.
     """
     exploded = lines.sparkSession.tvf.variant_explode(F.col("p").outer())
     out = _objects(lines).lateralJoin(exploded).select("feed", "file_id", "line_no", F.col("key").alias("field"), F.col("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    bit = (
+    return out.select("feed", "file_id", "line_no", "field", _bit(F.schema_of_variant("v")).alias("bit"))
+
+
+def _bit(kind: Column) -> Column:
+    return (
         F.when(kind == "VOID", 0)
         .when(kind == "BOOLEAN", 1)
-        .when(kind == "BIGINT", 2)
+        .when((kind == "BIGINT") | kind.rlike(BIG_INTEGER), 2)
         .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), 4)
         .when(kind == "STRING", 8)
         .when(kind.startswith("ARRAY"), 16)
         .otherwise(32)
     )
-    return out.select("feed", "file_id", "line_no", "field", bit.alias("bit"))
 
 
 def _objects(lines: DataFrame) -> DataFrame:
@@ -67,20 +68,18 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
     (feed, exported_at, file_id, change_kind, field_before, field_after, type_before,
     type_after). ``key_field`` is an expression over ``feed`` naming the member that
     identifies a record. Files are compared by exported_at (nulls first), then file_id;
-    file_id names the later. A field that goes and one that comes are one rename if their
+    file_id names the later; lines without a feed or file_id belong to no file. A field that goes and one that comes are one rename if their
     values agree for every record with both values, and at least one has both; if several
     pairs would fit, the first in name order of each is taken, so that no field is used
     twice. Repeated lines change nothing.
     """
-    lines = lines.select(*_LINE)  # whatever other columns are called
-    w = Window.partitionBy("feed").orderBy("at", "file_id")
+    lines = lines.select(*_LINE).where("feed IS NOT NULL AND file_id IS NOT NULL")  # whatever other columns are called
+    # Files are numbered by a parallel sort, so that one feed may hold any share of them.
+    files = with_ordinal(file_schemas(lines, members(lines)), [F.col(c) for c in ("feed", "at", "file_id")])
+    before = files.select("feed", (F.col("ordinal") + 1).alias("ordinal"), F.col("fields").alias("before"), F.col("file_id").alias("before_id"))
     pairs = materialise(
-        file_schemas(lines, members(lines))
-        .withColumn("before", F.lag("fields").over(w))
-        .withColumn("before_id", F.lag("file_id").over(w))
-        .where("before_id IS NOT NULL")
-        .select(
-            "feed", "at", "file_id", "before_id", F.col("before"), F.col("fields").alias("after"),
+        files.join(before, ["feed", "ordinal"]).select(
+            "feed", "at", "file_id", "before_id", "before", F.col("fields").alias("after"),
             F.array_except(F.map_keys("before"), F.map_keys("fields")).alias("gone"),
             F.array_except(F.map_keys("fields"), F.map_keys("before")).alias("came"),
         )
@@ -112,7 +111,9 @@ def _renames(lines: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame
     wanted = candidates.select("feed", F.col("before_id").alias("file_id"), F.col("file_id").alias("later"), F.lit(0).alias("side"), F.col("gone").alias("wanted")).unionByName(
         candidates.select("feed", "file_id", F.col("file_id").alias("later"), F.lit(1).alias("side"), F.col("came").alias("wanted"))
     )
-    hint = F.broadcast if 2 * candidates.count() <= BROADCAST_FILES else (lambda d: d)
+    # Both sides of every candidate, by the bytes of its names and 64 for each row's place.
+    size = wanted.agg(F.sum(F.octet_length("feed") + F.octet_length(F.array_join("wanted", "")) + 16 * F.size("wanted") + 64)).first()[0] or 0
+    hint = F.broadcast if size <= BROADCAST_BYTES else (lambda d: d)
     # Variants of the same value print alike: members sorted, spacing and escapes gone.
     texts = lines.where(F.col("payload").rlike(r"^\s*\{")).join(hint(wanted), ["feed", "file_id"])
     record = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$['"), key_field, F.lit("']")))
@@ -149,11 +150,10 @@ def rename_map(lines: DataFrame, key_field: Column) -> dict[str, str]:
 
     Renames link names into groups; the name kept is that of most files, of equal ones the
     first. A group of which one file has two names is left apart: they aren't one field
-    everywhere. The driver gets distinct pairs of names only, bounded by MAX_FIELDS.
+    everywhere. The driver gets distinct pairs of names only: what it needs to know for the
+    columns of the one table.
     """
-    seen = schema_changes(lines, key_field).where("change_kind = 'renamed'").select("field_before", "field_after").distinct().limit(MAX_FIELDS + 1).collect()
-    if len(seen) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} renames")
+    seen = schema_changes(lines, key_field).where("change_kind = 'renamed'").select("field_before", "field_after").distinct().collect()
     group: dict[str, set[str]] = {}
     for a, b in sorted(map(tuple, seen)):
         both = group.get(a, {a}) | group.get(b, {b})
@@ -171,18 +171,37 @@ def rename_map(lines: DataFrame, key_field: Column) -> dict[str, str]:
     return {name: k for name, k in keep.items() if k not in apart and name != k}
 
 
-def promoted(bits: int) -> str:
-    """Least type of the lattice boolean, integer < decimal; all < string that holds ``bits``.
+def promoted(bits: int, whole: int = 0, scale: int = 0, inexact: bool = False) -> str:
+    """Least type of the lattice boolean, integer < decimal; all < string that holds all values.
 
-    Arrays and objects stay JSON text; with nothing but nulls the type is string.
+    ``bits`` are the types seen, ``whole`` and ``scale`` the most digits before and after the
+    point, ``inexact`` whether a number was beyond 38 digits or had an exponent. Integers
+    beyond 18 digits and decimals are decimals of just the digits needed, text where that is
+    more than 38. Inexact numbers are doubles, as JSON readers take them; beside exact ones
+    they are text. Arrays and objects stay JSON text; with nothing but nulls the type is
+    string.
     """
     if bits == 1:
         return "boolean"
-    if bits == 2:
+    if bits & ~6 or not bits:
+        return "string"
+    if inexact:
+        return "string" if whole or scale else "double"
+    if bits == 2 and whole <= 18:
         return "bigint"
-    if bits in (4, 6):
-        return "double"
-    return "string"
+    return f"decimal({max(1, whole + scale)},{scale})" if whole + scale <= MAX_DIGITS else "string"
+
+
+def field_types(lines: DataFrame) -> DataFrame:
+    """(field, bits, whole, scale, inexact): all that ``promoted`` needs, one row per field."""
+    exploded = lines.sparkSession.tvf.variant_explode(F.col("p").outer())
+    kinds = _objects(lines).lateralJoin(exploded).select(F.col("key").alias("field"), F.col("value").alias("v"), F.schema_of_variant("value").alias("kind"))
+    part = lambda i: F.nullif(F.regexp_extract("kind", r"^DECIMAL\((\d+),(-?\d+)\)$", i), F.lit("")).cast("int")
+    digits = F.when(F.col("kind") == "BIGINT", F.length(F.replace(F.variant_get("v", "$", "string"), F.lit("-"), F.lit(""))))
+    widths = kinds.select("field", "v", "kind", F.coalesce(part(1) - part(2), digits, F.lit(0)).alias("whole"), F.greatest(part(2), F.lit(0)).alias("scale"))
+    return widths.groupBy("field").agg(
+        F.bit_or(_bit(F.col("kind"))).alias("bits"), F.max("whole").alias("whole"), F.max("scale").alias("scale"), F.bool_or(F.col("kind").isin("DOUBLE", "FLOAT")).alias("inexact")
+    )
 
 
 def unified_table(lines: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
@@ -190,25 +209,26 @@ def unified_table(lines: DataFrame, rename: dict[str, str] | None = None) -> Dat
 
     Columns: feed, file_id, exported_at, line_no, then the union's fields in name order;
     those clashing with an earlier column, in any case, as ``field_<name>``. The lattice's
-    join of all types seen holds every value, so none is lost by the cast; a value is null
-    where it was null or absent. ``rename`` maps old names to the names kept. Repeated lines
-    stay; an empty table has only the first four columns.
+    join of all types seen holds every value exactly (see ``promoted`` for numbers that JSON
+    readers take as doubles), so none is lost by the cast; a value is null where it was null
+    or absent. ``rename`` maps old names to the names kept. Repeated lines stay; an empty
+    table has only the first four columns. The driver gets one row per field, which is what a
+    table's columns are.
     """
     rename = rename or {}
-    found = members(lines)
-    rows = found.groupBy("field").agg(F.bit_or("bit").alias("bits")).limit(MAX_FIELDS + 1).collect()
-    if len(rows) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} fields")
-    kinds: dict[str, int] = {}
-    for r in rows:
+    kinds: dict[str, tuple] = {}
+    sources: dict[str, list[str]] = {}
+    for r in field_types(lines).orderBy("field").collect():
         name = rename.get(r["field"], r["field"])
-        kinds[name] = kinds.get(name, 0) | r["bits"]
-    sources: dict[str, list[str]] = {n: [r["field"] for r in rows if rename.get(r["field"], r["field"]) == n] for n in kinds}
+        bits, whole, scale, inexact = kinds.get(name, (0, 0, 0, False))
+        kinds[name] = (bits | r["bits"], max(whole, r["whole"]), max(scale, r["scale"]), inexact or r["inexact"])
+        sources.setdefault(name, []).append(r["field"])
     parsed = _objects(lines)
     cols, used = [], {"feed", "file_id", "exported_at", "line_no"}
     for name in sorted(kinds):
         # Names may hold any character: paths quote them.
-        got = [F.variant_get("p", "$[" + "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "']", promoted(kinds[name])) for s in sorted(sources[name], key=lambda s: (s != name, s))]
+        path = lambda s: "$['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        got = [F.variant_get("p", path(s), promoted(*kinds[name])) for s in sorted(sources[name], key=lambda s: (s != name, s))]
         column = name
         while column.lower() in used:  # names that differ in case only are one column name to Spark
             column = f"field_{column}"

@@ -49,14 +49,36 @@ def test_lines_that_are_no_objects_and_repeated_files(spark):
 def test_unified_table_promotes_and_keeps_clashing_names(spark):
     files = [(1, 0, ['{"name":"a","n":1,"feed":"f","N":true}']), (2, 1, ['{"name":"b","n":1.5,"o":{"z":1}}']), (3, 2, ['{"name":"c","n":null,"o":"s"}'])]
     df = unified_table(lines(spark, files))
-    assert dict(df.dtypes)["field_n"] == "double" and dict(df.dtypes)["N"] == "boolean" and dict(df.dtypes)["o"] == "string" and "field_feed" in df.columns
+    assert dict(df.dtypes)["field_n"] == "decimal(2,1)" and dict(df.dtypes)["N"] == "boolean" and dict(df.dtypes)["o"] == "string" and "field_feed" in df.columns
     assert len({c.lower() for c in df.columns}) == len(df.columns)
     assert sorted((r["name"], r["field_n"], r["o"]) for r in df.collect()) == [("a", 1.0, None), ("b", 1.5, '{"z":1}'), ("c", None, "s")]
     assert unified_table(lines(spark, [])).columns == ["feed", "file_id", "exported_at", "line_no"]
 
 
 def test_lattice():
-    assert [promoted(b) for b in (0, 1, 2, 4, 6, 8, 3, 16, 32, 10)] == ["string", "boolean", "bigint", "double", "double", "string", "string", "string", "string", "string"]
+    assert [promoted(b) for b in (0, 1, 8, 3, 16, 32, 10)] == ["string", "boolean", "string", "string", "string", "string", "string"]
+    assert [promoted(2, 5), promoted(2, 18), promoted(2, 23), promoted(4, 2, 3), promoted(6, 16, 1), promoted(6, 30, 9)] == ["bigint", "bigint", "decimal(23,0)", "decimal(5,3)", "decimal(17,1)", "string"]
+    assert [promoted(4, inexact=True), promoted(4, 1, 1, True), promoted(6, 1, 0, True)] == ["double", "string", "string"]
+
+
+def test_numbers_of_one_field_keep_every_digit(spark):
+    def column(*numbers):
+        df = unified_table(lines(spark, [(1, 0, [f'{{"name":"a","n":{n}}}' for n in numbers])]))
+        return dict(df.dtypes)["n"], [str(r["n"]) for r in df.orderBy("line_no").collect()]
+
+    assert column("9007199254740993", "0.5") == ("decimal(17,1)", ["9007199254740993.0", "0.5"])
+    assert column("12345678901234567890123", "-7") == ("decimal(23,0)", ["12345678901234567890123", "-7"])
+    assert column("100.0", "2") == ("decimal(3,0)", ["100", "2"])
+    assert column("1" * 30, "0.0000000001") == ("string", ["1" * 30, "0.0000000001"])
+    assert column("1e3", "2.5e-2") == ("double", ["1000.0", "0.025"])
+    assert column("5", "-17") == ("bigint", ["5", "-17"])
+    assert changes(spark, [(1, 0, ['{"name":"a","x":12345678901234567890123}']), (2, 1, ['{"name":"a","x":7}'])]) == set()
+
+
+def test_lines_without_feed_or_file_belong_to_no_file(spark):
+    df = lines(spark, [(1, 0, ['{"name":"a","x":1}']), (2, 1, ['{"name":"a","y":1}'])])
+    more = df.unionByName(df.withColumn("feed", F.lit(None).cast("string"))).unionByName(df.withColumn("file_id", F.lit(None).cast("long")))
+    assert schema_changes(more, F.lit("name")).count() == 1
 
 
 def test_renamed_fields_share_a_column_unless_they_meet_in_a_file(spark):
@@ -65,5 +87,5 @@ def test_renamed_fields_share_a_column_unless_they_meet_in_a_file(spark):
     names = rename_map(df, F.lit("name"))
     assert names == {"x": "z", "y": "z"}
     out = unified_table(df, names)
-    assert [c for c in out.columns if c in "xyzuv"] == ["u", "v", "z"] and sorted(r["z"] for r in out.collect()) == [1.0, 1.0, 1.0, 2.5]
+    assert [c for c in out.columns if c in "xyzuv"] == ["u", "v", "z"] and sorted(float(r["z"]) for r in out.collect()) == [1.0, 1.0, 1.0, 2.5]
     assert rename_map(lines(spark, []), F.lit("name")) == {}
