@@ -24,33 +24,42 @@ def shell_words(lines: pd.Series) -> pd.Series:
     return lines.map(split)
 
 
-def edit_steps(a: str, b: str) -> list[tuple[str, str]]:
-    """Shortest edits from a to b as (same|add|drop, characters), runs joined, drops first."""
+def edit_steps(a: str, b: str) -> list[tuple[str, str, str]]:
+    """Fewest edits from a to b as (same|swap|drop|add, of a, of b), runs joined.
+
+    As many characters are swapped, dropped and added as the edit distance says. Where several
+    scripts are as short, swaps come first, then drops.
+    """
     n, m = len(a), len(b)
-    away = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
-            if i == n or j == m:
-                away[i][j] = n - i + m - j
-            else:
-                away[i][j] = away[i + 1][j + 1] if a[i] == b[j] else 1 + min(away[i + 1][j], away[i][j + 1])
-    out: list[tuple[str, str]] = []
+    away = [[n - i + m - j if i == n or j == m else 0 for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            away[i][j] = away[i + 1][j + 1] if a[i] == b[j] else 1 + min(away[i + 1][j + 1], away[i + 1][j], away[i][j + 1])
+    out: list[tuple[str, str, str]] = []
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
-            op, ch, i, j = "same", a[i], i + 1, j + 1
-        elif j == m or (i < n and away[i + 1][j] <= away[i][j + 1]):
-            op, ch, i = "drop", a[i], i + 1
+            op, di, dj = "same", 1, 1
+        elif i < n and j < m and away[i][j] == 1 + away[i + 1][j + 1]:
+            op, di, dj = "swap", 1, 1
+        elif i < n and away[i][j] == 1 + away[i + 1][j]:
+            op, di, dj = "drop", 1, 0
         else:
-            op, ch, j = "add", b[j], j + 1
+            op, di, dj = "add", 0, 1
+        step = (op, a[i : i + di], b[j : j + dj])
         if out and out[-1][0] == op:
-            out[-1] = (op, out[-1][1] + ch)
-        else:
-            out.append((op, ch))
+            step = (op, out[-1][1] + step[1], out[-1][2] + step[2])
+            out.pop()
+        out.append(step)
+        i, j = i + di, j + dj
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())])))
+_STEP = T.StructType([T.StructField(n, T.StringType()) for n in ("op", "before", "after")])
+
+
+@F.pandas_udf(T.ArrayType(_STEP))
 def edit_script(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit steps between two short names; null if either is."""
-    return pd.Series([None if x is None or y is None else [{"op": o, "text": t} for o, t in edit_steps(x, y)] for x, y in zip(a, b, strict=True)])
+    pairs = zip(a, b, strict=True)
+    return pd.Series([None if x is None or y is None else [{"op": o, "before": s, "after": t} for o, s, t in edit_steps(x, y)] for x, y in pairs])

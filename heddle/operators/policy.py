@@ -49,8 +49,9 @@ def drifted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
 
 def blocked(servers: DataFrame, registries: list[str]) -> DataFrame:
     """Servers that name a blocked registry in command or url; the first of the list is told."""
-    text = F.concat(launch.command_text(F.col("command")), F.lit(" "), F.coalesce("url", F.lit("")))
-    hit = F.get(F.filter(F.array(*map(F.lit, registries)).cast("array<string>"), lambda b: F.contains(text, b)), F.lit(0))
+    # Each text by itself: what ends one and begins the other is no match.
+    command, url = launch.command_text(F.col("command")), F.coalesce("url", F.lit(""))
+    hit = F.get(F.filter(F.array(*map(F.lit, registries)).cast("array<string>"), lambda b: F.contains(command, b) | F.contains(url, b)), F.lit(0))
     return servers.withColumn("hit", hit).where("hit IS NOT NULL").select(
         F.lit(BLOCKED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("critical").alias("severity"), F.concat(F.lit("uses blocked registry "), F.col("hit")).alias("detail")
     )

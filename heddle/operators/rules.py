@@ -32,35 +32,49 @@ class Rule:
     also: str = ""
     network: bool = False
     phase: str = "static"
+    recommendation: str = ""
+    max_distance: int = 2
+    max_age_days: int = 30
+    known: tuple[str, ...] = ()
 
 
 # ---- fixed values: the rule set ----
 DOWNLOAD_PIPE = r"(curl|wget)\s+[^|]+\|\s*(sh|bash|zsh)"
 RULES = (
     Rule("MCP-STATIC-001", "Literal secret in a server's environment", "LLM02", "high", "high", "env",
-         r"""(api[_-]?key|secret|token|password)\s*[=:]\s*["']?(sk-[a-z0-9]{12,}|xox[baprs]-[a-z0-9-]{10,}|gh[pousr]_[A-Za-z0-9]{20,}|[A-Za-z0-9]{32,})""", allow_if="${"),
-    Rule("MCP-STATIC-002", "Download piped into a shell at launch", "AST04", "critical", "high", "command", DOWNLOAD_PIPE),
+         r"""(api[_-]?key|secret|token|password)\s*[=:]\s*["']?(sk-[a-z0-9]{12,}|xox[baprs]-[a-z0-9-]{10,}|gh[pousr]_[A-Za-z0-9]{20,}|[A-Za-z0-9]{32,})""", allow_if="${",
+         recommendation="Refer to a variable or secret store, and revoke the value that was written here."),
+    Rule("MCP-STATIC-002", "Download piped into a shell at launch", "AST04", "critical", "high", "command", DOWNLOAD_PIPE,
+         recommendation="Install a released package of a fixed version; read a script before it runs."),
     Rule("MCP-STATIC-003", "Host-wide permissions at launch", "LLM08", "high", "medium", "command",
-         r"(--privileged\b|--network[=\s]+host\b|--cap-add[=\s]+all\b|-v\s+/:/|--no-sandbox\b|(?:^|\s)/(?:\s|$))"),
+         r"(--privileged\b|--network[=\s]+host\b|--cap-add[=\s]+all\b|-v\s+/:/|--no-sandbox\b|(?:^|\s)/(?:\s|$))",
+         recommendation="Grant single folders and ports; leave the host's network, devices and sandbox alone."),
     Rule("MCP-STATIC-004", "Package version not pinned at launch", "AST04", "medium", "medium", "command",
-         r"\b(?:npx|uvx|uv\s+run)\s+(?:-y\s+|--from\s+|--with\s+)?(?<pkg>@?[\w][\w./-]*)(?!\S*@\d)", also="oci_pin"),
+         r"\b(?:npx|uvx|uv\s+run)\s+(?:-y\s+|--from\s+|--with\s+)?(?<pkg>@?[\w][\w./-]*)(?!\S*@\d)", also="oci_pin",
+         recommendation="Name the exact version or digest and raise it on purpose."),
     Rule("MCP-STATIC-005", "Injection markers in the entry", "LLM01", "critical", "medium", "raw",
-         r"([\u200b\u200c\u200d\ufeff\u2060]|<!--[\s\S]*?-->|ignore\s+(?:all\s+)?previous\s+instructions|do\s+not\s+tell\s+the\s+user|without\s+(?:informing|telling)\s+the\s+user|send\s+(?:this|it|the\s+\w+)\s+to\s+)"),
-    Rule("MCP-STATIC-006", "Package name close to a known one", "AST04", "high", "medium", check="typosquat"),
-    Rule("MCP-STATIC-007", "Package without a source repository", "AST04", "medium", "low", check="provenance", network=True),
-    Rule("MCP-STATIC-008", "Install script pipes a download into a shell", "AST04", "high", "medium", check="install_script", network=True),
-    Rule("MCP-STATIC-009", "Package published very recently", "AST04", "low", "low", check="registry_age", network=True),
+         r"([\u200b\u200c\u200d\ufeff\u2060]|<!--[\s\S]*?-->|ignore\s+(?:all\s+)?previous\s+instructions|do\s+not\s+tell\s+the\s+user|without\s+(?:informing|telling)\s+the\s+user|send\s+(?:this|it|the\s+\w+)\s+to\s+)",
+         recommendation="Take hidden characters, comments and orders to the reader out of the entry."),
+    Rule("MCP-STATIC-006", "Package name close to a known one", "AST04", "high", "medium", check="typosquat",
+         recommendation="Compare the name letter by letter with the project's own page before installing."),
+    Rule("MCP-STATIC-007", "Package without a source repository", "AST04", "medium", "low", check="provenance", network=True,
+         recommendation="Prefer packages whose source can be read; maintainers should declare the repository."),
+    Rule("MCP-STATIC-008", "Install script pipes a download into a shell", "AST04", "high", "medium", check="install_script", network=True,
+         recommendation="Read what the package runs on installation, or take one that runs nothing."),
+    Rule("MCP-STATIC-009", "Package published very recently", "AST04", "low", "low", check="registry_age", network=True,
+         recommendation="Wait, or look closely at who publishes it and since when."),
 )
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 SEMVER_TAG = r"^v?\d+(\.\d+){0,2}$"
 ALLOW_WINDOW = 60
 DETAIL_CHARS = 160
-NO_TAG = 'docker image "%s" has no tag pinned (defaults to ":latest")'
-FLOATING_TAG = 'docker image "%s" uses floating tag ":%s", not a pinned version or digest'
+INSTALL_SCRIPTS = ("preinstall", "install", "postinstall")
 SOURCE_LABELS = ("source", "repository", "code", "github", "gitlab", "codeberg")
 SOURCE_HOSTS = ("github.com", "gitlab.com", "codeberg.org", "bitbucket.org", "sourcehut.org")
 # ---- end of fixed values ----
+NO_TAG = 'image "%s" names no tag, so whatever is latest runs'
+FLOATING_TAG = 'image "%s" has the moving tag "%s"'
 
 
 def rank(c: Column, ranks: dict[str, int]) -> Column:
@@ -109,68 +123,84 @@ def oci_pin(ref: Column) -> Column:
 
 def _hit(rule: Rule) -> Column:
     if rule.check == "typosquat":
-        near = F.col("t__near")
+        near = F.col(_near(rule))
         return F.when(near.isNotNull(), F.format_string('package "%s" is %d edit(s) from "%s"', F.col("t__package"), near["distance"], near["known"]))
     hit = first_allowed_match(F.col(f"t__{rule.target}"), rule.pattern, rule.allow_if)
     return F.coalesce(hit, oci_pin(F.col("t__image"))) if rule.also == "oci_pin" else hit
 
 
-def with_hits(configs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> DataFrame:
+def _near(rule: Rule) -> str:
+    return f"t__near_{rule.id}"
+
+
+def with_hits(configs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``keep`` and hits: an array of a finding per local rule, with a null detail where it is silent.
 
     Texts, package and image are columns of a projection below, so that each is computed
     once per row however many rules read it. A CPU-bound stage without any exchange.
     """
-    known = typosquat.KNOWN_SERVERS if known is None else known
     local = [r for r in rules if not r.network and r.phase == "static"]
     c = F.col
     base = spread(configs).select(
         *keep, launch.command_text(c("command")).alias("t__command"), F.coalesce("url", F.lit("")).alias("t__url"), launch.env_text(c("env")).alias("t__env"), launch.raw_text(c("raw")).alias("t__raw"),
         launch.package_name(c("command")).alias("t__package"), launch.oci_image_ref(c("command")).alias("t__image"),
-    ).withColumn("t__near", typosquat.nearest_known(c("t__package"), known, max_distance))
-    each = F.array(*[_finding(r, _hit(r)) for r in local])
-    return base.select(*keep, each.alias("hits"))
+    )
+    near = {_near(r): typosquat.nearest_known(c("t__package"), list(r.known) or typosquat.KNOWN_SERVERS, r.max_distance) for r in local if r.check == "typosquat"}
+    each = F.array(*[_finding(r, _hit(r)) for r in local]) if local else F.array().cast(FINDINGS)
+    return base.withColumns(near).select(*keep, each.alias("hits"))
 
 
 def fired(hits: Column) -> Column:
     return F.filter(hits, lambda h: h["detail"].isNotNull())
 
 
-def evaluate(configs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES, known: list[str] | None = None, max_distance: int = 2) -> DataFrame:
-    """Findings (key, rule_id, title, severity, confidence, owasp, phase, location, detail).
+def evaluate(configs: DataFrame, key: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings (key, rule_id, title, severity, confidence, owasp, phase, location, detail,
+    recommendation).
 
     One row per rule that hits a configuration; rules needing metadata are left to
     ``evaluate_metadata``. Null fields have nothing to match. Extra columns are ignored.
     """
     at = F.concat(F.coalesce("source", F.lit("")), F.lit(" :: "), F.coalesce("name", F.lit("")))
-    found = with_hits(configs.withColumn("t__at", at), [key, "t__at"], rules, known, max_distance)
+    found = with_hits(configs.withColumn("t__at", at), [key, "t__at"], rules)
     # Exploding a plain column would add a filter on its size that runs all rules once more.
-    return found.select(key, F.col("t__at").alias("location"), F.inline(fired(F.col("hits")))).select(
-        key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail")
-    )
+    return _rows(found.select(key, F.col("t__at").alias("location"), F.inline(fired(F.col("hits")))), key)
+
+
+def _rows(found: DataFrame, key: str) -> DataFrame:
+    detail = F.substring("detail", 1, DETAIL_CHARS).alias("detail")
+    return found.select(key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", detail, "recommendation")
+
+
+FINDINGS = "array<struct<rule_id:string,title:string,severity:string,confidence:string,owasp:string,phase:string,detail:string,recommendation:string>>"
 
 
 def _finding(r: Rule, hit: Column) -> Column:
     return F.struct(
         F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
-        F.lit(r.owasp).alias("owasp"), F.lit(r.phase).alias("phase"), hit.alias("detail"),
+        F.lit(r.owasp).alias("owasp"), F.lit(r.phase).alias("phase"), hit.alias("detail"), F.lit(r.recommendation).alias("recommendation"),
     )
 
 
-def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Column, max_age_days: int = 30) -> DataFrame:
-    """Findings of the rules that need a package's registry metadata.
+def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Column, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of the rules that need a package's registry metadata, as ``evaluate``'s.
 
     ``metadata``: ecosystem (npm, pypi), package, unpublished boolean, repository string,
     project_urls map, home_page string, scripts map (of the latest version), created_at
-    string (ISO). A package without a row, or without a needed value, gives no finding.
+    string (ISO). A package without a row, or without a needed value, gives no finding. uvx
+    decides the registry for provenance and age, wherever it stands; install scripts are
+    npm's, asked for by npx alone.
     """
+    asked = [r for r in rules if r.network and r.phase == "static"]
+    by_check = lambda r: {"provenance": provenance, "install_script": install, "registry_age": lambda: age(r)}[r.check]()
     command = F.col("command")
     by_uvx, by_npx = F.array_contains(command, "uvx"), F.array_contains(command, "npx")
-    eco = F.when(by_uvx, "pypi").when(by_npx, "npm")
+    ask = lambda eco, main, scripts: F.struct(F.lit(eco).alias("eco"), F.lit(main).alias("main"), F.lit(scripts).alias("scripted"))
+    asks = F.when(by_uvx & by_npx, F.array(ask("pypi", True, False), ask("npm", False, True))).when(by_uvx, F.array(ask("pypi", True, False))).when(by_npx, F.array(ask("npm", True, True)))
     meta = metadata.select(
         F.col("ecosystem").alias("m_ecosystem"), F.col("package").alias("m_package"), "unpublished", "repository", "project_urls", "home_page", "scripts", "created_at"
     )
-    rows = configs.select(key, "name", "source", command.alias("command"), launch.package_name(command).alias("pkg"), eco.alias("eco"), by_npx.alias("npx")).join(
+    rows = configs.select(key, "name", "source", launch.package_name(command).alias("pkg"), F.inline(asks)).join(
         meta, (F.col("eco") == F.col("m_ecosystem")) & (F.col("pkg") == F.col("m_package"))
     )
     urls = F.map_entries(F.coalesce("project_urls", F.create_map().cast("map<string,string>")))
@@ -179,24 +209,25 @@ def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Co
     )
     home = F.coalesce("home_page", F.lit(""))
     pypi_source = F.exists(urls, is_source) | ((home != "") & ~F.contains(home, F.lit("pypi.org")))
-    provenance = F.when(
-        F.col("eco") == "pypi", F.when(~pypi_source, F.format_string('PyPI package "%s" has no discoverable source repository', "pkg"))
-    ).otherwise(
-        F.when(F.coalesce("unpublished", F.lit(False)), F.format_string('npm package "%s" has been unpublished', "pkg")).when(
-            F.coalesce("repository", F.lit("")) == "", F.format_string('npm package "%s" has no repository field', "pkg")
+
+    def provenance() -> Column:
+        pypi = F.when(~pypi_source, F.format_string('PyPI lists no source repository for "%s"', "pkg"))
+        npm = F.when(F.coalesce("unpublished", F.lit(False)), F.format_string('"%s" is no longer on npm', "pkg")).when(
+            F.coalesce("repository", F.lit("")) == "", F.format_string('npm package "%s" declares no repository', "pkg")
         )
-    )
-    script = lambda k: F.when(F.try_element_at("scripts", F.lit(k)).rlike("(?i)" + DOWNLOAD_PIPE), F.format_string('npm package "%s": "%s" pipes a download into a shell', F.col("pkg"), F.lit(k)))
-    # uvx decides the registry for provenance and age; install scripts only ask for npx.
-    install = F.when((F.col("eco") == "npm") & F.col("npx"), F.coalesce(*[script(k) for k in ("preinstall", "install", "postinstall")]))
-    days = F.floor((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp("created_at"))) / 86_400_000_000)
-    age = F.when(days <= max_age_days, F.format_string('package "%s" was first published %d day(s) ago', F.col("pkg"), days))
-    by_check = {"provenance": provenance, "install_script": install, "registry_age": age}
-    found = F.array(*[_finding(r, by_check[r.check]) for r in RULES if r.network])
+        return F.when(F.col("main"), F.when(F.col("eco") == "pypi", pypi).otherwise(npm))
+
+    def install() -> Column:
+        bad = lambda k: F.try_element_at("scripts", F.lit(k)).rlike("(?i)" + DOWNLOAD_PIPE)
+        return F.when(F.col("scripted"), F.coalesce(*[F.when(bad(k), F.format_string('npm package "%s" pipes a download into a shell on %s', F.col("pkg"), F.lit(k))) for k in INSTALL_SCRIPTS]))
+
+    def age(rule: Rule) -> Column:
+        days = F.floor((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp("created_at"))) / 86_400_000_000)
+        return F.when(F.col("main") & (days <= rule.max_age_days), F.format_string('"%s" appeared %d day(s) ago', F.col("pkg"), days))
+
+    found = F.array(*[_finding(r, by_check(r)) for r in asked]) if asked else F.array().cast(FINDINGS)
     at = F.concat(F.coalesce("source", F.lit("")), F.lit(" :: "), F.coalesce("name", F.lit("")))
-    return rows.select(key, at.alias("location"), F.inline(fired(found))).select(
-        key, "rule_id", "title", "severity", "confidence", "owasp", "phase", "location", F.substring("detail", 1, DETAIL_CHARS).alias("detail")
-    )
+    return _rows(rows.select(key, at.alias("location"), F.inline(fired(found))), key)
 
 
 def fingerprint(rule_id: Column, server: Column, location: Column) -> Column:

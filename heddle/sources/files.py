@@ -20,11 +20,17 @@ def _read(path: Path):
     return json.loads(text)
 
 
+#: Names of the checks in rule files, and what they are called here.
+CHECKS = {"typosquat": "typosquat", "npm_provenance": "provenance", "npm_install_script": "install_script", "registry_age": "registry_age"}
+
+
 def load_rules(directory: str | None = None) -> tuple[Rule, ...]:
     """The built-in rules, or those of a directory's JSON or YAML files in name order.
 
-    A file is one rule: id, title, owasp, severity, confidence, network, and detect with
-    target, pattern, allow_if, type or also. Files that are no mapping with an id are skipped.
+    A file is one rule: id, title, owasp, severity, confidence, recommendation, network, and
+    detect with target, pattern, allow_if, type, also, and for some types reference_list (a
+    file of names in the folder ``data``), max_distance or max_age_days. A type that is
+    unknown is none. Files that are no mapping with an id are skipped.
     """
     if directory is None:
         return RULES
@@ -33,11 +39,16 @@ def load_rules(directory: str | None = None) -> tuple[Rule, ...]:
         if p.suffix not in (".json", ".yaml", ".yml"):
             continue
         r = _read(p)
-        if isinstance(r, dict) and "id" in r:
+        if isinstance(r, dict) and r.get("id"):
             d = r.get("detect") or {}
+            names = Path(directory) / "data" / str(d.get("reference_list") or "")
             out.append(
-                Rule(r["id"], r.get("title", r["id"]), r.get("owasp", ""), r.get("severity", "medium"), r.get("confidence", "medium"), d.get("target", "command"),
-                     d.get("pattern", "").replace("(?P<", "(?<"), d.get("allow_if", ""), d.get("type", ""), d.get("also", ""), bool(r.get("network")), r.get("phase", "static"))
+                Rule(
+                    r["id"], r.get("title", r["id"]), r.get("owasp", ""), r.get("severity", "medium"), r.get("confidence", "medium"), d.get("target", "command"),
+                    (d.get("pattern") or "").replace("(?P<", "(?<"), d.get("allow_if") or "", CHECKS.get(d.get("type"), ""), d.get("also") or "", bool(r.get("network")), r.get("phase", "static"),
+                    recommendation=r.get("recommendation", ""), max_distance=int(d.get("max_distance", 2)), max_age_days=int(d.get("max_age_days", 30)),
+                    known=tuple(load_names(str(names))) if names.is_file() else (),
+                )
             )
     return tuple(out)
 
@@ -105,5 +116,5 @@ def rule_pages(rules: tuple[Rule, ...] = RULES) -> dict[str, str]:
     out = {}
     for r in rules:
         how = f"check `{r.check}`" if r.check else f"pattern over `{r.target}`"
-        out[r.id] = f"# {r.id}\n\n{r.title}\n\n| severity | confidence | class | detection |\n|---|---|---|---|\n| {r.severity} | {r.confidence} | {r.owasp} | {how} |\n"
+        out[r.id] = f"# {r.id}\n\n{r.title}\n\n| severity | confidence | class | detection |\n|---|---|---|---|\n| {r.severity} | {r.confidence} | {r.owasp} | {how} |\n\n{r.recommendation}\n"
     return out
