@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from heddle.operators import drift, history, nested, snapshot_diff
 from heddle.session import table
 
-#: Records are keyed by this member in the two kinds of feeds.
 def _record_key():
+    """The member that identifies a record in the two kinds of feeds."""
     return F.when(F.col("feed").endswith("/packages"), "identifier").otherwise("name")
 
 
@@ -20,13 +20,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_schema_log(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.schema_changes(table(spark, sf, "export_lines"), _record_key())
+    log = drift.schema_changes(table(spark, sf, "export_lines"), _record_key())
+    return log.withColumn("exported_at", F.unix_micros("exported_at")).withColumnRenamed("exported_at", "exported_us")
 
 
 def _one_table(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """A kind's lines as one table; a field that mirrors call by several names is one column."""
     lines = table(spark, sf, "export_lines").where(F.col("feed").endswith("/" + kind))
-    return drift.unified_table(lines, drift.rename_map(lines, _record_key()))
+    out = drift.unified_table(lines, drift.rename_map(lines, _record_key()))
+    return out.withColumn("exported_at", F.unix_micros("exported_at")).withColumnRenamed("exported_at", "exported_us")
 
 
 def p2_packages_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,13 +137,30 @@ SELECT DISTINCT origin, record_id, relation, CAST(parent_pos AS BIGINT) AS paren
  UNION ALL SELECT origin, id, 'choices', pos, n || '/' || q FROM picks WHERE json_type(z) <> 'NULL')"""
 
 
-def _p6_sql(source: str, where: str, origin: str, pos: str, key: str, x: str, members: tuple[str, ...]) -> str:
+# The relations' tables also hold what a version's own raw_json is: one package or one remote, in no list.
+_P6_WHOLE = """WITH decoded AS (
+  SELECT 'registry_entries' AS origin, entry_id AS id, NULL AS alone, CASE WHEN json_type(raw_json) = 'VARCHAR' THEN raw_json ->> '$' ELSE raw_json END AS d FROM registry_entries WHERE json_valid(raw_json)
+  UNION ALL SELECT 'versions', id, CASE WHEN registry_type = 'remote' THEN 'remotes' ELSE 'packages' END, CASE WHEN json_type(raw_json) = 'VARCHAR' THEN raw_json ->> '$' ELSE raw_json END FROM versions WHERE json_valid(raw_json)),
+ ok AS (SELECT * FROM decoded WHERE json_valid(d)),
+ lists AS (SELECT origin, id, 'packages' AS relation, json_extract(d, '$.server.packages') AS l FROM ok WHERE alone IS NULL UNION ALL SELECT origin, id, 'remotes', json_extract(d, '$.server.remotes') FROM ok WHERE alone IS NULL),
+ tops AS (SELECT origin, id, relation, i, json_extract(l, '$[' || i || ']') AS x FROM (SELECT origin, id, relation, l, unnest(range(json_array_length(l)::BIGINT)) AS i FROM lists WHERE json_type(l) = 'ARRAY')
+   UNION ALL SELECT origin, id, alone, -1, json_extract(d, '$') FROM ok WHERE alone IS NOT NULL AND json_type(d) = 'OBJECT'),
+ top AS (SELECT * FROM tops WHERE json_type(x) <> 'NULL'),
+ arg_lists AS (SELECT origin, id, i, 'runtime_args' AS relation, json_extract(x, '$.runtimeArguments') AS l FROM top WHERE relation = 'packages' UNION ALL SELECT origin, id, i, 'package_args', json_extract(x, '$.packageArguments') FROM top WHERE relation = 'packages'),
+ args AS (SELECT origin, id, i, relation, j, json_extract(l, '$[' || j || ']') AS a FROM (SELECT *, unnest(range(json_array_length(l)::BIGINT)) AS j FROM arg_lists WHERE json_type(l) = 'ARRAY')),
+ named AS (SELECT origin, 'headers' AS relation, id, i AS pos, json_extract(x, '$.headers') AS l FROM top WHERE relation = 'remotes'),
+ maps AS (SELECT origin, relation, id, pos, unnest(json_keys(l)) AS k FROM named WHERE json_type(l) = 'OBJECT'),
+ items AS (SELECT origin, relation, id, pos, json_extract(l, '$[' || j || ']') AS o FROM (SELECT *, unnest(range(json_array_length(l)::BIGINT)) AS j FROM named WHERE json_type(l) = 'ARRAY')),
+ objs AS (SELECT *, o ->> '$.name' AS n FROM items WHERE json_type(o) = 'OBJECT' AND json_type(o, '$.name') = 'VARCHAR' AND o ->> '$.name' <> '')"""
+
+
+def _p6_sql(source: str, where: str, origin: str, pos: str, key: str, x: str, members: tuple[str, ...], ctes: str = _P6_WHOLE) -> str:
     """One relation as a flat table; a value that is no object stands in scalar."""
     cols = ", ".join(f"CASE WHEN json_type({x}) = 'OBJECT' THEN {x} ->> '$.{m}' END AS \"{m + '_' if m == 'value' else m}\"" for m in members)
-    return f"{_P6_WITH} SELECT {origin} AS origin, id AS record_id, CAST({pos} AS BIGINT) AS parent_pos, {key} AS item_key, {cols}, CASE WHEN json_type({x}) <> 'OBJECT' THEN {x} ->> '$' END AS scalar FROM {source} WHERE {where}"
+    return f"{ctes} SELECT {origin} AS origin, id AS record_id, CAST({pos} AS BIGINT) AS parent_pos, {key} AS item_key, {cols}, CASE WHEN json_type({x}) <> 'OBJECT' THEN {x} ->> '$' END AS scalar FROM {source} WHERE {where}"
 
 
-_TEXT_I, _TEXT_J, _ENTRIES = "CAST(i AS VARCHAR)", "CAST(j AS VARCHAR)", "'registry_entries'"
+_TEXT_I, _TEXT_J = "CAST(i AS VARCHAR)", "CAST(j AS VARCHAR)"
 _ARG = "relation = '{r}' AND (json_type(a) = 'VARCHAR' OR (json_type(a) = 'OBJECT' AND (coalesce(a ->> '$.name', '') <> '' OR a ->> '$.value' IS NOT NULL)))"
 _MAPPED = "(SELECT m.origin, m.relation, m.id, m.pos, m.k AS n, json_extract(d.l, '$.\"' || m.k || '\"') AS o FROM maps m JOIN named d ON d.origin = m.origin AND d.relation = m.relation AND d.id = m.id AND d.pos = m.pos UNION ALL SELECT origin, relation, id, pos, n, o FROM objs)"
 
@@ -163,6 +182,38 @@ SELECT feed, file_id, 'renamed' AS change_kind, x AS field_before, y AS field_af
 UNION ALL SELECT feed, file_id, 'removed', field, '' FROM gone g WHERE NOT EXISTS (FROM ren r WHERE r.feed = g.feed AND r.file_id = g.file_id AND r.x = g.field)
 UNION ALL SELECT feed, file_id, 'added', '', field FROM came c WHERE NOT EXISTS (FROM ren r WHERE r.feed = c.feed AND r.file_id = c.file_id AND r.y = c.field)
 UNION ALL SELECT feed, file_id, 'retyped', field, field FROM a JOIN b USING (feed, file_id, field) WHERE a.bits <> b.bits"""
+_TYPES = "array_to_string(list_filter([{}], lambda t: t IS NOT NULL), '|')".format(", ".join(f"CASE WHEN ({{b}} & {1 << i}) <> 0 THEN '{t}' END" for i, t in enumerate(("boolean", "integer", "decimal", "string", "array", "object"))))
+_P2_LOG = f"""SELECT c.feed, epoch_us(t.at_) AS exported_us, c.file_id, change_kind, field_before, field_after, coalesce({_TYPES.format(b="f.bits")}, '') AS type_before, coalesce({_TYPES.format(b="g.bits")}, '') AS type_after
+FROM ({_P2}) c JOIN (SELECT feed, file_id, max(exported_at) AS at_ FROM export_lines GROUP BY 1, 2) t USING (feed, file_id)
+LEFT JOIN (WITH {{fields}} SELECT feed, file_id, field, bits FROM fields) g ON g.feed = c.feed AND g.file_id = c.file_id AND g.field = c.field_after
+LEFT JOIN (WITH {{fields}} SELECT s.feed, s.file_id, f.field, f.bits FROM (SELECT feed, file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY at_, file_id) AS prev FROM (SELECT feed, file_id, max(exported_at) AS at_ FROM export_lines GROUP BY 1, 2)) s
+  JOIN fields f ON f.feed = s.feed AND f.file_id = s.prev) f ON f.feed = c.feed AND f.file_id = c.file_id AND f.field = c.field_before""".replace("{fields}", _P2[len("WITH ") : _P2.index(",\n files AS")])
+# The columns the two tables have at the scale the SQL is run at, with the names that mirrors give a field.
+_COLUMNS = {
+    "packages": {
+        "deprecated": ("deprecated",), "downloads": ("downloads", "download_count"), "environmentVariables": ("environmentVariables",), "fileSha256": ("fileSha256",), "identifier": ("identifier",), "license": ("license",),
+        "publishedAt": ("publishedAt", "published_at", "released"), "registryType": ("registryType",), "runtimeArguments": ("runtimeArguments", "runtime_arguments"), "signer": ("signer",), "sizeBytes": ("sizeBytes",),
+        "transport": ("transport", "channel"), "version": ("version", "packageVersion"),
+    },
+    "index": {
+        "badge": ("badge",), "contact": ("contact",), "finding_count": ("finding_count", "findings"), "last_scanned_at": ("last_scanned_at", "lastScan", "scanned_at"), "name": ("name",), "score": ("score", "points", "risk_score"), "slug": ("slug",),
+    },
+}
+
+
+def _p2_table(kind: str) -> str:
+    """Objects' members in name order and no spacing, as values of one type are compared."""
+    flat = "(SELECT '{' || string_agg(to_json(k.key) || ':' || k.value, ',' ORDER BY k.key) || '}' FROM json_each(%s) k)"
+    text = f"CASE e.type WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN {flat % 'e.value'} WHEN 'ARRAY' THEN '[' || coalesce((SELECT string_agg(CASE a.type WHEN 'OBJECT' THEN {flat % 'a.value'} ELSE CAST(a.value AS VARCHAR) END, ',' ORDER BY TRY_CAST(a.key AS BIGINT)) FROM json_each(e.value) a), '') || ']' ELSE e.value ->> '$' END"
+    one = lambda source: f"max(v) FILTER (key = '{source}')"
+    cols = ", ".join(
+        ("CAST({} AS BOOLEAN)" if name == "deprecated" else "{}").format("coalesce(" + ", ".join(map(one, sources)) + ")") + f' AS "{name}"' for name, sources in _COLUMNS[kind].items()
+    )
+    return f"""WITH o AS (SELECT row_number() OVER () AS r, feed, file_id, epoch_us(exported_at) AS exported_us, line_no, payload AS p FROM export_lines WHERE feed LIKE '%/{kind}' AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ cells AS (SELECT o.r, e.key, {text} AS v FROM o, json_each(o.p) e), wide AS (SELECT r, {cols} FROM cells GROUP BY r)
+SELECT feed, file_id, exported_us, line_no, wide.* EXCLUDE (r) FROM o LEFT JOIN wide USING (r)"""
+
+
 _P5 = """WITH held AS (SELECT snapshot_no AS s, name, row_no, delisted_at, raw_json FROM server_snapshots QUALIFY row_number() OVER (PARTITION BY snapshot_no, name ORDER BY row_no DESC) = 1),
  leaves AS (SELECT h.s, h.name, string_agg(t.fullkey || ' ' || t.type || ' ' || coalesce(CAST(t.atom AS VARCHAR), ''), chr(10) ORDER BY t.fullkey) AS v FROM held h, json_tree(h.raw_json) t WHERE json_valid(h.raw_json) GROUP BY 1, 2),
  state AS (SELECT h.s, h.name, h.delisted_at, CASE WHEN h.raw_json IS NULL THEN NULL ELSE coalesce(l.v, 'text ' || h.raw_json) END AS v FROM held h LEFT JOIN leaves l ON l.s = h.s AND l.name = h.name),
@@ -173,16 +224,19 @@ FROM a FULL JOIN b ON a.cur = b.cur AND a.name = b.name WHERE a.name IS NULL OR
 
 ORACLE_SQL = {
     "p2_found": _P2,
+    "p2_schema_log": _P2_LOG,
+    "p2_packages_table": _p2_table("packages"),
+    "p2_index_table": _p2_table("index"),
     "p5_found": _P5,
     "p4_found": f"SELECT 'score' AS entity, entity_id, valid_from_us FROM ({_SCORES}) UNION ALL SELECT 'hash', entity_id, valid_from_us FROM ({_HASHES})",
     "p4_score_history": _SCORES,
     "p4_hash_history": _HASHES,
     "p6_found": _P6,
-    "p6_packages": _p6_sql("top", "relation = 'packages'", _ENTRIES, "-1", _TEXT_I, "x", ("registryType", "identifier", "version", "fileSha256")),
-    "p6_remotes": _p6_sql("top", "relation = 'remotes'", _ENTRIES, "-1", _TEXT_I, "x", ("url", "type")),
-    "p6_runtime_args": _p6_sql("args", _ARG.format(r="runtime_args"), _ENTRIES, "i", _TEXT_J, "a", ("type", "name", "value")),
-    "p6_package_args": _p6_sql("args", _ARG.format(r="package_args"), _ENTRIES, "i", _TEXT_J, "a", ("type", "name", "value")),
-    "p6_env": _p6_sql(_MAPPED, "relation = 'env'", "origin", "pos", "n", "o", ("description", "isRequired", "value")),
+    "p6_packages": _p6_sql("top", "relation = 'packages'", "origin", "-1", _TEXT_I, "x", ("registryType", "identifier", "version", "fileSha256")),
+    "p6_remotes": _p6_sql("top", "relation = 'remotes'", "origin", "-1", _TEXT_I, "x", ("url", "type")),
+    "p6_runtime_args": _p6_sql("args", _ARG.format(r="runtime_args"), "origin", "i", _TEXT_J, "a", ("type", "name", "value")),
+    "p6_package_args": _p6_sql("args", _ARG.format(r="package_args"), "origin", "i", _TEXT_J, "a", ("type", "name", "value")),
+    "p6_env": _p6_sql(_MAPPED, "relation = 'env'", "origin", "pos", "n", "o", ("description", "isRequired", "value"), _P6_WITH),
     "p6_headers": _p6_sql(_MAPPED, "relation = 'headers'", "origin", "pos", "n", "o", ("value", "isRequired")),
-    "p6_choices": _p6_sql("picks", "json_type(z) <> 'NULL'", "origin", "pos", "n || '/' || q", "z", ("label", "value")),
+    "p6_choices": _p6_sql("picks", "json_type(z) <> 'NULL'", "origin", "pos", "n || '/' || q", "z", ("label", "value"), _P6_WITH),
 }
