@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle import api
 from heddle.functions import launch
 from heddle.functions.python_udfs import edit_script
 from heddle.operators import pipeline, policy, publish, rules, scoring, state, typosquat
@@ -79,6 +80,13 @@ def launch_identity(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("config_id", "package", "resolved_version", "image_ref", launch.oci_image_name(F.col("image_ref")).alias("image"), "resolved_digest", "identity")
 
 
+def jsonc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries written with comments and a trailing comma, and read back without them."""
+    noisy = F.concat(F.lit("/* entry */"), F.regexp_replace("raw", r"\}\s*$", ", /* last */ }"), F.lit("// end, of } entry"))
+    clean = launch.strip_trailing_commas(launch.strip_json_comments(noisy))
+    return _configs(spark, sf).where(F.col("raw").startswith("{")).select("config_id", F.regexp_replace(clean, r"\s*\}\s*$", "}").alias("text"))
+
+
 # ------------------------------------------------------------------ rules, findings, scores
 
 
@@ -268,6 +276,14 @@ def lookalike_diffs(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(spark, sf).select("a", "b", edit_script("a", "b").alias("steps"))
 
 
+def lookalike_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Each script's number of edits, and the two names rebuilt from it."""
+    part = lambda side: F.array_join(F.transform("steps", lambda s: s[side]), "")
+    size = lambda s: F.when(s["op"] == "same", 0).otherwise(F.greatest(F.length(s["before"]), F.length(s["after"])))
+    edits = F.aggregate(F.transform("steps", size), F.lit(0), lambda a, x: a + x)
+    return lookalike_diffs(spark, sf).select("a", "b", edits.alias("edits"), part("before").alias("before"), part("after").alias("after"))
+
+
 # ------------------------------------------------------------------ state
 
 
@@ -334,6 +350,15 @@ def poll_summary(spark: SparkSession, sf: str) -> DataFrame:
     return state.poll_summary(_upserts(spark, sf), "poll_no").withColumnRenamed("poll_no", "snapshot_no")
 
 
+def version_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The versions as the state, the registry's pages as a poll: a key of four parts."""
+    v, s = table(spark, sf, "versions"), table(spark, sf, "servers")
+    old = v.join(s.select(F.col("id").alias("server_id"), "name"), "server_id").select("name", "version", "registry_type", "identifier", "transport", "first_seen_at", "last_seen_at", "delisted_at")
+    poll = configs.registry_targets(table(spark, sf, "registry_entries")).select("name", "version", "registry_type", "identifier", "transport")
+    out = state.upsert(old, poll, ["name", "version", "registry_type", "identifier"], ["transport"], _now())
+    return out.select("name", "version", "registry_type", "identifier", "transport", "change", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("delisted_at").alias("delisted_us"))
+
+
 # ------------------------------------------------------------------ publication
 
 
@@ -412,6 +437,12 @@ def server_documents(spark: SparkSession, sf: str) -> DataFrame:
     return publish.server_documents(_index(spark, sf), _server_findings(spark, sf))
 
 
+def server_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A server's page looked up by name: that of the first one in order of names."""
+    name = table(spark, sf, "servers").agg(F.min("name")).first()[0]
+    return api.check(_index(spark, sf), _server_findings(spark, sf), name)
+
+
 def sarif(spark: SparkSession, sf: str) -> DataFrame:
     return publish.sarif(_findings(spark, sf), "heddle", SITE)
 
@@ -467,10 +498,10 @@ def policy_report(spark: SparkSession, sf: str) -> DataFrame:
     return publish.markdown_report(v)
 
 
-_NAMES = """config_normalise registry_targets registry_type_union version_launch env_lines launch_identity config_findings rule_findings rule_details metadata_findings scan_plan scan_findings scan_counts server_score
+_NAMES = """config_normalise registry_targets registry_type_union jsonc_roundtrip version_launch env_lines launch_identity config_findings rule_findings rule_details metadata_findings scan_plan scan_findings scan_counts server_score
 rule_totals secret_rule_env launch_score_board brand_scores score_cascade dedupe_max_severity severity_rollup package_age provenance_findings
-typosquat_nearest typosquat_clusters clusters_with_neighbours lookalike_pairs lookalike_diffs latest_hash latest_score latest_event_per_user latest_ok_scan event_change_ledger hash_change_ledger needs_rescan
-score_history_pairs newly_flagged snapshot_upsert poll_summary flagged_leaderboard browse_pages search_top20 server_slugs slug_collisions
-fnv_shards search_index artifact_index score_totals review_packet feed_json feed_rss sitemap badges server_documents sarif text_report stratified_review allowlist_init
+typosquat_nearest typosquat_clusters clusters_with_neighbours lookalike_pairs lookalike_diffs lookalike_edits latest_hash latest_score latest_event_per_user latest_ok_scan event_change_ledger hash_change_ledger needs_rescan
+score_history_pairs newly_flagged snapshot_upsert poll_summary version_upsert flagged_leaderboard browse_pages search_top20 server_slugs slug_collisions
+fnv_shards search_index artifact_index score_totals review_packet feed_json feed_rss sitemap badges server_documents server_check sarif text_report stratified_review allowlist_init
 allowlist_unlisted version_drift blocked_registry baseline_new_findings policy_report""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

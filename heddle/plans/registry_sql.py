@@ -136,6 +136,11 @@ _SCAN = f"""{_RULES},
    CASE r.severity WHEN 'critical' THEN 0.55::DOUBLE WHEN 'high' THEN 0.35::DOUBLE WHEN 'medium' THEN 0.15::DOUBLE ELSE 0.05::DOUBLE END * CASE r.confidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS w
    FROM all_hits h JOIN rules r USING (rule_id) JOIN vlaunch v ON v.version_id = h.key)"""
 
+_DOCUMENTS = f"""WITH RECURSIVE {_INDEX}, {_SCAN}, one AS (SELECT DISTINCT ON (server_id, rule_id) * FROM found ORDER BY server_id, rule_id, w DESC, version_id),
+      lists AS (SELECT server_id, '[' || string_agg(CAST(json_object('rule_id', rule_id, 'title', title, 'severity', severity, 'confidence', confidence, 'owasp', owasp, 'detail', detail, 'recommendation', recommendation) AS VARCHAR), ',' ORDER BY rule_id) || ']' AS l FROM one GROUP BY 1)
+      SELECT name, slug, '{{"name":"' || name || '","score":' || score || ',"finding_count":' || finding_count || ',"computed_at":"' || strftime(computed_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","findings":' || coalesce(l, '[]') || '}}' AS document
+      FROM idx LEFT JOIN lists USING (server_id)"""
+
 ORACLE_SQL = {
     "config_normalise": f"SELECT config_id, transport, array_to_string(command, chr(31)) AS command, coalesce(url, '') AS url, {_ENV_TEXT} AS env FROM server_configs",
     "registry_targets": f"WITH {_ENTRY} SELECT * FROM targets",
@@ -185,6 +190,15 @@ ORACLE_SQL = {
     "clusters_with_neighbours": f"WITH RECURSIVE {_F} SELECT known AS known_name, count(*) AS neighbours FROM (SELECT unnest({_LIST}) AS known) k JOIN named x ON x.pkg <> '' AND levenshtein(x.pkg, known) BETWEEN 1 AND 2 GROUP BY 1",
     "lookalike_pairs": """WITH n AS (SELECT DISTINCT identifier FROM versions WHERE registry_type <> 'remote')
       SELECT x.identifier AS a, y.identifier AS b, CAST(levenshtein(x.identifier, y.identifier) AS INTEGER) AS distance FROM n x JOIN n y ON x.identifier < y.identifier AND abs(length(x.identifier) - length(y.identifier)) <= 2 AND levenshtein(x.identifier, y.identifier) <= 2""",
+    "lookalike_edits": """WITH n AS (SELECT DISTINCT identifier FROM versions WHERE registry_type <> 'remote')
+      SELECT x.identifier AS a, y.identifier AS b, CAST(levenshtein(x.identifier, y.identifier) AS INTEGER) AS edits, a AS before, b AS after FROM n x JOIN n y ON x.identifier < y.identifier AND abs(length(x.identifier) - length(y.identifier)) <= 2 AND levenshtein(x.identifier, y.identifier) <= 2""",
+    "jsonc_roundtrip": "SELECT config_id, regexp_replace(raw, '\\s*\\}\\s*$', '}') AS text FROM server_configs WHERE starts_with(raw, '{')",
+    "version_upsert": f"""WITH {_ENTRY}, polled AS (SELECT name, version, registry_type, identifier, max(transport) AS transport FROM targets WHERE name IS NOT NULL AND version IS NOT NULL AND registry_type IS NOT NULL AND identifier IS NOT NULL GROUP BY 1, 2, 3, 4),
+      o AS (SELECT s.name, v.version, v.registry_type, v.identifier, v.transport, v.first_seen_at, v.delisted_at FROM versions v JOIN servers s ON s.id = v.server_id WHERE v.version IS NOT NULL AND v.registry_type IS NOT NULL AND v.identifier IS NOT NULL)
+      SELECT coalesce(p.name, o.name) AS name, coalesce(p.version, o.version) AS version, coalesce(p.registry_type, o.registry_type) AS registry_type, coalesce(p.identifier, o.identifier) AS identifier, CASE WHEN p.name IS NULL THEN o.transport ELSE p.transport END AS transport,
+        CASE WHEN o.name IS NULL THEN 'new' WHEN p.name IS NULL AND o.delisted_at IS NULL THEN 'delisted' WHEN p.name IS NULL THEN 'absent' WHEN o.delisted_at IS NULL THEN 'updated' ELSE 'relisted' END AS change,
+        coalesce(epoch_us(o.first_seen_at), {_NOW_US}) AS first_us, CASE WHEN p.name IS NULL THEN coalesce(epoch_us(o.delisted_at), {_NOW_US}) END AS delisted_us
+      FROM o FULL JOIN polled p ON o.name = p.name AND o.version = p.version AND o.registry_type = p.registry_type AND o.identifier = p.identifier""",
     "latest_hash": "SELECT version_id, sha256, epoch_us(observed_at) AS observed_us FROM hashes QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY observed_at DESC, id DESC) = 1",
     "latest_score": "SELECT server_id, score, finding_count, id FROM server_scores QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY computed_at DESC, id DESC) = 1",
     "hash_change_ledger": """SELECT version_id, id, sha256 FROM (SELECT *, lag(sha256) OVER w AS b, row_number() OVER w AS r FROM (SELECT DISTINCT version_id, id, sha256, observed_at FROM hashes WHERE sha256 IS NOT NULL)
@@ -200,10 +214,8 @@ ORACLE_SQL = {
       (SELECT count(*) FROM vlaunch WHERE cmd IS NULL) AS versions_errored, (SELECT count(*) FROM found) AS findings_written""",
     "server_score": f"""WITH RECURSIVE {_SCAN}, one AS (SELECT server_id, rule_id, max(w) AS w FROM found GROUP BY 1, 2), s AS (SELECT server_id, 100.0::DOUBLE * product(1 - w) AS p, count(*) AS n FROM one GROUP BY 1)
       SELECT v.server_id, CAST(round_even(coalesce(s.p, 100.0::DOUBLE), 0) AS INTEGER) AS score, CAST(coalesce(s.n, 0) AS INTEGER) AS finding_count FROM (SELECT DISTINCT server_id FROM vlaunch) v LEFT JOIN s USING (server_id)""",
-    "server_documents": f"""WITH RECURSIVE {_INDEX}, {_SCAN}, one AS (SELECT DISTINCT ON (server_id, rule_id) * FROM found ORDER BY server_id, rule_id, w DESC, version_id),
-      lists AS (SELECT server_id, '[' || string_agg(CAST(json_object('rule_id', rule_id, 'title', title, 'severity', severity, 'confidence', confidence, 'owasp', owasp, 'detail', detail, 'recommendation', recommendation) AS VARCHAR), ',' ORDER BY rule_id) || ']' AS l FROM one GROUP BY 1)
-      SELECT name, slug, '{{"name":"' || name || '","score":' || score || ',"finding_count":' || finding_count || ',"computed_at":"' || strftime(computed_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","findings":' || coalesce(l, '[]') || '}}' AS document
-      FROM idx LEFT JOIN lists USING (server_id)""",
+    "server_documents": _DOCUMENTS,
+    "server_check": _DOCUMENTS + " WHERE name = (SELECT min(name) FROM servers)",
     "metadata_findings": f"""WITH RECURSIVE {_F}, asked AS (SELECT *, CASE WHEN starts_with(cmd, 'uvx') THEN 'pypi' ELSE 'npm' END AS eco FROM named WHERE pkg <> ''),
       known AS (SELECT eco, pkg, min(server_id) AS k FROM asked GROUP BY 1, 2), j AS (SELECT a.server_id, a.eco, a.pkg, k FROM asked a JOIN known USING (eco, pkg))
       SELECT server_id, 'MCP-STATIC-007' AS rule_id, 'medium' AS severity, CASE WHEN eco = 'pypi' THEN 'PyPI lists no source repository for "' || pkg || '"' WHEN k % 11 = 0 THEN '"' || pkg || '" is no longer on npm' ELSE 'npm package "' || pkg || '" declares no repository' END AS detail

@@ -434,6 +434,19 @@ def test_documents_without_rows(spark):
     assert json.loads(text)["runs"][0]["results"] == [] and [r["line"] for r in publish.markdown_report(none).collect()] == ["No violations."]
 
 
+def test_lookups_and_review_lines(spark):
+    from heddle import api
+
+    index = spark.createDataFrame([(1, "io.github.a/b|c", "s1", 45, 1, datetime(2025, 1, 1)), (2, "n", "s2", 100, 0, datetime(2025, 1, 1))], "server_id long, name string, slug string, score int, finding_count int, computed_at timestamp")
+    found = spark.createDataFrame([(1, "MCP-STATIC-003", "t", "critical", "high", "o", 'npm package "p"', "r")], "server_id long, rule_id string, title string, severity string, confidence string, owasp string, detail string, recommendation string")
+    page = json.loads(api.detail(index, found, "s1").first()["document"])
+    assert page["score"] == 45 and page["findings"][0]["recommendation"] == "r" and json.loads(api.check(index, found, "n").first()["document"])["findings"] == [] and api.check(index, found, "x").count() == 0
+    packet = publish.review_packet(index, found, 5, 5, 1)
+    assert [(r["ordinal"], r["stratum"], r["link"]) for r in packet.orderBy("ordinal").collect()] == [(1, "rare-rule", "https://github.com/a/b|c"), (2, "clean", None)]
+    lines = [r["line"] for r in publish.review_lines(packet, "T").orderBy("line_no").collect()]
+    assert lines[0] == "# T" and lines[4] == "| 1 | io.github.a/b\\|c | 45 | rare-rule | MCP-STATIC-003 | https://github.com/a/b\\|c | open |" and len(lines) == 6
+
+
 def test_scans_are_planned_by_rules_and_content(spark):
     from heddle.operators import pipeline
 
