@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.session import materialise
@@ -21,6 +21,8 @@ from heddle.session import materialise
 FANOUT_BITS = 4
 ROWS_PER_LEAF = 16
 MAX_LEAF_BITS = 24
+#: Levels above the leaves that are cheaper to aggregate again than to write.
+PLAIN_LEVELS = 3
 
 
 def canonical_json(c: Column) -> Column:
@@ -68,17 +70,19 @@ def differing_leaves(leaves: DataFrame, bits: int) -> DataFrame:
     """(cur, node) of the leaves that differ, found from the root down.
 
     ``leaves`` (written once) has each side's digests per leaf; a side that lacks a leaf
-    differs from any. The levels above are a sixteenth of the one below each; they are
-    aggregated from one another and written as one table before the descent reads them.
+    differs from any. The levels above are a sixteenth of the one below each and aggregated
+    from one another; in trees of more than ``PLAIN_LEVELS`` they are written as one table
+    before the descent reads them.
     """
     levels, at = [], leaves
     for level in range(bits - FANOUT_BITS, -1, -FANOUT_BITS):
         at = _up(at, FANOUT_BITS)
         levels.append(at.withColumn("level", F.lit(level)))
-    above = materialise(reduce(DataFrame.unionByName, levels))
-    found = above.where("level = 0").where(_DIFFER).select("cur", "node")
-    for level in range(FANOUT_BITS, bits + 1, FANOUT_BITS):
-        nodes = leaves if level == bits else above.where(F.col("level") == level)
+    if len(levels) > PLAIN_LEVELS:
+        whole = materialise(reduce(DataFrame.unionByName, levels))
+        levels = [whole.where(F.col("level") == level) for level in range(bits - FANOUT_BITS, -1, -FANOUT_BITS)]
+    found = levels[-1].where(_DIFFER).select("cur", "node")
+    for nodes in [*levels[-2::-1], leaves]:
         parents = found.withColumnRenamed("node", "parent")
         below = nodes.withColumn("parent", F.shiftrightunsigned("node", FANOUT_BITS)).join(parents, ["cur", "parent"], "left_semi")
         found = below.where(_DIFFER).select("cur", "node")
@@ -92,22 +96,21 @@ def snapshot_changes(digests: DataFrame, rows_per_leaf: int = ROWS_PER_LEAF) ->
     The trees have at most 2**MAX_LEAF_BITS leaves, whatever the number of rows.
     """
     digests = materialise(digests)
-    sizes = materialise(digests.groupBy("s").agg(F.count("*").alias("rows")))
-    most = sizes.agg(F.max("rows")).first()[0] or 0
+    # A row per snapshot goes to the driver: the list of snapshots is what their pairs are made of.
+    sizes = digests.groupBy("s").agg(F.count("*").alias("rows")).orderBy("s").collect()
+    most = max((r["rows"] for r in sizes), default=0)
     levels = max(1, math.ceil(math.log2(max(2, most / rows_per_leaf)) / FANOUT_BITS))
     bits = min(MAX_LEAF_BITS, FANOUT_BITS * levels)
-    # A snapshot is the later side of its own pair and the earlier side of the next one's. This
-    # is a row per snapshot: the only window without partitions runs over these few rows.
-    order = Window.orderBy("s")
-    later = F.when(F.lag("s").over(order).isNotNull(), F.struct(F.col("s").alias("cur"), F.lit(1).alias("side")))
-    earlier = F.when(F.lead("s").over(order).isNotNull(), F.struct(F.lead("s").over(order).alias("cur"), F.lit(0).alias("side")))
-    pairs = sizes.select("s", F.filter(F.array(later, earlier), lambda p: p.isNotNull()).alias("pairs"))
+    # A snapshot is the later side of its own pair and the earlier side of the next one's.
+    kind = dict(digests.dtypes)["s"]
+    steps = [(s, c, side) for a, c in zip(sizes, sizes[1:], strict=False) for s, c, side in ((c["s"], c["s"], 1), (a["s"], c["s"], 0))]
+    pairs = digests.sparkSession.createDataFrame(steps, f"s {kind}, cur {kind}, side int")
     # Hash ranges: a leaf is the top bits of the key's hash.
     leafed = digests.withColumn("node", F.shiftrightunsigned("h", 64 - bits))
     own = leafed.groupBy("s", "node").agg(
         F.bit_xor(F.xxhash64("h", "d1", "d2")).alias("x1"), F.bit_xor(F.xxhash64("d2", "d1", "h")).alias("x2"), F.count("*").alias("n")
     )
-    sided = lambda df: df.join(F.broadcast(pairs), "s").select(*[c for c in df.columns if c != "s"], F.inline("pairs"))
+    sided = lambda df: df.join(F.broadcast(pairs), "s").drop("s")
     # One row of a side per node: the fold only brings the two sides together.
     leaves = materialise(sided(own).groupBy("cur", "node").agg(*_sides(("x1", "x2", "n"), F.max)))
     rows = sided(leafed).join(differing_leaves(leaves, bits), ["cur", "node"], "left_semi")
