@@ -8,6 +8,7 @@ import io
 import shutil
 import tempfile
 import zipfile
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,9 +74,8 @@ def with_ordinal(df: DataFrame, order: list[Column], name: str = "ordinal") -> D
     """
     parted = materialise(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()))
     # One number per partition goes to the driver and comes back as a constant.
-    before, rows = 0, [0] * (1 + (parted.agg(F.max("part__")).first()[0] or 0))
-    for r in parted.groupBy("part__").count().orderBy("part__").collect():
-        rows[r["part__"]], before = before, before + r["count"]
+    counts = {r["part__"]: r["count"] for r in parted.groupBy("part__").count().collect()}
+    rows = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
     shift = F.split(F.lit(",".join(map(str, rows))), ",").cast("array<bigint>")
     w = Window.partitionBy("part__").orderBy(*order)
     return parted.withColumn(name, F.row_number().over(w) + F.get(shift, F.col("part__"))).drop("part__")
