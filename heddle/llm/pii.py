@@ -43,9 +43,9 @@ _UP = r"A-ZÀ-ÖØ-ÞŒŠŽ"
 _AT = r"(?:@|\s?\[\s?at\s?\]\s?|\s?\(\s?at\s?\)\s?|\s(?:AT|at)\s)"
 _DOT = r"(?:\.|\s?\[\s?dot\s?\]\s?|\s?\(\s?dot\s?\)\s?|\s(?:DOT|dot)\s)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9](?:[A-Za-z0-9_%+'-]|\.(?=[A-Za-z0-9]))*{_AT}(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,}}(?![A-Za-z0-9-]*[A-Za-z0-9@])", re.I)
-_ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]|\s(?:AT|at)\s", re.I)
+_ANCHOR = re.compile(r"@|[\[(]\s?[Aa][Tt]\s?[\])]|\s[Aa][Tt]\s")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+'.-")
-_DIGITS = re.compile(r"(?:\d[ ()./-]{0,3}){6,}")
+_DIGITS = re.compile(r"\d[\d ()./-]{5,}")
 _EXT = r"(?:,?\s?(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,6})?"
 PHONE = re.compile(
     r"(?<![\w+./:-])(?:"
@@ -86,6 +86,14 @@ ADDRESS = re.compile(
     rf"|(?:[{_UP}][{_W}-]*(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|ufer|damm)|[{_UP}][{_W}-]+(?:er)? (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ring)) \d{{1,4}}(?: ?[a-z]\b)?(?:, \d{{5}}(?: {_PLACE})?)?"
     rf")"
 )
+#: An address has one of these, and at most so many characters on either side of it.
+STREET_MARKS = (
+    *(f" {w}" for w in "Street St Avenue Ave Road Rd Lane Ln Close Drive Dr Court Ct Way Place Pl Square Sq Terrace Boulevard Blvd Crescent Gardens Grove Mews Row Walk Hill Parkway Pkwy".split()),
+    *(f"{n}{w} " for n in ("{d} ", "{d}, ", " bis ", " bis, ", " ter ", " ter, ", " quater ", " quater, ") for w in "rue avenue boulevard place chemin impasse allée quai cours".split()),
+    *(f"{w} " for w in "Calle C/ Avenida Avda. Plaza Paseo Camino".split()),
+    *(f"{w} {{d}}" for w in "straße strasse str. weg allee platz gasse ring ufer damm Straße Strasse Str. Weg Allee Platz Gasse Ring".split()),
+)
+STREET_REACH = 300
 _SUR = rf"[{_UP}](?:(?:[{_W}]|[’'](?!s\b))*[{_W}])(?:-[{_UP}](?:(?:[{_W}]|[’'](?!s\b))*[{_W}]))?"
 _GIVEN = rf"[{_UP}][a-zß-öø-ÿœšž’']+(?:-[{_UP}][a-zß-öø-ÿœšž]+)?"
 _NAME_END = rf"(?![{_W}0-9_@]|-[{_W}])"
@@ -155,6 +163,32 @@ def _spans(pattern: re.Pattern, text: str, group: int = 0) -> list[tuple[int, in
     return [m.span(group) for m in pattern.finditer(text)]
 
 
+_MARKS = None
+
+
+def _street_zones(text: str) -> list[tuple[int, int]]:
+    """Where an address may be: around the marks that every pattern of one contains."""
+    global _MARKS
+    if _MARKS is None:
+        import ahocorasick
+
+        _MARKS = ahocorasick.Automaton()
+        for mark in STREET_MARKS:
+            for d in "0123456789" if "{d}" in mark else "0":
+                _MARKS.add_word(mark.replace("{d}", d), mark.startswith(" ") and mark[-1].isalpha())
+        _MARKS.make_automaton()
+    zones: list[tuple[int, int]] = []
+    for end, whole_word in _MARKS.iter(text):
+        if whole_word and text[end + 1 : end + 2].isalnum():
+            continue
+        a, b = max(0, end - STREET_REACH), end + STREET_REACH
+        if zones and a <= zones[-1][1]:
+            zones[-1] = (zones[-1][0], b)
+        else:
+            zones.append((a, b))
+    return zones
+
+
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidates (type, start, end), generous on purpose."""
     out: list[tuple[str, int, int]] = []
@@ -174,7 +208,8 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         for kind, pattern in (("phone", PHONE), ("id_number", ID_NUMBER)):
             numbers |= {(kind, *m.span()) for m in pattern.finditer(text, a, b)}
     out += sorted(numbers, key=lambda n: n[1:])
-    out += [("address", *s) for s in _spans(ADDRESS, text)]
+    for a, b in _street_zones(text):
+        out += [("address", *m.span()) for m in ADDRESS.finditer(text, a, min(b, len(text)))]
     for a, b in _spans(NAME_FORWARD, text, 1):
         out.append(("person", a, b))
         if text[a:b].count(" ") > 1 and text[a + 1] != ".":  # also without the first word
@@ -197,6 +232,34 @@ _CUES = {k: frozenset(v) for k, v in CUES.items()}
 _AGAINST, _AFTER_PERSON, _AFTER_PRODUCT = frozenset(AGAINST), frozenset(AFTER_PERSON), frozenset(AFTER_PRODUCT)
 
 
+#: Shapes that features ask for, compiled once.
+_DIGIT_RUNS = re.compile(r"\d+")
+_VERSION_AFTER = re.compile(r"\s?v?\d+\.\d")
+_BRACKET = re.compile(r"\[|\(")
+_SPELLED_AT = re.compile(r"\s(?:AT|at)\s")
+_CAPITAL_AT = re.compile(r" (?:AT|DOT) ")
+_GIT_USER = re.compile(r"git@")
+_IN_URL = re.compile(r"://\S*$")
+_SSN = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}")
+_TAX_ID = re.compile(r"\d{2} \d{3} \d{3} \d{3}")
+_NINO = re.compile(r"[A-Z]{2}( ?\d{2}){3} ?[A-Z]")
+_PASSPORT = re.compile(r"[A-Z]{1,2}\d{6,8}")
+_DNI = re.compile(r"[XYZ]?\d{7,8}-?[A-Z]")
+_INSEE = re.compile(r"[12]( \d{2}){3}( \d{3}){2}( \d{2})?")
+_POSTCODE = re.compile(r"\d{5}|[A-Z]{1,2}\d \d[A-Z]{2}")
+_SPANISH = re.compile(r"Calle|C/|Av|Plaza|Paseo|Camino")
+_GERMAN = re.compile(r"straße|strasse|str\.|weg|allee|platz|gasse")
+_FRENCH = re.compile(r"\b(?:rue|avenue|boulevard|chemin|impasse)\b")
+_COMMA_CAPITAL = re.compile(r"[,][  ][A-Z]")
+_BLANK_CAPITAL = re.compile(r"[  ][A-Z]")
+_WORD_BEFORE = re.compile(r"\s*[-–]?\s*\w")
+_NUMBER_AFTER = re.compile(r"\s*\d")
+_SENTENCE_START = re.compile(r"[.!?:;|>\"\n]\s*$|^\s*$")
+_AT_SIGN, _DOTS = re.compile(_AT, re.I), re.compile(r"\.|dot", re.I)
+_STREET_ANY, _STREET_END = re.compile(_STREET), re.compile(_STREET + "$")
+_LEAD = re.compile(rf"([{_UP}][{_W}'’-]+)[  ]$")
+
+
 def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: bool) -> list[float]:
     """Format and context of one candidate; ``inside`` an e-mail address or package."""
     s = text[a:b]
@@ -205,26 +268,26 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
     after = [w.lower() for w in _WORD.findall(right)][:4]
     digits = sum(c.isdigit() for c in s)
     prev, nxt = text[a - 1 : a], text[b : b + 1]
-    groups = re.findall(r"\d+", s)
+    groups = _DIGIT_RUNS.findall(s)
     common = [
         float(len(s)), float(digits), float(len(groups)), digits / max(1, len(s)), float(max(map(len, groups), default=0)),
         _cue(before, _CUES[kind]), _cue(before, _AGAINST), float(inside),
-        float(prev in "@/\\=_#$%~" and prev != "" ), float(nxt in "@/\\=_%:" and nxt != ""), float(bool(re.match(r"\s?v?\d+\.\d", right))),
+        float(prev in "@/\\=_#$%~" and prev != "" ), float(nxt in "@/\\=_%:" and nxt != ""), float(bool(_VERSION_AFTER.match(right))),
     ]
     if kind == "email":
-        domain = re.split(_AT, s, maxsplit=1, flags=re.I)[-1]
-        return [*common, float("@" in s), float(bool(re.search(r"\[|\(", s))), float(bool(re.search(r"\s(?:AT|at)\s", s))), float(bool(re.search(r" (?:AT|DOT) ", s))), float(len(re.findall(r"\.|dot", domain, re.I))), float(bool(re.match(r"git@", s))), float(nxt == ":"), float(bool(re.search(r"://\S*$", left))), float(bool(re.search(r"dot", domain, re.I)))]
+        domain = _AT_SIGN.split(s, maxsplit=1)[-1]
+        return [*common, float("@" in s), float(bool(_BRACKET.search(s))), float(bool(_SPELLED_AT.search(s))), float(bool(_CAPITAL_AT.search(s))), float(len(_DOTS.findall(domain))), float(bool(_GIT_USER.match(s))), float(nxt == ":"), float(bool(_IN_URL.search(left))), float("dot" in domain.lower())]
     if kind == "phone":
         return [*common, float(s[0] == "+"), float(s.startswith("00")), float(s[0] == "0"), float(s[0] == "("), float("ext" in s), float("/" in s), float("." in s), float(s.count("-")), float(s.count(" ")), float(digits >= 10), float(prev in '"([| ' or prev == "")]
     if kind == "id_number":
         letters = sum(c.isalpha() for c in s)
-        return [*common, float(letters), float(s[:2].isalpha()), float(s[-1].isalpha()), float(bool(re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", s))), float(bool(re.fullmatch(r"\d{2} \d{3} \d{3} \d{3}", s))), float(bool(re.fullmatch(r"[A-Z]{2}( ?\d{2}){3} ?[A-Z]", s))), float(bool(re.fullmatch(r"\d+", s))), float(bool(re.fullmatch(r"[A-Z]{1,2}\d{6,8}", s))), float(bool(re.fullmatch(r"[XYZ]?\d{7,8}-?[A-Z]", s))), float(bool(re.fullmatch(r"[12]( \d{2}){3}( \d{3}){2}( \d{2})?", s))), float(s.count("-")), float(s.count(" ")), _cue(after[::-1], _CUES[kind]), _cue(after[::-1], _AGAINST)]
+        return [*common, float(letters), float(s[:2].isalpha()), float(s[-1].isalpha()), float(bool(_SSN.fullmatch(s))), float(bool(_TAX_ID.fullmatch(s))), float(bool(_NINO.fullmatch(s))), float(bool(_DIGIT_RUNS.fullmatch(s))), float(bool(_PASSPORT.fullmatch(s))), float(bool(_DNI.fullmatch(s))), float(bool(_INSEE.fullmatch(s))), float(s.count("-")), float(s.count(" ")), _cue(after[::-1], _CUES[kind]), _cue(after[::-1], _AGAINST)]
     if kind == "address":
-        return [*common, float(bool(re.search(r"\d{5}|[A-Z]{1,2}\d \d[A-Z]{2}", s))), float(s.count(",")), float(bool(re.search(_STREET, s))), float(bool(re.match(r"Calle|C/|Av|Plaza|Paseo|Camino", s))), float(bool(re.search(r"straße|strasse|str\.|weg|allee|platz|gasse", s))), float(bool(re.search(r"\b(?:rue|avenue|boulevard|chemin|impasse)\b", s)))]
+        return [*common, float(bool(_POSTCODE.search(s))), float(s.count(",")), float(bool(_STREET_ANY.search(s))), float(bool(_SPANISH.match(s))), float(bool(_GERMAN.search(s))), float(bool(_FRENCH.search(s)))]
     inverted = ", " in s
     parts = s.replace(",", "").split()
     # The word right before, if it could be a name that this span cuts off.
-    lead = re.search(rf"([{_UP}][{_W}'’-]+)[  ]$", left)
+    lead = _LEAD.search(left)
     cut = 0.0 if not lead or lead[1].lower() in STOP else 1.0 + lexicon.likeness(lead[1])
     given, sur = (parts[1], parts[0]) if inverted else (parts[0], parts[-1])
     initial = given.endswith(".")
@@ -233,8 +296,8 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
         *common, float(inverted), float(initial), 1.5 if initial else lexicon.likeness(given), lexicon.likeness(sur.capitalize()),
         float(given.lower().strip(".") in STOP and not initial), float(sur.lower() in STOP), float(tail.endswith(SURNAME_ENDS)), float(len(sur)), float(len(given)), float(sur.isupper()),
         float(given.isupper() and not initial), float(len(parts)), float("-" in sur), float(bool(after) and after[0] in _AFTER_PERSON), float(bool(after) and after[0] in _AFTER_PRODUCT),
-        float(parts[0].lower().strip(".") in lexicon.words), float(parts[-1].lower() in lexicon.words), float(any(p.lower().endswith(ABSTRACT_ENDS) for p in parts)), float(any(p in PARTICLES for p in parts)) * (1.0 + lexicon.likeness(given)), float(bool(re.match(r"[,][  ][A-Z]", right))), float(bool(re.match(r"[  ][A-Z]", right))), float(bool(re.match(r"\s*[-–]?\s*\w", left[-1:]) is None)),
-        float(bool(re.match(r"\s*\d", right))), float(bool(re.search(r"[.!?:;|>\"\n]\s*$|^\s*$", left))), float(bool(re.search(_STREET + "$", s))), float(prev == '"' or nxt == '"'), cut,
+        float(parts[0].lower().strip(".") in lexicon.words), float(parts[-1].lower() in lexicon.words), float(any(p.lower().endswith(ABSTRACT_ENDS) for p in parts)), float(any(p in PARTICLES for p in parts)) * (1.0 + lexicon.likeness(given)), float(bool(_COMMA_CAPITAL.match(right))), float(bool(_BLANK_CAPITAL.match(right))), float(bool(_WORD_BEFORE.match(left[-1:]) is None)),
+        float(bool(_NUMBER_AFTER.match(right))), float(bool(_SENTENCE_START.search(left))), float(bool(_STREET_END.search(s))), float(prev == '"' or nxt == '"'), cut,
     ]
 
 
