@@ -23,7 +23,8 @@ class Boosted:
         self.base = float(np.log(mean / (1 - mean)))
         margin = np.full(len(y), self.base)
         inner, leaves = 2**self.depth - 1, 2**self.depth
-        self.feature, self.cut, self.value = np.zeros((self.trees, inner), int), np.full((self.trees, inner), np.inf), np.zeros((self.trees, leaves))
+        self.feature, self.cut, self.value = np.zeros((self.trees, inner), int), np.full((self.trees, inner),
+            np.inf), np.zeros((self.trees, leaves))
         for t in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, p * (1 - p)
@@ -67,14 +68,17 @@ class Boosted:
         return 1 / (1 + np.exp(-margin))
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.99, slack: float = 0.004, least: float = 0.2) -> float:
-    """A held-out threshold of the wanted precision: the lowest whose F1 is within ``slack`` of
-    the best, as the best one is a matter of few rows, but not below ``least``; in the middle of its gap."""
+def threshold(p: np.ndarray, y: np.ndarray, precision: float = 0.99, beta: float = 2.0, slack: float = 0.002, least: float = 0.2) -> float:
+    """A held-out threshold of the wanted precision, by F-beta: recall counts ``beta`` times as much.
+
+    The lowest whose F is within ``slack`` of the best, as the best one is a matter of few
+    rows, but not below ``least``; in the middle of its gap.
+    """
     order = np.argsort(-p, kind="stable")
     hit, taken = np.cumsum(y[order]), np.arange(1, len(p) + 1)
-    f1 = np.where(hit / taken >= precision, 2 * hit / (taken + y.sum()), 0.0)
-    if not len(p) or not f1.any():
+    f = np.where(hit / taken >= precision, (1 + beta**2) * hit / (taken + beta**2 * y.sum()), 0.0)
+    if not len(p) or not f.any():
         return 0.5
-    last = int(np.flatnonzero(f1 >= f1.max() - slack)[-1])
+    last = int(np.flatnonzero(f >= f.max() - slack)[-1])
     below = p[order[last + 1]] if last + 1 < len(p) else 0.0
     return max(least, float((p[order[last]] + below) / 2))

@@ -89,7 +89,8 @@ ADDRESS = re.compile(
 #: An address has one of these, and at most so many characters on either side of it.
 STREET_MARKS = (
     *(f" {w}" for w in "Street St Avenue Ave Road Rd Lane Ln Close Drive Dr Court Ct Way Place Pl Square Sq Terrace Boulevard Blvd Crescent Gardens Grove Mews Row Walk Hill Parkway Pkwy".split()),
-    *(f"{n}{w} " for n in ("{d} ", "{d}, ", " bis ", " bis, ", " ter ", " ter, ", " quater ", " quater, ") for w in "rue avenue boulevard place chemin impasse allée quai cours".split()),
+    *(f"{n}{w} " for n in ("{d} ", "{d}, ", " bis ", " bis, ", " ter ", " ter, ", " quater ",
+    " quater, ") for w in "rue avenue boulevard place chemin impasse allée quai cours".split()),
     *(f"{w} " for w in "Calle C/ Avenida Avda. Plaza Paseo Camino".split()),
     *(f"{w} {{d}}" for w in "straße strasse str. weg allee platz gasse ring ufer damm Straße Strasse Str. Weg Allee Platz Gasse Ring".split()),
 )
@@ -99,32 +100,65 @@ _GIVEN = rf"[{_UP}][a-zß-öø-ÿœšž’']+(?:-[{_UP}][a-zß-öø-ÿœšž]+)?
 _NAME_END = rf"(?![{_W}0-9_@]|-[{_W}])"
 NAME_FORWARD = re.compile(rf"(?<![{_W}0-9_@./-])(?=((?:{_GIVEN}|[{_UP}]\.)(?:[  ][{_UP}]\.){{0,2}}[  ](?:(?:von|van|de|del|di|da|du) (?:(?:der|den|la|le|las|los) )?)?{_SUR}){_NAME_END})")
 NAME_INVERTED = re.compile(rf"(?<![{_W}0-9_@./-])(?=({_SUR}, (?:{_GIVEN}|[{_UP}]\.)(?:[  ][{_UP}]\.(?![{_W}])){{0,2}}){_NAME_END})")
+_INVERSION = re.compile(rf", (?=[{_UP}])")
+_IN_NAMES = frozenset("’'-_@./")
 CUES = {
-    "email": "mail email e-mail mails contact write reach address inbox cc bcc from to owner author user sender recipient bounced correo courriel kontakt escribir rückfragen schreiben adresse".split(),
-    "phone": "tel tel. tél telefon teléfono téléphone phone mobile cell call ring dial fax number nummer numéro número handy móvil portable on-call hotline landline festnetz anschluss fixe fijo whatsapp sms rufnummer mobil voicemail pager".split(),
-    "id_number": "ssn passport pass id personal insurance tax national steuer-id steuernummer steueridentifikationsnummer nif nie dni nino curp insee number no no. nr ausweis personalausweis filed social security sécurité sociale "
+    "email": (
+        "mail email e-mail mails contact write reach address inbox cc bcc from to owner author user sender recipient bounced correo "
+        "courriel kontakt escribir rückfragen schreiben adresse"
+    ).split(),
+    "phone": (
+        "tel tel. tél telefon teléfono téléphone phone mobile cell call ring dial fax number nummer numéro número handy móvil portable "
+        "on-call hotline landline festnetz anschluss fixe fijo whatsapp sms rufnummer mobil voicemail pager"
+    ).split(),
+    "id_number": "ssn passport pass id personal insurance tax national steuer-id steuernummer steueridentifikationsnummer nif nie dni nino curp "
+    "insee number no no. nr ausweis personalausweis filed social security sécurité sociale "
     "personalausweisnummer ausweisnummer ausweis-nr sozialversicherungsnummer reisepass passnummer dokument seguro identity identidad identité identification license licence permit citizen taxpayer sozialversicherung personal_number personnel nummer número numéro".split(),
-    "address": "address adresse anschrift dirección office visit moved ship shipped send sent deliver delivered postal wohnt wohnhaft lives live living resides badge at in home domicilio domicile residence mailing located".split(),
-    "person": "by by: von par por ask cc thanks to from for signed-off-by signed dr mr mrs ms herr frau señor señora madame monsieur reviewer reviewed reported assigned owner copyright as contact author wrote dear name named maintainer "
-    "gemeldet signalé informado met called with am is I'm manager engineer colleague meet contacto patient customer client employee bei mit con avec sincerely regards "
-    "reviewers approver approvers approved assignee assignees authors owners maintainers contributor contributors speaker speakers participant participants attendee attendees signer doctor sir mlle señorita uncle aunt mother father brother sister husband wife friend boss neighbour neighbor "
+    "address": (
+        "address adresse anschrift dirección office visit moved ship shipped send sent deliver delivered postal wohnt wohnhaft lives live "
+        "living resides badge at in home domicilio domicile residence mailing located"
+    ).split(),
+    "person": "by by: von par por ask cc thanks to from for signed-off-by signed dr mr mrs ms herr frau señor señora madame monsieur reviewer "
+    "reviewed reported assigned owner copyright as contact author wrote dear name named maintainer "
+    "gemeldet signalé informado met called with am is I'm manager engineer colleague meet contacto patient customer client employee "
+    "bei mit con avec sincerely regards "
+    "reviewers approver approvers approved assignee assignees authors owners maintainers contributor contributors speaker speakers "
+    "participant participants attendee attendees signer doctor sir mlle señorita uncle aunt mother father brother sister husband wife "
+    "friend boss neighbour neighbor "
     "applicant tenant witness student teacher nurse guest host user member hired asked saw seen firmado firmó unterzeichnet unterschrieben signé rédigé geschrieben escrito laut selon según durch through sincères cordialement saludos grüßen heiße m’appelle llamo".split(),
 }
-AGAINST = "case tracking transaction account parcel sku reference ref revision checksum epoch timestamp pid request session order_id count total amount phase ticket serial build range port ports trace version rule page advisory release frame depth elapsed run digest sha256 image commit listing score entries workers install pin uvx order invoice model part batch item row line step code error since between limit isbn issue".split()
-AFTER_PERSON = "wrote signed noted called said via due all role action asked reported".split()
-AFTER_PRODUCT = "service library tool app api sdk client cluster runtime engine framework edition suite studio cloud license foundation university street avenue connector bridge adapter server gateway release replaces reached plugin package module client ships project team".split()
+AGAINST = (
+    "case tracking transaction account parcel sku reference ref revision checksum epoch timestamp pid request session order_id count "
+    "total amount phase ticket serial build range port ports trace version rule page advisory release frame depth elapsed run digest "
+    "sha256 image commit listing score entries workers install pin uvx order invoice model part batch item row line step code error since "
+    "between limit isbn issue"
+).split()
+AFTER_PERSON = (
+    "wrote signed noted called said says via asked reported joined will has had is was and who works replied agreed schrieb sagte hat "
+    "écrit dit escribió dijo et und y"
+).split()
+AFTER_PRODUCT = (
+    "service library tool app api sdk client cluster runtime engine framework edition suite studio cloud license foundation university "
+    "street avenue connector bridge adapter server gateway release replaces reached plugin package module client ships project team"
+).split()
 STOP = frozenset(
-    "the a an on in at as if of to for from with and or but by is it we our my this that these those when where who what why how which while between after before both use see set run think let no not "
+    "the a an on in at as if of to for from with and or but by is it we our my this that these those when where who what why how "
+    "which while between after before both use see set run think let no not "
     "der die das ein eine im am bei für nach le la les un une des el los las una al en se si "
-    "monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag lundi mardi mercredi jeudi vendredi lunes martes "
+    "monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag lundi mardi mercredi jeudi "
+    "vendredi lunes martes "
     "january february march april may june july august september october november december "
-    "mail call contact write reach office address adresse anschrift postal suite flat street ave avenue road lane close telefon phone dr mr mrs ms prof sir dear reviewer "
+    "mail call contact write reach office address adresse anschrift postal suite flat street ave avenue road lane close telefon phone "
+    "dr mr mrs ms prof sir dear reviewer "
     "known removed changed deprecated version please reported assigned thanks signed copyright steps expected actual advisory ticket serial listing nothing pin install retries regel wert bitte severity affected runs remove state name rank given assume consider suppose during could".split()
 )
 PARTICLES = frozenset("von van de del di da du".split())
 #: Ends of nouns that are no names, in the languages of the texts.
-ABSTRACT_ENDS = ("ung", "ungen", "heit", "keit", "schaft", "tion", "tionen", "ción", "ciones", "dad", "ment", "ments", "miento", "ture", "ness", "ance", "ence", "ity", "té", "ware", "ing", "ings", "ismus", "ismo", "isme")
-SURNAME_ENDS = ("berg", "dahl", "son", "sen", "ssen", "well", "ford", "shaw", "eau", "mont", "kard", "ard", "lund", "beck", "ski", "ska", "ovic", "ovich", "ez", "ura", "vane", "ward", "ton", "man", "mann", "er", "ley", "field", "stein", "quist", "oux", "ier", "etti", "ini", "ov", "ova", "escu", "enko")
+ABSTRACT_ENDS = ("ung", "ungen", "heit", "keit", "schaft", "tion", "tionen", "ción", "ciones", "dad", "ment", "ments", "miento", "ture",
+    "ness", "ance", "ence", "ity", "té", "ware", "ing", "ings", "ismus", "ismo", "isme")
+SURNAME_ENDS = ("berg", "dahl", "son", "sen", "ssen", "well", "ford", "shaw", "eau", "mont", "kard", "ard", "lund", "beck", "ski", "ska",
+    "ovic", "ovich", "ez", "ura", "vane", "ward", "ton", "man", "mann", "er", "ley", "field", "stein", "quist", "oux", "ier", "etti",
+    "ini", "ov", "ova", "escu", "enko")
 # ---- end of fixed values ----
 
 _WORD = re.compile(rf"[{_W}0-9-]+")
@@ -216,7 +250,14 @@ def propose(text: str) -> list[tuple[str, int, int]]:
             rest = re.match(rf"\S+ (?=(?:{_GIVEN}|[{_UP}]\.) )", text[a:b])
             if rest:
                 out.append(("person", a + rest.end(), b))
-    out += [("person", *s) for s in _spans(NAME_INVERTED, text, 1)]
+    for comma in _INVERSION.finditer(text):  # the name before a comma starts where its word or a part of it does
+        a = comma.start()
+        while a and (text[a - 1].isalnum() or text[a - 1] in _IN_NAMES):
+            a -= 1
+            if not a or text[a - 1] in "’'" or not (text[a - 1].isalnum() or text[a - 1] in _IN_NAMES):
+                m = NAME_INVERTED.match(text, a)
+                if m and m.end(1) > comma.start():
+                    out.append(("person", *m.span(1)))
     return out
 
 
@@ -234,7 +275,7 @@ _AGAINST, _AFTER_PERSON, _AFTER_PRODUCT = frozenset(AGAINST), frozenset(AFTER_PE
 
 #: Shapes that features ask for, compiled once.
 _DIGIT_RUNS = re.compile(r"\d+")
-_VERSION_AFTER = re.compile(r"\s?v?\d+\.\d")
+_VERSION_AFTER = re.compile(r" ?v?\d+\.\d")
 _BRACKET = re.compile(r"\[|\(")
 _SPELLED_AT = re.compile(r"\s(?:AT|at)\s")
 _CAPITAL_AT = re.compile(r" (?:AT|DOT) ")
@@ -253,7 +294,7 @@ _FRENCH = re.compile(r"\b(?:rue|avenue|boulevard|chemin|impasse)\b")
 _COMMA_CAPITAL = re.compile(r"[,][  ][A-Z]")
 _BLANK_CAPITAL = re.compile(r"[  ][A-Z]")
 _WORD_BEFORE = re.compile(r"\s*[-–]?\s*\w")
-_NUMBER_AFTER = re.compile(r"\s*\d")
+_NUMBER_AFTER = re.compile(r"[ \t]*\d")
 _SENTENCE_START = re.compile(r"[.!?:;|>\"\n]\s*$|^\s*$")
 _AT_SIGN, _DOTS = re.compile(_AT, re.I), re.compile(r"\.|dot", re.I)
 _STREET_ANY, _STREET_END = re.compile(_STREET), re.compile(_STREET + "$")
@@ -276,14 +317,22 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
     ]
     if kind == "email":
         domain = _AT_SIGN.split(s, maxsplit=1)[-1]
-        return [*common, float("@" in s), float(bool(_BRACKET.search(s))), float(bool(_SPELLED_AT.search(s))), float(bool(_CAPITAL_AT.search(s))), float(len(_DOTS.findall(domain))), float(bool(_GIT_USER.match(s))), float(nxt == ":"), float(bool(_IN_URL.search(left))), float("dot" in domain.lower())]
+        return [*common, float("@" in s), float(bool(_BRACKET.search(s))), float(bool(_SPELLED_AT.search(s))),
+            float(bool(_CAPITAL_AT.search(s))), float(len(_DOTS.findall(domain))), float(bool(_GIT_USER.match(s))), float(nxt == ":"),
+            float(bool(_IN_URL.search(left))), float("dot" in domain.lower())]
     if kind == "phone":
-        return [*common, float(s[0] == "+"), float(s.startswith("00")), float(s[0] == "0"), float(s[0] == "("), float("ext" in s), float("/" in s), float("." in s), float(s.count("-")), float(s.count(" ")), float(digits >= 10), float(prev in '"([| ' or prev == "")]
+        return [*common, float(s[0] == "+"), float(s.startswith("00")), float(s[0] == "0"), float(s[0] == "("), float("ext" in s),
+            float("/" in s), float("." in s), float(s.count("-")), float(s.count(" ")), float(digits >= 10),
+            float(prev in '"([| ' or prev == "")]
     if kind == "id_number":
         letters = sum(c.isalpha() for c in s)
-        return [*common, float(letters), float(s[:2].isalpha()), float(s[-1].isalpha()), float(bool(_SSN.fullmatch(s))), float(bool(_TAX_ID.fullmatch(s))), float(bool(_NINO.fullmatch(s))), float(bool(_DIGIT_RUNS.fullmatch(s))), float(bool(_PASSPORT.fullmatch(s))), float(bool(_DNI.fullmatch(s))), float(bool(_INSEE.fullmatch(s))), float(s.count("-")), float(s.count(" ")), _cue(after[::-1], _CUES[kind]), _cue(after[::-1], _AGAINST)]
+        return [*common, float(letters), float(s[:2].isalpha()), float(s[-1].isalpha()), float(bool(_SSN.fullmatch(s))),
+            float(bool(_TAX_ID.fullmatch(s))), float(bool(_NINO.fullmatch(s))), float(bool(_DIGIT_RUNS.fullmatch(s))),
+            float(bool(_PASSPORT.fullmatch(s))), float(bool(_DNI.fullmatch(s))), float(bool(_INSEE.fullmatch(s))), float(s.count("-")),
+            float(s.count(" ")), _cue(after[::-1], _CUES[kind]), _cue(after[::-1], _AGAINST)]
     if kind == "address":
-        return [*common, float(bool(_POSTCODE.search(s))), float(s.count(",")), float(bool(_STREET_ANY.search(s))), float(bool(_SPANISH.match(s))), float(bool(_GERMAN.search(s))), float(bool(_FRENCH.search(s)))]
+        return [*common, float(bool(_POSTCODE.search(s))), float(s.count(",")), float(bool(_STREET_ANY.search(s))),
+            float(bool(_SPANISH.match(s))), float(bool(_GERMAN.search(s))), float(bool(_FRENCH.search(s)))]
     inverted = ", " in s
     parts = s.replace(",", "").split()
     # The word right before, if it could be a name that this span cuts off.
@@ -294,10 +343,16 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
     tail = sur.split("-")[-1].lower()
     return [
         *common, float(inverted), float(initial), 1.5 if initial else lexicon.likeness(given), lexicon.likeness(sur.capitalize()),
-        float(given.lower().strip(".") in STOP and not initial), float(sur.lower() in STOP), float(tail.endswith(SURNAME_ENDS)), float(len(sur)), float(len(given)), float(sur.isupper()),
-        float(given.isupper() and not initial), float(len(parts)), float("-" in sur), float(bool(after) and after[0] in _AFTER_PERSON), float(bool(after) and after[0] in _AFTER_PRODUCT),
-        float(parts[0].lower().strip(".") in lexicon.words), float(parts[-1].lower() in lexicon.words), float(any(p.lower().endswith(ABSTRACT_ENDS) for p in parts)), float(any(p in PARTICLES for p in parts)) * (1.0 + lexicon.likeness(given)), float(bool(_COMMA_CAPITAL.match(right))), float(bool(_BLANK_CAPITAL.match(right))), float(bool(_WORD_BEFORE.match(left[-1:]) is None)),
-        float(bool(_NUMBER_AFTER.match(right))), float(bool(_SENTENCE_START.search(left))), float(bool(_STREET_END.search(s))), float(prev == '"' or nxt == '"'), cut,
+        float(given.lower().strip(".") in STOP and not initial), float(sur.lower() in STOP), float(tail.endswith(SURNAME_ENDS)),
+            float(len(sur)), float(len(given)), float(sur.isupper()),
+        float(given.isupper() and not initial), float(len(parts)), float("-" in sur), float(bool(after) and after[0] in _AFTER_PERSON),
+            float(bool(after) and after[0] in _AFTER_PRODUCT),
+        float(parts[0].lower().strip(".") in lexicon.words), float(parts[-1].lower() in lexicon.words),
+            float(any(p.lower().endswith(ABSTRACT_ENDS) for p in parts)),
+            float(any(p in PARTICLES for p in parts)) * (1.0 + lexicon.likeness(given)), float(bool(_COMMA_CAPITAL.match(right))),
+            float(bool(_BLANK_CAPITAL.match(right))), float(bool(_WORD_BEFORE.match(left[-1:]) is None)),
+        float(bool(_NUMBER_AFTER.match(right))), float(bool(_SENTENCE_START.search(left))), float(bool(_STREET_END.search(s))),
+            float(prev == '"' or nxt == '"'), cut,
     ]
 
 
@@ -307,60 +362,106 @@ def features(text: str, kind: str, a: int, b: int, lexicon: Lexicon, inside: boo
 # ---- fixed values: cues, separators and tails that labelled sentences are composed of ----
 LEADS = {
     "email": (
-        "Send it over to", "You can write me under", "My inbox is", "Drop a line to", "E-Mail-Adresse lautet", "Schreiben Sie bitte an", "Mon adresse est", "Merci d’écrire à", "Mi correo es", "Escríbeme a", "from", "reply-to", "mail_to", "recipient", "account holder", "sender", "", "forwarded by",
+        "Send it over to", "You can write me under", "My inbox is", "Drop a line to", "E-Mail-Adresse lautet", "Schreiben Sie bitte an",
+        "Mon adresse est", "Merci d’écrire à", "Mi correo es", "Escríbeme a", "from", "reply-to", "mail_to", "recipient", "account holder",
+        "sender", "", "forwarded by",
         "the invitation went to", "login", "unsubscribe",
     ),
     "phone": (
-        "Ring me on", "My number is", "Mobile no.", "Dial", "Text", "You reach us under", "Rufnummer", "Handy", "Meine Nummer ist", "Mon numéro est le", "Portable", "Appelez le", "Mi número es", "Móvil", "Llámame al", "phone_number", "cell", "voicemail at", "", "emergency contact", "WhatsApp", "desk phone",
+        "Ring me on", "My number is", "Mobile no.", "Dial", "Text", "You reach us under", "Rufnummer", "Handy", "Meine Nummer ist",
+        "Mon numéro est le", "Portable", "Appelez le", "Mi número es", "Móvil", "Llámame al", "phone_number", "cell", "voicemail at", "",
+        "emergency contact", "WhatsApp", "desk phone",
     ),
     "id_number": (
-        "My social security number is", "Passport number", "passport", "National insurance number", "tax id", "taxpayer id", "identity card no.", "driver’s licence", "Steueridentifikationsnummer", "Personalausweisnummer", "Ausweis-Nr.", "Sozialversicherungsnummer", "numéro de sécurité sociale", "carte d’identité no",
-        "Mi DNI es", "NIE", "número de la seguridad social", "ssn", "national_id", "citizen id", "personnel number", "she gave", "the form lists", "born 1984, id", "identification", "id",
+        "My social security number is", "Passport number", "passport", "National insurance number", "tax id", "taxpayer id",
+        "identity card no.", "driver’s licence", "Steueridentifikationsnummer", "Personalausweisnummer", "Ausweis-Nr.",
+        "Sozialversicherungsnummer", "numéro de sécurité sociale", "carte d’identité no",
+        "Mi DNI es", "NIE", "número de la seguridad social", "ssn", "national_id", "citizen id", "personnel number", "she gave",
+        "the form lists", "born 1984, id", "identification", "id",
     ),
     "address": (
-        "I live at", "Deliver the parcel to", "Our office is located at", "Mailing address", "home", "the house at", "Ich wohne in der", "Lieferadresse", "Bitte senden an", "J’habite au", "Livrer à", "Vivo en", "Enviar a", "Domicilio", "street_address", "addr", "resides at", "from the shop at", "", "meet us in",
+        "I live at", "Deliver the parcel to", "Our office is located at", "Mailing address", "home", "the house at", "Ich wohne in der",
+        "Lieferadresse", "Bitte senden an", "J’habite au", "Livrer à", "Vivo en", "Enviar a", "Domicilio", "street_address", "addr",
+        "resides at", "from the shop at", "", "meet us in",
     ),
     "person": (
-        "My name is", "I am", "Yesterday I met", "We hired", "Regards,\n", "Please forward this to", "Patient", "Customer", "Approved by", "According to", "Our manager", "her colleague", "Ich heiße", "Mit freundlichen Grüßen\n", "Frau", "Herr", "Termin mit", "Je m’appelle", "Bonjour", "Madame", "avec", "Me llamo",
-        "Erstellt von", "Geprüft von", "Verfasst von", "Gesendet von", "Entdeckt von", "Bestätigt von", "Traducido por", "Traduit par", "Betreut von", "Rédigé par", "Vérifié par", "Revisado por", "Dirigido por", "Copyright ©", "Copyright 2021", "© 2020", "licence holder", "Drawn by", "My aunt", "our neighbour", "Hallo", "Cher", "Querida", "Hello", "This is", "signed,", "speaker", "witness", "authors",
-        "Señor", "Señora", "con", "Hi", "full_name", "employee", "author", "contact person", "attendees", "interview with", "drafted by", "", "the late", "on behalf of", "email from", "photo:", "Prof.", "Mrs", "Mr",
+        "My name is", "I am", "Yesterday I met", "We hired", "Regards,\n", "Please forward this to", "Patient", "Customer", "Approved by",
+        "According to", "Our manager", "her colleague", "Ich heiße", "Mit freundlichen Grüßen\n", "Frau", "Herr", "Termin mit",
+        "Je m’appelle", "Bonjour", "Madame", "avec", "Me llamo",
+        "Erstellt von", "Geprüft von", "Verfasst von", "Gesendet von", "Entdeckt von", "Bestätigt von", "Traducido por", "Traduit par",
+        "Betreut von", "Rédigé par", "Vérifié par", "Revisado por", "Dirigido por", "Copyright ©", "Copyright 2021", "© 2020",
+        "licence holder", "Drawn by", "My aunt", "our neighbour", "Hallo", "Cher", "Querida", "Hello", "This is", "signed,", "speaker",
+        "witness", "authors",
+        "Señor", "Señora", "con", "Hi", "full_name", "employee", "author", "contact person", "attendees", "interview with", "drafted by",
+        "", "the late", "on behalf of", "email from", "photo:", "Prof.", "Mrs", "Mr", "Ms", "Miss", "Sir", "Dr", "Mme", "Sra.",
     ),
 }
 JOINS = (" ", " ", " ", ": ", ": ", "=", " = ", " – ", "\t", " | ", '": "', "='", " (", " <", ",", "\n")
 TAILS = (
-    "", ".", ".", ",", ";", "!", "?", ")", " |", '"', "'", "\n", " please", " today.", " and nobody else", " (new)", " – thanks", ", as agreed", " tomorrow", " bitte", " gracias", " merci", ">", " / backup", " for details.", "\tactive", " since 2019.", " / other", ". Then", " or not",
+    "", ".", ".", ",", ";", "!", "?", ")", " |", '"', "'", "\n", " please", " today.", " and nobody else", " (new)", " – thanks",
+    ", as agreed", " tomorrow", " bitte", " gracias", " merci", ">", " / backup", " for details.", "\tactive", " since 2019.", " / other",
+    ". Then", " or not",
 )
 #: What may follow a value and tell what it is, with nothing of that kind before it.
 TELLS = {
     "email": (" is my inbox", " (e-mail)", " ist meine Adresse", " est mon courriel", " es mi correo"),
-    "phone": (" is my mobile", " (cell)", " rings at the desk", " (fax)", ", call any time", " ist meine Nummer", " est mon portable", " es mi móvil"),
-    "id_number": (" is my passport", " was entered as social security number", " is her tax id", " (passport no.)", " ist meine Steuernummer", " est son numéro d’identité", " es mi DNI", " turned out to be an insurance number", " stands as identity number", " for his national insurance"),
-    "address": (" is where I live", " is our office", " is my home address", " ist meine Anschrift", " est mon adresse", " es mi dirección"),
+    "phone": (" is my mobile", " (cell)", " rings at the desk", " (fax)", ", call any time", " ist meine Nummer", " est mon portable",
+    " es mi móvil"),
+    "id_number": (" is my passport", " was entered as social security number", " is her tax id", " (passport no.)",
+    " ist meine Steuernummer", " est son numéro d’identité", " es mi DNI", " turned out to be an insurance number",
+    " stands as identity number", " for his national insurance"),
+    "address": (" is where I live", " is our office", " is my home address", " ist meine Anschrift", " est mon adresse",
+    " es mi dirección"),
     "person": (" wrote this", " signed it", " is my name", " called twice", " hat unterschrieben", " a signé", " lo firmó"),
 }
-OPENERS = ("", "", "Well,", "I think", "they put", "we noted", "Then", "it says", "Hier:", "Voilà", "Aquí:", "copied", "line 3:", "-", "*", ">")
-PERSON_TAILS = (" will join us", " has left", " and I", " said no", " works here", " lives next door", "'s laptop", " hat zugesagt", " est absente", " no ha venido", " agreed.", ", our lawyer,", " (they/them)", " is ill", ". Alle Rechte vorbehalten.", " and contributors", ", tous droits réservés", ", MD", " replied at once", " who leads it", " et son équipe", " und Team")
+OPENERS = ("", "", "Well,", "I think", "they put", "we noted", "Then", "it says", "Hier:", "Voilà", "Aquí:", "copied", "line 3:", "-", "*",
+    ">")
+PERSON_TAILS = (" will join us", " has left", " and I", " said no", " works here", " lives next door", "'s laptop", " hat zugesagt",
+    " est absente", " no ha venido", " agreed.", ", our lawyer,", " (they/them)", " is ill", ". Alle Rechte vorbehalten.",
+    " and contributors", ", tous droits réservés", ", MD", " replied at once", " who leads it", " et son équipe", " und Team")
 AGAINST_LEADS = {
     "numbers": (
-        "order", "Order no.", "invoice", "tracking number", "case", "ticket", "transaction", "serial number", "batch", "part number", "build", "revision", "sku", "reference", "Bestellung", "Rechnung Nr.", "Auftrag", "commande", "facture", "pedido", "factura", "port span", "pid", "epoch", "request_id", "checksum", "version",
+        "order", "Order no.", "invoice", "tracking number", "case", "ticket", "transaction", "serial number", "batch", "part number",
+        "build", "revision", "sku", "reference", "Bestellung", "Rechnung Nr.", "Auftrag", "commande", "facture", "pedido", "factura",
+        "port span", "pid", "epoch", "request_id", "checksum", "version",
         "model", "row", "offset", "total", "code", "line", "isbn", "lot", "counter", "size in bytes", "took", "from", "between", "",
     ),
-    "words": ("See", "The", "Read", "In", "Open", "Click", "Under", "Section", "Welcome to", "powered by", "Die", "Der", "Siehe", "Im", "La", "Le", "El", "Voir", "Filed by", "Praise for", "Approved by", "Contact", "according to", "title", "label", "team", "", "", "**", "# ", "- ", "1. ", "| "),
+    "words": ("See", "The", "Read", "In", "Open", "Click", "Under", "Section", "Welcome to", "powered by", "Die", "Der", "Siehe", "Im",
+    "La", "Le", "El", "Voir", "Filed by", "Praise for", "Approved by", "Contact", "according to", "title", "label", "team", "", "", "**",
+    "# ", "- ", "1. ", "| "),
 }
 HEADINGS = (
-    "Release Quick Start Getting Started Open Source Main Page User Guide Known Issue Limitation Change Log Town Hall Data Set Project Board Help Desk Night Shift Access Control Security Review Code Owner Issue Tracker Pull Request Beta Program Cloud Storage Table View Home Menu Support Team Platform "
-    "Engineering Group Operations Center Office Suite Green Hotel Grand Central North South East West Lake River Mountain Bridge Street Market Public License Apache Mozilla Visual Studio Linux Windows Server Docker Python Java Rust Neue Version Bitte Schritt Fehler Regel Wert Netz Liste Seite Abschnitt Nueva "
-    "Guía Página Tabla Lista Nouvelle Page Liste Partie Tableau United Kingdom States New York Monday Tuesday Friday March June August Steps Notes Summary Overview Example Warning Important Internal Error Null Pointer Exception Client Request Timeout Default Value Read Write Only First Last Next"
+    "Release Quick Start Getting Started Open Source Main Page User Guide Known Issue Limitation Change Log Town Hall Data Set "
+    "Project Board Help Desk Night Shift Access Control Security Review Code Owner Issue Tracker Pull Request Beta Program Cloud "
+    "Storage Table View Home Menu Support Team Platform "
+    "Engineering Group Operations Center Office Suite Green Hotel Grand Central North South East West Lake River Mountain Bridge "
+    "Street Market Public License Apache Mozilla Visual Studio Linux Windows Server Docker Python Java Rust Neue Version Bitte "
+    "Schritt Fehler Regel Wert Netz Liste Seite Abschnitt Nueva "
+    "Guía Página Tabla Lista Nouvelle Page Liste Partie Tableau United Kingdom States New York Monday Tuesday Friday March June "
+    "August Steps Notes Summary Overview Example Warning Important Internal Error Null Pointer Exception Client Request Timeout "
+    "Default Value Read Write Only First Last Next"
+).split()
+COMPONENTS = (
+    "service plugin adapter library client module driver runtime tool image package agent release chart editor Server Client Cloud Studio "
+    "Engine Bridge Suite Gateway Connector"
 ).split()
-COMPONENTS = "service plugin adapter library client module driver runtime tool image package agent release chart editor Server Client Cloud Studio Engine Bridge Suite Gateway Connector".split()
 ARTICLES = "The Our This Every Any Der Die Das Ein Unser Le La Les Un El Los Una Nuestro".split()
-EVERYDAY = "Brown Baker Stone Field King Young Rivers Hill Wood Cook Fisher Marsh Gray Hunter Mason Page Price Rose Bell Cross Frost Lamb Nash Park Snow Swift West White Woods Winter".split()
+EVERYDAY = (
+    "Brown Baker Stone Field King Young Rivers Hill Wood Cook Fisher Marsh Gray Hunter Mason Page Price Rose Bell Cross Frost Lamb Nash "
+    "Park Snow Swift West White Woods Winter"
+).split()
 EVERYDAY_GIVEN = "Mark Will Bill Frank Jack Rose Hope Faith Victor Grant Pat Sue Dawn May Art Gene Josh Penny".split()
 ONSETS = "b br c ch d dr f fl g gr h j k kl kr l m n p pr qu r s sch sh sk sl sm st str t th tr v w wh y z".split()
 NUCLEI = "a e i o u a e i o ai au ea ee ei ie oa oo ou ue é í ö ü".split()
 CODAS = "b ck d ff g k l ll lm ln m n nd ng nt p r rd rk rn rt s sk ss st t th tt x z".split()
-STREET_NAMES = "Amber Birch Cedar Dove Elm Fern Granite Hazel Iris Juniper Old Mill Church Station King’s Upper Meadow Linden Rosen Schiller Haupt Bahnhof Garten Victor Hugo Liberté Moulin Fleurs Mayor Sol Luna Cervantes".split()
-PLACE_NAMES = "Altmere Brunnau Corvais Dornby Ellow Fontrac Grünbach Hexley Lindau Montrel Néville Valbonne Oakford Köln Lyon Sevilla Bath Leeds Dresden Nantes".split()
+STREET_NAMES = (
+    "Amber Birch Cedar Dove Elm Fern Granite Hazel Iris Juniper Old Mill Church Station King’s Upper Meadow Linden Rosen Schiller Haupt "
+    "Bahnhof Garten Victor Hugo Liberté Moulin Fleurs Mayor Sol Luna Cervantes"
+).split()
+PLACE_NAMES = (
+    "Altmere Brunnau Corvais Dornby Ellow Fontrac Grünbach Hexley Lindau Montrel Néville Valbonne Oakford Köln Lyon Sevilla Bath Leeds "
+    "Dresden Nantes"
+).split()
 # ---- end of fixed values ----
 
 
@@ -369,7 +470,8 @@ def _made(rng: random.Random, names: list[str], words: list[str]) -> list[tuple[
     pick = rng.choice
     d = lambda n: "".join(pick("0123456789") for _ in range(n))
     up = lambda n=1: "".join(pick("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
-    blends = sorted({n[: rng.randint(2, max(2, len(n) - 1))] + pick(names)[-rng.randint(1, 3) :] for n in names for _ in range(3)} - set(names))
+    blends = sorted({n[: rng.randint(2, max(2, len(n) - 1))] + pick(names)[-rng.randint(1,
+        3) :] for n in names for _ in range(3)} - set(names))
 
     def syllables(n: int) -> str:
         return ("".join(pick(ONSETS) + pick(NUCLEI) for _ in range(n)) + pick(CODAS + [""] * 10)).capitalize()
@@ -402,7 +504,8 @@ def _made(rng: random.Random, names: list[str], words: list[str]) -> list[tuple[
         g, s = pick((pick(names), pick(blends))).lower(), surname().split()[-1].lower().replace("’", "")
         g, s = (re.sub(r"[^a-z]", "", x) or "info" for x in (g, s))
         local = pick([g + d(2), s + "_" + g, g + "." + s, g + "+" + pick(words), g[0] + s, pick(words) + "-" + pick(words), s])
-        dom = pick([["mail", "example"], ["post", "invalid"], ["in", "corp", "example"], ["lab", "test"], [pick(words), "org"], [pick(words) + "-" + pick(words), "co", "uk"], [pick(words), "de"]])
+        dom = pick([["mail", "example"], ["post", "invalid"], ["in", "corp", "example"], ["lab", "test"], [pick(words), "org"],
+            [pick(words) + "-" + pick(words), "co", "uk"], [pick(words), "de"]])
         at, dot = pick([("@", ".")] * 6 + [("(at)", "."), (" [at] ", " [dot] "), (" AT ", " DOT "), (" at ", " dot "), ("[at]", "[dot]")])
         return local + at + dot.join(dom)
 
@@ -410,14 +513,20 @@ def _made(rng: random.Random, names: list[str], words: list[str]) -> list[tuple[
         ext = pick([""] * 5 + [f" ext. {d(3)}", f" x{d(4)}", f", ext {d(2)}"])
         a, z = pick("23456789") + d(2), d(4)
         return pick([
-            f"+1 {a} {d(3)} {z}", f"+1-{a}-{d(3)}-{z}", f"({a}) {d(3)}-{z}", f"{a}.{d(3)}.{z}", f"{a}{d(3)}{z}", f"{a}-{d(3)}-{z}", f"{a} {d(3)} {z}", f"+44 7{d(3)} {d(6)}", f"+44 (0)7{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(6)}", f"+44 20 {d(4)} {d(4)}",
-            f"020 {d(4)} {d(4)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+49 {d(3)} {d(7)}", f"0{d(2)}/{d(8)}", f"0{d(3)} {d(6)}", f"0049-{d(2)}-{d(5)}-{d(3)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0033{d(1)}{d(2)} {d(2)} {d(2)} {d(2)}", f"0{pick('12345679')} {d(2)} {d(2)} {d(2)} {d(2)}",
+            f"+1 {a} {d(3)} {z}", f"+1-{a}-{d(3)}-{z}", f"({a}) {d(3)}-{z}", f"{a}.{d(3)}.{z}", f"{a}{d(3)}{z}", f"{a}-{d(3)}-{z}",
+            f"{a} {d(3)} {z}", f"+44 7{d(3)} {d(6)}", f"+44 (0)7{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(3)} {d(3)}", f"07{d(3)} {d(6)}",
+            f"+44 20 {d(4)} {d(4)}",
+            f"020 {d(4)} {d(4)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+49 {d(3)} {d(7)}", f"0{d(2)}/{d(8)}", f"0{d(3)} {d(6)}",
+            f"0049-{d(2)}-{d(5)}-{d(3)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0033{d(1)}{d(2)} {d(2)} {d(2)} {d(2)}",
+            f"0{pick('12345679')} {d(2)} {d(2)} {d(2)} {d(2)}",
             f"+34 {pick('69')}{d(2)} {d(3)} {d(3)}", f"+34 {pick('69')}{d(2)} {d(2)} {d(2)} {d(2)}"]) + ext
 
     def ident() -> str:
         return pick([
-            f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{up(2)} {d(2)} {d(2)} {d(2)} {pick('ABCD')}", f"{up(2)}{d(6)}{pick('ABCD')}", f"{d(2)} {d(3)} {d(3)} {d(3)}", d(11), f"{up(2)}{d(7)}", f"{up()}{d(8)}", f"{up()}{d(7)}",
-            f"{d(8)}{up()}", f"{d(8)}-{up()}", f"{pick('XYZ')}{d(7)}{up()}", f"{pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", d(9)])
+            f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{up(2)} {d(2)} {d(2)} {d(2)} {pick('ABCD')}",
+            f"{up(2)}{d(6)}{pick('ABCD')}", f"{d(2)} {d(3)} {d(3)} {d(3)}", d(11), f"{up(2)}{d(7)}", f"{up()}{d(8)}", f"{up()}{d(7)}",
+            f"{d(8)}{up()}", f"{d(8)}-{up()}", f"{pick('XYZ')}{d(7)}{up()}", f"{pick('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}",
+            d(9)])
 
     def address() -> str:
         st, pl = pick(STREET_NAMES), pick(PLACE_NAMES)
@@ -427,25 +536,41 @@ def _made(rng: random.Random, names: list[str], words: list[str]) -> list[tuple[
         us = f"{up(2)} {d(5)}"
         de = st.replace("’s", "") + pick(("straße", "str.", "weg", "allee", "platz", "gasse"))
         return pick([
-            f"{pick(('Flat', 'Apt', 'Unit'))} {rng.randint(1, 60)}, {n} {st} {road}, {pl} {uk}", f"{n} {st} {road}, {pl}", f"{n} {st} {road}, {pl} {uk}", f"{n} {st} {road}, {pl}, {uk}", f"{n} {st} {pick(STREET_NAMES)} {road}, {pl}, {us}", f"{n} {st} {road}, Suite {d(3)}, {pl}, {us}", f"{n} {st} {road}",
+            f"{pick(('Flat', 'Apt', 'Unit'))} {rng.randint(1, 60)}, {n} {st} {road}, {pl} {uk}", f"{n} {st} {road}, {pl}",
+            f"{n} {st} {road}, {pl} {uk}", f"{n} {st} {road}, {pl}, {uk}", f"{n} {st} {pick(STREET_NAMES)} {road}, {pl}, {us}",
+            f"{n} {st} {road}, Suite {d(3)}, {pl}, {us}", f"{n} {st} {road}",
             f"{n}{pick(('', ' bis', ' ter'))}{pick((',', ''))} {pick(('rue', 'avenue', 'boulevard', 'place'))} {pick(('des', 'du', 'de la', 'de'))} {st}, {d(5)} {pl}", f"{n} rue {st}",
-            f"Calle {pick(('del ', 'de la ', ''))}{st} {n}, {pick(('', f'{d(1)}.º {up()}, '))}{d(5)} {pl}", f"{pick(('Avenida', 'Plaza', 'Paseo'))} {pick(('de ', ''))}{st} {n}", f"{de} {rng.randint(1, 180)}{pick(('', 'a', ' b'))}, {d(5)} {pl}", f"{de} {rng.randint(1, 180)}"])
+            f"Calle {pick(('del ', 'de la ', ''))}{st} {n}, {pick(('', f'{d(1)}.º {up()}, '))}{d(5)} {pl}",
+            f"{pick(('Avenida', 'Plaza', 'Paseo'))} {pick(('de ', ''))}{st} {n}",
+            f"{de} {rng.randint(1, 180)}{pick(('', 'a', ' b'))}, {d(5)} {pl}", f"{de} {rng.randint(1, 180)}"])
 
     def number() -> str:
         """Numbers in the shapes of phone and identity numbers that are neither, and others."""
-        return pick([ident, ident, lambda: f"{d(4)}-{d(4)}-{d(2)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: d(rng.randint(6, 12)), lambda: f"{d(6)}.{d(3)}.{d(1)}", lambda: f"{d(4)}-{d(4)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)} 10:4{d(1)}:0{d(1)}.{d(3)}",
-                     lambda: f"10.{d(2)}.{d(1)}.{d(3)}:{d(4)}", lambda: f"{rng.getrandbits(160):040x}", lambda: f"0x{rng.getrandbits(64):x}", lambda: f"{d(2)}:{d(2)}:{d(2)}.{d(3)}", lambda: f"{up(2)}-{d(3)}-{d(3)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: d(10)])()
+        return pick([ident, ident, lambda: f"{d(4)}-{d(4)}-{d(2)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: d(rng.randint(6, 12)),
+            lambda: f"{d(6)}.{d(3)}.{d(1)}", lambda: f"{d(4)}-{d(4)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}",
+            lambda: f"20{d(2)}-0{d(1)}-1{d(1)} 10:4{d(1)}:0{d(1)}.{d(3)}",
+                     lambda: f"10.{d(2)}.{d(1)}.{d(3)}:{d(4)}", lambda: f"{rng.getrandbits(160):040x}",
+                         lambda: f"0x{rng.getrandbits(64):x}", lambda: f"{d(2)}:{d(2)}:{d(2)}.{d(3)}", lambda: f"{up(2)}-{d(3)}-{d(3)}",
+                         lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: d(10)])()
 
     version = lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 12)}"
     title = lambda: pick((pick(HEADINGS), pick(HEADINGS), pick(words).capitalize()))
     noun = lambda: pick((title(), title(), syllables(2) + pick(ABSTRACT_ENDS)))
     heading = lambda: pick((
-        " ".join(title() for _ in range(rng.randint(2, 3))), f"{title()} {noun()}", f"{noun()} {title()}", f"{noun()} {pick(('der', 'de', 'del', 'la', 'di', 'von', 'van', 'den', 'of', 'and', 'für', 'und'))} {noun()}"))
+        " ".join(title() for _ in range(rng.randint(2, 3))), f"{title()} {noun()}", f"{noun()} {title()}",
+        f"{noun()} {pick(('der', 'de', 'del', 'la', 'di', 'von', 'van', 'den', 'of', 'and', 'für', 'und'))} {noun()}"))
     product = lambda: pick([
-        f"{pick(names)} {pick(COMPONENTS)}", f"{pick(names)} {version()}", f"{pick(ARTICLES)} {pick((pick(names), pick(blends), syllables(2)))} {pick(COMPONENTS)}", f"{pick(words).capitalize()} {pick(COMPONENTS)}", f"{pick(HEADINGS)} {pick(COMPONENTS).capitalize()} {version()}", f"{pick(names)}-{pick(words)} {version()}"])
+        f"{pick(names)} {pick(COMPONENTS)}", f"{pick(names)} {version()}",
+        f"{pick(ARTICLES)} {pick((pick(names), pick(blends), syllables(2)))} {pick(COMPONENTS)}",
+        f"{pick(words).capitalize()} {pick(COMPONENTS)}", f"{pick(HEADINGS)} {pick(COMPONENTS).capitalize()} {version()}",
+        f"{pick(names)}-{pick(words)} {version()}"])
     package = lambda: pick([
-        f"@{pick(words)}/{pick(words)}@{version()}", f"{pick(words)}-{pick(words)}@{pick(('latest', version()))}", f"git@{pick(words)}.example:{pick(words)}/{pick(words)}.git", f"ssh://git@{pick(words)}.example/x.git", f"postgres://{pick(words)}@{pick(words)}.example/main",
-        f"images.example/{pick(words)}@sha256:{rng.getrandbits(256):064x}", f"https://{pick(words)}.example/@{pick(words)}", f"@{pick(words)}", f"<{pick(('email', 'name', 'phone'))}>", f"{pick(words)} at {pick(words)}.{pick(words)}", f"{pick(words)}@{pick(words)}"])
+        f"@{pick(words)}/{pick(words)}@{version()}", f"{pick(words)}-{pick(words)}@{pick(('latest', version()))}",
+        f"git@{pick(words)}.example:{pick(words)}/{pick(words)}.git", f"ssh://git@{pick(words)}.example/x.git",
+        f"postgres://{pick(words)}@{pick(words)}.example/main",
+        f"images.example/{pick(words)}@sha256:{rng.getrandbits(256):064x}", f"https://{pick(words)}.example/@{pick(words)}",
+        f"@{pick(words)}", f"<{pick(('email', 'name', 'phone'))}>", f"{pick(words)} at {pick(words)}.{pick(words)}",
+        f"{pick(words)}@{pick(words)}"])
     makers = {"email": email, "phone": phone, "id_number": ident, "address": address, "person": person}
     filler = lambda: " ".join(pick(words) for _ in range(rng.randint(2, 6)))
     out = []
@@ -532,14 +657,25 @@ class Detector:
         return [_settle(x) for x in accepted]
 
 
-_PACKAGE = re.compile(r"@?[\w./-]+@v?\d[\w.]*|git@[\w.-]+:\S*")
+#: What makes a package or a remote of the word before it.
+_PACKAGE = re.compile(r"@(?:(v?\d[\w.]*)|[\w.-]+:\S*)")
+
+
+def _packages(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of package specs (name@version) and remotes (git@host:path)."""
+    for m in _PACKAGE.finditer(text):
+        a = m.start()
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_./-"):
+            a -= 1
+        if a < m.start() and (m[1] or text.endswith("git", a, m.start())):
+            yield a - (text[a - 1 : a] == "@"), m.end()
 
 
 def _shields(found: list, text: str) -> list[tuple[int, int]]:
     """Spans of e-mail addresses and packages, in order: names inside aren't persons."""
     out = [(a, b) for k, a, b in found if k == "email"]
     if "@" in text:
-        out += _spans(_PACKAGE, text)
+        out += _packages(text)
     return sorted(out)
 
 
@@ -577,7 +713,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return text
 
 
-def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "given_name", vocabulary: str = VOCABULARY) -> DataFrame:
+def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name: str = "given_name",
+    vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, redacted, found): texts with typed placeholders, and what they replace.
 
     Positions count characters. Null texts stay null and hold nothing, as do empty ones;
@@ -598,7 +735,8 @@ def scan_texts(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str
                     [
                         ids.cast(pa.int64()),
                         pa.array([t if not s else redact(t, s) for t, s in zip(part, spans, strict=True)], pa.string()),
-                        pa.array([[{"pii_type": k, "pii_value": t[a:z], "start": a, "stop": z} for k, a, z in s] for t, s in zip(part, spans, strict=True)], _FOUND),
+                        pa.array([[{"pii_type": k, "pii_value": t[a:z], "start": a, "stop": z} for k, a, z in s] for t,
+                            s in zip(part, spans, strict=True)], _FOUND),
                     ],
                     schema=_OUT,
                 )
