@@ -36,7 +36,8 @@ UNITS = (
     "ms", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hour", "hours", "day", "days",
     "week", "weeks", "month", "months", "year", "years", "b", "kb", "mb", "gb", "tb", "kib", "mib", "gib", "byte", "bytes",
     "mm", "cm", "m", "km", "meter", "meters", "metre", "metres", "inch", "inches", "foot", "feet", "mile", "miles",
-    "mg", "g", "kg", "gram", "grams", "ml", "l", "liter", "liters", "litre", "litres", "percent", "times", "euro", "euros", "dollar", "dollars",
+    "mg", "g", "kg", "gram", "grams", "ml", "l", "liter", "liters", "litre", "litres", "percent", "times", "euro", "euros", "dollar",
+    "dollars",
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -132,7 +133,8 @@ def _read(df: DataFrame, key: str, text: str, reader: Reader) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.view(np.int64)))
                     yield pa.record_batch(
-                        [b.column(0).take(pa.array(row + start)), pa.array(pos.astype(np.int32)), pa.array(th.view(np.int64)), lists], names=["key", "pos", "th", "slots"]
+                        [b.column(0).take(pa.array(row + start)), pa.array(pos.astype(np.int32)), pa.array(th.view(np.int64)), lists],
+                            names=["key", "pos", "th", "slots"]
                     )
 
     kind = dict(df.dtypes)[key]
@@ -162,16 +164,19 @@ def template_matches(
         texts = [r["t"] for r in tests.collect()]
         hashes = [w[2] for w in plain.windows(texts)]
         plain._forget()
-        there = Reader(lexicon, size, {w for t in texts for w in words(t)}, np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64))
+        there = Reader(lexicon, size, {w for t in texts for w in words(t)}, np.unique(np.concatenate(hashes)) if hashes else np.empty(0,
+            np.uint64))
         hint = F.broadcast
     else:
         there, hint = plain, lambda d: d
-    right = _read(tests, "i", "t", plain).select(F.col("key").alias(item_key), F.col("pos").alias("item_pos"), "th", F.col("slots").alias("item_slots"))
+    right = _read(tests, "i", "t", plain).select(F.col("key").alias(item_key), F.col("pos").alias("item_pos"), "th",
+        F.col("slots").alias("item_slots"))
     found = _read(docs, doc_key, text, there).join(hint(right), "th")
     pairs = F.array_distinct(F.arrays_zip("item_slots", "slots"))
     one_to_one = (F.size(pairs) == F.size(F.array_distinct("item_slots"))) & (F.size(pairs) == F.size(F.array_distinct("slots")))
     verbatim = F.col("slots") == F.col("item_slots")
-    return found.select(F.col("key").alias(doc_key), F.col("pos").alias("doc_pos"), item_key, "item_pos", verbatim.alias("verbatim"), one_to_one.alias("consistent"))
+    return found.select(F.col("key").alias(doc_key), F.col("pos").alias("doc_pos"), item_key, "item_pos", verbatim.alias("verbatim"),
+        one_to_one.alias("consistent"))
 
 
 def leaked_items(matches: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:

@@ -63,7 +63,8 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", token
             sizes = [len(encode(t)) if t else 0 for part in parts for t in part]
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return python_input(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, "doc_id long, n_tokens long")
+    return python_input(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run,
+        "doc_id long, n_tokens long")
 
 
 class _Left:
@@ -234,7 +235,8 @@ def fill_containers(docs: DataFrame, windows: DataFrame, tokenizer: str = TOKENI
     D squared / 2 tokens, so there are at most some 7 million in 100 TB of text, whatever the
     capacity. Windows are planned ``WINDOWS_AT_ONCE`` at a time.
     """
-    sizes = [(r["window_id"], r["capacity_tokens"]) for r in windows.select("window_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("window_id").collect()]
+    sizes = [(r["window_id"], r["capacity_tokens"]) for r in windows.select("window_id",
+        "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("window_id").collect()]
     counted = materialise(token_counts(docs, tokenizer=tokenizer))
     kind = dict(windows.dtypes)["window_id"]
     groups = [sizes[i : i + WINDOWS_AT_ONCE] for i in range(0, len(sizes), WINDOWS_AT_ONCE)] or [[]]
@@ -249,7 +251,8 @@ def _histogram(pieces: DataFrame, window) -> dict[int, int]:
 
 def _filled(counted: DataFrame, sizes: list[tuple], kind: str, rank_rows: int) -> DataFrame:
     """All texts in containers of a few windows."""
-    caps = F.array(*[F.struct(F.lit(w).cast(kind).alias("window_id"), F.lit(int(c)).cast("long").alias("cap")) for w, c in sizes]).cast(f"array<struct<window_id:{kind},cap:bigint>>")
+    caps = F.array(*[F.struct(F.lit(w).cast(kind).alias("window_id"), F.lit(int(c)).cast("long").alias("cap")) for w,
+        c in sizes]).cast(f"array<struct<window_id:{kind},cap:bigint>>")
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("cap")) - 1, F.lit(0).cast("long"))
     pieces = (
         counted.select("doc_id", "n_tokens", F.inline(caps))

@@ -14,7 +14,8 @@ HOUSE_PREFIXES = ("qm-pat-", "tgk_live_", "tgk_test_", "hv.")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return topn.top_n_per_group(table(spark, sf, "server_scores"), "server_id", "score", ["computed_at", "id"], "id", TOP).select("server_id", "id")
+    return topn.top_n_per_group(table(spark, sf, "server_scores"), "server_id", "score", ["computed_at", "id"], "id",
+        TOP).select("server_id", "id")
 
 
 def p1_top_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +28,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    return secrets.scan_configs(table(spark, sf, "server_configs"), prefixes=HOUSE_PREFIXES).select("config_id", "env", "command", "raw", "found")
+    return secrets.scan_configs(table(spark, sf, "server_configs"), prefixes=HOUSE_PREFIXES).select("config_id", "env", "command", "raw",
+        "found")
 
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,18 +54,22 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_keys: Sequence[st
     """
     ties = [t for t in tie_keys if t != row_key]
     rows = df.select(
-        F.col(f"`{group}`").alias("g"), F.col(f"`{score}`").alias("s"), F.col(f"`{row_key}`").alias("k"), *[F.col(f"`{t}`").alias(f"t{i}") for i, t in enumerate(ties)]
+        F.col(f"`{group}`").alias("g"), F.col(f"`{score}`").alias("s"), F.col(f"`{row_key}`").alias("k"),
+            *[F.col(f"`{t}`").alias(f"t{i}") for i, t in enumerate(ties)]
     ).where(F.col("g").isNotNull() & F.col("s").isNotNull() & ~F.isnan(F.col("s").cast("double")))
     rows = rows.withColumn("b", _bucket(F.col("s").cast("double")))
     tie = _number(rows, "t0") if ties else F.lit(None).cast("double")
 
     counts = _at_least(F.col("k"), n)
     seen = sum((F.bit_count(f"w{i}") for i in range(len(counts))), F.lit(0))
-    hist = rows.groupBy("g", "b").agg(*counts, F.count("*").alias("c"), F.min(tie).alias("lo"), F.max(tie).alias("hi"), (F.min("s") == F.max("s")).alias("one"))
+    hist = rows.groupBy("g", "b").agg(*counts, F.count("*").alias("c"), F.min(tie).alias("lo"), F.max(tie).alias("hi"),
+        (F.min("s") == F.max("s")).alias("one"))
     down = Window.partitionBy("g").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = hist.withColumn("seen", seen).withColumn("above", F.sum("seen").over(down) - F.col("seen")).withColumn("total", F.sum("c").over(Window.partitionBy("g")))
+    reached = hist.withColumn("seen", seen).withColumn("above", F.sum("seen").over(down) - F.col("seen")).withColumn("total",
+        F.sum("c").over(Window.partitionBy("g")))
     threshold = materialise(
-        reached.where((F.col("total") > WORTH * n) & (F.col("above") < n) & (F.col("above") + F.col("seen") >= n)).select("g", F.col("b").alias("tb"), "above", "c", "lo", "hi", "one")
+        reached.where((F.col("total") > WORTH * n) & (F.col("above") < n) & (F.col("above") + F.col("seen") >= n)).select("g",
+            F.col("b").alias("tb"), "above", "c", "lo", "hi", "one")
     )
     groups = threshold.count()
     hint = F.broadcast if groups <= BROADCAST_GROUPS else (lambda d: d)
@@ -75,7 +79,8 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_keys: Sequence[st
         limits = threshold.select("g", "tb")
         if ties:
             within = F.floor((tie - F.col("lo")) / (F.col("hi") - F.col("lo")) * TIE_BUCKETS)
-            at = rows.join(hint(crowded.withColumnRenamed("tb", "b")), ["g", "b"]).select("g", "k", F.coalesce(within, F.lit(-1)).alias("q"), "above", "lo", "hi")
+            at = rows.join(hint(crowded.withColumnRenamed("tb", "b")), ["g", "b"]).select("g", "k",
+                F.coalesce(within, F.lit(-1)).alias("q"), "above", "lo", "hi")
             hist2 = at.groupBy("g", "q", "above", "lo", "hi").agg(*_at_least(F.col("k"), n)).withColumn("seen", seen)
             down2 = Window.partitionBy("g").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
             second = (
