@@ -110,7 +110,8 @@ def main(argv: list[str] | None = None) -> int:
         if rule is None:
             print(f"unknown rule {a.rule}; known: {', '.join(r.id for r in rules.RULES)}", file=sys.stderr)
             return 1
-        print(api.feedback_url(SITE, rule.id, rule.title, f"Rule: {rule.id}\n\nWhy this is no finding:\n{a.note or '(please say)'}\n\nEntry, without its secrets:\n"))
+        print(api.feedback_url(SITE, rule.id, rule.title,
+            f"Rule: {rule.id}\n\nWhy this is no finding:\n{a.note or '(please say)'}\n\nEntry, without its secrets:\n"))
         return 0
     spark = build_session("heddle")
     spark.sparkContext.setLogLevel("ERROR")

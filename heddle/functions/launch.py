@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values: launchers, flags that take a value, shards ----
-LAUNCHERS = {"npm": ["npx", "-y"], "pypi": ["uvx"], "oci": ["docker", "run"], "cargo": ["cargo", "run", "--"], "nuget": ["dotnet", "tool", "run"], "mcpb": []}
+LAUNCHERS = {"npm": ["npx", "-y"], "pypi": ["uvx"], "oci": ["docker", "run"], "cargo": ["cargo", "run", "--"],
+    "nuget": ["dotnet", "tool", "run"], "mcpb": []}
 PINNED_TYPES = ("npm", "pypi")
 HTTP_TRANSPORTS = ("http", "sse", "streamable-http")
 OCI_VALUE_FLAGS = (
@@ -57,7 +58,8 @@ def package_version_of(spec: Column, name: Column) -> Column:
 def oci_image_ref(command: Column) -> Column:
     """First word after the first ``docker run`` that is no flag nor a flag's value."""
     n = F.size(command)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.get(command, i - 1) == "docker") & (F.get(command, i) == "run"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.get(command, i - 1) == "docker") & (F.get(command,
+        i) == "run"))
     at = F.array_position(pairs, True)
     tail = F.slice(command, (at + 2).cast("int"), F.greatest(n, F.lit(0)))
     start = F.struct(F.lit(False).alias("skip"), F.lit(None).cast("string").alias("ref"))
@@ -106,8 +108,10 @@ def argument_tokens(text: Column) -> Column:
 def environment_map(text: Column) -> Column:
     """Variables of a map or of a list of {name, value} in JSON; of repeated names the last holds."""
     as_map = F.map_entries(F.from_json(F.when(F.ltrim(text).startswith("{"), text), "map<string,string>"))
-    pairs = F.filter(F.from_json(F.when(F.ltrim(text).startswith("["), text), "array<string>"), lambda x: F.get_json_object(x, "$.name") != "")
-    listed = F.transform(pairs, lambda x: F.struct(F.get_json_object(x, "$.name").alias("key"), F.coalesce(F.get_json_object(x, "$.value"), F.lit("")).alias("value")))
+    pairs = F.filter(F.from_json(F.when(F.ltrim(text).startswith("["), text), "array<string>"),
+        lambda x: F.get_json_object(x, "$.name") != "")
+    listed = F.transform(pairs, lambda x: F.struct(F.get_json_object(x, "$.name").alias("key"),
+        F.coalesce(F.get_json_object(x, "$.value"), F.lit("")).alias("value")))
     entries = F.coalesce(as_map, listed, F.array().cast("array<struct<key:string,value:string>>"))
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"]))
@@ -120,8 +124,10 @@ def launch_command(registry_type: Column, identifier: Column, version: Column, r
     """
     none = F.array().cast(_EMPTY)
     launcher = F.coalesce(*[F.when(registry_type == k, F.array(*map(F.lit, v)).cast(_EMPTY)) for k, v in LAUNCHERS.items()], none)
-    pinned = F.when(registry_type.isin(*PINNED_TYPES) & (F.coalesce(version, F.lit("")) != ""), F.concat(identifier, F.lit("@"), version)).otherwise(identifier)
-    return F.when(registry_type.eqNullSafe("remote"), none).otherwise(F.concat(launcher, F.array(pinned), argument_tokens(runtime_args), argument_tokens(package_args)))
+    pinned = F.when(registry_type.isin(*PINNED_TYPES) & (F.coalesce(version, F.lit("")) != ""),
+        F.concat(identifier, F.lit("@"), version)).otherwise(identifier)
+    return F.when(registry_type.eqNullSafe("remote"), none).otherwise(F.concat(launcher, F.array(pinned), argument_tokens(runtime_args),
+        argument_tokens(package_args)))
 
 
 def slug_base(name: Column) -> Column:
@@ -135,15 +141,18 @@ def shard(name: Column, shards: int = SHARDS) -> Column:
     """
     codes = F.transform(F.split(name, ""), lambda ch: F.ascii(ch))
     # A character beyond U+FFFF counts as its two surrogate units.
-    units = F.flatten(F.transform(codes, lambda u: F.when(u > 0xFFFF, F.array(((u - 0x10000) / 1024).cast("int") + 0xD800, (u - 0x10000) % 1024 + 0xDC00)).otherwise(F.array(u))))
-    h = F.aggregate(F.filter(units, lambda u: u > 0), F.lit(2166136261).cast("long"), lambda a, u: (a.bitwiseXOR(u.cast("long")) * 16777619).bitwiseAND(4294967295))
+    units = F.flatten(F.transform(codes, lambda u: F.when(u > 0xFFFF, F.array(((u - 0x10000) / 1024).cast("int") + 0xD800,
+        (u - 0x10000) % 1024 + 0xDC00)).otherwise(F.array(u))))
+    h = F.aggregate(F.filter(units, lambda u: u > 0), F.lit(2166136261).cast("long"), lambda a,
+        u: (a.bitwiseXOR(u.cast("long")) * 16777619).bitwiseAND(4294967295))
     signed = F.when(h >= 2147483648, h - 4294967296).otherwise(h)
     return (F.abs(signed) % shards).cast("int")
 
 
 def href(prefix: str, name: Column) -> Column:
     """Path segments percent-encoded, with @ kept."""
-    segments = F.transform(F.split(name, "/"), lambda s: F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("%40"), F.lit("@")))
+    segments = F.transform(F.split(name, "/"), lambda s: F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("%40"),
+        F.lit("@")))
     return F.concat(F.lit(prefix), F.array_join(segments, "/"))
 
 

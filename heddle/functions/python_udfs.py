@@ -62,4 +62,5 @@ _STEP = T.StructType([T.StructField(n, T.StringType()) for n in ("op", "before",
 def edit_script(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit steps between two short names; null if either is."""
     pairs = zip(a, b, strict=True)
-    return pd.Series([None if x is None or y is None else [{"op": o, "before": s, "after": t} for o, s, t in edit_steps(x, y)] for x, y in pairs])
+    return pd.Series([None if x is None or y is None else [{"op": o, "before": s, "after": t} for o, s, t in edit_steps(x, y)] for x,
+        y in pairs])

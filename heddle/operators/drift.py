@@ -76,7 +76,8 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
     lines = lines.select(*_LINE).where("feed IS NOT NULL AND file_id IS NOT NULL")  # whatever other columns are called
     # Files are numbered by a parallel sort, so that one feed may hold any share of them.
     files = with_ordinal(file_schemas(lines, members(lines)), [F.col(c) for c in ("feed", "at", "file_id")])
-    before = files.select("feed", (F.col("ordinal") + 1).alias("ordinal"), F.col("fields").alias("before"), F.col("file_id").alias("before_id"))
+    before = files.select("feed", (F.col("ordinal") + 1).alias("ordinal"), F.col("fields").alias("before"),
+        F.col("file_id").alias("before_id"))
     pairs = materialise(
         files.join(before, ["feed", "ordinal"]).select(
             "feed", "at", "file_id", "before_id", "before", F.col("fields").alias("after"),
@@ -85,11 +86,15 @@ def schema_changes(lines: DataFrame, key_field: Column) -> DataFrame:
         )
     )
     renamed = _renames(lines, pairs, key_field)
-    out = pairs.join(renamed, ["feed", "file_id"], "left").withColumn("renames", F.coalesce("renames", F.array().cast("array<struct<a:string,b:string>>")))
+    out = pairs.join(renamed, ["feed", "file_id"], "left").withColumn("renames",
+        F.coalesce("renames", F.array().cast("array<struct<a:string,b:string>>")))
     ren = F.transform("renames", lambda r: F.struct(F.lit("renamed").alias("kind"), r["a"].alias("a"), r["b"].alias("b")))
-    gone = F.transform(F.array_except("gone", F.transform("renames", lambda r: r["a"])), lambda x: F.struct(F.lit("removed").alias("kind"), x.alias("a"), F.lit("").alias("b")))
-    came = F.transform(F.array_except("came", F.transform("renames", lambda r: r["b"])), lambda x: F.struct(F.lit("added").alias("kind"), F.lit("").alias("a"), x.alias("b")))
-    both = F.filter(F.array_intersect(F.map_keys("before"), F.map_keys("after")), lambda x: F.element_at("before", x) != F.element_at("after", x))
+    gone = F.transform(F.array_except("gone", F.transform("renames", lambda r: r["a"])),
+        lambda x: F.struct(F.lit("removed").alias("kind"), x.alias("a"), F.lit("").alias("b")))
+    came = F.transform(F.array_except("came", F.transform("renames", lambda r: r["b"])),
+        lambda x: F.struct(F.lit("added").alias("kind"), F.lit("").alias("a"), x.alias("b")))
+    both = F.filter(F.array_intersect(F.map_keys("before"), F.map_keys("after")),
+        lambda x: F.element_at("before", x) != F.element_at("after", x))
     retyped = F.transform(both, lambda x: F.struct(F.lit("retyped").alias("kind"), x.alias("a"), x.alias("b")))
     return out.select(
         "feed", "at", "file_id", "before", "after", F.explode(F.array_sort(F.concat(gone, ren, retyped, came))).alias("c")
@@ -108,22 +113,28 @@ def _renames(lines: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame
     values are kept, as hashes by record.
     """
     candidates = pairs.where("size(gone) > 0 AND size(came) > 0")
-    wanted = candidates.select("feed", F.col("before_id").alias("file_id"), F.col("file_id").alias("later"), F.lit(0).alias("side"), F.col("gone").alias("wanted")).unionByName(
+    wanted = candidates.select("feed", F.col("before_id").alias("file_id"), F.col("file_id").alias("later"), F.lit(0).alias("side"),
+        F.col("gone").alias("wanted")).unionByName(
         candidates.select("feed", "file_id", F.col("file_id").alias("later"), F.lit(1).alias("side"), F.col("came").alias("wanted"))
     )
     # Both sides of every candidate, by the bytes of its names and 64 for each row's place.
-    size = wanted.agg(F.sum(F.octet_length("feed") + F.octet_length(F.array_join("wanted", "")) + 16 * F.size("wanted") + 64)).first()[0] or 0
+    size = wanted.agg(F.sum(F.octet_length("feed") + F.octet_length(F.array_join("wanted",
+        "")) + 16 * F.size("wanted") + 64)).first()[0] or 0
     hint = F.broadcast if size <= BROADCAST_BYTES else (lambda d: d)
     # Variants of the same value print alike: members sorted, spacing and escapes gone.
     texts = lines.where(F.col("payload").rlike(r"^\s*\{")).join(hint(wanted), ["feed", "file_id"])
     record = F.call_function("get_json_object", F.col("payload"), F.concat(F.lit("$['"), key_field, F.lit("']")))
-    rows = texts.select("feed", "later", "side", "wanted", "line_no", record.alias("r"), F.try_parse_json("payload").alias("p")).where("p IS NOT NULL AND r IS NOT NULL")
+    rows = texts.select("feed", "later", "side", "wanted", "line_no", record.alias("r"),
+        F.try_parse_json("payload").alias("p")).where("p IS NOT NULL AND r IS NOT NULL")
     rows = rows.withColumn("k", F.xxhash64("r")).drop("r")
-    exploded = rows.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("p").outer())).where(F.array_contains("wanted", F.col("key")) & ~F.is_variant_null("value"))
-    values = exploded.select("feed", "later", "side", "line_no", "k", F.col("key").alias("field"), F.xxhash64(F.to_json("value"), F.schema_of_variant("value") == "STRING").alias("hash"))
+    exploded = rows.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("p").outer())).where(F.array_contains("wanted",
+        F.col("key")) & ~F.is_variant_null("value"))
+    values = exploded.select("feed", "later", "side", "line_no", "k", F.col("key").alias("field"),
+        F.xxhash64(F.to_json("value"), F.schema_of_variant("value") == "STRING").alias("hash"))
     # Of several values of one record and field in a file, the last line's holds.
     held = values.groupBy("feed", "later", "side", "k", "field").agg(F.max(F.struct("line_no", "hash"))["hash"].alias("hash"))
-    side = lambda i, name: held.where(F.col("side") == i).select("feed", "later", "k", F.col("field").alias(name), F.col("hash").alias(f"h_{name}"))
+    side = lambda i, name: held.where(F.col("side") == i).select("feed", "later", "k", F.col("field").alias(name),
+        F.col("hash").alias(f"h_{name}"))
     agree = (
         side(0, "a")
         .join(side(1, "b"), ["feed", "later", "k"])
@@ -135,7 +146,8 @@ def _renames(lines: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame
     ordered = agree.groupBy("feed", "later").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("fits"))
     start = F.array().cast("array<struct<a:string,b:string>>")
     settled = F.aggregate(
-        "fits", start, lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] == x["a"]) | (y["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x)))
+        "fits", start, lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] == x["a"]) | (y["b"] == x["b"])),
+        acc).otherwise(F.concat(acc, F.array(x)))
     )
     return ordered.select("feed", F.col("later").alias("file_id"), settled.alias("renames"))
 
@@ -195,12 +207,15 @@ def promoted(bits: int, whole: int = 0, scale: int = 0, inexact: bool = False) -
 def field_types(lines: DataFrame) -> DataFrame:
     """(field, bits, whole, scale, inexact): all that ``promoted`` needs, one row per field."""
     exploded = lines.sparkSession.tvf.variant_explode(F.col("p").outer())
-    kinds = _objects(lines).lateralJoin(exploded).select(F.col("key").alias("field"), F.col("value").alias("v"), F.schema_of_variant("value").alias("kind"))
+    kinds = _objects(lines).lateralJoin(exploded).select(F.col("key").alias("field"), F.col("value").alias("v"),
+        F.schema_of_variant("value").alias("kind"))
     part = lambda i: F.nullif(F.regexp_extract("kind", r"^DECIMAL\((\d+),(-?\d+)\)$", i), F.lit("")).cast("int")
     digits = F.when(F.col("kind") == "BIGINT", F.length(F.replace(F.variant_get("v", "$", "string"), F.lit("-"), F.lit(""))))
-    widths = kinds.select("field", "v", "kind", F.coalesce(part(1) - part(2), digits, F.lit(0)).alias("whole"), F.greatest(part(2), F.lit(0)).alias("scale"))
+    widths = kinds.select("field", "v", "kind", F.coalesce(part(1) - part(2), digits, F.lit(0)).alias("whole"),
+        F.greatest(part(2), F.lit(0)).alias("scale"))
     return widths.groupBy("field").agg(
-        F.bit_or(_bit(F.col("kind"))).alias("bits"), F.max("whole").alias("whole"), F.max("scale").alias("scale"), F.bool_or(F.col("kind").isin("DOUBLE", "FLOAT")).alias("inexact")
+        F.bit_or(_bit(F.col("kind"))).alias("bits"), F.max("whole").alias("whole"), F.max("scale").alias("scale"),
+            F.bool_or(F.col("kind").isin("DOUBLE", "FLOAT")).alias("inexact")
     )
 
 

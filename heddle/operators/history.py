@@ -64,7 +64,8 @@ def _fold(obs: DataFrame, per_instant: bool = True) -> DataFrame:
     held = F.filter(F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.when(~same(x, y), x)), lambda x: x.isNotNull())
     one = grouped.select("e", "seg", held.alias("a"))
     changed = F.filter(
-        F.zip_with(F.slice("a", F.lit(2), F.size("a")), "a", lambda x, before: F.when(x.isNotNull() & (x["v"] != before["v"]), x)), lambda x: x.isNotNull()
+        F.zip_with(F.slice("a", F.lit(2), F.size("a")), "a", lambda x, before: F.when(x.isNotNull() & (x["v"] != before["v"]), x)),
+            lambda x: x.isNotNull()
     )
     return one.select("e", "seg", F.concat(F.slice("a", 1, 1), changed).alias("a"))
 
@@ -81,7 +82,8 @@ def version_history(
     table gives an empty result; other columns are ignored, whatever their names.
     """
     obs = df.select(
-        F.col(f"`{entity}`").alias("e"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")).alias("t"), F.col(f"`{order}`").alias("o"), value.alias("v")
+        F.col(f"`{entity}`").alias("e"), F.unix_micros(F.col(f"`{at}`").cast("timestamp")).alias("t"), F.col(f"`{order}`").alias("o"),
+            value.alias("v")
     ).where(F.col("e").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull())
     few, hot = _split(obs, segment_rows)
     cold = few.withColumn("seg", F.lit(0).cast("long"))
@@ -114,7 +116,8 @@ def version_history(
 def _explode(folded: DataFrame) -> DataFrame:
     """One row per version; it ends where the next begins, the segment's last at ``seg_end``."""
     return (
-        folded.select("e", "seg_end", F.explode(F.arrays_zip(F.col("a").alias("x"), F.slice("a", F.lit(2), F.size("a")).alias("y"))).alias("z"))
+        folded.select("e", "seg_end", F.explode(F.arrays_zip(F.col("a").alias("x"),
+            F.slice("a", F.lit(2), F.size("a")).alias("y"))).alias("z"))
         .select(
             F.col("e").alias("entity_id"),
             F.col("z.x.t").alias("valid_from_us"),

@@ -23,7 +23,8 @@ from heddle.session import python_input
 
 CHUNK_BYTES = 16 << 20
 SCHEMA = "origin string, record_id long, relation string, parent_pos long, item_key string, value string"
-_OUT = pa.schema([("origin", pa.string()), ("record_id", pa.int64()), ("relation", pa.string()), ("parent_pos", pa.int64()), ("item_key", pa.string()), ("value", pa.string())])
+_OUT = pa.schema([("origin", pa.string()), ("record_id", pa.int64()), ("relation", pa.string()), ("parent_pos", pa.int64()),
+    ("item_key", pa.string()), ("value", pa.string())])
 
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in '{}[]:,"']] = True
@@ -125,7 +126,8 @@ class Index:
         size = np.maximum(hi - lo, 0)
         ends = np.cumsum(size)
         take = np.repeat(lo - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(self.buf[take])).cast(pa.string())
+        return pa.LargeStringArray.from_buffers(len(lo), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)),
+            pa.py_buffer(self.buf[take])).cast(pa.string())
 
     def strings(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
         """Spans of quoted strings, decoded."""
@@ -369,7 +371,8 @@ def flatten(df: DataFrame, origin: str, record_id: str, text: str, walk: str | N
         for b in batches:
             yield from flatten_batch(origin, b.column(0), b.column(1), walk)
 
-    return python_input(df.select(F.col(f"`{record_id}`").cast("long").alias("record_id"), F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
+    return python_input(df.select(F.col(f"`{record_id}`").cast("long").alias("record_id"),
+        F.col(f"`{text}`").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def relation_table(flat: DataFrame, relation: str) -> DataFrame:

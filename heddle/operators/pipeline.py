@@ -32,7 +32,8 @@ def scan_plan(versions: DataFrame, scans: DataFrame, hashes: DataFrame, fingerpr
     """
     last_scan = scans.where(F.col("rules_fingerprint") == fingerprint).groupBy("version_id").agg(F.max("scanned_at").alias("scanned_at"))
     last_hash = hashes.groupBy("version_id").agg(F.max("observed_at").alias("hash_at"))
-    rows = in_scope(versions).select(F.col("id").alias("version_id")).join(last_scan, "version_id", "left").join(last_hash, "version_id", "left")
+    rows = in_scope(versions).select(F.col("id").alias("version_id")).join(last_scan, "version_id", "left").join(last_hash, "version_id",
+        "left")
     return rows.withColumn("stale", F.col("scanned_at").isNull() | F.coalesce(F.col("hash_at") > F.col("scanned_at"), F.lit(False)))
 
 
@@ -40,8 +41,10 @@ def registry_configs(versions: DataFrame, servers: DataFrame) -> DataFrame:
     """What the rules see of a version: its launch configuration with its server's name and
     ``registry:name@version`` as its source. Versions of unknown servers have no name."""
     names = servers.select(F.col("id").alias("server_id"), "name")
-    rows = version_configs(versions).join(versions.select(F.col("id").alias("version_id"), "server_id"), "version_id").join(names, "server_id", "left")
-    return rows.withColumn("source", F.concat(F.lit("registry:"), F.coalesce("name", F.lit("")), F.lit("@"), F.coalesce("version", F.lit(""))))
+    rows = version_configs(versions).join(versions.select(F.col("id").alias("version_id"), "server_id"), "version_id").join(names,
+        "server_id", "left")
+    return rows.withColumn("source", F.concat(F.lit("registry:"), F.coalesce("name", F.lit("")), F.lit("@"),
+        F.coalesce("version", F.lit(""))))
 
 
 def scan(
@@ -59,7 +62,8 @@ def scan(
     configs = materialise(registry_configs(picked, servers).withColumn("ok", F.col("command").isNotNull()))
     scan_id = F.concat(F.col("version_id").cast("string"), F.lit("@"), F.unix_micros(now).cast("string"))
     done = configs.select(
-        scan_id.alias("scan_id"), "version_id", now.alias("scanned_at"), F.lit(fingerprint).alias("rules_fingerprint"), F.lit(True).alias("deep"), F.when(F.col("ok"), "ok").otherwise("error").alias("status")
+        scan_id.alias("scan_id"), "version_id", now.alias("scanned_at"), F.lit(fingerprint).alias("rules_fingerprint"),
+            F.lit(True).alias("deep"), F.when(F.col("ok"), "ok").otherwise("error").alias("status")
     )
     good = configs.where("ok")
     found = rule_set.evaluate(good, "version_id", rules).unionByName(rule_set.evaluate_metadata(good, "version_id", metadata, now, rules))
@@ -88,7 +92,8 @@ def server_scores(versions: DataFrame, scans: DataFrame, findings: DataFrame, no
 def scan_summary(plan: DataFrame, scans: DataFrame, findings: DataFrame) -> DataFrame:
     """One row of counters over a run: versions in scope, scanned, skipped, failed; findings."""
     seen = plan.agg(F.count("*").alias("versions_seen"), F.count_if(~F.col("stale")).alias("versions_skipped"))
-    ran = scans.agg(F.count_if(F.col("status") == "ok").alias("versions_scanned"), F.count_if(F.col("status") == "error").alias("versions_errored"))
+    ran = scans.agg(F.count_if(F.col("status") == "ok").alias("versions_scanned"),
+        F.count_if(F.col("status") == "error").alias("versions_errored"))
     wrote = findings.agg(F.count("*").alias("findings_written"))
     one = lambda df: df.withColumn("one__", F.lit(1))
     return one(seen).join(one(ran), "one__").join(one(wrote), "one__").drop("one__")

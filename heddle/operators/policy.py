@@ -34,42 +34,52 @@ def identified(configs: DataFrame) -> DataFrame:
 def unlisted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Servers whose identity is on no list (an anti join)."""
     out = servers.join(allowlist.select(F.col("name").alias("identity")), "identity", "left_anti")
-    return out.select(F.lit(UNLISTED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), F.concat(F.col("identity"), F.lit(" is not on the allowlist")).alias("detail"))
+    return out.select(F.lit(UNLISTED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"),
+        F.lit("high").alias("severity"), F.concat(F.col("identity"), F.lit(" is not on the allowlist")).alias("detail"))
 
 
 def drifted(servers: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Listed servers that resolve to another version or digest than pinned, or to none."""
     listed = allowlist.select(F.col("name").alias("identity"), F.col("version").alias("p_version"), F.col("digest").alias("p_digest"))
     out = servers.join(listed, "identity").select(
-        "identity", F.coalesce("p_digest", "p_version").alias("pinned"), F.when(F.col("p_digest").isNotNull(), F.col("resolved_digest")).otherwise(F.col("resolved_version")).alias("found")
+        "identity", F.coalesce("p_digest", "p_version").alias("pinned"), F.when(F.col("p_digest").isNotNull(),
+        F.col("resolved_digest")).otherwise(F.col("resolved_version")).alias("found")
     ).where(F.col("pinned").isNotNull() & ~F.col("pinned").eqNullSafe(F.col("found")))
-    detail = F.concat(F.col("identity"), F.lit(" is pinned to "), F.col("pinned"), F.lit(" but resolves to "), F.coalesce("found", F.lit("nothing")))
-    return out.select(F.lit(DRIFT).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("high").alias("severity"), detail.alias("detail"))
+    detail = F.concat(F.col("identity"), F.lit(" is pinned to "), F.col("pinned"), F.lit(" but resolves to "),
+        F.coalesce("found", F.lit("nothing")))
+    return out.select(F.lit(DRIFT).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"),
+        F.lit("high").alias("severity"), detail.alias("detail"))
 
 
 def blocked(servers: DataFrame, registries: list[str]) -> DataFrame:
     """Servers that name a blocked registry in command or url; the first of the list is told."""
     # Each text by itself: what ends one and begins the other is no match.
     command, url = launch.command_text(F.col("command")), F.coalesce("url", F.lit(""))
-    hit = F.get(F.filter(F.array(*map(F.lit, registries)).cast("array<string>"), lambda b: F.contains(command, b) | F.contains(url, b)), F.lit(0))
+    hit = F.get(F.filter(F.array(*map(F.lit, registries)).cast("array<string>"), lambda b: F.contains(command, b) | F.contains(url, b)),
+        F.lit(0))
     return servers.withColumn("hit", hit).where("hit IS NOT NULL").select(
-        F.lit(BLOCKED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"), F.lit("critical").alias("severity"), F.concat(F.lit("uses blocked registry "), F.col("hit")).alias("detail")
+        F.lit(BLOCKED).alias("kind"), F.col("identity").alias("server"), F.lit(None).cast("string").alias("rule_id"),
+            F.lit("critical").alias("severity"), F.concat(F.lit("uses blocked registry "), F.col("hit")).alias("detail")
     )
 
 
 def finding_violations(findings: DataFrame, fail_on: str, baseline: DataFrame | None = None) -> DataFrame:
     """Findings at or above a severity whose fingerprint is in no baseline."""
     server = F.substring_index("location", " :: ", -1)
-    rows = findings.withColumn("server", server).withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("server"), F.col("location")))
+    rows = findings.withColumn("server", server).withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("server"),
+        F.col("location")))
     if baseline is not None:
         rows = rows.join(baseline.select("fingerprint"), "fingerprint", "left_anti")
-    return rows.where(severity_at_least(F.col("severity"), fail_on)).select(F.lit(FINDING).alias("kind"), "server", "rule_id", "severity", "detail")
+    return rows.where(severity_at_least(F.col("severity"), fail_on)).select(F.lit(FINDING).alias("kind"), "server", "rule_id", "severity",
+        "detail")
 
 
-def violations(configs: DataFrame, findings: DataFrame, allowlist: DataFrame, registries: list[str], fail_on: str, baseline: DataFrame | None = None) -> DataFrame:
+def violations(configs: DataFrame, findings: DataFrame, allowlist: DataFrame, registries: list[str], fail_on: str,
+    baseline: DataFrame | None = None) -> DataFrame:
     """All violations, with the list each comes from as ``part`` (their order)."""
     servers = identified(configs)
-    parts = (unlisted(servers, allowlist).unionByName(drifted(servers, allowlist)), blocked(servers, registries), finding_violations(findings, fail_on, baseline))
+    parts = (unlisted(servers, allowlist).unionByName(drifted(servers, allowlist)), blocked(servers, registries),
+        finding_violations(findings, fail_on, baseline))
     out = None
     for i, p in enumerate(parts):
         p = p.select(*COLUMNS).withColumn("part", F.lit(i))
@@ -81,7 +91,8 @@ def allowlist_of(configs: DataFrame) -> DataFrame:
     """A first allowlist: each identity with its digest, else its version."""
     s = identified(configs)
     digest = F.max("resolved_digest")
-    return s.groupBy(F.col("identity").alias("name")).agg(F.when(digest.isNull(), F.max("resolved_version")).alias("version"), digest.alias("digest"))
+    return s.groupBy(F.col("identity").alias("name")).agg(F.when(digest.isNull(), F.max("resolved_version")).alias("version"),
+        digest.alias("digest"))
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def slugs(names: DataFrame) -> DataFrame:
     return (
         names.select("name").where("name IS NOT NULL").distinct().withColumn("base", base).withColumn("folded", F.lower("base"))
         .withColumn("r", F.row_number().over(w))
-        .select("name", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.left(F.sha1("name"), F.lit(8)))).alias("slug"))
+        .select("name", F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"),
+            F.left(F.sha1("name"), F.lit(8)))).alias("slug"))
     )
 
 
@@ -64,7 +65,8 @@ def stratified_sample(df: DataFrame, key: str, stratum: Column, sizes: dict[str,
     most = max([v for v in sizes.values() if v >= 0], default=0)
     rows = df.withColumn("stratum", stratum).withColumn("mixed", mixed)
     all_of = [k for k, v in sizes.items() if v < 0]
-    ranked = rows.where(~F.col("stratum").isin(all_of) if all_of else F.lit(True)).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).where(F.col("r") <= limit).drop("r")
+    ranked = rows.where(~F.col("stratum").isin(all_of) if all_of else F.lit(True)).withColumn("r",
+        F.row_number().over(w)).where(F.col("r") <= most).where(F.col("r") <= limit).drop("r")
     return (ranked.unionByName(rows.where(F.col("stratum").isin(all_of))) if all_of else ranked).drop("mixed")
 
 
@@ -106,7 +108,8 @@ def index(servers: DataFrame, scores: DataFrame) -> DataFrame:
 
 def totals(scored: DataFrame) -> DataFrame:
     """One row: servers in all, flagged (score below 100) and clean."""
-    return scored.agg(F.count("*").alias("servers"), F.count_if(F.col("score") < 100).alias("flagged"), F.count_if(F.col("score") >= 100).alias("clean"))
+    return scored.agg(F.count("*").alias("servers"), F.count_if(F.col("score") < 100).alias("flagged"),
+        F.count_if(F.col("score") >= 100).alias("clean"))
 
 
 def flagged_entries(pairs: DataFrame, index_: DataFrame) -> DataFrame:
@@ -126,7 +129,8 @@ def json_feed(flagged: DataFrame, site: str) -> DataFrame:
     """(line_no, line) of a JSON Feed 1.1 of newly flagged servers."""
     url = F.concat(F.lit(site), launch.href("/servers/", F.col("name")))
     item = F.struct(
-        url.alias("id"), url.alias("url"), F.col("name").alias("title"), _story(F.col("previous_score"), F.col("score"), F.col("finding_count")).alias("content_text"), iso(F.col("computed_at")).alias("date_published")
+        url.alias("id"), url.alias("url"), F.col("name").alias("title"), _story(F.col("previous_score"), F.col("score"),
+            F.col("finding_count")).alias("content_text"), iso(F.col("computed_at")).alias("date_published")
     )
     head = f'{{"version":"https://jsonfeed.org/version/1.1","title":"Newly flagged servers","home_page_url":"{site}/","feed_url":"{site}/feed.json","description":"Servers whose score has just fallen below 100.","items":['
     return as_document(flagged.sparkSession, [head], flagged.select("ordinal", F.to_json(item).alias("line")), ["]}"])
@@ -137,11 +141,14 @@ def rss(flagged: DataFrame, site: str) -> DataFrame:
     url = launch.xml_escape(F.concat(F.lit(site), launch.href("/servers/", F.col("name"))))
     item = F.format_string(
         '<item><title>%s</title><link>%s</link><guid isPermaLink="true">%s</guid><pubDate>%s</pubDate><description>%s</description></item>',
-        launch.xml_escape(F.col("name")), url, url, utc(F.col("computed_at"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), launch.xml_escape(_story(F.col("previous_score"), F.col("score"), F.col("finding_count"))),
+        launch.xml_escape(F.col("name")), url, url, utc(F.col("computed_at"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'"),
+            launch.xml_escape(_story(F.col("previous_score"), F.col("score"), F.col("finding_count"))),
     )
     head = [
-        '<?xml version="1.0" encoding="UTF-8"?>', '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">', "<channel>", "<title>Newly flagged servers</title>", f"<link>{site}/</link>",
-        "<description>Servers whose score has just fallen below 100.</description>", "<language>en</language>", f'<atom:link href="{site}/feed.xml" rel="self" type="application/rss+xml"/>',
+        '<?xml version="1.0" encoding="UTF-8"?>', '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom">', "<channel>",
+        "<title>Newly flagged servers</title>", f"<link>{site}/</link>",
+        "<description>Servers whose score has just fallen below 100.</description>", "<language>en</language>",
+        f'<atom:link href="{site}/feed.xml" rel="self" type="application/rss+xml"/>',
     ]
     return as_document(flagged.sparkSession, head, flagged.select("ordinal", item.alias("line")), ["</channel>", "</rss>"])
 
@@ -155,13 +162,15 @@ def clusters(candidates: DataFrame, index_: DataFrame, known: list[str], max_dis
     many share a package.
     """
     near = typosquat.known_neighbours(candidates, known, max_distance).where("identifier IS NOT NULL")
-    rows = near.join(candidates.select("server_name", "identifier").distinct(), "identifier").join(index_.select(F.col("name").alias("server_name"), F.col("slug").alias("server_slug")), "server_name", "left")
+    rows = near.join(candidates.select("server_name", "identifier").distinct(),
+        "identifier").join(index_.select(F.col("name").alias("server_name"), F.col("slug").alias("server_slug")), "server_name", "left")
     numbered = with_ordinal(rows, [F.col(c) for c in ("known_name", "distance", "identifier", "server_name")])
     first = numbered.groupBy("known_name").agg((F.min("ordinal") - 1).alias("shift"))
     placed = numbered.join(first, "known_name").withColumn("position", F.col("ordinal") - F.col("shift")).drop("ordinal", "shift")
     all_known = candidates.sparkSession.createDataFrame([(k,) for k in known], "known_name string")
     return all_known.join(placed, "known_name", "left").select(
-        "known_name", launch.slug_base(F.col("known_name")).alias("known_slug"), "position", "identifier", "distance", "server_name", "server_slug"
+        "known_name", launch.slug_base(F.col("known_name")).alias("known_slug"), "position", "identifier", "distance", "server_name",
+        "server_slug"
     )
 
 
@@ -178,18 +187,22 @@ def sitemap(index_: DataFrame, known: list[str], site: str, rows: int = SITEMAP_
     start = [(0, 1, f"{site}/", None, "daily", 1.0), (0, 2, f"{site}/typosquats", None, "daily", 0.7)]
     pages_ = max(1, -(-index_.count() // page_rows))
     browse = spark.range(1, pages_ + 1).select(
-        F.lit(1).alias("grp"), F.col("id").alias("pos"), F.concat(F.lit(f"{site}/browse/"), F.col("id").cast("string")).alias("url"), F.lit(None).cast("timestamp").alias("last_modified"),
+        F.lit(1).alias("grp"), F.col("id").alias("pos"), F.concat(F.lit(f"{site}/browse/"), F.col("id").cast("string")).alias("url"),
+            F.lit(None).cast("timestamp").alias("last_modified"),
         F.lit("daily").alias("change_frequency"), F.when(F.col("id") == 1, 0.8).otherwise(0.5).alias("priority"),
     )
     names = spark.createDataFrame([(i, k) for i, k in enumerate(known, 1)], "pos long, name string")
-    alike = names.select(F.lit(2).alias("grp"), "pos", F.concat(F.lit(site), launch.href("/typosquats/", F.col("name"))).alias("url"), F.lit(None).cast("timestamp").alias("last_modified"), F.lit("weekly").alias("change_frequency"), F.lit(0.4).alias("priority"))
+    alike = names.select(F.lit(2).alias("grp"), "pos", F.concat(F.lit(site), launch.href("/typosquats/", F.col("name"))).alias("url"),
+        F.lit(None).cast("timestamp").alias("last_modified"), F.lit("weekly").alias("change_frequency"), F.lit(0.4).alias("priority"))
     servers = with_ordinal(index_.select("name", "score", "computed_at"), [F.col("name")]).select(
-        F.lit(3).alias("grp"), F.col("ordinal").alias("pos"), F.concat(F.lit(site), launch.href("/servers/", F.col("name"))).alias("url"), F.col("computed_at").alias("last_modified"),
+        F.lit(3).alias("grp"), F.col("ordinal").alias("pos"), F.concat(F.lit(site), launch.href("/servers/", F.col("name"))).alias("url"),
+            F.col("computed_at").alias("last_modified"),
         F.lit("daily").alias("change_frequency"), F.when(F.col("score") < 100, 0.6).otherwise(0.3).alias("priority"),
     )
     whole = reduce(DataFrame.unionByName, [spark.createDataFrame(start, entry), browse, alike, servers])
     shift = F.coalesce(*[F.when(F.col("grp") == g, F.lit(n)) for g, n in ((0, 0), (1, 2), (2, 2 + pages_), (3, 2 + pages_ + len(known)))])
-    return whole.withColumn("ordinal", (F.col("pos") + shift).cast("long")).where(F.col("ordinal") <= rows).select("ordinal", "url", "last_modified", "change_frequency", "priority")
+    return whole.withColumn("ordinal", (F.col("pos") + shift).cast("long")).where(F.col("ordinal") <= rows).select("ordinal", "url",
+        "last_modified", "change_frequency", "priority")
 
 
 def server_documents(index_: DataFrame, findings: DataFrame, key: str = "server_id") -> DataFrame:
@@ -197,7 +210,8 @@ def server_documents(index_: DataFrame, findings: DataFrame, key: str = "server_
     fields = ("rule_id", "title", "severity", "confidence", "owasp", "detail", "recommendation")
     listed = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("findings"))
     none = F.array().cast(dict(listed.dtypes)["findings"])
-    document = F.struct("name", "score", "finding_count", iso(F.col("computed_at")).alias("computed_at"), F.coalesce("findings", none).alias("findings"))
+    document = F.struct("name", "score", "finding_count", iso(F.col("computed_at")).alias("computed_at"),
+        F.coalesce("findings", none).alias("findings"))
     return index_.join(listed, key, "left").select("name", "slug", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
 
 
@@ -224,7 +238,8 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     sev = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SECURITY_SEVERITY.items()], F.lit("5.5"))
     one = findings.groupBy("rule_id").agg(F.min(F.struct("title", "severity", "owasp")).alias("r")).select("rule_id", "r.*")
     props = F.map_from_arrays(F.array(F.lit("security-severity"), F.lit("owasp")), F.array(sev, F.coalesce("owasp", F.lit(""))))
-    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), props.alias("properties")))
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("title").alias("name"),
+        F.struct(F.col("title").alias("text")).alias("shortDescription"), props.alias("properties")))
     return with_ordinal(one.select("rule_id", rule.alias("line")), [F.col("rule_id")]).select("ordinal", "line")
 
 
@@ -239,9 +254,11 @@ def json_result(targets: list[str], configs: DataFrame, findings: DataFrame) ->
     """(line_no, line) of a scan's result as one JSON object: targets, servers and findings."""
     spark, null = configs.sparkSession, {"ignoreNullFields": "false"}
     raw = F.try_parse_json(F.col("raw"))
-    servers = configs.select("source", "name", F.to_json(F.struct("name", "transport", "command", "url", "env", "source", raw.alias("raw")), null).alias("line"), F.monotonically_increasing_id().alias("tie"))
+    servers = configs.select("source", "name", F.to_json(F.struct("name", "transport", "command", "url", "env", "source",
+        raw.alias("raw")), null).alias("line"), F.monotonically_increasing_id().alias("tie"))
     server = F.substring_index("location", " :: ", -1)
-    rows = findings.select("location", "rule_id", F.to_json(F.struct("rule_id", "title", "severity", "confidence", "owasp", "phase", server.alias("server"), "location", "detail", "recommendation"), null).alias("line"), F.monotonically_increasing_id().alias("tie"))
+    rows = findings.select("location", "rule_id", F.to_json(F.struct("rule_id", "title", "severity", "confidence", "owasp", "phase",
+        server.alias("server"), "location", "detail", "recommendation"), null).alias("line"), F.monotonically_increasing_id().alias("tie"))
     by = lambda df, *cols: with_ordinal(df, [F.col(c) for c in (*cols, "tie")]).select("ordinal", "line")
     head = '{"targets":' + json.dumps(targets) + ',"servers":['
     return as_document(spark, [head], by(servers, "source", "name"), ['],"findings":['], by(rows, "location", "rule_id"), ["]}"])
@@ -250,27 +267,34 @@ def json_result(targets: list[str], configs: DataFrame, findings: DataFrame) ->
 RARE_RULES = ("MCP-STATIC-003", "MCP-STATIC-004")
 
 
-def review_packet(index_: DataFrame, findings: DataFrame, flagged: int, clean: int, seed: int, rare: tuple[str, ...] = RARE_RULES, key: str = "server_id") -> DataFrame:
+def review_packet(index_: DataFrame, findings: DataFrame, flagged: int, clean: int, seed: int, rare: tuple[str, ...] = RARE_RULES,
+    key: str = "server_id") -> DataFrame:
     """(ordinal, name, score, finding_count, stratum, rules, link): servers to check by hand.
 
     All with a rare rule, a seeded sample of the other flagged ones and of the clean ones; most
     findings first, then by name. The link is the forge account a name stands for, else the
     package a finding names, else null.
     """
-    per = findings.groupBy(key).agg(F.array_sort(F.collect_set("rule_id")).alias("ids"), F.min(F.nullif(F.regexp_extract("detail", 'npm package "([^"]+)"', 1), F.lit(""))).alias("package"))
+    per = findings.groupBy(key).agg(F.array_sort(F.collect_set("rule_id")).alias("ids"),
+        F.min(F.nullif(F.regexp_extract("detail", 'npm package "([^"]+)"', 1), F.lit(""))).alias("package"))
     rows = index_.select(key, "name", "score", "finding_count").join(per, key, "left")
-    stratum = F.when(F.arrays_overlap("ids", F.array(*map(F.lit, rare))), "rare-rule").when(F.col("finding_count") > 0, "flagged").otherwise("clean")
+    stratum = F.when(F.arrays_overlap("ids", F.array(*map(F.lit, rare))), "rare-rule").when(F.col("finding_count") > 0,
+        "flagged").otherwise("clean")
     picked = stratified_sample(rows, "name", stratum, {"rare-rule": -1, "flagged": flagged, "clean": clean}, seed)
     forge = F.regexp_extract("name", r"^io\.github\.([^/]+)/(.+)$", 1)
-    link = F.when(forge != "", F.concat(F.lit("https://github.com/"), forge, F.lit("/"), F.regexp_extract("name", r"^io\.github\.([^/]+)/(.+)$", 2))).otherwise(F.concat(F.lit("https://www.npmjs.com/package/"), F.col("package")))
-    out = picked.select("name", "score", "finding_count", "stratum", F.coalesce(F.array_join("ids", ", "), F.lit("")).alias("rules"), link.alias("link"))
+    link = F.when(forge != "", F.concat(F.lit("https://github.com/"), forge, F.lit("/"),
+        F.regexp_extract("name", r"^io\.github\.([^/]+)/(.+)$", 2))).otherwise(F.concat(F.lit("https://www.npmjs.com/package/"),
+        F.col("package")))
+    out = picked.select("name", "score", "finding_count", "stratum", F.coalesce(F.array_join("ids", ", "), F.lit("")).alias("rules"),
+        link.alias("link"))
     return with_ordinal(out, [F.desc("finding_count"), F.col("name")])
 
 
 def review_lines(packet: DataFrame, title: str) -> DataFrame:
     """(line_no, line) of the packet as Markdown with a verdict to fill in."""
     cell = lambda c, none: F.replace(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)), F.lit("|"), F.lit("\\|"))
-    line = F.concat_ws(" | ", F.concat(F.lit("| "), F.col("ordinal").cast("string")), cell("name", ""), F.col("score").cast("string"), F.col("stratum"), cell("rules", "-"), cell("link", "-"), F.lit("open |"))
+    line = F.concat_ws(" | ", F.concat(F.lit("| "), F.col("ordinal").cast("string")), cell("name", ""), F.col("score").cast("string"),
+        F.col("stratum"), cell("rules", "-"), cell("link", "-"), F.lit("open |"))
     head = [f"# {title}", "", "| # | server | score | stratum | rules | link | verdict |", "|---|---|---|---|---|---|---|"]
     return as_document(packet.sparkSession, head, packet.select("ordinal", line.alias("line")))
 
@@ -279,7 +303,8 @@ def text_lines(findings: DataFrame) -> DataFrame:
     """(line): one line per finding; names are padded to a column and never cut."""
     server = F.substring_index("location", " :: ", -1)
     padded = F.rpad(server, F.greatest(F.lit(30), F.length(server)), " ")
-    return findings.select(F.format_string("[%-8s] %s  %s  %s", F.upper("severity"), F.col("rule_id"), padded, F.col("title")).alias("line"))
+    return findings.select(F.format_string("[%-8s] %s  %s  %s", F.upper("severity"), F.col("rule_id"), padded,
+        F.col("title")).alias("line"))
 
 
 def markdown_report(violations: DataFrame) -> DataFrame:
@@ -294,7 +319,8 @@ def markdown_report(violations: DataFrame) -> DataFrame:
     worst = (-F.coalesce(rank(F.col("severity"), SEVERITY_RANK), F.lit(99))).alias("worst")
     table = rows.select("part", worst, "server", "detail", F.monotonically_increasing_id().alias("tie"), line.alias("line"))
     numbered = with_ordinal(table, [F.col(c) for c in ("part", "worst", "server", "detail", "tie")])
-    return as_document(rows.sparkSession, [f"{n} violation(s)", "", "| severity | kind | server | detail |", "|---|---|---|---|"], numbered.select("ordinal", "line"))
+    return as_document(rows.sparkSession, [f"{n} violation(s)", "", "| severity | kind | server | detail |", "|---|---|---|---|"],
+        numbered.select("ordinal", "line"))
 
 
 def write_sharded(documents: DataFrame, name: str, path: str) -> None:

@@ -105,7 +105,8 @@ def first_allowed_match(text: Column, pattern: str, allow_if: str = "") -> Colum
 
 def _advance(state: Column, match: Column, text: Column, allow_if: str) -> Column:
     at = F.call_function("locate", match, text, state["at"])
-    window = F.substring(text, F.greatest(at - ALLOW_WINDOW, F.lit(1)), F.length(match) + ALLOW_WINDOW + F.least(F.lit(ALLOW_WINDOW), at - 1))
+    window = F.substring(text, F.greatest(at - ALLOW_WINDOW, F.lit(1)), F.length(match) + ALLOW_WINDOW + F.least(F.lit(ALLOW_WINDOW),
+        at - 1))
     ok = state["hit"].isNull() & (F.instr(window, allow_if) == 0)
     return F.struct((at + F.length(match)).cast("int").alias("at"), F.when(ok, match).otherwise(state["hit"]).alias("hit"))
 
@@ -124,7 +125,8 @@ def oci_pin(ref: Column) -> Column:
 def _hit(rule: Rule) -> Column:
     if rule.check == "typosquat":
         near = F.col(_near(rule))
-        return F.when(near.isNotNull(), F.format_string('package "%s" is %d edit(s) from "%s"', F.col("t__package"), near["distance"], near["known"]))
+        return F.when(near.isNotNull(), F.format_string('package "%s" is %d edit(s) from "%s"', F.col("t__package"), near["distance"],
+            near["known"]))
     hit = first_allowed_match(F.col(f"t__{rule.target}"), rule.pattern, rule.allow_if)
     return F.coalesce(hit, oci_pin(F.col("t__image"))) if rule.also == "oci_pin" else hit
 
@@ -142,10 +144,12 @@ def with_hits(configs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RUL
     local = [r for r in rules if not r.network and r.phase == "static"]
     c = F.col
     base = spread(configs).select(
-        *keep, launch.command_text(c("command")).alias("t__command"), F.coalesce("url", F.lit("")).alias("t__url"), launch.env_text(c("env")).alias("t__env"), launch.raw_text(c("raw")).alias("t__raw"),
+        *keep, launch.command_text(c("command")).alias("t__command"), F.coalesce("url", F.lit("")).alias("t__url"),
+            launch.env_text(c("env")).alias("t__env"), launch.raw_text(c("raw")).alias("t__raw"),
         launch.package_name(c("command")).alias("t__package"), launch.oci_image_ref(c("command")).alias("t__image"),
     )
-    near = {_near(r): typosquat.nearest_known(c("t__package"), list(r.known) or typosquat.KNOWN_SERVERS, r.max_distance) for r in local if r.check == "typosquat"}
+    near = {_near(r): typosquat.nearest_known(c("t__package"), list(r.known) or typosquat.KNOWN_SERVERS,
+        r.max_distance) for r in local if r.check == "typosquat"}
     each = F.array(*[_finding(r, _hit(r)) for r in local]) if local else F.array().cast(FINDINGS)
     return base.withColumns(near).select(*keep, each.alias("hits"))
 
@@ -177,7 +181,8 @@ FINDINGS = "array<struct<rule_id:string,title:string,severity:string,confidence:
 
 def _finding(r: Rule, hit: Column) -> Column:
     return F.struct(
-        F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
+        F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"),
+            F.lit(r.confidence).alias("confidence"),
         F.lit(r.owasp).alias("owasp"), F.lit(r.phase).alias("phase"), hit.alias("detail"), F.lit(r.recommendation).alias("recommendation"),
     )
 
@@ -195,10 +200,13 @@ def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Co
     by_check = lambda r: {"provenance": provenance, "install_script": install, "registry_age": lambda: age(r)}[r.check]()
     command = F.col("command")
     by_uvx, by_npx = F.array_contains(command, "uvx"), F.array_contains(command, "npx")
-    ask = lambda eco, main, scripts: F.struct(F.lit(eco).alias("eco"), F.lit(main).alias("main"), F.lit(scripts).alias("scripted"))
-    asks = F.when(by_uvx & by_npx, F.array(ask("pypi", True, False), ask("npm", False, True))).when(by_uvx, F.array(ask("pypi", True, False))).when(by_npx, F.array(ask("npm", True, True)))
+    ask = lambda eco, main, scripts: F.struct(F.lit(eco).alias("eco"), F.lit(main).alias("main"),
+        F.lit(scripts).alias("scripted"))
+    asks = F.when(by_uvx & by_npx, F.array(ask("pypi", True, False), ask("npm", False, True))).when(by_uvx,
+        F.array(ask("pypi", True, False))).when(by_npx, F.array(ask("npm", True, True)))
     meta = metadata.select(
-        F.col("ecosystem").alias("m_ecosystem"), F.col("package").alias("m_package"), "unpublished", "repository", "project_urls", "home_page", "scripts", "created_at"
+        F.col("ecosystem").alias("m_ecosystem"), F.col("package").alias("m_package"), "unpublished", "repository", "project_urls",
+            "home_page", "scripts", "created_at"
     )
     rows = configs.select(key, "name", "source", launch.package_name(command).alias("pkg"), F.inline(asks)).join(
         meta, (F.col("eco") == F.col("m_ecosystem")) & (F.col("pkg") == F.col("m_package"))
@@ -219,7 +227,9 @@ def evaluate_metadata(configs: DataFrame, key: str, metadata: DataFrame, now: Co
 
     def install() -> Column:
         bad = lambda k: F.try_element_at("scripts", F.lit(k)).rlike("(?i)" + DOWNLOAD_PIPE)
-        return F.when(F.col("scripted"), F.coalesce(*[F.when(bad(k), F.format_string('npm package "%s" pipes a download into a shell on %s', F.col("pkg"), F.lit(k))) for k in INSTALL_SCRIPTS]))
+        return F.when(F.col("scripted"),
+            F.coalesce(*[F.when(bad(k), F.format_string('npm package "%s" pipes a download into a shell on %s', F.col("pkg"),
+            F.lit(k))) for k in INSTALL_SCRIPTS]))
 
     def age(rule: Rule) -> Column:
         days = F.floor((F.unix_micros(now) - F.unix_micros(F.try_to_timestamp("created_at"))) / 86_400_000_000)

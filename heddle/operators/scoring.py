@@ -25,7 +25,8 @@ def dedupe_findings(findings: DataFrame, key: str, order: str | None = None) ->
     A partial aggregate (``max_by``): no rows are sorted, and hot keys combine before the shuffle.
     """
     tie = -F.col(order) if order else F.lit(0)
-    best = F.struct(F.coalesce(rank(F.col("severity"), SEVERITY_RANK), F.lit(0)).alias("s"), F.coalesce(rank(F.col("confidence"), CONFIDENCE_RANK), F.lit(0)).alias("c"), tie.alias("t"))
+    best = F.struct(F.coalesce(rank(F.col("severity"), SEVERITY_RANK), F.lit(0)).alias("s"),
+        F.coalesce(rank(F.col("confidence"), CONFIDENCE_RANK), F.lit(0)).alias("c"), tie.alias("t"))
     rest = [c for c in findings.columns if c not in (key, "rule_id")]
     return findings.groupBy(key, "rule_id").agg(F.max_by(F.struct(*rest), best).alias("f")).select(key, "rule_id", "f.*")
 
@@ -42,7 +43,8 @@ def score(findings: DataFrame, scope: DataFrame, key: str) -> DataFrame:
     left = F.aggregate(mults, F.lit(100.0), lambda a, x: a * x["m"])
     scored = one.groupBy(key).agg(left.alias("left"), F.count("*").alias("finding_count"))
     return scope.select(key).distinct().join(scored, key, "left").select(
-        key, F.least(F.greatest(F.rint(F.coalesce("left", F.lit(100.0))), F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"), F.coalesce("finding_count", F.lit(0)).cast("int").alias("finding_count")
+        key, F.least(F.greatest(F.rint(F.coalesce("left", F.lit(100.0))), F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"),
+            F.coalesce("finding_count", F.lit(0)).cast("int").alias("finding_count")
     )
 
 
@@ -61,13 +63,15 @@ def score_rows(configs: DataFrame, keep: list[str]) -> DataFrame:
 def cascade(findings: DataFrame, key: str) -> DataFrame:
     """(key, step, rule_id, multiplier, before, after): worst severity and confidence first."""
     worst = F.struct(
-        (-F.coalesce(rank(F.col("severity"), SEVERITY_RANK), F.lit(0))).alias("s"), (-F.coalesce(rank(F.col("confidence"), CONFIDENCE_RANK), F.lit(0))).alias("c"), F.col("rule_id"),
+        (-F.coalesce(rank(F.col("severity"), SEVERITY_RANK), F.lit(0))).alias("s"),
+        (-F.coalesce(rank(F.col("confidence"), CONFIDENCE_RANK), F.lit(0))).alias("c"), F.col("rule_id"),
         multiplier(F.col("severity"), F.col("confidence")).alias("multiplier"),
     )
     lists = dedupe_findings(findings, key).groupBy(key).agg(F.array_sort(F.collect_list(worst)).alias("a"))
     # One finding per rule: the lists are no longer than the rule set.
     before = lambda i: F.aggregate(F.slice("a", F.lit(1), i), F.lit(100.0), lambda acc, x: acc * x["multiplier"])
-    steps = F.transform("a", lambda x, i: F.struct((i + 1).alias("step"), x["rule_id"].alias("rule_id"), x["multiplier"].alias("multiplier"), before(i).alias("before"), before(i + 1).alias("after")))
+    steps = F.transform("a", lambda x, i: F.struct((i + 1).alias("step"), x["rule_id"].alias("rule_id"),
+        x["multiplier"].alias("multiplier"), before(i).alias("before"), before(i + 1).alias("after")))
     return lists.select(key, F.inline(steps))
 
 

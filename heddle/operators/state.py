@@ -26,7 +26,8 @@ def upsert(state: DataFrame, poll: DataFrame, keys: list[str], attributes: list[
     both = old.join(new, keys, "full_outer")
     here, known = F.col("p").isNotNull(), F.col("o").isNotNull()
     change = (
-        F.when(here & ~known, "new").when(here & F.col("o.delisted_at").isNotNull(), "relisted").when(here, "updated").when(F.col("o.delisted_at").isNull(), "delisted").otherwise("absent")
+        F.when(here & ~known, "new").when(here & F.col("o.delisted_at").isNotNull(), "relisted").when(here,
+            "updated").when(F.col("o.delisted_at").isNull(), "delisted").otherwise("absent")
     )
     return both.select(
         *keys,
@@ -56,12 +57,14 @@ def replay(first: DataFrame, polls: list[tuple[DataFrame, Column, Column]], keys
 def poll_summary(upserted: DataFrame, *by: str) -> DataFrame:
     """One row of counters over an upsert's result, or for each of ``by`` over several."""
     kinds = ("new", "updated", "relisted", "delisted", "absent")
-    return upserted.groupBy(*by).agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds], F.count_if(F.col("delisted_at").isNull()).alias("listed"))
+    return upserted.groupBy(*by).agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds],
+        F.count_if(F.col("delisted_at").isNull()).alias("listed"))
 
 
 def latest(df: DataFrame, key: str, at: str, order: str, columns: list[str]) -> DataFrame:
     """Per key the columns of the row with the greatest (at, order): a hash aggregate, no sort."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, order)).alias("x")).select(key, "x.*")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(at, order)).alias("x")).select(key,
+        "x.*")
 
 
 def change_ledger(observations: DataFrame, key: str, at: str, order: str, value: str) -> DataFrame:
@@ -72,7 +75,8 @@ def change_ledger(observations: DataFrame, key: str, at: str, order: str, value:
     the history operator cuts hot ones along time.
     """
     h = version_history(observations, key, at, F.col(f"`{value}`"), order, per_instant=False)
-    return h.select(F.col("entity_id").alias(key), F.col("valid_from_us").alias("at_us"), F.col("order_key").alias(order), F.col("value").alias(value))
+    return h.select(F.col("entity_id").alias(key), F.col("valid_from_us").alias("at_us"), F.col("order_key").alias(order),
+        F.col("value").alias(value))
 
 
 def score_pairs(scores: DataFrame) -> DataFrame:
@@ -83,7 +87,8 @@ def score_pairs(scores: DataFrame) -> DataFrame:
     rows = scores.where("score IS NOT NULL").select("server_id", "id", "computed_at", "score", "finding_count")
     top = rows.withColumn("r", F.dense_rank().over(w)).where("r <= 2")
     last = lambda c: F.max(F.when(F.col("r") == 1, F.col(c))).alias(c)
-    return top.groupBy("server_id").agg(last("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("previous_score"), last("finding_count"), last("computed_at"))
+    return top.groupBy("server_id").agg(last("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("previous_score"),
+        last("finding_count"), last("computed_at"))
 
 
 def newly_flagged(pairs: DataFrame) -> DataFrame:

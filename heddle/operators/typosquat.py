@@ -30,7 +30,8 @@ MAX_DISTANCE = 2
 def nearest_known(name: Column, known: list[str], max_distance: int = MAX_DISTANCE) -> Column:
     """struct(distance, ord, known) of the nearest known name within the distance, ties in list
     order; null for known names themselves and where none is near."""
-    each = F.array(*[F.struct(F.levenshtein(name, F.lit(k), max_distance).alias("distance"), F.lit(i).alias("ord"), F.lit(k).alias("known")) for i, k in enumerate(known)])
+    each = F.array(*[F.struct(F.levenshtein(name, F.lit(k), max_distance).alias("distance"), F.lit(i).alias("ord"),
+        F.lit(k).alias("known")) for i, k in enumerate(known)])
     near = F.filter(each, lambda s: s["distance"].between(1, max_distance))
     return F.when(name.isNotNull() & ~name.isin(*known), F.array_min(near))
 
@@ -40,15 +41,18 @@ def known_neighbours(packages: DataFrame, known: list[str], max_distance: int =
     known name has a row, with a null identifier where nothing is near."""
     spark = packages.sparkSession
     names = packages.select(F.col("identifier")).where("identifier IS NOT NULL").distinct()
-    d = F.explode(F.array(*[F.struct(F.lit(k).alias("known_name"), F.levenshtein("identifier", F.lit(k), max_distance).alias("distance")) for k in known]))
-    near = names.select("identifier", d.alias("x")).select("x.known_name", "identifier", "x.distance").where(F.col("distance").between(1, max_distance))
+    d = F.explode(F.array(*[F.struct(F.lit(k).alias("known_name"), F.levenshtein("identifier", F.lit(k),
+        max_distance).alias("distance")) for k in known]))
+    near = names.select("identifier", d.alias("x")).select("x.known_name", "identifier",
+        "x.distance").where(F.col("distance").between(1, max_distance))
     all_known = spark.createDataFrame([(k,) for k in known], "known_name string")
     return all_known.join(near, "known_name", "left")
 
 
 def _variants(name: Column, deletions: int) -> Column:
     """The name and all its variants with up to ``deletions`` characters deleted."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+    one = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1)))
     levels = [F.array(name)]
     for _ in range(deletions):
         levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], one))))

@@ -191,12 +191,16 @@ LEFT JOIN (WITH {{fields}} SELECT s.feed, s.file_id, f.field, f.bits FROM (SELEC
 # The columns the two tables have at the scale the SQL is run at, with the names that mirrors give a field.
 _COLUMNS = {
     "packages": {
-        "deprecated": ("deprecated",), "downloads": ("downloads", "download_count"), "environmentVariables": ("environmentVariables",), "fileSha256": ("fileSha256",), "identifier": ("identifier",), "license": ("license",),
-        "publishedAt": ("publishedAt", "published_at", "released"), "registryType": ("registryType",), "runtimeArguments": ("runtimeArguments", "runtime_arguments"), "signer": ("signer",), "sizeBytes": ("sizeBytes",),
+        "deprecated": ("deprecated",), "downloads": ("downloads", "download_count"), "environmentVariables": ("environmentVariables",),
+        "fileSha256": ("fileSha256",), "identifier": ("identifier",), "license": ("license",),
+        "publishedAt": ("publishedAt", "published_at", "released"), "registryType": ("registryType",),
+        "runtimeArguments": ("runtimeArguments", "runtime_arguments"), "signer": ("signer",), "sizeBytes": ("sizeBytes",),
         "transport": ("transport", "channel"), "version": ("version", "packageVersion"),
     },
     "index": {
-        "badge": ("badge",), "contact": ("contact",), "finding_count": ("finding_count", "findings"), "last_scanned_at": ("last_scanned_at", "lastScan", "scanned_at"), "name": ("name",), "score": ("score", "points", "risk_score"), "slug": ("slug",),
+        "badge": ("badge",), "contact": ("contact",), "finding_count": ("finding_count", "findings"),
+        "last_scanned_at": ("last_scanned_at", "lastScan", "scanned_at"), "name": ("name",), "score": ("score", "points", "risk_score"),
+        "slug": ("slug",),
     },
 }
 
@@ -207,7 +211,8 @@ def _p2_table(kind: str) -> str:
     text = f"CASE e.type WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN {flat % 'e.value'} WHEN 'ARRAY' THEN '[' || coalesce((SELECT string_agg(CASE a.type WHEN 'OBJECT' THEN {flat % 'a.value'} ELSE CAST(a.value AS VARCHAR) END, ',' ORDER BY TRY_CAST(a.key AS BIGINT)) FROM json_each(e.value) a), '') || ']' ELSE e.value ->> '$' END"
     one = lambda source: f"max(v) FILTER (key = '{source}')"
     cols = ", ".join(
-        ("CAST({} AS BOOLEAN)" if name == "deprecated" else "{}").format("coalesce(" + ", ".join(map(one, sources)) + ")") + f' AS "{name}"' for name, sources in _COLUMNS[kind].items()
+        ("CAST({} AS BOOLEAN)" if name == "deprecated" else "{}").format("coalesce(" + ", ".join(map(one,
+        sources)) + ")") + f' AS "{name}"' for name, sources in _COLUMNS[kind].items()
     )
     return f"""WITH o AS (SELECT row_number() OVER () AS r, feed, file_id, epoch_us(exported_at) AS exported_us, line_no, payload AS p FROM export_lines WHERE feed LIKE '%/{kind}' AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
  cells AS (SELECT o.r, e.key, {text} AS v FROM o, json_each(o.p) e), wide AS (SELECT r, {cols} FROM cells GROUP BY r)
@@ -232,7 +237,8 @@ ORACLE_SQL = {
     "p4_score_history": _SCORES,
     "p4_hash_history": _HASHES,
     "p6_found": _P6,
-    "p6_packages": _p6_sql("top", "relation = 'packages'", "origin", "-1", _TEXT_I, "x", ("registryType", "identifier", "version", "fileSha256")),
+    "p6_packages": _p6_sql("top", "relation = 'packages'", "origin", "-1", _TEXT_I, "x",
+    ("registryType", "identifier", "version", "fileSha256")),
     "p6_remotes": _p6_sql("top", "relation = 'remotes'", "origin", "-1", _TEXT_I, "x", ("url", "type")),
     "p6_runtime_args": _p6_sql("args", _ARG.format(r="runtime_args"), "origin", "i", _TEXT_J, "a", ("type", "name", "value")),
     "p6_package_args": _p6_sql("args", _ARG.format(r="package_args"), "origin", "i", _TEXT_J, "a", ("type", "name", "value")),

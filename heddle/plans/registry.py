@@ -53,21 +53,25 @@ def config_normalise(spark: SparkSession, sf: str) -> DataFrame:
     raw = _configs(spark, sf).select("config_id", "raw")
     rows = configs.normalise_entries(raw)
     env = F.array_join(F.array_sort(F.transform(F.map_entries("env"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
-    return rows.select("config_id", "transport", F.array_join("command", "\x1f").alias("command"), F.coalesce("url", F.lit("")).alias("url"), env.alias("env"))
+    return rows.select("config_id", "transport", F.array_join("command", "\x1f").alias("command"),
+        F.coalesce("url", F.lit("")).alias("url"), env.alias("env"))
 
 
 def registry_targets(spark: SparkSession, sf: str) -> DataFrame:
     t = configs.registry_targets(table(spark, sf, "registry_entries"))
-    return t.select("entry_id", "kind", "pos", "name", "version", "registry_type", "identifier", "transport", "url", "sha256", "is_latest", "status", F.unix_micros("published_at").alias("published_us"))
+    return t.select("entry_id", "kind", "pos", "name", "version", "registry_type", "identifier", "transport", "url", "sha256", "is_latest",
+        "status", F.unix_micros("published_at").alias("published_us"))
 
 
 def registry_type_union(spark: SparkSession, sf: str) -> DataFrame:
-    return registry_targets(spark, sf).groupBy("registry_type", "kind").agg(F.count("*").alias("targets"), F.count_distinct("entry_id").alias("entries"))
+    return registry_targets(spark, sf).groupBy("registry_type", "kind").agg(F.count("*").alias("targets"),
+        F.count_distinct("entry_id").alias("entries"))
 
 
 def version_launch(spark: SparkSession, sf: str) -> DataFrame:
     v = configs.version_configs(table(spark, sf, "versions"))
-    return v.select("version_id", "transport", launch.command_text(F.col("command")).alias("command"), F.coalesce("url", F.lit("")).alias("url"), F.size("env").alias("env_count"))
+    return v.select("version_id", "transport", launch.command_text(F.col("command")).alias("command"),
+        F.coalesce("url", F.lit("")).alias("url"), F.size("env").alias("env_count"))
 
 
 def env_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,14 +81,16 @@ def env_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def launch_identity(spark: SparkSession, sf: str) -> DataFrame:
     rows = policy.identified(_configs(spark, sf))
-    return rows.select("config_id", "package", "resolved_version", "image_ref", launch.oci_image_name(F.col("image_ref")).alias("image"), "resolved_digest", "identity")
+    return rows.select("config_id", "package", "resolved_version", "image_ref", launch.oci_image_name(F.col("image_ref")).alias("image"),
+        "resolved_digest", "identity")
 
 
 def jsonc_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Entries written with comments and a trailing comma, and read back without them."""
     noisy = F.concat(F.lit("/* entry */"), F.regexp_replace("raw", r"\}\s*$", ", /* last */ }"), F.lit("// end, of } entry"))
     clean = launch.strip_trailing_commas(launch.strip_json_comments(noisy))
-    return _configs(spark, sf).where(F.col("raw").startswith("{")).select("config_id", F.regexp_replace(clean, r"\s*\}\s*$", "}").alias("text"))
+    return _configs(spark, sf).where(F.col("raw").startswith("{")).select("config_id",
+        F.regexp_replace(clean, r"\s*\}\s*$", "}").alias("text"))
 
 
 # ------------------------------------------------------------------ rules, findings, scores
@@ -94,7 +100,8 @@ def _launches(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(LAUNCHES, part=table(spark, sf, "part"))
     env = F.when(F.col("token").isNotNull(), F.create_map(F.lit("API_TOKEN"), F.col("token")))
     return rows.select(
-        "server_id", "name", "brand", F.lit("stdio").alias("transport"), F.split("cmd", " ").alias("command"), F.lit(None).cast("string").alias("url"), env.alias("env"), F.lit("parts").alias("source"), "raw"
+        "server_id", "name", "brand", F.lit("stdio").alias("transport"), F.split("cmd", " ").alias("command"),
+        F.lit(None).cast("string").alias("url"), env.alias("env"), F.lit("parts").alias("source"), "raw"
     )
 
 
@@ -120,13 +127,16 @@ def metadata_findings(spark: SparkSession, sf: str) -> DataFrame:
     launches = _launches(spark, sf)
     package = launch.package_name(F.col("command"))
     eco = F.when(F.array_contains("command", "uvx"), "pypi").when(F.array_contains("command", "npx"), "npm")
-    packages = launches.select("server_id", package.alias("package"), eco.alias("ecosystem")).where("package IS NOT NULL AND ecosystem IS NOT NULL").groupBy("ecosystem", "package").agg(F.min("server_id").alias("k"))
+    packages = launches.select("server_id", package.alias("package"),
+        eco.alias("ecosystem")).where("package IS NOT NULL AND ecosystem IS NOT NULL").groupBy("ecosystem",
+        "package").agg(F.min("server_id").alias("k"))
     metadata = spark.sql(METADATA, packages=packages)
     return rules.evaluate_metadata(launches, "server_id", metadata, _now()).select("server_id", "rule_id", "severity", "detail")
 
 
 def rule_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(spark, sf).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"), F.count_distinct("server_id").alias("configs"))
+    return _findings(spark, sf).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"),
+        F.count_distinct("server_id").alias("configs"))
 
 
 def secret_rule_env(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +188,8 @@ def _version_metadata(spark: SparkSession, sf: str) -> DataFrame:
         v.where("registry_type IN ('npm','pypi')").join(s.select(F.col("id").alias("server_id"), "repository_url"), "server_id")
         .groupBy(F.col("registry_type").alias("ecosystem"), F.col("identifier").alias("package"))
         .agg(F.max("repository_url").alias("repository"), F.min("published_at").cast("string").alias("created_at"))
-        .select("ecosystem", "package", F.lit(False).alias("unpublished"), "repository", none_map.alias("project_urls"), F.col("repository").alias("home_page"), none_map.alias("scripts"), "created_at")
+        .select("ecosystem", "package", F.lit(False).alias("unpublished"), "repository", none_map.alias("project_urls"),
+            F.col("repository").alias("home_page"), none_map.alias("scripts"), "created_at")
     )
 
 
@@ -249,7 +260,8 @@ def _packages(spark: SparkSession, sf: str) -> DataFrame:
 
 def typosquat_nearest(spark: SparkSession, sf: str) -> DataFrame:
     near = typosquat.nearest_known(F.col("identifier"), typosquat.KNOWN_SERVERS)
-    return _packages(spark, sf).distinct().select("identifier", near.alias("n")).where("n IS NOT NULL").select("identifier", F.col("n.known").alias("known"), F.col("n.distance").cast("int").alias("distance"))
+    return _packages(spark, sf).distinct().select("identifier", near.alias("n")).where("n IS NOT NULL").select("identifier",
+        F.col("n.known").alias("known"), F.col("n.distance").cast("int").alias("distance"))
 
 
 def _launch_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +270,8 @@ def _launch_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typosquat_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    names = _launches(spark, sf).select(F.col("name").alias("server_name"), launch.package_name(F.col("command")).alias("identifier")).where("identifier IS NOT NULL")
+    names = _launches(spark, sf).select(F.col("name").alias("server_name"),
+        launch.package_name(F.col("command")).alias("identifier")).where("identifier IS NOT NULL")
     return publish.clusters(names, _launch_index(spark, sf), typosquat.KNOWN_SERVERS)
 
 
@@ -288,7 +301,8 @@ def lookalike_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return state.latest(table(spark, sf, "hashes"), "version_id", "observed_at", "id", ["sha256", "observed_at"]).select("version_id", "sha256", F.unix_micros("observed_at").alias("observed_us"))
+    return state.latest(table(spark, sf, "hashes"), "version_id", "observed_at", "id", ["sha256", "observed_at"]).select("version_id",
+        "sha256", F.unix_micros("observed_at").alias("observed_us"))
 
 
 def latest_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +324,8 @@ def latest_ok_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_change_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Events as observations of a digest: appended only where it differs from the last."""
-    e = table(spark, sf, "events").withColumn("sha", F.concat(F.lit("h"), (F.get_json_object("props", "$.k").cast("long") % 3).cast("string")))
+    e = table(spark, sf, "events").withColumn("sha", F.concat(F.lit("h"), (F.get_json_object("props",
+        "$.k").cast("long") % 3).cast("string")))
     return state.change_ledger(e, "user_id", "ts", "event_id", "sha").select("user_id", "event_id", "sha")
 
 
@@ -320,7 +335,8 @@ def score_history_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def newly_flagged(spark: SparkSession, sf: str) -> DataFrame:
     out = _flagged(spark, sf)
-    return out.select("ordinal", "name", "slug", "score", "previous_score", "finding_count", F.unix_micros("computed_at").alias("computed_us"))
+    return out.select("ordinal", "name", "slug", "score", "previous_score", "finding_count",
+        F.unix_micros("computed_at").alias("computed_us"))
 
 
 def _upserts(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,10 +348,12 @@ def _upserts(spark: SparkSession, sf: str) -> DataFrame:
     snaps = table(spark, sf, "server_snapshots")
     times = snaps.where("snapshot_no IS NOT NULL").groupBy("snapshot_no").agg(F.unix_micros(F.max("snapshot_at")).alias("us")).orderBy("snapshot_no").collect()
     of = lambda no: snaps.where(F.col("snapshot_no") == no)
-    first = of(times[0]["snapshot_no"] if times else None).groupBy("name").agg(F.max(F.struct("row_no", "delisted_at", "snapshot_at")).alias("x")).select(
+    first = of(times[0]["snapshot_no"] if times else None).groupBy("name").agg(F.max(F.struct("row_no", "delisted_at",
+        "snapshot_at")).alias("x")).select(
         "name", "x.row_no", F.col("x.snapshot_at").alias("first_seen_at"), F.col("x.snapshot_at").alias("last_seen_at"), "x.delisted_at"
     )
-    polls = [(of(t["snapshot_no"]).select("name", "row_no"), F.timestamp_micros(F.lit(t["us"])), F.lit(t["snapshot_no"])) for t in times[1:]]
+    polls = [(of(t["snapshot_no"]).select("name", "row_no"), F.timestamp_micros(F.lit(t["us"])),
+        F.lit(t["snapshot_no"])) for t in times[1:]]
     done = state.replay(first, polls, ["name"], ["row_no"])
     if not done:  # no poll yet
         return first.limit(0).withColumns({"change": F.lit(""), "poll_no": F.lit(0)})
@@ -343,7 +361,9 @@ def _upserts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    return _upserts(spark, sf).select(F.col("poll_no").alias("snapshot_no"), "name", "row_no", "change", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), F.unix_micros("delisted_at").alias("delisted_us"))
+    return _upserts(spark, sf).select(F.col("poll_no").alias("snapshot_no"), "name", "row_no", "change",
+        F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"),
+        F.unix_micros("delisted_at").alias("delisted_us"))
 
 
 def poll_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -353,23 +373,28 @@ def poll_summary(spark: SparkSession, sf: str) -> DataFrame:
 def version_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The versions as the state, the registry's pages as a poll: a key of four parts."""
     v, s = table(spark, sf, "versions"), table(spark, sf, "servers")
-    old = v.join(s.select(F.col("id").alias("server_id"), "name"), "server_id").select("name", "version", "registry_type", "identifier", "transport", "first_seen_at", "last_seen_at", "delisted_at")
-    poll = configs.registry_targets(table(spark, sf, "registry_entries")).select("name", "version", "registry_type", "identifier", "transport")
+    old = v.join(s.select(F.col("id").alias("server_id"), "name"), "server_id").select("name", "version", "registry_type", "identifier",
+        "transport", "first_seen_at", "last_seen_at", "delisted_at")
+    poll = configs.registry_targets(table(spark, sf, "registry_entries")).select("name", "version", "registry_type", "identifier",
+        "transport")
     out = state.upsert(old, poll, ["name", "version", "registry_type", "identifier"], ["transport"], _now())
-    return out.select("name", "version", "registry_type", "identifier", "transport", "change", F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("delisted_at").alias("delisted_us"))
+    return out.select("name", "version", "registry_type", "identifier", "transport", "change",
+        F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("delisted_at").alias("delisted_us"))
 
 
 # ------------------------------------------------------------------ publication
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id", ["score", "finding_count", "computed_at"])
+    last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id",
+        ["score", "finding_count", "computed_at"])
     names = table(spark, sf, "servers").select(F.col("id").alias("server_id"), "name")
     return names.join(last, "server_id")
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id", ["score", "finding_count", "computed_at"])
+    last = state.latest(table(spark, sf, "server_scores").where("score IS NOT NULL"), "server_id", "computed_at", "id",
+        ["score", "finding_count", "computed_at"])
     return publish.index(table(spark, sf, "servers"), last)
 
 
@@ -404,7 +429,8 @@ def server_slugs(spark: SparkSession, sf: str) -> DataFrame:
 def slug_collisions(spark: SparkSession, sf: str) -> DataFrame:
     """Names that clash once case and punctuation go: every other name is upper-cased."""
     s = table(spark, sf, "servers")
-    both = s.select("name").unionByName(s.select(F.upper("name").alias("name"))).unionByName(s.select(F.replace("name", F.lit("/"), F.lit("__")).alias("name")))
+    both = s.select("name").unionByName(s.select(F.upper("name").alias("name"))).unionByName(s.select(F.replace("name", F.lit("/"),
+        F.lit("__")).alias("name")))
     return publish.slugs(both)
 
 
@@ -430,7 +456,8 @@ def sitemap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def badges(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("name", "score", launch.badge_color(F.col("score")).alias("color"), publish.badge_svg(F.col("score")).alias("svg"))
+    return _scored(spark, sf).select("name", "score", launch.badge_color(F.col("score")).alias("color"),
+        publish.badge_svg(F.col("score")).alias("svg"))
 
 
 def server_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,7 +481,8 @@ def text_report(spark: SparkSession, sf: str) -> DataFrame:
 def stratified_review(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf)
     stratum = F.when(F.col("score") < 40, "rare").when(F.col("score") < 100, "flagged").otherwise("clean")
-    return publish.stratified_sample(scored.select("server_id", "name", "score"), "server_id", stratum, {"rare": -1, "flagged": 25, "clean": 25}, 16).select("server_id", "stratum")
+    return publish.stratified_sample(scored.select("server_id", "name", "score"), "server_id", stratum,
+        {"rare": -1, "flagged": 25, "clean": 25}, 16).select("server_id", "stratum")
 
 
 def review_packet(spark: SparkSession, sf: str) -> DataFrame:
@@ -480,7 +508,8 @@ def allowlist_unlisted(spark: SparkSession, sf: str) -> DataFrame:
 
 def version_drift(spark: SparkSession, sf: str) -> DataFrame:
     servers = policy.identified(_configs(spark, sf))
-    return policy.drifted(servers, _allowlist(spark, sf)).select("server", "detail").groupBy("server", "detail").agg(F.count("*").alias("configs"))
+    return policy.drifted(servers, _allowlist(spark, sf)).select("server", "detail").groupBy("server",
+        "detail").agg(F.count("*").alias("configs"))
 
 
 def blocked_registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,7 +519,8 @@ def blocked_registry(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_new_findings(spark: SparkSession, sf: str) -> DataFrame:
     """High findings not in a baseline taken before rule 006 existed."""
     f = _findings(spark, sf)
-    return policy.finding_violations(f, "high", policy.baseline_of(f.where("rule_id <> 'MCP-STATIC-006'"))).select("server", "rule_id", "severity")
+    return policy.finding_violations(f, "high", policy.baseline_of(f.where("rule_id <> 'MCP-STATIC-006'"))).select("server", "rule_id",
+        "severity")
 
 
 def policy_report(spark: SparkSession, sf: str) -> DataFrame:

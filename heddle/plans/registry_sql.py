@@ -7,7 +7,8 @@ from heddle.plans.registry import BLOCKED, LAUNCHES, NOW, SEARCH, SITE
 _NOW_US = f"epoch_us(TIMESTAMP '{NOW}')"
 _L = "launches AS (" + LAUNCHES.format(part="part") + ")"
 _ENV_TEXT = "coalesce(array_to_string(list_sort(list_transform(map_entries(env), lambda e: e.key || '=' || coalesce(e.value, ''))), chr(10)), '')"
-_KNOWN = ("@modelcontextprotocol/server-filesystem", "@modelcontextprotocol/server-postgres", "@modelcontextprotocol/server-everything", "@modelcontextprotocol/server-sqlite", "@upstash/context7-mcp", "@playwright/mcp", "@google/mcp-server", "mcp-server-sqlite")
+_KNOWN = ("@modelcontextprotocol/server-filesystem", "@modelcontextprotocol/server-postgres", "@modelcontextprotocol/server-everything",
+    "@modelcontextprotocol/server-sqlite", "@upstash/context7-mcp", "@playwright/mcp", "@google/mcp-server", "mcp-server-sqlite")
 _LIST = "[" + ", ".join(f"'{k}'" for k in _KNOWN) + "]"
 # ---- fixed values: what a finding says of its rule ----
 _RULES = """rules(rule_id, title, severity, confidence, owasp, recommendation) AS (VALUES

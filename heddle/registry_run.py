@@ -20,7 +20,8 @@ from heddle.sources.snapshots import SnapshotStore
 
 VERSION_KEYS = ["name", "version", "registry_type", "identifier"]
 VERSION_ATTRIBUTES = [
-    "is_latest", "transport", "sha256", "status", "published_at", "runtime_arguments", "package_arguments", "environment_variables", "raw_json",
+    "is_latest", "transport", "sha256", "status", "published_at", "runtime_arguments", "package_arguments", "environment_variables",
+    "raw_json",
 ]
 SERVER_ATTRIBUTES = ["title", "description", "website_url", "repository_url", "raw_json"]
 SEEN = "first_seen_at timestamp, last_seen_at timestamp, delisted_at timestamp"
@@ -72,10 +73,12 @@ def _tables(store: SnapshotStore) -> tuple[DataFrame, DataFrame]:
     if versions is None or servers is None:
         raise ValueError(f"{store.path} has no poll yet")
     ident = F.to_json(F.array(*VERSION_KEYS)).alias("id")
-    return versions.select(ident, F.col("name").alias("server_id"), *[c for c in versions.columns if c != "name"]), servers.select(F.col("name").alias("id"), "*")
+    return versions.select(ident, F.col("name").alias("server_id"),
+        *[c for c in versions.columns if c != "name"]), servers.select(F.col("name").alias("id"), "*")
 
 
-def scan(store: SnapshotStore, run_at: datetime, rule_set: tuple[rules.Rule, ...] = rules.RULES, metadata: DataFrame | None = None, dry_run: bool = False) -> dict[str, int]:
+def scan(store: SnapshotStore, run_at: datetime, rule_set: tuple[rules.Rule, ...] = rules.RULES, metadata: DataFrame | None = None,
+    dry_run: bool = False) -> dict[str, int]:
     """Scan the stale versions and score every server; scans, findings and scores are appended."""
     spark, at = store.spark, F.lit(run_at).cast("timestamp")
     versions, servers = _tables(store)
@@ -112,7 +115,8 @@ def export(store: SnapshotStore, out: str, known: list[str] | None = None) -> di
     write(_timed(index.drop("server_id")).withColumnRenamed("computed_at", "last_scanned_at").orderBy("name"), "index")
     publish.write_sharded(pages, "name", f"{out}/servers")
     configs = pipeline.registry_configs(pipeline.in_scope(versions), servers)
-    named = configs.select(F.col("name").alias("server_name"), launch.package_name(F.col("command")).alias("identifier")).where("identifier IS NOT NULL")
+    named = configs.select(F.col("name").alias("server_name"),
+        launch.package_name(F.col("command")).alias("identifier")).where("identifier IS NOT NULL")
     clusters = materialise(publish.clusters(named, index, known or typosquat.KNOWN_SERVERS))
     write(clusters.orderBy("known_name", "position"), "typosquat-clusters")
     pairs = state.score_pairs(scores.withColumn("id", F.col("rules_fingerprint")))

@@ -44,9 +44,12 @@ def load_rules(directory: str | None = None) -> tuple[Rule, ...]:
             names = Path(directory) / "data" / str(d.get("reference_list") or "")
             out.append(
                 Rule(
-                    r["id"], r.get("title", r["id"]), r.get("owasp", ""), r.get("severity", "medium"), r.get("confidence", "medium"), d.get("target", "command"),
-                    (d.get("pattern") or "").replace("(?P<", "(?<"), d.get("allow_if") or "", CHECKS.get(d.get("type"), ""), d.get("also") or "", bool(r.get("network")), r.get("phase", "static"),
-                    recommendation=r.get("recommendation", ""), max_distance=int(d.get("max_distance", 2)), max_age_days=int(d.get("max_age_days", 30)),
+                    r["id"], r.get("title", r["id"]), r.get("owasp", ""), r.get("severity", "medium"), r.get("confidence", "medium"),
+                        d.get("target", "command"),
+                    (d.get("pattern") or "").replace("(?P<", "(?<"), d.get("allow_if") or "", CHECKS.get(d.get("type"), ""),
+                    d.get("also") or "", bool(r.get("network")), r.get("phase", "static"),
+                    recommendation=r.get("recommendation", ""), max_distance=int(d.get("max_distance", 2)),
+                        max_age_days=int(d.get("max_age_days", 30)),
                     known=tuple(load_names(str(names))) if names.is_file() else (),
                 )
             )

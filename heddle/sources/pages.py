@@ -37,7 +37,8 @@ def fetch(url: str, opener: Callable | None = None, pause: float = PAUSE) -> dic
     raise AssertionError("unreachable")
 
 
-def walk(base_url: str, limit: int, opener: Callable | None = None, pause: float = PAUSE) -> Iterator[tuple[int, str | None, int, str | None]]:
+def walk(base_url: str, limit: int, opener: Callable | None = None, pause: float = PAUSE) -> Iterator[tuple[int, str | None, int,
+    str | None]]:
     """(page, next cursor, position, entry) of all pages, by the cursor each page gives.
 
     The last page is the one without a cursor; a page without entries is one row without one.

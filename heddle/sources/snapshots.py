@@ -51,7 +51,8 @@ class SnapshotStore:
     def current(self) -> DataFrame | None:
         return self.table()
 
-    def commit(self, df: DataFrame | None = None, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> int:
+    def commit(self, df: DataFrame | None = None, replace: dict[str, DataFrame] | None = None,
+        append: dict[str, DataFrame] | None = None) -> int:
         """Write the next snapshot, of the table ``state`` or of several; returns its number."""
         v = self.version() + 1
         marker = self._marker(v - 1) if v > 1 else {}
