@@ -133,15 +133,12 @@ def _renames(lines: DataFrame, pairs: DataFrame, key_field: Column) -> DataFrame
         F.xxhash64(F.to_json("value"), F.schema_of_variant("value") == "STRING").alias("hash"))
     # Of several values of one record and field in a file, the last line's holds.
     held = values.groupBy("feed", "later", "side", "k", "field").agg(F.max(F.struct("line_no", "hash"))["hash"].alias("hash"))
-    side = lambda i, name: held.where(F.col("side") == i).select("feed", "later", "k", F.col("field").alias(name),
-        F.col("hash").alias(f"h_{name}"))
-    agree = (
-        side(0, "a")
-        .join(side(1, "b"), ["feed", "later", "k"])
-        .groupBy("feed", "later", "a", "b")
-        .agg(F.min(F.col("h_a") == F.col("h_b")).alias("same"))
-        .where("same")
-    )
+    # A record's values on both sides meet in one row: no more than the fields that went and came.
+    met = held.groupBy("feed", "later", "k").agg(F.collect_list(F.struct("side", "field", "hash")).alias("v"))
+    of = lambda i: F.filter("v", lambda x: x["side"] == i)
+    pair = lambda x, y: F.struct(x["field"].alias("a"), y["field"].alias("b"), (x["hash"] == y["hash"]).alias("equal"))
+    pairs_of = F.flatten(F.transform(of(0), lambda x: F.transform(of(1), lambda y: pair(x, y))))
+    agree = met.select("feed", "later", F.inline(pairs_of)).groupBy("feed", "later", "a", "b").agg(F.min("equal").alias("same")).where("same")
     # One partner each: fields are few, so mutual first choices settle within the array.
     ordered = agree.groupBy("feed", "later").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("fits"))
     start = F.array().cast("array<struct<a:string,b:string>>")
