@@ -15,6 +15,9 @@ OCI_VALUE_FLAGS = (
     "-u", "--user", "--mount", "-l", "--label", "--hostname", "-m", "--memory", "--cpus", "--restart", "--platform",
 )
 SHARDS = 64
+#: Badge colours from a score on; below, the last one.
+BADGE_COLORS = ((90, "#4c1"), (70, "#dfb317"))
+BADGE_LOW = "#e05d44"
 # ---- end of fixed values ----
 
 _EMPTY = "array<string>"
@@ -163,7 +166,7 @@ def xml_escape(c: Column) -> Column:
 
 
 def badge_color(score: Column) -> Column:
-    return F.when(score >= 90, "#4c1").when(score >= 70, "#dfb317").otherwise("#e05d44")
+    return F.coalesce(*[F.when(score >= least, color) for least, color in BADGE_COLORS], F.lit(BADGE_LOW))
 
 
 # Comments and trailing commas outside string literals: the literal comes first and stays.

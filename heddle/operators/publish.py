@@ -17,6 +17,13 @@ from heddle.session import materialise, with_ordinal
 PAGE_ROWS = 100
 SEARCH_ROWS = 20
 SITEMAP_ROWS = 49_000
+#: Change frequency and priority of the sitemap's pages: start pages, browse pages (first, others),
+#: look-alike pages, servers (flagged, clean).
+SITEMAP_START = (("/", "daily", 1.0), ("/typosquats", "daily", 0.7))
+SITEMAP_BROWSE = ("daily", 0.8, 0.5)
+SITEMAP_ALIKE = ("weekly", 0.4)
+SITEMAP_SERVER = ("daily", 0.6, 0.3)
+RARE_RULES = ("MCP-STATIC-003", "MCP-STATIC-004")
 SARIF_LEVEL = {"low": "note", "medium": "warning", "high": "error", "critical": "error"}
 SECURITY_SEVERITY = {"low": "2.5", "medium": "5.5", "high": "7.5", "critical": "9.5"}
 # ---- end of fixed values ----
@@ -184,20 +191,25 @@ def sitemap(index_: DataFrame, known: list[str], site: str, rows: int = SITEMAP_
     limit) of the start pages, browse pages, look-alike pages and servers by name."""
     spark = index_.sparkSession
     entry = "grp int, pos long, url string, last_modified timestamp, change_frequency string, priority double"
-    start = [(0, 1, f"{site}/", None, "daily", 1.0), (0, 2, f"{site}/typosquats", None, "daily", 0.7)]
+    start = [(0, i, site + path, None, often, weight) for i, (path, often, weight) in enumerate(SITEMAP_START, 1)]
     pages_ = max(1, -(-index_.count() // page_rows))
+    often, first, other = SITEMAP_BROWSE
     browse = spark.range(1, pages_ + 1).select(
         F.lit(1).alias("grp"), F.col("id").alias("pos"), F.concat(F.lit(f"{site}/browse/"), F.col("id").cast("string")).alias("url"),
-            F.lit(None).cast("timestamp").alias("last_modified"),
-        F.lit("daily").alias("change_frequency"), F.when(F.col("id") == 1, 0.8).otherwise(0.5).alias("priority"),
+        F.lit(None).cast("timestamp").alias("last_modified"), F.lit(often).alias("change_frequency"),
+        F.when(F.col("id") == 1, first).otherwise(other).alias("priority"),
     )
     names = spark.createDataFrame([(i, k) for i, k in enumerate(known, 1)], "pos long, name string")
-    alike = names.select(F.lit(2).alias("grp"), "pos", F.concat(F.lit(site), launch.href("/typosquats/", F.col("name"))).alias("url"),
-        F.lit(None).cast("timestamp").alias("last_modified"), F.lit("weekly").alias("change_frequency"), F.lit(0.4).alias("priority"))
+    often, weight = SITEMAP_ALIKE
+    alike = names.select(
+        F.lit(2).alias("grp"), "pos", F.concat(F.lit(site), launch.href("/typosquats/", F.col("name"))).alias("url"),
+        F.lit(None).cast("timestamp").alias("last_modified"), F.lit(often).alias("change_frequency"), F.lit(weight).alias("priority"),
+    )
+    often, flagged, clean = SITEMAP_SERVER
     servers = with_ordinal(index_.select("name", "score", "computed_at"), [F.col("name")]).select(
         F.lit(3).alias("grp"), F.col("ordinal").alias("pos"), F.concat(F.lit(site), launch.href("/servers/", F.col("name"))).alias("url"),
-            F.col("computed_at").alias("last_modified"),
-        F.lit("daily").alias("change_frequency"), F.when(F.col("score") < 100, 0.6).otherwise(0.3).alias("priority"),
+        F.col("computed_at").alias("last_modified"), F.lit(often).alias("change_frequency"),
+        F.when(F.col("score") < 100, flagged).otherwise(clean).alias("priority"),
     )
     whole = reduce(DataFrame.unionByName, [spark.createDataFrame(start, entry), browse, alike, servers])
     shift = F.coalesce(*[F.when(F.col("grp") == g, F.lit(n)) for g, n in ((0, 0), (1, 2), (2, 2 + pages_), (3, 2 + pages_ + len(known)))])
@@ -264,9 +276,6 @@ def json_result(targets: list[str], configs: DataFrame, findings: DataFrame) ->
     return as_document(spark, [head], by(servers, "source", "name"), ['],"findings":['], by(rows, "location", "rule_id"), ["]}"])
 
 
-RARE_RULES = ("MCP-STATIC-003", "MCP-STATIC-004")
-
-
 def review_packet(index_: DataFrame, findings: DataFrame, flagged: int, clean: int, seed: int, rare: tuple[str, ...] = RARE_RULES,
     key: str = "server_id") -> DataFrame:
     """(ordinal, name, score, finding_count, stratum, rules, link): servers to check by hand.
