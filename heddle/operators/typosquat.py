@@ -2,16 +2,20 @@
 
 The known list is an array literal, so its comparison needs no join. Among many names, equal
 lengths are not needed: each name is joined only with names sharing a variant that has up
-to d characters deleted, which any two names within d edits do, and verified.
+to d characters deleted, which any two names within d edits do, and verified. Variants that
+no other name has are left out of the join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.variants import packed, repeated, unpacked, variants
+from heddle.session import materialise, ship
+
 # ---- fixed values: well-known packages, in the order that breaks ties ----
 KNOWN_SERVERS = [
     "@modelcontextprotocol/server-filesystem",
@@ -25,6 +29,8 @@ KNOWN_SERVERS = [
 ]
 # ---- end of fixed values ----
 MAX_DISTANCE = 2
+#: Deletion variants of names that one worker holds at a time.
+AT_ONCE = 1 << 21
 
 
 def nearest_known(name: Column, known: list[str], max_distance: int = MAX_DISTANCE) -> Column:
@@ -49,26 +55,78 @@ def known_neighbours(packages: DataFrame, known: list[str], max_distance: int =
     return all_known.join(near, "known_name", "left")
 
 
-def _variants(name: Column, deletions: int) -> Column:
-    """The name and all its variants with up to ``deletions`` characters deleted."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-        lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substr(s, i + 1)))
-    levels = [F.array(name)]
-    for _ in range(deletions):
-        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], one))))
-    return F.array_distinct(reduce(F.concat, levels[1:], levels[0]))
-
-
-def close_pairs(names: DataFrame, name: str, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def close_pairs(names: DataFrame, name: str, max_distance: int = MAX_DISTANCE, at_once: int = AT_ONCE) -> DataFrame:
     """(a, b, distance), a < b: distinct names within the distance of each other.
 
     Candidates share a hash of a deletion variant, so work follows the number of names times
-    their variants, not their square; every candidate is verified.
+    their variants, not their square; every candidate is verified. Of the variants, hundreds a
+    name, only fingerprints are shuffled: names are dealt into chunks, each sends the first bits
+    of its hashes, some two bytes a variant, to be compared with those of other chunks, and
+    gets back those that are not its alone. Only such variants are joined. A chunk, like what
+    is compared at once, has about ``at_once`` variants, whatever the number of names.
     """
-    distinct = names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct()
-    # The names are small and their variants are not, so the names are dealt out to all cores.
-    distinct = distinct.repartition(names.sparkSession.sparkContext.defaultParallelism)
-    keys = distinct.select("n", F.explode(F.transform(_variants(F.col("n"), max_distance), lambda v: F.xxhash64(v))).alias("k"))
+    spark, d = names.sparkSession, max_distance
+    ship(spark)
+    distinct = materialise(names.select(F.col(name).alias("n")).where("n IS NOT NULL").distinct())
+    size, each = F.length("n").cast("double"), F.lit(1.0)
+    total = F.lit(1.0)
+    for r in range(d):
+        each = each * F.greatest(size - r, F.lit(0.0)) / (r + 1)
+        total = total + each
+    count = max(1, int(distinct.agg(F.sum(total)).first()[0] or 0))
+    # By chance alone, one in 64 fingerprints is another's too.
+    chunks, part_bits = -(-count // at_once), ((count - 1) // at_once).bit_length()
+    bits = min(64, count.bit_length() + 6)
+    rest = bits - part_bits
+    u = np.uint64
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        prints = _fingerprints(table, d, bits)
+        ends = np.searchsorted(prints >> u(rest), np.arange(1 << part_bits, dtype=u), "right")
+        blocks = np.split(prints & u((1 << rest) - 1), ends[:-1])
+        return pa.table({"part": pa.array(range(len(blocks)), pa.int32()), "chunk": pa.array([key[0].as_py()] * len(blocks),
+            pa.int32()), "prints": pa.array([packed(b) for b in blocks], pa.binary())})
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        owners = table.column("chunk").to_numpy()
+        blocks = [unpacked(b.as_py()) for b in table.column("prints")]
+        prints, owner = np.concatenate(blocks), np.repeat(owners, [len(b) for b in blocks])
+        order = np.argsort(prints, kind="stable")
+        order = order[repeated(prints[order])]
+        prints, owner = prints[order], owner[order]
+        return pa.table({"part": pa.array([key[0].as_py()] * len(owners), pa.int32()), "chunk": pa.array(owners, pa.int32()),
+            "prints": pa.array([packed(prints[owner == c]) for c in owners], pa.binary())})
+
+    def keep(table: pa.Table, known: pa.Table) -> pa.Table:
+        shared = [unpacked(b.as_py()) + u(p.as_py() << rest) for p, b in zip(known.column("part"), known.column("prints"), strict=True)]
+        own = _fingerprints(table, d, bits, unique=False)
+        shared = np.unique(np.concatenate([own[repeated(own)], *shared]))
+        n, at, keys = _column(table), [np.zeros(0, np.int64)], [np.zeros(0, u)]
+        for place, hashes in variants(n, d):
+            prints = hashes >> u(64 - bits)
+            i = np.minimum(np.searchsorted(shared, prints), max(len(shared) - 1, 0))
+            has = shared[i] == prints if len(shared) else np.zeros(len(prints), bool)
+            at.append(place[has])
+            keys.append(hashes[has])
+        return pa.table({"k": pa.array(np.concatenate(keys).view(np.int64)), "n": n.take(pa.array(np.concatenate(at)))})
+
+    # Numbers of partitions are given: by bytes, which say nothing of the variants, all would be one task's.
+    dealt = distinct.select(F.pmod(F.xxhash64("n"), F.lit(chunks)).cast("int").alias("chunk"), "n").repartition(chunks, "chunk")
+    blocks = "part int, chunk int, prints binary"
+    sent = dealt.groupBy("chunk").applyInArrow(send, blocks).repartition(1 << part_bits, "part")
+    shared = sent.groupBy("part").applyInArrow(compare, blocks).repartition(chunks, "chunk")
+    keys = materialise(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(keep, "k long, n string"))
     a, b = keys.select(F.col("n").alias("a"), "k"), keys.select(F.col("n").alias("b"), "k")
-    pairs = a.join(b, "k").where("a < b").select("a", "b").distinct()
+    pairs = a.hint("merge").join(b, "k").where("a < b").select("a", "b").distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b", max_distance)).where(F.col("distance").between(1, max_distance))
+
+
+def _column(table: pa.Table) -> pa.Array:
+    return pa.concat_arrays(table.column("n").chunks) if table.num_rows else pa.array([], pa.string())
+
+
+def _fingerprints(table: pa.Table, deletions: int, bits: int, unique: bool = True) -> np.ndarray:
+    """The first bits of the hashes of all names' variants, in ascending order."""
+    found = [h >> np.uint64(64 - bits) for _, h in variants(_column(table), deletions)]
+    found = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if unique and len(found) else found

@@ -2,11 +2,12 @@ import json
 import random
 import shlex
 from datetime import datetime, timedelta
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.functions import launch
+from heddle.functions import launch, variants
 from heddle.functions.python_udfs import edit_steps, shell_words
 from heddle.operators import policy, publish, rules, scoring, state, typosquat
 from heddle.sources import configs
@@ -203,6 +204,44 @@ def test_lookalikes_are_two_edits_apart_as_the_rule_says(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in registry.lookalike_diffs(spark, str(tmp_path)).collect()} == {x[:2] for x in got}
 
 
+def test_close_pairs_broadcast_no_variants(spark):
+    # Names of few bytes have many variants: 1,000 of 60 characters are 60 KB and 1.8 million variants.
+    rng = random.Random(9)
+    names = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(1000)]
+    near = names[0][:9] + names[0][10:50] + "x" + names[0][51:]
+    pairs = typosquat.close_pairs(spark.createDataFrame([(n,) for n in [*names, near]], "n string"), "n")
+    assert {tuple(r) for r in pairs.collect()} == {(*sorted((names[0], near)), 2)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_close_pairs_meet_across_chunks(spark):
+    rng = random.Random(10)
+    names = sorted({"".join(rng.choice("aé😀") for _ in range(rng.randint(0, 6))) for _ in range(150)})
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    one, many = ({tuple(r) for r in typosquat.close_pairs(df, "n", 2, k).collect()} for k in (1 << 21, 300))
+    apart = {(r["a"], r["b"], r["d"]) for r in df.select(F.col("n").alias("a")).crossJoin(df.select(F.col("n").alias("b"))).where("a < b").select("a", "b", F.levenshtein("a", "b").alias("d")).where("d <= 2").collect()}
+    assert len(names) > 90 and one == many == apart
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for numbers in ([], [0], [0, 127, 128, 255, 1 << 14, (1 << 63) + 1, (1 << 64) - 1]):
+        assert variants.unpacked(variants.packed(np.array(numbers, np.uint64))).tolist() == numbers
+
+
+def test_variants_are_those_of_strings_each_once():
+    import pyarrow as pa
+
+    names = ["", "a", "aab", "nono", "né😀x", "baa"]
+    strings = [{"".join(c for i, c in enumerate(n) if i not in gone) for r in range(3) for gone in combinations(range(len(n)), r)} for n in names]
+    found = [(p, h) for places, hashes in variants.variants(pa.array(names), 2) for p, h in zip(places.tolist(), hashes.tolist(), strict=True)]
+    got = [{h for p, h in found if p == i} for i in range(len(names))]
+    assert len(found) == len(set(found)) and [len(x) for x in got] == [len(x) for x in strings]
+    assert all(len(got[i] & got[j]) == len(strings[i] & strings[j]) for i in range(len(names)) for j in range(i))
+
+
 def test_edit_steps_rebuild_both_names():
     for a, b in [("context7", "contex7"), ("", "ab"), ("ab", ""), ("abc", "axc"), ("kitten", "sitting")]:
         steps = edit_steps(a, b)
