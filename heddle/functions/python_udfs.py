@@ -28,14 +28,17 @@ def edit_steps(a: str, b: str) -> list[tuple[str, str, str]]:
     """Fewest edits from a to b as (same|swap|drop|add, of a, of b), runs joined.
 
     As many characters are swapped, dropped and added as the edit distance says. Where several
-    scripts are as short, swaps come first, then drops.
+    scripts are as short, swaps come first, then drops. What both begin with is the same in any
+    of them and left out of the table of distances.
     """
+    p = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+    start, a, b = a[:p], a[p:], b[p:]
     n, m = len(a), len(b)
     away = [[n - i + m - j if i == n or j == m else 0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             away[i][j] = away[i + 1][j + 1] if a[i] == b[j] else 1 + min(away[i + 1][j + 1], away[i + 1][j], away[i][j + 1])
-    out: list[tuple[str, str, str]] = []
+    out: list[tuple[str, str, str]] = [("same", start, start)] if start else []
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:

@@ -224,6 +224,31 @@ def test_close_pairs_meet_across_chunks(spark):
     assert len(names) > 90 and one == many == apart
 
 
+@pytest.mark.parametrize("name", ["lookalike_diffs"])
+def test_lookalike_queries_broadcast_no_variants(spark, tmp_path, name):
+    from heddle.plans import registry
+
+    rng = random.Random(11)
+    names = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(1000)]
+    near = names[0][:9] + names[0][10:50] + "x" + names[0][51:]
+    spark.createDataFrame([("npm", n) for n in [*names, near]], "registry_type string, identifier string").write.parquet(str(tmp_path / "versions.parquet"))
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    assert [(r["a"], r["b"]) for r in df.collect()] == [tuple(sorted((names[0], near)))]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and plan.split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
+
+
+def test_edit_steps_fill_no_table_for_what_both_begin_with():
+    import tracemalloc
+
+    start = "images.example/" * 200
+    tracemalloc.start()
+    assert edit_steps(start + "abc", start + "axc") == [("same", start + "a", start + "a"), ("swap", "b", "x"), ("same", "c", "c")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000
+
+
 def test_packed_numbers_come_back():
     import numpy as np
 
