@@ -224,7 +224,7 @@ def test_close_pairs_meet_across_chunks(spark):
     assert len(names) > 90 and one == many == apart
 
 
-@pytest.mark.parametrize("name", ["lookalike_diffs"])
+@pytest.mark.parametrize("name", ["lookalike_diffs", "lookalike_edits"])
 def test_lookalike_queries_broadcast_no_variants(spark, tmp_path, name):
     from heddle.plans import registry
 
