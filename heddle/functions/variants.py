@@ -57,22 +57,29 @@ def _of_one_length(codes: np.ndarray, deletions: int) -> np.ndarray:
     return _mixed(np.concatenate(out, axis=1))
 
 
-def variants(names: pa.Array, deletions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place of the name, hash) of each name and its variants with up to so many characters
-    deleted, every hash once a name."""
+def with_depths(names: pa.Array, deletions: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of some names, a row of hashes for each, characters deleted for each column);
+    a name's variants that are equal have their hash several times."""
     lengths = pc.utf8_length(names).to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        each = sum(comb(int(length), r) for r in range(deletions + 1))
-        step = max(1, SLICE // each)
+        ways = [comb(int(length), r) for r in range(deletions + 1)]
+        step = max(1, SLICE // sum(ways))
         for i in range(0, len(at), step):
             some = at[i : i + step]
             text = "".join(names.take(pa.array(some)).to_pylist())
             codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(some), length)
-            hashes = np.sort(_of_one_length(codes, deletions), axis=1)
-            new = np.ones(hashes.shape, bool)
-            np.not_equal(hashes[:, 1:], hashes[:, :-1], out=new[:, 1:])
-            yield np.repeat(some, new.sum(axis=1)), hashes[new]
+            yield some, _of_one_length(codes, deletions), np.repeat(np.arange(deletions + 1, dtype=np.int8), ways)
+
+
+def variants(names: pa.Array, deletions: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the name, hash) of each name and its variants with up to so many characters
+    deleted, every hash once a name."""
+    for some, hashes, _ in with_depths(names, deletions):
+        hashes = np.sort(hashes, axis=1)
+        new = np.ones(hashes.shape, bool)
+        np.not_equal(hashes[:, 1:], hashes[:, :-1], out=new[:, 1:])
+        yield np.repeat(some, new.sum(axis=1)), hashes[new]
 
 
 def packed(numbers: np.ndarray) -> bytes:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.variants import packed, repeated, unpacked, variants
+from heddle.functions.variants import packed, repeated, unpacked, variants, with_depths
 from heddle.session import materialise, ship
 
 # ---- fixed values: well-known packages, in the order that breaks ties ----
@@ -58,7 +58,7 @@ def known_neighbours(packages: DataFrame, known: list[str], max_distance: int =
 def close_pairs(names: DataFrame, name: str, max_distance: int = MAX_DISTANCE, at_once: int = AT_ONCE) -> DataFrame:
     """(a, b, distance), a < b: distinct names within the distance of each other.
 
-    Candidates share a hash of a deletion variant, so work follows the number of names times
+    Candidates share a fingerprint of a deletion variant, so work follows the number of names times
     their variants, not their square; every candidate is verified. Of the variants, hundreds a
     name, only fingerprints are shuffled: names are dealt into chunks, each sends the first bits
     of its hashes, some two bytes a variant, to be compared with those of other chunks, and
@@ -101,24 +101,37 @@ def close_pairs(names: DataFrame, name: str, max_distance: int = MAX_DISTANCE, a
         shared = [unpacked(b.as_py()) + u(p.as_py() << rest) for p, b in zip(known.column("part"), known.column("prints"), strict=True)]
         own = _fingerprints(table, d, bits, unique=False)
         shared = np.unique(np.concatenate([own[repeated(own)], *shared]))
-        n, at, keys = _column(table), [np.zeros(0, np.int64)], [np.zeros(0, u)]
-        for place, hashes in variants(n, d):
+        first = min(bits, 22)
+        may = np.zeros(1 << first, bool)
+        may[shared >> u(bits - first)] = True
+        n, at, keys, gone = _column(table), [np.zeros(0, np.int64)], [np.zeros(0, u)], [np.zeros(0, np.int8)]
+        for some, hashes, deleted in with_depths(n, d):
             prints = hashes >> u(64 - bits)
-            i = np.minimum(np.searchsorted(shared, prints), max(len(shared) - 1, 0))
-            has = shared[i] == prints if len(shared) else np.zeros(len(prints), bool)
-            at.append(place[has])
-            keys.append(hashes[has])
-        return pa.table({"k": pa.array(np.concatenate(keys).view(np.int64)), "n": n.take(pa.array(np.concatenate(at)))})
+            row, col = np.nonzero(may[prints >> u(bits - first)])
+            found = prints[row, col]
+            has = shared[np.minimum(np.searchsorted(shared, found), len(shared) - 1)] == found if len(found) else np.zeros(0, bool)
+            at.append(some[row[has]])
+            keys.append(found[has])
+            gone.append(deleted[col[has]])
+        at, keys, gone = np.concatenate(at), np.concatenate(keys), np.concatenate(gone)
+        order = np.lexsort((gone, keys, at))
+        at, keys, gone = at[order], keys[order], gone[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])
+        return pa.table({"k": pa.array(keys[new].view(np.int64)), "n": n.take(pa.array(at[new])), "gone": pa.array(gone[new])})
 
     # Numbers of partitions are given: by bytes, which say nothing of the variants, all would be one task's.
     dealt = distinct.select(F.pmod(F.xxhash64("n"), F.lit(chunks)).cast("int").alias("chunk"), "n").repartition(chunks, "chunk")
     blocks = "part int, chunk int, prints binary"
     sent = dealt.groupBy("chunk").applyInArrow(send, blocks).repartition(1 << part_bits, "part")
     shared = sent.groupBy("part").applyInArrow(compare, blocks).repartition(chunks, "chunk")
-    keys = materialise(dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(keep, "k long, n string"))
-    a, b = keys.select(F.col("n").alias("a"), "k"), keys.select(F.col("n").alias("b"), "k")
-    pairs = a.hint("merge").join(b, "k").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b", max_distance)).where(F.col("distance").between(1, max_distance))
+    # Both sides of the join read this one exchange.
+    keys = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(keep, "k long, n string, gone byte").repartition("k")
+    a, b = (keys.select(F.col("n").alias(x), "k", F.col("gone").alias(f"gone_{x}")) for x in "ab")
+    # Names e edits apart share a variant with up to e characters deleted; what they share beyond gives the pair again.
+    distance = F.levenshtein("a", "b", max_distance)
+    near = a.hint("merge").join(b, "k").where("a < b").where(F.greatest("gone_a", "gone_b") <= distance)
+    return near.select("a", "b", distance.alias("distance")).distinct()
 
 
 def _column(table: pa.Table) -> pa.Array:

@@ -224,6 +224,25 @@ def test_close_pairs_meet_across_chunks(spark):
     assert len(names) > 90 and one == many == apart
 
 
+def test_lookalike_edits_join_each_pair_once_not_for_every_variant(spark, tmp_path):
+    from heddle.plans import registry
+
+    # Names that differ in their last character share a score of variants with two characters deleted, too.
+    rng = random.Random(12)
+    names = [f"{stem}-{k}" for stem in ("".join(rng.choices("abcdefgh", k=20)) for _ in range(40)) for k in range(6)]
+    spark.createDataFrame([("npm", n) for n in names], "registry_type string, identifier string").write.parquet(str(tmp_path / "versions.parquet"))
+    df = registry.lookalike_edits(spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in df.collect())
+    assert len(rows) == 40 * 15 and rows == sorted((a, b, 1, a, b) for a in names for b in names if a < b and a[:20] == b[:20])
+
+    def joined(node):
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return node.metrics().apply("numOutputRows").value() if kind == "SortMergeJoinExec" else sum(map(joined, inner))
+
+    assert joined(df._jdf.queryExecution().executedPlan()) <= 1.1 * len(rows)
+
+
 @pytest.mark.parametrize("name", ["lookalike_diffs", "lookalike_edits"])
 def test_lookalike_queries_broadcast_no_variants(spark, tmp_path, name):
     from heddle.plans import registry
